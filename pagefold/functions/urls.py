@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import DEFAULT_MIME, MIME_BY_EXTENSION
 
@@ -18,7 +19,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _urljoin(base: pd.Series, ref: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
     out = []

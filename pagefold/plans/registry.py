@@ -26,5 +26,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_media, queries_page  # noqa: F401
-FLAGSHIP = "p2_p4_page_header"
+    from . import queries_company, queries_media, queries_page  # noqa: F401
+FLAGSHIP = "qa_intelligent"

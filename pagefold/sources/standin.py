@@ -59,6 +59,7 @@ concat(
   CASE WHEN k % 4 = 2 THEN concat('<iframe src="https://player.vimeo.com/video/', k, '"></iframe>') ELSE '' END,
   '<iframe src="/widgets/map"></iframe>',
   '<p><a href="/docs/report', k, '.pdf">Annual report</a> <a href="/team">Meet the team</a></p>',
+  CASE WHEN k % 2 = 1 THEN '<p><a href="/who-we-are">Who we are</a><a href="/values"></a></p>' ELSE '' END,
   '</main>',
   '<footer><a href="/our-story">Our Story</a><a href="/about">About</a></footer>',
   '</body></html>')

@@ -148,7 +148,8 @@ PLACEHOLDER_SVG = (
     "                </svg>\n            "
 )
 # L1 prompt layout
-PROMPT_TEMPLATE = "\n\nHuman: {system}\n\nHere is the content to analyze:\n{user}\n\nAssistant: "
+PROMPT_TEMPLATE = ("\n\nHuman: {system}\n\nHere is the content to analyze:\n{user}\n\nAssistant: "
+                   "I'll analyze the content and provide the information in the requested format.")
 # X7 classic profile sections: (LLM key, output column)
 PROFILE_SECTIONS = [
     ("About Us (including locations)", "about_us"),

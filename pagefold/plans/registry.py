@@ -26,5 +26,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_company, queries_media, queries_metrics, queries_page  # noqa: F401
+    from . import queries_company, queries_media, queries_metrics, queries_page, queries_service  # noqa: F401
 FLAGSHIP = "qa_intelligent"

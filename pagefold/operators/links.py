@@ -138,7 +138,7 @@ def about_content_page(elements: DataFrame) -> DataFrame:
 
 
 def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
-                       paths: Sequence[str] = COMMON_PATHS) -> DataFrame:
+                       paths: Sequence[str] = COMMON_PATHS, all_links_fallback: bool = False) -> DataFrame:
     """The classic fallback ladder per page. The page itself
     if it has about content (F6); else, on the site's root page
     (scheme://netloc), the first nav/header/menu link, then the first
@@ -149,9 +149,11 @@ def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
     kw = alternation(ABOUT_LINK_KEYWORDS)
     pages = about_content_page(elements).withColumn(
         "domain", F.concat(url_scheme("url"), F.lit("://"), url_netloc("url")))
-    # root pages of every site, found by url in the corpus
-    roots = elements.filter(F.col("tag") == "[document]").select(
-        F.col("url").alias("domain"), F.col("page_id").alias("root_id"))
+    # root pages of every site: crawled urls with an empty or "/" path
+    is_root = F.col("url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*/?$")
+    roots = (elements.filter((F.col("tag") == "[document]") & is_root)
+             .groupBy(F.regexp_replace("url", "/$", "").alias("domain"))
+             .agg(F.min("page_id").alias("root_id")))
     area1 = F.col("tag").isin("nav", "header", "menu")
     area2 = (F.col("tag") == "ul") & F.lower(F.array_join(F.coalesce("classes", F.array()), " ")).rlike("nav|menu")
 
@@ -161,6 +163,12 @@ def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
         return ls.filter(hit).select(F.col("page_id").alias("root_id"), F.lit(rank).alias("area"),
                                      "outer", "node_id", "href")
     nav = area_links(area1, 0).unionByName(area_links(area2, 1))
+    if all_links_fallback:
+        allk = elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select(
+            F.col("page_id").alias("root_id"), F.lit(2).alias("area"), F.lit(0).alias("outer"), "node_id",
+            F.col("attrs")["href"].alias("href"), py_strip("text").alias("t"))
+        allk = allk.filter(F.lower("href").rlike(kw) | F.lower("t").rlike(alternation(ABOUT_LINK_PHRASES)))
+        nav = nav.unionByName(allk.drop("t"))
     first_nav = nav.groupBy("root_id").agg(
         F.min_by("href", F.struct("area", "outer", "node_id")).alias("nav_href"))
     probes = pages.filter(~F.col("has_about_content")).select(

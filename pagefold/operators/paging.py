@@ -80,6 +80,19 @@ def decode_json_cursor(cursor) -> tuple[Column, Column]:
     return offset, valid
 
 
+def decode_json_cursor_value(cursor: str | None) -> tuple[int, bool]:
+    """The same rule for a cursor given as a job parameter."""
+    import base64
+    import json
+    if not cursor:
+        return 0, True
+    try:
+        data = json.loads(base64.b64decode(cursor).decode("utf-8"))
+        return int(data.get("offset", 0)), True
+    except (ValueError, AttributeError, TypeError):
+        return 0, False
+
+
 # ---------------------------------------------------------------- split pages
 def split_page(media: DataFrame, cursor: str | None, limit: int,
                media_type: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import HYBRID_PATTERNS, KEY_VALUE_PATTERNS, MISSION_PATTERNS
 from ..functions.text import clean_whitespace
 from ..operators.facts import ai_gate, hybrid_facts, key_values, split_facts
-from ..operators.links import hybrid_about_links, split_about_links
+from ..operators.links import classic_about_page, hybrid_about_links, split_about_links
 from ..operators.page import page_fields
 from ..operators.sections import sections
 from ..plans.intelligent import intelligent
@@ -287,3 +287,17 @@ def qc_v4_text(spark, sf_dir):
     return env.select("page_id", "page_title", "url", "language", "summary",
                       F.size("sections").alias("n_sections"), F.size("key_values").alias("n_key_values"),
                       F.size("media.images").alias("n_images"), F.size("media.videos").alias("n_videos"))
+
+
+@register("a3_a6_classic_about_page", oracle=SITE_SQL + """
+SELECT k AS page_id, base AS about_url, 'self' AS found_by FROM site
+UNION ALL SELECT k + 1000000, base || 'about', 'self' FROM site WHERE k % 3 = 1
+UNION ALL SELECT k + 1000000, base || 'about', 'navigation' FROM site WHERE k % 3 = 2
+""")
+def a3_a6_classic_about_page(spark, sf_dir):
+    """The classic About-page ladder for every crawled page
+    (about content on the page itself; else the site root's nav links;
+    else the first existing common path; else the page)."""
+    el = site_elements(spark, sf_dir)
+    urls = el.filter(F.col("tag") == "[document]").select("url")
+    return classic_about_page(el, urls).select("page_id", "about_url", "found_by")

@@ -26,5 +26,7 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_company, queries_media, queries_metrics, queries_page, queries_service  # noqa: F401
+    from . import (  # noqa: F401
+        queries_classic, queries_company, queries_media, queries_metrics, queries_page, queries_service,
+    )
 FLAGSHIP = "qa_intelligent"

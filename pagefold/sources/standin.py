@@ -114,7 +114,8 @@ CASE kind
   WHEN 6 THEN concat('<link rel="icon" sizes="16x16" href="/fav/', pk, '.ico">')
   WHEN 7 THEN concat('<img src="/img/cart-', pk, '.gif" alt="Team ', p_size, '" width="', p_size, '">')
   WHEN 8 THEN concat('<iframe src="/maps/', pk, '"></iframe>')
-  ELSE concat('<audio src="/audio/p', pk, '.mp3" title="', p_type, '"></audio>')
+  ELSE concat('<audio src="/audio/p', pk, '.mp3" title="', p_type, '"></audio>',
+              '<div class="bg" style="background-image: url(/bg/p', pk, '.png)"></div>')
 END
 """
 

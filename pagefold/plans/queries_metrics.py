@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_places
+
 from ..functions.constants import MODEL_PRICES
 from ..operators.metrics import (
     alarm_evaluation, cache_rollup, dashboard_stats, llm_calls, llm_cost_rollup, metrics_from_log,
@@ -56,13 +58,13 @@ def _wstart(p: int) -> str:
 
 
 @register("g5_g8_metric_totals", oracle=METRICS_SQL + """
-SELECT metric, count(*) AS samples, round(sum(value), 6) AS total FROM m GROUP BY metric
+SELECT metric, count(*) AS samples, (round((sum(value)) * 1000000) / 1000000) AS total FROM m GROUP BY metric
 """)
 def g5_g8_metric_totals(spark, sf_dir):
     """S13+G5-G8+G9: parse the JSON log, emit every interaction's metrics,
     total them per metric."""
     m = metrics_from_log(service_log(spark, sf_dir))
-    return m.groupBy("metric").agg(F.count("*").alias("samples"), F.round(F.sum("value"), 6).alias("total"))
+    return m.groupBy("metric").agg(F.count("*").alias("samples"), round_places(F.sum("value"), 6).alias("total"))
 
 
 _DASH = "(VALUES " + ", ".join(
@@ -74,7 +76,7 @@ _DASH = "(VALUES " + ", ".join(
 , j AS (SELECT m.*, d.stat, d.period_s FROM m JOIN {_DASH} USING (metric))
 SELECT metric, stat, CAST(period_s AS INTEGER) AS period_s,
        CAST(floor(epoch_us(ts) / (period_s * CAST(1000000 AS BIGINT))) * period_s AS BIGINT) AS window_epoch,
-       round(CASE WHEN stat = 'Average' THEN avg(value) ELSE sum(value) END, 6) AS value,
+       (round((CASE WHEN stat = 'Average' THEN avg(value) ELSE sum(value) END) * 1000000) / 1000000) AS value,
        count(*) AS samples
 FROM j GROUP BY metric, stat, period_s, window_epoch
 """)
@@ -82,7 +84,7 @@ def g10_z2_dashboard_windows(spark, sf_dir):
     """G10/Z2 (batch twin): dashboard Average/Sum per tumbling window."""
     d = dashboard_stats(metrics_from_log(service_log(spark, sf_dir)))
     return d.select("metric", "stat", "period_s", F.unix_seconds("window_start").alias("window_epoch"),
-                    F.round("value", 6).alias("value"), "samples")
+                    round_places("value", 6).alias("value"), "samples")
 
 
 _RULES = "(VALUES " + ", ".join(
@@ -103,7 +105,7 @@ b AS (SELECT *, CASE WHEN cmp = 'GreaterThanThreshold' THEN v > threshold ELSE v
 runs AS (SELECT alarm, w_idx, row_number() OVER (PARTITION BY alarm, grp ORDER BY w_idx) AS run_length
          FROM (SELECT alarm, w_idx, w_idx - row_number() OVER (PARTITION BY alarm ORDER BY w_idx) AS grp
                FROM b WHERE breach))
-SELECT b.alarm, b.metric, w_idx * period_s AS window_epoch, round(v, 6) AS value, breach,
+SELECT b.alarm, b.metric, w_idx * period_s AS window_epoch, (round((v) * 1000000) / 1000000) AS value, breach,
        CAST(coalesce(run_length, 0) AS INTEGER) AS run_length, coalesce(run_length, 0) >= n AS in_alarm
 FROM b LEFT JOIN runs USING (alarm, w_idx)
 """)
@@ -112,23 +114,23 @@ def w11_alarm_windows(spark, sf_dir):
     in-alarm state per rule and window."""
     a = alarm_evaluation(metrics_from_log(service_log(spark, sf_dir)))
     return a.select("alarm", "metric", F.unix_seconds("window_start").alias("window_epoch"),
-                    F.round("value", 6).alias("value"), "breach", F.col("run_length").cast("int").alias("run_length"),
+                    round_places("value", 6).alias("value"), "breach", F.col("run_length").cast("int").alias("run_length"),
                     "in_alarm")
 
 
 @register("g9_llm_cost_rollup", oracle=METRICS_SQL + f"""
-SELECT 'hour' AS period, {_wstart(3600)} AS window_epoch, round(sum(cost), 8) AS cost_usd,
+SELECT 'hour' AS period, {_wstart(3600)} AS window_epoch, (round((sum(cost)) * 100000000) / 100000000) AS cost_usd,
        sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, count(*) AS calls
 FROM calls GROUP BY ALL
 UNION ALL
-SELECT 'day', {_wstart(86400)}, round(sum(cost), 8), sum(prompt_tokens), sum(completion_tokens), count(*)
+SELECT 'day', {_wstart(86400)}, (round((sum(cost)) * 100000000) / 100000000), sum(prompt_tokens), sum(completion_tokens), count(*)
 FROM calls GROUP BY ALL
 """)
 def g9_llm_cost_rollup(spark, sf_dir):
     """LLM cost from the price table, summed per hour and per day."""
     r = llm_cost_rollup(llm_calls(service_log(spark, sf_dir)))
     return r.select("period", F.unix_seconds("window_start").alias("window_epoch"),
-                    F.round("cost_usd", 8).alias("cost_usd"), "prompt_tokens", "completion_tokens", "calls")
+                    round_places("cost_usd", 8).alias("cost_usd"), "prompt_tokens", "completion_tokens", "calls")
 
 
 @register("g14_llm_threshold_flags", oracle=METRICS_SQL + """
@@ -144,24 +146,24 @@ def g14_llm_threshold_flags(spark, sf_dir):
 
 @register("z5_request_spans_batch", oracle=METRICS_SQL + """
 SELECT 'r' || event_id AS request_id,
-       round((epoch_us(end_ts) - epoch_us(ts)) / 1e6, 6) AS duration_s, event_type = 'view' AS success
+       (round(((epoch_us(end_ts) - epoch_us(ts)) / 1e6) * 1000000) / 1000000) AS duration_s, event_type = 'view' AS success
 FROM e WHERE event_type IN ('view', 'error')
 """)
 def z5_request_spans_batch(spark, sf_dir):
     """Z5 batch twin: request_start paired with request_end/error."""
     s = request_spans(service_log(spark, sf_dir))
-    return s.select("request_id", F.round("duration_s", 6).alias("duration_s"), "success")
+    return s.select("request_id", round_places("duration_s", 6).alias("duration_s"), "success")
 
 
 @register("g8_cache_windows", oracle=METRICS_SQL + f"""
 SELECT {_wstart(300)} AS window_epoch, count_if(metric = 'CacheHits') AS hits,
        count_if(metric = 'CacheMisses') AS misses,
-       round(count_if(metric = 'CacheHits') / (count_if(metric = 'CacheHits') + count_if(metric = 'CacheMisses')), 6) AS hit_rate,
-       round(avg(CASE WHEN metric = 'CacheLatency' THEN value END), 6) AS avg_latency_s
+       (round((count_if(metric = 'CacheHits') / (count_if(metric = 'CacheHits') + count_if(metric = 'CacheMisses'))) * 1000000) / 1000000) AS hit_rate,
+       (round((avg(CASE WHEN metric = 'CacheLatency' THEN value END)) * 1000000) / 1000000) AS avg_latency_s
 FROM m WHERE metric IN ('CacheHits', 'CacheMisses', 'CacheLatency') GROUP BY ALL
 """)
 def g8_cache_windows(spark, sf_dir):
     """Cache hits, misses, hit rate and latency per 5-minute window."""
     c = cache_rollup(metrics_from_log(service_log(spark, sf_dir)))
     return c.select(F.unix_seconds("window_start").alias("window_epoch"), "hits", "misses",
-                    F.round("hit_rate", 6).alias("hit_rate"), F.round("avg_latency_s", 6).alias("avg_latency_s"))
+                    round_places("hit_rate", 6).alias("hit_rate"), round_places("avg_latency_s", 6).alias("avg_latency_s"))

@@ -186,3 +186,36 @@ def cache_rollup(metrics: DataFrame, period_s: int = 300) -> DataFrame:
         F.count_if(F.col("metric") == "CacheMisses").alias("misses"),
         F.avg(F.when(F.col("metric") == "CacheLatency", F.col("value"))).alias("avg_latency_s"))
     return g.withColumn("hit_rate", F.col("hits") / (F.col("hits") + F.col("misses")))
+
+
+def metrics_from_bodies(bodies: DataFrame, body_col: str = "body") -> DataFrame:
+    """Metric rows implied by JSON response bodies — one LLM usage set
+    when ``token_usage`` is present, one media set per item of ``media``,
+    one cache set when ``cache_info`` is present."""
+    v = bodies.select(F.try_parse_json(F.col(body_col)).alias("b"))
+
+    def g(path, typ="double"):
+        return F.try_variant_get(F.col("b"), path, typ)
+
+    dur = F.coalesce(g("$.duration"), F.lit(0.0))
+    pt = F.coalesce(g("$.token_usage.prompt_tokens", "long"), F.lit(0))
+    ct = F.coalesce(g("$.token_usage.completion_tokens", "long"), F.lit(0))
+    llm = v.filter(g("$.token_usage", "variant").isNotNull()).select(F.explode(F.array(
+        _m("LLMLatency", dur, "Seconds"), _m("PromptTokens", pt, "Count"),
+        _m("CompletionTokens", ct, "Count"), _m("TotalTokens", pt + ct, "Count"))).alias("m"))
+    items = v.select(dur.alias("dur"), F.explode(g("$.media", "array<variant>")).alias("item"))
+    itype = F.try_variant_get(F.col("item"), "$.type", "string")
+    size = F.coalesce(F.try_variant_get(F.col("item"), "$.metadata.size_bytes", "double"), F.lit(0.0))
+    media = items.select(F.explode(F.array(
+        _m("MediaProcessingTime", F.col("dur"), "Seconds"), _m("MediaSize", size, "Bytes"),
+        _m(F.concat(F.upper(F.substring(itype, 1, 1)), F.lower(F.substring(itype, 2, 1 << 20)), F.lit("Count")),
+           1, "Count"))).alias("m"))
+    hit = g("$.cache_info.hit", "boolean")
+    op = F.when(hit, "Hit").otherwise("Miss")
+    cache = v.filter(g("$.cache_info", "variant").isNotNull()).select(F.filter(F.array(
+        _m("CacheLatency", F.coalesce(g("$.cache_info.duration"), F.lit(0.0)), "Seconds"),
+        _m(F.concat(F.lit("Cache"), op, F.lit("s")), 1, "Count"),
+        F.when(op == "Miss", _m("CacheMisses", 1, "Count"))), lambda x: x.isNotNull()).alias("ms"))
+    cache = cache.select(F.explode("ms").alias("m"))
+    return (llm.unionByName(media).unionByName(cache)
+            .select("m.metric", "m.value", "m.unit"))

@@ -21,11 +21,9 @@ from ..functions.urls import media_id, path_extension, resolve_url, url_path
 from .thumbs import thumbnail_struct
 from .topk import first_k
 
-A = F.col("attrs")
-
 
 def _attr(name: str) -> Column:
-    return A[name]
+    return F.col("attrs")[name]
 
 
 def _nz(c: Column) -> Column:

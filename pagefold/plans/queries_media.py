@@ -180,3 +180,25 @@ FROM items GROUP BY page_id
 def g2_hybrid_media_summary(spark, sf_dir):
     """Hybrid media_summary (audio counted in the total only)."""
     return hybrid_summary(hybrid_media(gallery_elements(spark, sf_dir)))
+
+
+@register("qb_media_endpoint", oracle=GALLERY_SQL + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, class_rank, pk) AS pos FROM split)
+SELECT page_id, CAST(count_if(pos <= 20) AS INTEGER) AS current_page_count,
+       arg_min(media_url, pos) AS first_url, count(*) AS total_assets,
+       count(*) > 20 AS has_more,
+       CASE WHEN count(*) > 20 THEN to_base64(encode('media:20')) END AS next_cursor,
+       CAST(least(20, count(*)) AS INTEGER) AS current_page_end
+FROM ranked GROUP BY page_id
+""")
+def qb_media_endpoint(spark, sf_dir):
+    """Q-B: first page (limit 20) of every gallery page's media endpoint
+    envelope — nested items, summary and pagination."""
+    from .media_pages import media_endpoint
+    env = media_endpoint(gallery_elements(spark, sf_dir), None, 20)
+    return env.select("page_id", F.col("media_summary.current_page_count").alias("current_page_count"),
+                      F.col("media_assets")[0]["media_url"].alias("first_url"),
+                      F.col("media_summary.total_assets").alias("total_assets"),
+                      F.col("pagination.has_more").alias("has_more"),
+                      F.col("pagination.next_cursor").alias("next_cursor"),
+                      F.col("pagination.current_page_end").cast("int").alias("current_page_end"))

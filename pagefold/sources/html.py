@@ -25,10 +25,10 @@ rel, text, text_stripped``. ``node_id`` is the pre-order position and
 ``y.node_id < x.node_id <= y.end_id``. ``text`` is ``get_text()`` of the
 subtree, ``text_stripped`` is ``get_text(strip=True)``.
 
-Text is kept for every non-void element except html/head/body, whose text
-equals the ``[document]`` row's; nested containers therefore repeat their
-descendants' text, which is bounded by page depth and is what the
-operators that read element text need.
+Text is kept for every non-void element (parent text of an image may be
+the body's); nested containers therefore repeat their descendants' text,
+so the table holds about page-depth copies of a page's text — bounded per
+page, and it makes every element-text question a plain column read.
 """
 
 from __future__ import annotations
@@ -49,7 +49,6 @@ VOID_TAGS = frozenset([
 # Tags whose strings are not "text" for get_text().
 NON_TEXT_CONTAINERS = frozenset(["script", "style", "template", "rt", "rp"])
 PRESERVE_WS_TAGS = frozenset(["pre", "textarea"])
-NO_TEXT_TAGS = frozenset(["html", "head", "body"])
 ASCII_SPACES = " \n\t\x0c\r"
 
 DOCUMENT_TAG = "[document]"
@@ -234,9 +233,6 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tag in VOID_TAGS:
                     cols["text"].append("")
                     cols["text_stripped"].append("")
-                elif tag in NO_TEXT_TAGS:
-                    cols["text"].append(None)
-                    cols["text_stripped"].append(None)
                 else:
                     cols["text"].append(text[t0:t1])
                     cols["text_stripped"].append(stext[s0:s1])

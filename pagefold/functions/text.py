@@ -81,3 +81,8 @@ def sanitize_string(c) -> Column:
         esc = F.replace(esc, F.lit(a), F.lit(b))
     no_ctrl = F.regexp_replace(esc, r"[\x00-\x1f]", "")
     return py_strip(F.regexp_replace(no_ctrl, f"{PY_WS}+", " "))
+
+
+def supplied_text_override(supplied, extracted) -> Column:
+    """The caller's text when it is non-empty, else the extracted text."""
+    return F.coalesce(F.nullif(_col(supplied), F.lit("")), _col(extracted))

@@ -80,6 +80,21 @@ def decode_json_cursor(cursor) -> tuple[Column, Column]:
     return offset, valid
 
 
+def decode_json_cursor_strict(cursor) -> Column:
+    """W9s/W10 service policy: a cursor that does not decode to a JSON object
+    fails the job with "Invalid cursor" (NULL cursor -> offset 0)."""
+    offset, valid = decode_json_cursor(cursor)
+    return F.when(valid, offset).otherwise(F.raise_error(F.lit("Invalid cursor")).cast("int"))
+
+
+def page_meta_service(total, start, limit: int) -> dict[str, Column]:
+    """W9s: the service page meta — has_more and the next cursor only."""
+    t = F.col(total) if isinstance(total, str) else total
+    s = F.col(start) if isinstance(start, str) else start
+    end = s + limit
+    return {"has_more": end < t, "next_cursor": F.when(end < t, encode_json_cursor(end))}
+
+
 def decode_json_cursor_value(cursor: str | None) -> tuple[int, bool]:
     """The same rule for a cursor given as a job parameter."""
     import base64

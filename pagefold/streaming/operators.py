@@ -33,25 +33,35 @@ def _seconds(ts: str):
     return (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")
 
 
-def throttle_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", rpm: float = 60,
+def _throttle_out(df: DataFrame) -> str:
+    return THROTTLE_OUT.replace("user_id long", f"user_id {df.schema['user_id'].dataType.simpleString()}")
+
+
+def _key(key):
+    """H1: the limiter key is a column name or any Column expression (e.g.
+    ``coalesce(api_key, client_host)``)."""
+    return F.col(key) if isinstance(key, str) else key
+
+
+def throttle_batch(events: DataFrame, key="user_id", ts: str = "ts", rpm: float = 60,
                    burst: float = 10) -> DataFrame:
     """Z1 batch twin: token bucket per key over event time."""
     tb = TokenBucket(rpm, burst)
-    df = events.select(F.col(key).alias("user_id"), "event_id", _seconds(ts))
+    df = events.select(_key(key).alias("user_id"), "event_id", _seconds(ts))
     df = df.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from scan_sorted(frames, "user_id", "t", tb, lambda r, s, res: {
             "user_id": r.user_id, "event_id": r.event_id, "allowed": res[0], "tokens": res[1],
             "retry_after": res[2]})
-    return df.mapInPandas(run, THROTTLE_OUT)
+    return df.mapInPandas(run, _throttle_out(df))
 
 
-def throttle_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rpm: float = 60,
+def throttle_stream(events: DataFrame, key="user_id", ts: str = "ts", rpm: float = 60,
                     burst: float = 10) -> DataFrame:
     """The token bucket as streaming per-key state."""
     tb = TokenBucket(rpm, burst)
-    df = events.select(F.col(key).alias("user_id"), "event_id", _seconds(ts))
+    df = events.select(_key(key).alias("user_id"), "event_id", _seconds(ts))
 
     def fn(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
@@ -65,7 +75,7 @@ def throttle_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rpm
             state.update(st)
         yield pd.DataFrame(out)
     return df.groupBy("user_id").applyInPandasWithState(
-        fn, THROTTLE_OUT, "tokens double, last_update double", "append", GroupStateTimeout.NoTimeout)
+        fn, _throttle_out(df), "tokens double, last_update double", "append", GroupStateTimeout.NoTimeout)
 
 
 # ------------------------------------------------------------------ Z4

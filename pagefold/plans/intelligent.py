@@ -5,9 +5,16 @@ Stages: page header (P2/P3/P7) -> About links in nav/header/footer (J1, A1)
 keep the longest text (J2, A7, A8) -> hybrid facts (X1/X2) -> media summary
 (M1-M5, G2) -> AI gate (F11) -> one envelope row per page (S15).
 
-Every per-page list in the envelope is bounded (About analysis by
-``max_about_pages``); the media lists themselves stay a separate table
-(``hybrid_media``) rather than an unbounded array per page.
+Shuffle plan: one partial aggregate over the elements gives every page's
+fields (one row per page leaves each map task); when the About pages are
+looked up in the same crawl, their texts come from that same aggregate
+instead of a second pass. The link ranking is a first-k per page; the
+About lookup is the one equi-join on url (AQE splits hot target urls);
+best text and the analysis list come from a single per-page aggregate
+that carries only lengths for the main page, so the page text itself is
+not shuffled again. Every per-page list in the envelope is bounded
+(About analysis by ``max_about_pages``); the media lists stay a separate
+table (``hybrid_media``).
 """
 
 from __future__ import annotations
@@ -15,42 +22,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_whitespace, truncate
+from ..functions.text import clean_whitespace, py_strip, truncate
 from ..operators.facts import ai_gate, hybrid_facts
-from ..operators.links import best_about, hybrid_about_links, page_texts, top_about
+from ..operators.links import hybrid_about_links, page_texts, top_about
 from ..operators.media import hybrid_media, hybrid_summary
 from ..operators.page import page_fields
-from ..operators.topk import nest_ordered
 
 
 def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bool = True,
                 force_ai: bool = False, corpus: DataFrame | None = None) -> DataFrame:
     """``elements``: the parsed pages to answer for; ``corpus``: the parsed
     crawl the About pages are looked up in (defaults to ``elements``)."""
-    corpus = elements if corpus is None else corpus
-    head = page_fields(elements).select(
-        "page_id", "url",
+    fields = page_fields(elements).select(
+        "page_id", "url", "title_raw",
         F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("No description found")).alias("description"),
         clean_whitespace("doc_text").alias("text"))
+    if corpus is None:
+        texts = fields.select("page_id", F.col("url").alias("about_url"),
+                              F.coalesce("title_raw", F.lit("")).alias("about_title"),
+                              F.col("text").alias("about_text"))
+    else:
+        texts = page_texts(corpus).select(F.col("about_page_id").alias("page_id"), "about_url",
+                                          "about_title", "about_text")
+    # one crawled page per url (a recrawl keeps the lowest page_id); the
+    # aggregate's url partitioning is the one the lookup join needs
+    texts = texts.groupBy("about_url").agg(
+        F.min_by(F.struct("about_title", "about_text"), "page_id").alias("t")).select(
+        "about_url", "t.about_title", "t.about_text")
+
     links = hybrid_about_links(elements)
     found = links.groupBy("page_id").agg(F.count("*").alias("about_pages_found"))
-    top = top_about(links, max_about_pages)
-    best, analysis = best_about(head.select("page_id", "url", "text"), top, page_texts(corpus))
-    nested = nest_ordered(analysis, ["page_id"], "rank",
-                          ["url", "title", "content_length", "confidence"], "about_page_analysis")
-    env = (head.join(best, "page_id", "left").join(found, "page_id", "left")
-           .join(nested, "page_id", "left"))
-    best_text = F.coalesce("best_text", "text")
-    env = env.withColumn("best_about_url", F.coalesce("best_about_url", "url")).withColumn("best_text", best_text)
-    env = env.withColumn("company_info", hybrid_facts("best_text"))
+    top = top_about(links, max_about_pages).select("page_id", "rank", "about_url", "confidence")
+    fetched = top.join(texts, "about_url", "inner")       # unfetchable links are skipped
+    cand = fetched.select(
+        "page_id", "rank", F.col("about_url").alias("cand_url"), F.length("about_text").alias("cand_len"),
+        F.col("about_text").alias("cand_text"),
+        F.struct("rank", F.col("about_url").alias("url"), py_strip("about_title").alias("title"),
+                 F.length("about_text").alias("content_length"), "confidence").alias("a"))
+    main = fields.select("page_id", F.lit(0).alias("rank"), F.col("url").alias("cand_url"),
+                         F.length("text").alias("cand_len"), F.lit(None).cast("string").alias("cand_text"),
+                         F.lit(None).cast(cand.schema["a"].dataType).alias("a"))
+    per_page = main.unionByName(cand).groupBy("page_id").agg(
+        # Longest text wins, ties keep the earlier candidate (main page first)
+        F.max_by(F.struct("cand_url", "cand_text"), F.struct("cand_len", -F.col("rank"))).alias("b"),
+        # Fetched About pages in rank order (at most max_about_pages)
+        F.array_sort(F.collect_list("a")).alias("analysis"))
+    analysis_t = per_page.schema["analysis"].dataType
+    env = fields.join(per_page, "page_id", "left").join(found, "page_id", "left")
+    best_text = F.coalesce(F.col("b.cand_text"), F.col("text"))
+    env = env.withColumn("best_about_url", F.coalesce(F.col("b.cand_url"), F.col("url")))
+    env = env.withColumn("best_text", best_text).withColumn("company_info", hybrid_facts("best_text"))
     env = env.withColumn("ai_enhancement", ai_gate(F.col("company_info"), "best_text", force_ai))
+    analysis = F.transform(F.coalesce("analysis", F.array().cast(analysis_t)),
+                           lambda a: F.struct(a["url"].alias("url"), a["title"].alias("title"),
+                                              a["content_length"].alias("content_length"),
+                                              a["confidence"].alias("confidence")))
     cols = [
         F.lit(True).alias("success"), "page_id", "url", "best_about_url", "title", "description",
         truncate("best_text", 3000).alias("content"), "company_info",
         F.coalesce("about_pages_found", F.lit(0)).alias("about_pages_found"),
-        F.coalesce("about_page_analysis", F.array().cast(nested.schema["about_page_analysis"].dataType))
-         .alias("about_page_analysis"),
+        analysis.alias("about_page_analysis"),
         "ai_enhancement",
         F.when(F.col("ai_enhancement.used"), "ai_enhanced").otherwise("programmatic").alias("approach_used"),
     ]

@@ -40,7 +40,7 @@ def seed_harvest(results: DataFrame, max_total: int = 200, seed: int = 42) -> Da
         "seen", F.sum("new_urls").over(Window.orderBy("query_rank").rowsBetween(Window.unboundedPreceding, 0)))
     before = F.coalesce(F.lag("seen").over(Window.orderBy("query_rank")), F.lit(0))
     used = running.withColumn("seen_before", before).filter(F.col("seen_before") < max_total).select("query_rank")
-    picked = first.join(F.broadcast(used), "query_rank")       # at most one row per search query
+    picked = first.join(used, "query_rank")       # one row per search query; AQE sizes the join
     return picked.orderBy(F.rand(seed)).limit(max_total).select(F.col("href").alias("url"))
 
 

@@ -88,7 +88,7 @@ concat(
 def company_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
-    base = (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)   # nation: 25 rows
+    base = (s.join(n, s.s_nationkey == n.n_nationkey)     # AQE broadcasts the small side by measured size
             .selectExpr("s_suppkey AS k", "s_name AS name", "n_name",
                         "element_at(array('en', 'fr', 'de', 'es'), CAST(s_suppkey % 4 AS INT) + 1) AS lang",
                         "concat('https://s', s_suppkey, '.example.com/') AS base",

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import fixed_avg, fixed_sum
 from ..functions.constants import (
     ALARM_RULES, COST_PER_REQUEST, DASHBOARD_STATS, LATENCY_SECONDS, MODEL_PRICES, TOKENS_PER_REQUEST,
 )
@@ -97,7 +98,7 @@ def dashboard_stats(metrics: DataFrame) -> DataFrame:
     j = metrics.join(F.broadcast(spec), "metric")            # 13-row fixed spec
     j = j.withColumn("window_start", window_start(F.col("ts"), F.col("period_s")))
     g = j.groupBy("metric", "stat", "period_s", "window_start").agg(
-        F.avg("value").alias("avg_v"), F.sum("value").alias("sum_v"), F.count("*").alias("samples"))
+        fixed_avg("value").alias("avg_v"), fixed_sum("value").alias("sum_v"), F.count("*").alias("samples"))
     return g.select("metric", "stat", "period_s", "window_start",
                     F.when(F.col("stat") == "Average", F.col("avg_v")).otherwise(F.col("sum_v")).alias("value"),
                     "samples")
@@ -123,7 +124,7 @@ def alarm_evaluation(metrics: DataFrame) -> DataFrame:
     j = with_hit_rate(metrics).join(F.broadcast(rules), "metric")   # 7-row fixed rule table
     j = j.withColumn("window_start", window_start(F.col("ts"), F.col("period_s")))
     g = j.groupBy("alarm", "metric", "stat", "threshold", "period_s", "evaluation_periods", "comparison",
-                  "window_start").agg(F.avg("value").alias("avg_v"), F.sum("value").alias("sum_v"))
+                  "window_start").agg(fixed_avg("value").alias("avg_v"), fixed_sum("value").alias("sum_v"))
     g = g.withColumn("value", F.when(F.col("stat") == "Average", F.col("avg_v")).otherwise(F.col("sum_v")))
     g = g.withColumn("breach", F.when(F.col("comparison") == "GreaterThanThreshold",
                                       F.col("value") > F.col("threshold"))
@@ -184,7 +185,7 @@ def cache_rollup(metrics: DataFrame, period_s: int = 300) -> DataFrame:
     g = m.groupBy("window_start").agg(
         F.count_if(F.col("metric") == "CacheHits").alias("hits"),
         F.count_if(F.col("metric") == "CacheMisses").alias("misses"),
-        F.avg(F.when(F.col("metric") == "CacheLatency", F.col("value"))).alias("avg_latency_s"))
+        fixed_avg(F.when(F.col("metric") == "CacheLatency", F.col("value"))).alias("avg_latency_s"))
     return g.withColumn("hit_rate", F.col("hits") / (F.col("hits") + F.col("misses")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_places
+from ..functions.numeric import fixed_sum, round_places
 
 from ..functions.constants import MODEL_PRICES
 from ..operators.metrics import (
@@ -53,18 +53,30 @@ WITH e AS (
 """
 
 
+def _fsum(x: str) -> str:
+    """Exact fixed-point sum (DECIMAL(38,9)) as double."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,9))) AS DOUBLE)"
+
+
+def _favg(x: str) -> str:
+    """Average from the exact nano-unit sum, half-up at 6 decimals."""
+    s = f"CAST(sum(CAST({x} AS DECIMAL(38,9))) * 1000000000 AS HUGEINT)"
+    n = f"count({x})"
+    return f"(CAST((2 * {s} + {n} * 1000) // (2 * {n} * 1000) AS DOUBLE) / 1000000)"
+
+
 def _wstart(p: int) -> str:
     return f"CAST(floor(epoch_us(ts) / ({p} * CAST(1000000 AS BIGINT))) * {p} AS BIGINT)"
 
 
-@register("g5_g8_metric_totals", oracle=METRICS_SQL + """
-SELECT metric, count(*) AS samples, (round((sum(value)) * 1000000) / 1000000) AS total FROM m GROUP BY metric
+@register("g5_g8_metric_totals", oracle=METRICS_SQL + f"""
+SELECT metric, count(*) AS samples, {_fsum('value')} AS total FROM m GROUP BY metric
 """)
 def g5_g8_metric_totals(spark, sf_dir):
     """S13+G5-G8+G9: parse the JSON log, emit every interaction's metrics,
     total them per metric."""
     m = metrics_from_log(service_log(spark, sf_dir))
-    return m.groupBy("metric").agg(F.count("*").alias("samples"), round_places(F.sum("value"), 6).alias("total"))
+    return m.groupBy("metric").agg(F.count("*").alias("samples"), fixed_sum("value").alias("total"))
 
 
 _DASH = "(VALUES " + ", ".join(
@@ -76,7 +88,7 @@ _DASH = "(VALUES " + ", ".join(
 , j AS (SELECT m.*, d.stat, d.period_s FROM m JOIN {_DASH} USING (metric))
 SELECT metric, stat, CAST(period_s AS INTEGER) AS period_s,
        CAST(floor(epoch_us(ts) / (period_s * CAST(1000000 AS BIGINT))) * period_s AS BIGINT) AS window_epoch,
-       (round((CASE WHEN stat = 'Average' THEN avg(value) ELSE sum(value) END) * 1000000) / 1000000) AS value,
+       CASE WHEN stat = 'Average' THEN {_favg('value')} ELSE {_fsum('value')} END AS value,
        count(*) AS samples
 FROM j GROUP BY metric, stat, period_s, window_epoch
 """)
@@ -84,7 +96,7 @@ def g10_z2_dashboard_windows(spark, sf_dir):
     """G10/Z2 (batch twin): dashboard Average/Sum per tumbling window."""
     d = dashboard_stats(metrics_from_log(service_log(spark, sf_dir)))
     return d.select("metric", "stat", "period_s", F.unix_seconds("window_start").alias("window_epoch"),
-                    round_places("value", 6).alias("value"), "samples")
+                    "value", "samples")
 
 
 _RULES = "(VALUES " + ", ".join(
@@ -99,13 +111,13 @@ _RULES = "(VALUES " + ", ".join(
          WHERE metric IN ('CacheHits', 'CacheMisses')),
 w AS (SELECT alarm, r.metric, stat, threshold, period_s, n, cmp,
              CAST(floor(epoch_us(ts) / (period_s * CAST(1000000 AS BIGINT))) AS BIGINT) AS w_idx,
-             CASE WHEN stat = 'Average' THEN avg(value) ELSE sum(value) END AS v
+             CASE WHEN stat = 'Average' THEN {_favg('value')} ELSE {_fsum('value')} END AS v
       FROM mh JOIN {_RULES} USING (metric) GROUP BY alarm, r.metric, stat, threshold, period_s, n, cmp, w_idx),
 b AS (SELECT *, CASE WHEN cmp = 'GreaterThanThreshold' THEN v > threshold ELSE v < threshold END AS breach FROM w),
 runs AS (SELECT alarm, w_idx, row_number() OVER (PARTITION BY alarm, grp ORDER BY w_idx) AS run_length
          FROM (SELECT alarm, w_idx, w_idx - row_number() OVER (PARTITION BY alarm ORDER BY w_idx) AS grp
                FROM b WHERE breach))
-SELECT b.alarm, b.metric, w_idx * period_s AS window_epoch, (round((v) * 1000000) / 1000000) AS value, breach,
+SELECT b.alarm, b.metric, w_idx * period_s AS window_epoch, v AS value, breach,
        CAST(coalesce(run_length, 0) AS INTEGER) AS run_length, coalesce(run_length, 0) >= n AS in_alarm
 FROM b LEFT JOIN runs USING (alarm, w_idx)
 """)
@@ -114,7 +126,7 @@ def w11_alarm_windows(spark, sf_dir):
     in-alarm state per rule and window."""
     a = alarm_evaluation(metrics_from_log(service_log(spark, sf_dir)))
     return a.select("alarm", "metric", F.unix_seconds("window_start").alias("window_epoch"),
-                    round_places("value", 6).alias("value"), "breach", F.col("run_length").cast("int").alias("run_length"),
+                    "value", "breach", F.col("run_length").cast("int").alias("run_length"),
                     "in_alarm")
 
 
@@ -159,11 +171,11 @@ def z5_request_spans_batch(spark, sf_dir):
 SELECT {_wstart(300)} AS window_epoch, count_if(metric = 'CacheHits') AS hits,
        count_if(metric = 'CacheMisses') AS misses,
        (round((count_if(metric = 'CacheHits') / (count_if(metric = 'CacheHits') + count_if(metric = 'CacheMisses'))) * 1000000) / 1000000) AS hit_rate,
-       (round((avg(CASE WHEN metric = 'CacheLatency' THEN value END)) * 1000000) / 1000000) AS avg_latency_s
+       {_favg("CASE WHEN metric = 'CacheLatency' THEN value END")} AS avg_latency_s
 FROM m WHERE metric IN ('CacheHits', 'CacheMisses', 'CacheLatency') GROUP BY ALL
 """)
 def g8_cache_windows(spark, sf_dir):
     """Cache hits, misses, hit rate and latency per 5-minute window."""
     c = cache_rollup(metrics_from_log(service_log(spark, sf_dir)))
     return c.select(F.unix_seconds("window_start").alias("window_epoch"), "hits", "misses",
-                    round_places("hit_rate", 6).alias("hit_rate"), round_places("avg_latency_s", 6).alias("avg_latency_s"))
+                    round_places("hit_rate", 6).alias("hit_rate"), "avg_latency_s")

@@ -56,7 +56,32 @@ def p11_first_links(spark, sf_dir):
     return link_list(elements_of(spark, sf_dir), 10)
 
 
-@register("p1_p7_p9_basic_text", oracle=None)
+# DuckDB: page text by stripping script/style/comments/doctype and tags with
+# regexes, decoding the entities present in the corpus, then P7/P9 in SQL.
+_TEXT_SQL = r"""
+WITH s AS (
+  SELECT page_id, url,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<!--.*?-->', '', 'gs'),
+      '<!DOCTYPE[^>]*>', '', 'gi'), '<[a-zA-Z/][^>]*>', '', 'g') AS t0
+  FROM pages
+), d AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(t0, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+         '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&') AS doc FROM s
+), c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(flatten(list_transform(
+           string_split_regex(doc, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'),
+           lambda l: string_split(trim(l), '  '))), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text
+  FROM d
+)
+SELECT page_id, CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN url ELSE 'https://' || url END AS url,
+       CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS text_content,
+       CAST(length(text) AS INTEGER) AS text_length
+FROM c
+"""
+
+
+@register("p1_p7_p9_basic_text", oracle=_TEXT_SQL)
 def p1_p7_p9_basic_text(spark, sf_dir):
     """P1+P7+P9 (basic variant): normalised url, cleaned page text cut at
     1000 characters with "..." and its full length."""

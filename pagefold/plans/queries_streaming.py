@@ -19,7 +19,7 @@ from ..streaming.operators import (
 from ..streaming.runner import _dir, drain, land
 from .intelligent import intelligent
 from .queries_company import SITE_SQL, _B
-from .queries_metrics import METRICS_SQL
+from .queries_metrics import METRICS_SQL, _favg, _fsum
 from .registry import ORACLES, register
 
 RPM, BURST = 0.02, 3          # one token per 50 minutes, bursts of 3
@@ -115,9 +115,9 @@ def _log_stream(spark, sf_dir):
     return parse_log_lines(src.select("value"))
 
 
-@register("z2_windowed_metrics_stream", oracle=METRICS_SQL + """
+@register("z2_windowed_metrics_stream", oracle=METRICS_SQL + f"""
 SELECT CAST(floor(epoch_us(ts) / (300 * CAST(1000000 AS BIGINT))) * 300 AS BIGINT) AS window_epoch, metric,
-       count(*) AS samples, (round((sum(value)) * 1000000) / 1000000) AS total, (round((avg(value)) * 1000000) / 1000000) AS average
+       count(*) AS samples, {_fsum('value')} AS total, {_favg('value')} AS average
 FROM m GROUP BY ALL
 """)
 def z2_windowed_metrics_stream(spark, sf_dir):
@@ -126,7 +126,7 @@ def z2_windowed_metrics_stream(spark, sf_dir):
     w = windowed_metrics_stream(_log_stream(spark, sf_dir))
     out = drain(w, "z2", "update", keys=["window_start", "metric"])
     return out.select(F.unix_seconds("window_start").alias("window_epoch"), "metric", "samples",
-                      round_places("total", 6).alias("total"), round_places("average", 6).alias("average"))
+                      "total", "average")
 
 
 @register("z3_alarm_stream")
@@ -141,13 +141,13 @@ def z3_alarm_stream(spark, sf_dir):
         .option("maxFilesPerTrigger", 1).parquet(path)
     a = drain(alarm_stream(src, 300), "z3")
     return a.select("alarm", F.unix_seconds("window_start").alias("window_epoch"),
-                    round_places("value", 6).alias("value"), "breach", "run_length", "in_alarm")
+                    "value", "breach", "run_length", "in_alarm")
 
 
-ORACLES["z3_alarm_stream"] = METRICS_SQL + """
+ORACLES["z3_alarm_stream"] = METRICS_SQL + f"""
 , d AS (
   SELECT metric, CAST(floor(epoch_us(ts) / (300 * CAST(1000000 AS BIGINT))) AS BIGINT) AS w_idx,
-         avg(value) AS a, sum(value) AS s FROM m GROUP BY ALL
+         {_favg('value')} AS a, {_fsum('value')} AS s FROM m GROUP BY ALL
 ), r AS (SELECT * FROM (VALUES ('HighErrorRate', 'Errors', 'Sum', 10.0, 2, 'GreaterThanThreshold'),
                                ('HighLatency', 'RequestDuration', 'Average', 10.0, 2, 'GreaterThanThreshold'))
          AS r(alarm, metric, stat, threshold, n, cmp)),
@@ -156,7 +156,7 @@ b AS (SELECT alarm, w_idx, CASE WHEN stat = 'Average' THEN a ELSE s END AS v, n,
 runs AS (SELECT alarm, w_idx, row_number() OVER (PARTITION BY alarm, grp ORDER BY w_idx) AS run_length
          FROM (SELECT alarm, w_idx, w_idx - row_number() OVER (PARTITION BY alarm ORDER BY w_idx) AS grp
                FROM b WHERE breach))
-SELECT b.alarm, w_idx * 300 AS window_epoch, (round((v) * 1000000) / 1000000) AS value, breach,
+SELECT b.alarm, w_idx * 300 AS window_epoch, v AS value, breach,
        CAST(coalesce(run_length, 0) AS INTEGER) AS run_length, coalesce(run_length, 0) >= n AS in_alarm
 FROM b LEFT JOIN runs USING (alarm, w_idx)
 """

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import ALARM_RULES
+from ..functions.numeric import fixed_avg, fixed_sum
 from ..operators.metrics import metrics_from_log
 from .state_machines import TokenBucket, TtlCache, scan_sorted
 
@@ -125,7 +126,7 @@ def windowed_metrics_stream(log: DataFrame, period: str = "300 seconds",
     watermark passes the window end."""
     m = metrics_from_log(log).withWatermark("ts", watermark)
     g = m.groupBy(F.window("ts", period).alias("w"), "metric").agg(
-        F.count("*").alias("samples"), F.sum("value").alias("total"), F.avg("value").alias("average"))
+        F.count("*").alias("samples"), fixed_sum("value").alias("total"), fixed_avg("value").alias("average"))
     return g.select(F.col("w.start").alias("window_start"), "metric", "samples", "total", "average")
 
 

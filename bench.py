@@ -23,7 +23,7 @@ from pagefold.operators.page import links, page_header  # noqa: E402
 from pagefold.plans.intelligent import intelligent  # noqa: E402
 from pagefold.plans.media_pages import media_endpoint  # noqa: E402
 from pagefold.plans.text_v4 import text_v4  # noqa: E402
-from pagefold.session import get_spark, materialize, table  # noqa: E402
+from pagefold.session import get_spark, materialize, materialize_elements, table  # noqa: E402
 from pagefold.sources.html import parse_pages  # noqa: E402
 from pagefold.sources.logs import parse_log_lines, service_log_lines  # noqa: E402
 from pagefold.sources.standin import ABOUT_PAGE_OFFSET, company_site, gallery_pages  # noqa: E402
@@ -51,14 +51,15 @@ def main() -> None:
     run(parse_pages(table(spark, sf_dir, "pages").limit(20)))
 
     # raw crawl pages: parse once, then the page header + link count
-    raw = timed("s2_parse_raw_pages", lambda: materialize(parse_pages(table(spark, sf_dir, "pages")), "raw-el"))
+    raw = timed("s2_parse_raw_pages", lambda: materialize_elements(parse_pages(table(spark, sf_dir, "pages")),
+                                                                    "raw-el"))
     counts["raw_pages"] = table(spark, sf_dir, "pages").count()
     timed("p2_p7_page_header", lambda: run(page_header(raw).join(
         links(raw).groupBy("page_id").agg(F.count("*").alias("n_links")), "page_id", "left")))
 
     # company sites: parse once, Q-A and Q-C over the whole crawl
-    site = timed("s2_parse_company_site", lambda: materialize(parse_pages(company_site(spark, sf_dir)),
-                                                               "site-el"))
+    site = timed("s2_parse_company_site", lambda: materialize_elements(parse_pages(company_site(spark, sf_dir)),
+                                                                        "site-el"))
     counts["site_pages"] = site.filter(F.col("tag") == "[document]").count()
     counts["home_pages"] = site.filter((F.col("tag") == "[document]") &
                                        (F.col("page_id") < ABOUT_PAGE_OFFSET)).count()
@@ -66,7 +67,8 @@ def main() -> None:
     timed("qc_v4_text", lambda: run(text_v4(site)))
 
     # galleries: parse once, Q-B every page's first media page
-    gal = timed("s2_parse_gallery", lambda: materialize(parse_pages(gallery_pages(spark, sf_dir)), "gal-el"))
+    gal = timed("s2_parse_gallery", lambda: materialize_elements(parse_pages(gallery_pages(spark, sf_dir)),
+                                                                  "gal-el"))
     counts["gallery_pages"] = gal.filter(F.col("tag") == "[document]").count()
     timed("qb_media_endpoint", lambda: run(media_endpoint(gal, None, 20)))
 

@@ -100,7 +100,7 @@ def top_about(links: DataFrame, n: int) -> DataFrame:
 def page_texts(elements: DataFrame) -> DataFrame:
     """url -> (page_id, title, cleaned text) for every crawled page (J2's
     right side)."""
-    f = elements.groupBy("page_id").agg(
+    f = elements.filter(F.col("tag").isin("title", "[document]")).groupBy("page_id").agg(
         F.any_value("url").alias("url"),
         F.expr("min_by(text, node_id) FILTER (WHERE tag = 'title')").alias("title"),
         F.expr("min_by(text, node_id) FILTER (WHERE tag = '[document]')").alias("doc_text"))

@@ -42,16 +42,21 @@ def page_fields(elements: DataFrame) -> DataFrame:
     html_lang = _first("attrs['lang']", "tag = 'html'")
     meta_lang = _first("attrs['content']",
                        "tag = 'meta' AND attrs['http-equiv'] = 'content-language'")
-    has_html = F.expr("count_if(tag = 'html') > 0")
     main = _first("text", "tag = 'main'")
     article = _first("text", "tag = 'article'")
     div = _first("text", f"tag = 'div' AND arrays_overlap(classes, array({classes}))")
     doc = _first("text", f"tag = '{DOC}'")
-    agg = elements.groupBy("page_id").agg(
+    # Only these rows can answer any field: keep them before the aggregate,
+    # so its (sort-based, string-valued) partial step sees a few rows per
+    # page instead of every element.
+    content_div = (F.col("tag") == "div") & F.arrays_overlap(
+        "classes", F.array(*[F.lit(c) for c in MAIN_CONTENT_CLASSES]))
+    relevant = elements.filter(F.col("tag").isin("title", "meta", "html", "main", "article", DOC) | content_div)
+    agg = relevant.groupBy("page_id").agg(
         F.any_value("url").alias("url"),
         py_strip(title).alias("title_raw"),
         desc.alias("description_raw"),
-        F.when(has_html & (F.coalesce(html_lang, F.lit("")) != ""), html_lang)
+        F.when(F.coalesce(html_lang, F.lit("")) != "", html_lang)
          .otherwise(meta_lang).alias("language"),
         doc.alias("doc_text"),
         F.coalesce(main, article, div).alias("_main"),

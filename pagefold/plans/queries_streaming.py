@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_places
 
 from ..operators.metrics import dashboard_stats, metrics_from_log
-from ..session import materialize, table
+from ..session import materialize_elements, table
 from ..sources.html import parse_pages
 from ..sources.logs import parse_log_lines, service_log_lines
 from ..sources.standin import ABOUT_PAGE_OFFSET, company_site
@@ -186,7 +186,7 @@ def z6_incremental_intelligent(spark, sf_dir):
     batch runs the intelligent plan against the whole crawl for About
     lookups; results are appended per batch."""
     site = company_site(spark, sf_dir)
-    corpus = materialize(parse_pages(site), "site-elements")
+    corpus = materialize_elements(parse_pages(site), "site-elements")
     path = land(site, "pages", 4, order_by="page_id")
     src = spark.readStream.schema("page_id long, url string, html string").option(
         "maxFilesPerTrigger", 1).parquet(path)

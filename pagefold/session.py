@@ -70,3 +70,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def materialize_elements(elements: DataFrame, name: str = "elements") -> DataFrame:
+    """Write an element table for reuse, each file sorted by (tag, page_id,
+    node_id): Parquet row-group statistics on ``tag`` then let the many
+    tag-filtered reads (links, media, headings...) skip row groups. The
+    sort is within partitions only — no shuffle."""
+    return materialize(elements.sortWithinPartitions("tag", "page_id", "node_id"), name)

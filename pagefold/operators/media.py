@@ -174,6 +174,28 @@ def hybrid_media(elements: DataFrame) -> DataFrame:
     )
 
 
+def hybrid_counts(elements: DataFrame) -> DataFrame:
+    """G2 straight from the elements: the same counts as
+    ``hybrid_summary(hybrid_media(...))`` but URLs are resolved only for
+    anchors (a document is decided by the resolved path's extension); the
+    other kinds are decided by tag and attributes alone."""
+    tag = F.col("tag")
+    vsrc = F.coalesce(_nz(_attr("src")), _nz(_attr("data-src")))
+    icon = (tag == "link") & F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])) \
+        & _nz(_attr("href")).isNotNull()
+    kind = (F.when((tag == "img") & lazy_src().isNotNull(), "images")
+            .when(tag.isin("video", "iframe") & vsrc.isNotNull(), "videos")
+            .when((tag == "audio") & _nz(_attr("src")).isNotNull(), "audio")
+            .when(icon, "icons"))
+    other = elements.filter(tag.isin("img", "video", "iframe", "audio", "link")).select(
+        "page_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
+    a = elements.filter((tag == "a") & (_nz(_attr("href")).isNotNull())).select(
+        "page_id", resolve_url("url", _attr("href")).alias("full_url"))
+    docs = a.filter(path_extension(url_path("full_url")).isin(*DOCUMENT_EXTENSIONS)).select(
+        "page_id", F.lit("documents").alias("kind"))
+    return hybrid_summary(other.unionByName(docs))
+
+
 def hybrid_summary(media: DataFrame) -> DataFrame:
     """Total over all five lists (audio included), per-list counts."""
     k = F.col("kind")
@@ -189,7 +211,10 @@ def hybrid_summary(media: DataFrame) -> DataFrame:
 def simple_media(elements: DataFrame, max_images: int = 20, max_videos: int = 10) -> DataFrame:
     """M8: image urls (first 20) and video urls passing F3 (first 10) per page
     as rows ``(page_id, kind, ord, url)``."""
-    m = split_media(elements).filter(F.col("type").isin("image", "video", "iframe"))
+    # only img/video/iframe rows can be images or videos: skip anchors/links
+    # before the url resolution instead of after it
+    m = split_media(elements.filter(F.col("tag").isin("img", "video", "iframe")))
+    m = m.filter(F.col("type").isin("image", "video", "iframe"))
     m = m.withColumn("kind", F.when(F.col("type") == "image", "images").otherwise("videos"))
     imgs = first_k(m.filter("kind = 'images'"), ["page_id"], ["node_id"], max_images, "ord")
     vids = first_k(m.filter("kind = 'videos'"), ["page_id"], ["node_id"], max_videos, "ord")

@@ -14,7 +14,8 @@ best text and the analysis list come from a single per-page aggregate
 that carries only lengths for the main page, so the page text itself is
 not shuffled again. Every per-page list in the envelope is bounded
 (About analysis by ``max_about_pages``); the media lists stay a separate
-table (``hybrid_media``).
+table (``hybrid_media``) and the summary counts resolve URLs only for
+anchors.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_whitespace, py_strip, truncate
 from ..operators.facts import ai_gate, hybrid_facts
 from ..operators.links import hybrid_about_links, page_texts, top_about
-from ..operators.media import hybrid_media, hybrid_summary
+from ..operators.media import hybrid_counts
 from ..operators.page import page_fields
 
 
@@ -87,7 +88,7 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
         F.when(F.col("ai_enhancement.used"), "ai_enhanced").otherwise("programmatic").alias("approach_used"),
     ]
     if include_media:
-        summary = hybrid_summary(hybrid_media(elements))
+        summary = hybrid_counts(elements)
         env = env.join(summary, "page_id", "left")
         cols.append(F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in
                                ("total_assets", "images_count", "videos_count", "documents_count",

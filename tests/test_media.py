@@ -98,3 +98,15 @@ def test_thumbnail_ladder(spark):
     for r in t[3:]:
         assert (r["thumbnail_url"], r["thumbnail_type"], r["is_placeholder"]) == (PLACEHOLDER_URL, "placeholder", True)
     assert t[0]["width"] == 320 and t[0]["height"] == 180
+
+
+def test_hybrid_counts_equal_full_media_summary(spark):
+    from pagefold.operators.media import hybrid_counts, hybrid_media, hybrid_summary
+    from pagefold.sources.html import parse_pages
+    from pagefold.sources.standin import company_site, gallery_pages
+    sf = "/root/testdata/sf0.001"
+    for pages in (gallery_pages(spark, sf), company_site(spark, sf)):
+        el = parse_pages(pages)
+        a = sorted(map(tuple, hybrid_counts(el).collect()))
+        b = sorted(map(tuple, hybrid_summary(hybrid_media(el)).collect()))
+        assert a == b and len(a) > 0

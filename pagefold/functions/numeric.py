@@ -34,3 +34,10 @@ def fixed_avg(c, places: int = 6) -> Column:
     scale = 10 ** places
     exact = F.try_divide(F.sum(col.cast(FIXED)) * F.lit(scale).cast("decimal(20,0)"), F.count(col))
     return (F.round(exact, 0) / F.lit(scale)).cast("double")
+
+
+def utc_instant(c) -> Column:
+    """A TIMESTAMP_NTZ wall-clock value read as UTC, whatever the session
+    time zone (a plain cast would use the session zone)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.concat(col.cast("string"), F.lit("Z")).cast("timestamp")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_places
+from ..functions.numeric import round_places, utc_instant
 
 from ..operators.metrics import dashboard_stats, metrics_from_log
 from ..session import materialize_elements, table
@@ -51,8 +51,7 @@ FROM r
 
 
 def _events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                                                 "user_id")
+    return table(spark, sf_dir, "events").select("event_id", utc_instant("ts").alias("ts"), "user_id")
 
 
 def _round_throttle(df):

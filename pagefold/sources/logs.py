@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_MODEL, FALLBACK_MODEL
+from ..functions.numeric import utc_instant
 from ..session import table
 
 LOG_COLUMNS = ["event_type", "ts", "request_id", "data"]
@@ -49,12 +50,13 @@ def service_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     (tokens from props.k); click -> cache_interaction (Hit unless
     k % 5 = 0); signup -> media_processing (image unless k % 3 = 0)."""
     e = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "event_type", "value",
+        "event_id", utc_instant("ts").alias("ts"), "event_type", "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"))
     rid = F.concat(F.lit("r"), F.col("event_id"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    # ISO-8601 with an explicit offset, so readers need no time zone
+    iso = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     end_iso = F.date_format(F.col("ts") + F.make_dt_interval(secs=F.col("value")),
-                            "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+                            "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
     def line(event_type, ts_iso, data):
         return F.to_json(F.struct(F.lit(event_type).alias("event_type"), ts_iso.alias("timestamp"),

@@ -301,3 +301,60 @@ def a3_a6_classic_about_page(spark, sf_dir):
     el = site_elements(spark, sf_dir)
     urls = el.filter(F.col("tag") == "[document]").select("url")
     return classic_about_page(el, urls).select("page_id", "about_url", "found_by")
+
+
+@register("fast_scrape_hybrid", oracle=SITE_SQL + f"""
+SELECT k AS page_id, name AS title,
+       CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools'
+            ELSE 'No description found' END AS description,
+       CASE WHEN length(home_text) > 2000 THEN left(home_text, 2000) || '...' ELSE home_text END AS content,
+       {_H['founded']} AS founded, {_H['employees']} AS employees, {_H['location']} AS location,
+       {_H['confidence']} AS confidence,
+       CAST(6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS total_assets
+FROM site
+""")
+def fast_scrape_hybrid(spark, sf_dir):
+    """Hybrid /scrape/fast per home page: header, text, hybrid facts, media
+    summary."""
+    from .endpoints import fast_scrape
+    e = home_only(fast_scrape(site_elements(spark, sf_dir)))
+    return e.select("page_id", "title", "description", "content", "company_info.founded",
+                    "company_info.employees", "company_info.location", "company_info.confidence",
+                    "media_summary.total_assets")
+
+
+@register("split_text_scrape", oracle=SITE_SQL + f"""
+SELECT k AS page_id, name AS title,
+       CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools' ELSE '' END AS description,
+       CASE WHEN length(main_text) > 2000 THEN left(main_text, 2000) || '...' ELSE main_text END AS content,
+       {_ladder(_LOWMAIN, MISSION_PATTERNS)} AS mission,
+       CASE WHEN regexp_matches({_LOWMAIN}, '{HYBRID_PATTERNS['founded'][0]}') THEN 'high' ELSE 'medium' END AS confidence,
+       CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE 6 END AS BIGINT) AS about_pages_found,
+       CASE WHEN k % 2 = 0 THEN base || 'about,' || base || 'Company,' || base || 'our-team'
+            ELSE base || 'about,' || base || 'our-team,' || base || 'team' END AS top_about_urls
+FROM site
+""")
+def split_text_scrape(spark, sf_dir):
+    """Split /scrape/text per home page: main content, split facts, About
+    links found and the top 3 by relevance."""
+    from .endpoints import split_text
+    e = home_only(split_text(site_elements(spark, sf_dir)))
+    return e.select("page_id", "title", "description", "content", "company_info.mission",
+                    "company_info.confidence", "about_pages_found",
+                    F.array_join(F.col("about_page_analysis.url"), ",").alias("top_about_urls"))
+
+
+@register("x4_basic_about_scrape", oracle=SITE_SQL + f"""
+SELECT k AS page_id, name AS title,
+       CASE WHEN length(main_text) > 2000 THEN left(main_text, 2000) || '...' ELSE main_text END AS content,
+       {_ladder(_LOWMAIN, HYBRID_PATTERNS['founded'][:1], strip=False)} AS founded,
+       {_ladder(_LOWMAIN, HYBRID_PATTERNS['employees'][:1], strip=False)} AS employees,
+       {_ladder(_LOWMAIN, HYBRID_PATTERNS['location'][:1])} AS location
+FROM site
+""")
+def x4_basic_about_scrape(spark, sf_dir):
+    """X4 basic /scrape/about per home page: main content and three facts."""
+    from .endpoints import basic_about
+    e = home_only(basic_about(site_elements(spark, sf_dir)))
+    return e.select("page_id", "title", "content", "company_info.founded", "company_info.employees",
+                    "company_info.location")

@@ -58,7 +58,7 @@ def p11_first_links(spark, sf_dir):
 
 # DuckDB: page text by stripping script/style/comments/doctype and tags with
 # regexes, decoding the entities present in the corpus, then P7/P9 in SQL.
-_TEXT_SQL = r"""
+_TEXT_CTE = r"""
 WITH s AS (
   SELECT page_id, url,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -74,6 +74,8 @@ WITH s AS (
            lambda l: string_split(trim(l), '  '))), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text
   FROM d
 )
+"""
+_TEXT_SQL = _TEXT_CTE + r"""
 SELECT page_id, CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN url ELSE 'https://' || url END AS url,
        CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS text_content,
        CAST(length(text) AS INTEGER) AS text_length
@@ -90,3 +92,20 @@ def p1_p7_p9_basic_text(spark, sf_dir):
     return f.select("page_id", normalize_url("url").alias("url"),
                     truncate(text, 1000).alias("text_content"),
                     F.length(text).alias("text_length"))
+
+
+@register("basic_scrape_envelope", oracle=_TEXT_CTE + f"""
+SELECT c.page_id,
+       trim({_DECODE.format(x="regexp_extract(p.html, '<title>([^<]*)</title>', 1)")}) AS title,
+       'No description found' AS description,
+       CASE WHEN length(c.text) > 1000 THEN left(c.text, 1000) || '...' ELSE c.text END AS text_content,
+       CAST(least(10, len(list_filter(regexp_extract_all(p.html, '<a href="([^"]*)">([^<]*)</a>', 2),
+                                      lambda t: trim(t) <> ''))) AS INTEGER) AS n_links
+FROM c JOIN pages p USING (page_id)
+""")
+def basic_scrape_envelope(spark, sf_dir):
+    """Basic /scrape per crawled page: title, description, text (1000
+    characters) and up to 10 links."""
+    from .endpoints import basic_scrape
+    e = basic_scrape(elements_of(spark, sf_dir))
+    return e.select("page_id", "title", "description", "text_content", F.size("links").alias("n_links"))

@@ -25,7 +25,7 @@ from .registry import register
 
 @register("m10_m16_classic_media", oracle="""
 WITH g AS (
-  SELECT p_partkey AS pk, 2000000 + p_partkey % 50 AS page_id, CAST((p_partkey // 50) % 10 AS INTEGER) AS kind,
+  SELECT p_partkey AS pk, 2000000000 + p_partkey // 40 AS page_id, CAST(p_partkey % 10 AS INTEGER) AS kind,
          p_name, p_brand, p_size FROM part
 ), m AS (
   SELECT page_id, pk, 0 AS pass_no, '/img/p' || pk || '.jpg' AS media_url, lower(p_name) AS alt FROM g WHERE kind = 0

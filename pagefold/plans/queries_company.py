@@ -291,8 +291,8 @@ def qc_v4_text(spark, sf_dir):
 
 @register("a3_a6_classic_about_page", oracle=SITE_SQL + """
 SELECT k AS page_id, base AS about_url, 'self' AS found_by FROM site
-UNION ALL SELECT k + 1000000, base || 'about', 'self' FROM site WHERE k % 3 = 1
-UNION ALL SELECT k + 1000000, base || 'about', 'navigation' FROM site WHERE k % 3 = 2
+UNION ALL SELECT k + 1000000000, base || 'about', 'self' FROM site WHERE k % 3 = 1
+UNION ALL SELECT k + 1000000000, base || 'about', 'navigation' FROM site WHERE k % 3 = 2
 """)
 def a3_a6_classic_about_page(spark, sf_dir):
     """The classic About-page ladder for every crawled page

@@ -19,9 +19,9 @@ def gallery_elements(spark, sf_dir):
 # DuckDB: the expected media of every gallery item, from part columns.
 GALLERY_SQL = """
 WITH g AS (
-  SELECT p_partkey AS pk, 2000000 + p_partkey % 50 AS page_id, CAST((p_partkey // 50) % 10 AS INTEGER) AS kind,
+  SELECT p_partkey AS pk, 2000000000 + p_partkey // 40 AS page_id, CAST(p_partkey % 10 AS INTEGER) AS kind,
          p_name, p_brand, p_type, p_size,
-         'https://media' || CAST(p_partkey % 50 AS VARCHAR) || '.example.com' AS host
+         'https://media' || CAST(p_partkey // 40 AS VARCHAR) || '.example.com' AS host
   FROM part
 ), items AS (
   SELECT page_id, pk, kind, p_name, p_brand, p_type, p_size, host,
@@ -118,7 +118,7 @@ def w5_w9_media_page_at_cursor(spark, sf_dir):
 SELECT page_id, media_url,
   CASE WHEN kind = 3 THEN 'https://img.youtube.com/vi/v' || lpad(CAST(pk AS VARCHAR), 10, '0') || '/maxresdefault.jpg'
        WHEN pk % 20 = 4 THEN '""" + PLACEHOLDER_URL + """'
-       ELSE 'https://media' || CAST(pk % 50 AS VARCHAR) || '.example.com/gallery/index.html/media/p' || pk || '.jpg' END AS thumbnail_url,
+       ELSE 'https://media' || CAST(pk // 40 AS VARCHAR) || '.example.com/gallery/index.html/media/p' || pk || '.jpg' END AS thumbnail_url,
   CASE WHEN kind = 3 THEN 'platform' WHEN pk % 20 = 4 THEN 'placeholder' ELSE 'poster' END AS thumbnail_type,
   CASE WHEN kind = 3 THEN 'youtube' WHEN pk % 20 = 4 THEN 'generated' ELSE 'existing_poster' END AS thumbnail_source,
   CASE WHEN kind = 4 AND pk % 20 = 4 THEN true END AS is_placeholder_thumbnail

@@ -10,10 +10,11 @@ know how the HTML was made. Page counts grow with the tables.
 * ``company_site`` — per supplier ``k``: a home page ``https://s{k}.example.com/``
   (page_id ``k``) with head fields, nav/header/footer links, fact
   sentences, sections, a few media elements; an About page
-  (page_id ``1000000+k``) for ``k % 3 != 0``, long for ``k % 3 == 1`` and
+  (page_id ``10^9 + k``) for ``k % 3 != 0``, long for ``k % 3 == 1`` and
   short for ``k % 3 == 2``.
 * ``gallery_pages`` — per part ``p``: one media element on gallery page
-  ``p % 50`` (page_id ``2000000 + p % 50``), element kind ``(p div 50) % 10``.
+  ``p div 40`` (page_id ``2*10^9 + p div 40``), element kind ``p % 10``; a
+  page holds at most 40 items and the number of pages grows with ``part``.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-ABOUT_PAGE_OFFSET = 1_000_000
-GALLERY_PAGE_OFFSET = 2_000_000
-GALLERY_PAGES = 50
+ABOUT_PAGE_OFFSET = 1_000_000_000
+GALLERY_PAGE_OFFSET = 2_000_000_000
+GALLERY_ITEMS_PER_PAGE = 40
 
 _HOME = """
 concat(
@@ -123,10 +124,11 @@ END
 def gallery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     items = p.selectExpr(
-        "p_partkey AS pk", f"CAST(p_partkey % {GALLERY_PAGES} AS INT) AS m",
-        "CAST(pmod(p_partkey div 50, 10) AS INT) AS kind", "p_name", "p_brand", "p_type", "p_size")
+        "p_partkey AS pk", f"p_partkey div {GALLERY_ITEMS_PER_PAGE} AS m",
+        "CAST(pmod(p_partkey, 10) AS INT) AS kind", "p_name", "p_brand", "p_type", "p_size")
     items = items.select("m", "pk", F.expr(_ITEM).alias("item"))
-    # Assemble one HTML document per gallery page, items in part-key order.
+    # Assemble one HTML document per gallery page (<= 40 items), items in
+    # part-key order.
     pages = items.groupBy("m").agg(
         F.array_sort(F.collect_list(F.struct("pk", "item"))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["item"]), "\n")

@@ -36,6 +36,17 @@ def lazy_src() -> Column:
     return F.coalesce(_nz(_attr("src")), _nz(_attr("data-src")), _nz(_attr("data-lazy-src")))
 
 
+def could_be_document(href) -> Column:
+    """False only when the raw href alone proves its resolved URL cannot end
+    in a document extension: its own path is non-empty, has no "." / ".."
+    segments and its extension is not a document one (resolution keeps the
+    last path segment then). Anchors failing this skip URL resolution."""
+    h = F.col(href) if isinstance(href, str) else href
+    path = url_path(h)
+    dot_segment = path.rlike(r"(^|/)\.\.?(/|$)")
+    return (path == "") | dot_segment | path_extension(path).isin(*DOCUMENT_EXTENSIONS)
+
+
 def _contains_any(c: Column, words) -> Column:
     return c.rlike(alternation(words))
 
@@ -57,6 +68,7 @@ def split_media(elements: DataFrame) -> DataFrame:
     cand = elements.filter(
         tag.isin("img", "video", "iframe", "a", "link")
         & ~((tag == "link") & ~F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])))
+        & ((tag != "a") | could_be_document(href))
     ).select("page_id", "url", "node_id", "tag", "attrs", "classes", "rel",
              py_strip("text").alias("link_text"), ref.alias("ref")).filter(F.col("ref").isNotNull())
     cand = cand.withColumn("full_url", resolve_url("url", "ref"))
@@ -140,6 +152,7 @@ def hybrid_media(elements: DataFrame) -> DataFrame:
         "page_id", "url", "node_id", "tag", "attrs", "classes", "rel",
         py_strip("text").alias("link_text"), ref.alias("ref")).filter(F.col("ref").isNotNull())
     cand = cand.filter((tag != "link") | F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])))
+    cand = cand.filter((tag != "a") | could_be_document("ref"))
     cand = cand.withColumn("full_url", resolve_url("url", "ref"))
     path = url_path("full_url")
     ext = path_extension(path)
@@ -189,7 +202,7 @@ def hybrid_counts(elements: DataFrame) -> DataFrame:
             .when(icon, "icons"))
     other = elements.filter(tag.isin("img", "video", "iframe", "audio", "link")).select(
         "page_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
-    a = elements.filter((tag == "a") & (_nz(_attr("href")).isNotNull())).select(
+    a = elements.filter((tag == "a") & (_nz(_attr("href")).isNotNull()) & could_be_document(_attr("href"))).select(
         "page_id", resolve_url("url", _attr("href")).alias("full_url"))
     docs = a.filter(path_extension(url_path("full_url")).isin(*DOCUMENT_EXTENSIONS)).select(
         "page_id", F.lit("documents").alias("kind"))
@@ -232,7 +245,7 @@ def svc_media(elements: DataFrame) -> DataFrame:
     m = m.select("page_id", "url", "node_id", "parent_id", "tag",
                  _attr("src").alias("src"), _attr("alt").alias("alt"), _attr("title").alias("title"))
     parents = elements.select("page_id", F.col("node_id").alias("parent_id"),
-                              F.substring("text_stripped", 1, 100).alias("parent_text"))
+                              F.col("text_head").alias("parent_text"))
     # Only image rows need their parent: semi-join the parents down to those ids
     # first so the join input is bounded by the number of media rows.
     need = m.filter("tag = 'img'").select("page_id", "parent_id").distinct()

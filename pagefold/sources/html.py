@@ -20,15 +20,17 @@ Tree rules follow the html.parser tree builder the reference relies on:
 
 Output, one row per element plus one ``[document]`` row (node 0) per page:
 ``page_id, url, node_id, end_id, parent_id, depth, tag, attrs, classes,
-rel, text, text_stripped``. ``node_id`` is the pre-order position and
-``end_id`` the node_id of the last descendant, so "x is inside y" is
-``y.node_id < x.node_id <= y.end_id``. ``text`` is ``get_text()`` of the
-subtree, ``text_stripped`` is ``get_text(strip=True)``.
-
-Text is kept for every non-void element (parent text of an image may be
-the body's); nested containers therefore repeat their descendants' text,
-so the table holds about page-depth copies of a page's text — bounded per
-page, and it makes every element-text question a plain column read.
+rel, text, text_stripped, text_head``. ``node_id`` is the pre-order
+position and ``end_id`` the node_id of the last descendant, so "x is inside
+y" is ``y.node_id < x.node_id <= y.end_id``. ``text`` is ``get_text()`` of
+the subtree, ``text_stripped`` is ``get_text(strip=True)``, ``text_head``
+the first 100 characters of ``text_stripped``.
+
+Nested containers would repeat their descendants' text, so full text is
+kept only for the tags some operator reads it from (``TEXT_TAGS``: the
+document, title, links, headings and the content containers); every
+other element keeps just ``text_head`` (enough for an image's parent
+context). ``text_tags=None`` keeps full text everywhere.
 """
 
 from __future__ import annotations
@@ -52,6 +54,11 @@ PRESERVE_WS_TAGS = frozenset(["pre", "textarea"])
 ASCII_SPACES = " \n\t\x0c\r"
 
 DOCUMENT_TAG = "[document]"
+HEAD_CHARS = 100
+# Tags whose full subtree text an operator reads (page fields, links,
+# sections, About text).
+TEXT_TAGS = frozenset([DOCUMENT_TAG, "title", "a", "h1", "h2", "h3", "h4", "h5", "h6", "div",
+                       "article", "main", "section"])
 
 ELEMENT_SCHEMA = pa.schema([
     ("page_id", pa.int64()),
@@ -66,12 +73,13 @@ ELEMENT_SCHEMA = pa.schema([
     ("rel", pa.list_(pa.string())),
     ("text", pa.string()),
     ("text_stripped", pa.string()),
+    ("text_head", pa.string()),
 ])
 
 ELEMENT_DDL = (
     "page_id bigint, url string, node_id int, end_id int, parent_id int, "
     "depth int, tag string, attrs map<string,string>, classes array<string>, "
-    "rel array<string>, text string, text_stripped string"
+    "rel array<string>, text string, text_stripped string, text_head string"
 )
 
 
@@ -206,7 +214,7 @@ def _split_ws(value):
     return value.split()
 
 
-def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(it: Iterator[pa.RecordBatch], text_tags=TEXT_TAGS) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
@@ -233,9 +241,12 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tag in VOID_TAGS:
                     cols["text"].append("")
                     cols["text_stripped"].append("")
+                    cols["text_head"].append("")
                 else:
-                    cols["text"].append(text[t0:t1])
-                    cols["text_stripped"].append(stext[s0:s1])
+                    full = text_tags is None or tag in text_tags
+                    cols["text"].append(text[t0:t1] if full else None)
+                    cols["text_stripped"].append(stext[s0:s1] if full else None)
+                    cols["text_head"].append(stext[s0:min(s1, s0 + HEAD_CHARS)])
             if len(cols["page_id"]) >= 8192:
                 yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
                 cols = {f.name: [] for f in ELEMENT_SCHEMA}
@@ -243,7 +254,7 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, text_tags=TEXT_TAGS) -> DataFrame:
     """``pages(page_id, url, html)`` -> element table (see module doc).
 
     Pages are independent, so the parse is a narrow map: no shuffle, each
@@ -257,4 +268,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < cores:
         src = src.repartition(cores)
-    return src.mapInArrow(_batches, ELEMENT_DDL)
+    tags = None if text_tags is None else frozenset(text_tags)
+
+    def run(it):
+        return _batches(it, tags)
+    return src.mapInArrow(run, ELEMENT_DDL)

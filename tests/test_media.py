@@ -110,3 +110,11 @@ def test_hybrid_counts_equal_full_media_summary(spark):
         a = sorted(map(tuple, hybrid_counts(el).collect()))
         b = sorted(map(tuple, hybrid_summary(hybrid_media(el)).collect()))
         assert a == b and len(a) > 0
+
+
+def test_document_prefilter_keeps_every_possible_document(parse):
+    html = ('<a href="/r.pdf">a</a><a href="?page=2">b</a><a href="#top">c</a><a href="x/../y.doc">d</a>'
+            '<a href="/page.html">e</a><a href="mailto:a@b.com">f</a><a href="">g</a>')
+    got = {r["media_url"] for r in split_media(parse(html, "https://s.example.com/docs/base.pdf")).collect()}
+    assert got == {"https://s.example.com/r.pdf", "https://s.example.com/docs/base.pdf?page=2",
+                   "https://s.example.com/docs/base.pdf#top", "https://s.example.com/docs/y.doc"}

@@ -59,5 +59,6 @@ def test_spark_element_table(spark, parse):
     assert rows["a"]["rel"] == ["nofollow", "me"]
     assert rows["a"]["text"] == "About"
     assert rows["nav"]["end_id"] == rows["a"]["node_id"]
-    assert rows["body"]["text_stripped"] == "About"
+    assert rows["body"]["text_stripped"] is None and rows["body"]["text_head"] == "About"
+    assert rows["nav"]["text"] is None
     assert rows[DOCUMENT_TAG]["parent_id"] is None

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (
     NO_LOCATION, NOT_AVAILABLE, PROFILE_SECTIONS, PROMPT_TEMPLATE, REQUIRED_PROFILE_FIELDS, sql_array,
 )
+from ..session import materialize
 from .facts import classic_location
 
 ModelFn = Callable[[str], dict]
@@ -95,6 +96,9 @@ def enrich(df: DataFrame, model_fn: ModelFn, fallback_fn: ModelFn | None = None,
         F.coalesce("call_error", F.col("p.error")).alias("error"))
     if fallback_fn is None:
         return first
+    # the first pass feeds both the kept rows and the retry: persist it so
+    # each row's model call happens once (and is not repeated on retry)
+    first = materialize(first, "llm-first-pass")
     ok = first.filter(F.col("error").isNull())
     retry = call_model(first.filter(F.col("error").isNotNull()).select(*df.columns), fallback_fn,
                        prompt_col, fallback_model)

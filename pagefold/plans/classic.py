@@ -22,6 +22,7 @@ from ..operators.json_media import ai_media, first_seen
 from ..operators.links import classic_about_page, page_texts
 from ..operators.llm import ModelFn, build_prompt, classic_profile, enrich, failure_profile, meaningful_profile
 from ..operators.media import classic_media, priority_classic
+from ..session import materialize
 
 DEFAULT_SYSTEM = ("Extract the company profile as JSON with the sections About Us (including "
                   "locations), Our Culture, Our Team, Noteworthy & Differentiated.")
@@ -42,6 +43,9 @@ def classic_combined(elements: DataFrame, model_fn: ModelFn, fallback_fn: ModelF
     cands = cands.withColumn("prompt", build_prompt(F.lit(system_prompt), F.col("text")))
     answered = enrich(cands.select("page_id", "url", "try_rank", "try_url", "prompt"), model_fn, fallback_fn)
     answered = answered.withColumn("meaningful", F.coalesce(meaningful_profile("result"), F.lit(False)))
+    # model answers feed both the profile and the media branch: persist them
+    # so the model runs once per candidate
+    answered = materialize(answered, "llm-answers")
     good = answered.filter("meaningful").groupBy("page_id").agg(
         F.min_by(F.struct("try_url", F.to_json("result").alias("result_json")), "try_rank").alias("g"))
     prof = about.join(good, "page_id", "left")

@@ -51,7 +51,9 @@ def page_fields(elements: DataFrame) -> DataFrame:
     # page instead of every element.
     content_div = (F.col("tag") == "div") & F.arrays_overlap(
         "classes", F.array(*[F.lit(c) for c in MAIN_CONTENT_CLASSES]))
-    relevant = elements.filter(F.col("tag").isin("title", "meta", "html", "main", "article", DOC) | content_div)
+    # the IN conjunct reaches the Parquet scan; the class test stays residual
+    relevant = (elements.filter(F.col("tag").isin("title", "meta", "html", "main", "article", "div", DOC))
+                .filter((F.col("tag") != "div") | content_div))
     agg = relevant.groupBy("page_id").agg(
         F.any_value("url").alias("url"),
         py_strip(title).alias("title_raw"),

@@ -25,8 +25,9 @@ def sections(elements: DataFrame, max_sections: int = 10) -> DataFrame:
                .when((tag == "div") & joined.rlike("(?i)" + SECTION_CLASS_REGEX), 2)
                .when(tag == "article", 3)
                .when(tag.isin("main", "section"), 4))
-    cand = elements.select("page_id", "node_id", "tag", "classes", F.col("text_stripped").alias("txt"),
-                           pass_no.alias("pass_no"))
+    scoped = elements.filter(tag.isin("h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "main", "section"))
+    cand = scoped.select("page_id", "node_id", "tag", "classes", F.col("text_stripped").alias("txt"),
+                         pass_no.alias("pass_no"))
     cand = cand.filter(F.col("pass_no").isNotNull() & (F.col("txt") != ""))
     first = cand.groupBy("page_id", "txt").agg(
         F.min_by(F.struct("tag", "classes"), F.struct("pass_no", "node_id")).alias("e"),

@@ -68,6 +68,46 @@ def m10_m16_classic_media(spark, sf_dir):
     return m.select("page_id", "media_url", "type", "context", "priority", F.row_number().over(w).alias("rank"))
 
 
+_CLASSIC_MEDIA_CTE = """
+WITH g AS (
+  SELECT p_partkey AS pk, 2000000000 + p_partkey // 40 AS page_id, CAST(p_partkey % 10 AS INTEGER) AS kind,
+         p_name, p_brand, p_size FROM part
+), m AS (
+  SELECT page_id, pk, 0 AS pass_no, '/img/p' || pk || '.jpg' AS media_url, lower(p_name) AS alt FROM g WHERE kind = 0
+  UNION ALL SELECT page_id, pk, 0, '/img/p' || pk || '.png', lower(p_brand || ' logo') FROM g WHERE kind = 1
+  UNION ALL SELECT page_id, pk, 0, 'icons/button-' || pk || '.svg', '' FROM g WHERE kind = 2
+  UNION ALL SELECT page_id, pk, 0, '/img/cart-' || pk || '.gif', lower('Team ' || p_size) FROM g WHERE kind = 7
+  UNION ALL SELECT page_id, pk, 1, '/media/p' || pk || '.mp4', NULL FROM g WHERE kind = 4
+  UNION ALL SELECT page_id, pk, 2, '/bg/p' || pk || '.png', NULL FROM g WHERE kind = 9
+), c AS (
+  SELECT page_id, pk, pass_no, media_url, CASE WHEN pass_no = 1 THEN 'video' ELSE 'image' END AS type,
+    CASE WHEN pass_no = 1 THEN 'Video content' WHEN pass_no = 2 THEN 'Background image'
+         WHEN regexp_matches(alt, 'logo|brand|company|team|about|founder|staff|office')
+           OR regexp_matches(lower(media_url), 'logo|brand|company|team|about|founder|staff|office')
+           THEN 'Company image: ' || coalesce(nullif(alt, ''), 'Branding content')
+         WHEN NOT regexp_matches(lower(media_url), 'icon|button|arrow|cart|search|menu')
+           THEN 'Content image: ' || coalesce(nullif(alt, ''), 'Page content') END AS context
+  FROM m
+), p AS (
+  SELECT *, CASE WHEN regexp_matches(lower(context), 'logo|brand') THEN 100
+                 WHEN regexp_matches(lower(context), 'team|founder|leader') THEN 80
+                 WHEN regexp_matches(lower(context), 'office|location|building') THEN 60
+                 WHEN regexp_matches(lower(context), 'product|service') THEN 40 ELSE 10 END AS priority
+  FROM c WHERE context IS NOT NULL
+)
+"""
+
+
+@register("g4_classic_media_counts", oracle=_CLASSIC_MEDIA_CTE + """
+SELECT page_id, count_if(type = 'image') AS image_count, count_if(type = 'video') AS video_count FROM p GROUP BY page_id
+""")
+def g4_classic_media_counts(spark, sf_dir):
+    """Image and video counts per page over the classic media list."""
+    m = classic_media(parse_pages(gallery_pages(spark, sf_dir)))
+    return m.groupBy("page_id").agg(F.count_if(F.col("type") == "image").alias("image_count"),
+                                    F.count_if(F.col("type") == "video").alias("video_count"))
+
+
 def llm_results(spark, sf_dir):
     """Stand-in LLM JSON results, one per order: a company object with a
     logo, a team photo list (one entry without extension), an optional video

@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .topk import _cols
 
 
@@ -21,7 +22,13 @@ def position_within(df: DataFrame, key: str, order: Sequence, out: str = "pos")
     """1-based position of each row inside its ``key`` group by ``order``
     (``order`` must be a total order within the group)."""
     order_c = _cols(order)
-    ranged = df.repartitionByRange(F.col(key), *order_c).withColumn("_pid", F.spark_partition_id())
+    # The partition a row lands in must be the same for both branches below
+    # (numbering and counts). Unless Spark reuses one exchange for both,
+    # each range exchange samples its own bounds and AQE may coalesce it
+    # differently, so the assignment is computed once and stored.
+    ranged = materialize(
+        df.repartitionByRange(F.col(key), *order_c).withColumn("_pid", F.spark_partition_id()),
+        "ranked")
     local = ranged.withColumn(
         "_lpos", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order_c)))
     counts = ranged.groupBy("_pid", key).agg(F.count("*").alias("_n"))

@@ -51,13 +51,19 @@ def media_kind(filename) -> Column:
     return F.when(file_ext(filename).isin(*VIDEO_FORMATS), "video").otherwise("image")
 
 
-def mime_admitted(content_type, size) -> Column:
-    """content type contains an allowed MIME type and size <= 10 MB."""
+def mime_admitted(content_type, size, max_size: int = MAX_CONTENT_LENGTH, allowed=ALLOWED_MIME,
+                  duration=None, max_video_duration: float = MAX_VIDEO_SECONDS) -> Column:
+    """F7 (H5 limits): content type contains an allowed MIME type, size <=
+    ``max_size`` (10 MB by default) and, for videos with a known duration,
+    duration <= ``max_video_duration``."""
     ct = F.lower(F.coalesce(_c(content_type), F.lit("")))
     ok = None
-    for m in ALLOWED_MIME:
+    for m in allowed:
         ok = ct.contains(m) if ok is None else (ok | ct.contains(m))
-    return ok & (_c(size) <= MAX_CONTENT_LENGTH)
+    ok = ok & (_c(size) <= max_size)
+    if duration is not None:
+        ok = ok & ~(ct.startswith("video/") & F.coalesce(_c(duration) > max_video_duration, F.lit(False)))
+    return ok
 
 
 def app_kept(filename, size, width, height, duration, bitrate) -> Column:

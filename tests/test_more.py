@@ -165,3 +165,19 @@ def test_throttle_custom_key(spark):
     ev = ev.withColumn("ts", F.to_timestamp("ts"))
     out = throttle_batch(ev, F.coalesce("api_key", "host"), rpm=60, burst=1).orderBy("event_id").collect()
     assert [(r["user_id"], r["allowed"]) for r in out] == [("1.2.3.4", True), ("k1", True), ("1.2.3.4", True)]
+
+
+def test_media_service_limits_and_asset_defaults(spark):
+    from pagefold.operators.downloads import media_asset, mime_admitted
+    rows = [("https://x/a.jpg", "image/jpeg", 1000, 100, 100, None),
+            ("https://x/b.jpg", "image/jpeg", 2 * 1024 * 1024, None, None, None),
+            ("https://x/c.txt", "text/plain", 10, None, None, None),
+            ("https://x/d.mp4", "video/mp4", 1000, None, None, 600.0)]
+    df = spark.createDataFrame(rows, "url string, content_type string, size_bytes long, width int, height int, "
+                                     "duration double")
+    ok = df.select(mime_admitted("content_type", "size_bytes", max_size=1024 * 1024, duration="duration",
+                                 max_video_duration=300).alias("ok")).collect()
+    assert [r["ok"] for r in ok] == [True, False, False, False]
+    a = media_asset(df.limit(1)).first()
+    assert (a["asset_type"], a["asset_width"], a["asset_height"], a["asset_format"], a["asset_priority"]) == \
+        ("image", 100, 100, "jpeg", 80)

@@ -34,9 +34,15 @@ def _urljoin(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+# urljoin is deterministic, but marked otherwise so the optimizer treats the
+# call as a barrier: a filter on its result is not pushed below it by
+# inlining the call (which would run the Python UDF twice per row).
+_urljoin_once = _urljoin.asNondeterministic()
+
+
 def resolve_url(base, ref) -> Column:
     """P20: ``urljoin(base, ref)``."""
-    return _urljoin(_col(base), _col(ref))
+    return _urljoin_once(_col(base), _col(ref))
 
 
 def naive_resolve(ref, base) -> Column:

@@ -3,37 +3,57 @@
 Per page: the flat scored media list (M6/M7 with thumbnails T8), sorted by
 priority (W3), the slice after ``cursor`` (W5/W7), an optional post-slice
 type filter (F10), the full-list summary (G1) and pagination meta (W9).
-The nested item array is bounded by ``limit`` (validated to 1..50, V6).
+
+One chain: a single window over each page's media rows gives the position
+and the page totals, the slice rows (plus each page's first row, which
+carries the totals for pages whose slice is empty) go into one
+aggregate. The media rows — and their URL resolution — are therefore
+computed once. The nested item array is bounded by ``limit`` (1..50, V6).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.media import media_summary, split_media
-from ..operators.paging import split_page
-from ..operators.topk import nest_ordered
+from ..operators.media import split_media
+from ..operators.paging import decode_text_cursor_value, encode_text_cursor
 
 ITEM_FIELDS = ["id", "media_url", "type", "alt", "title", "width", "height", "priority", "context", "poster",
                "filename", "extension", "text", "rel", "sizes", "thumbnail_url", "thumbnail_type",
                "thumbnail_source", "is_placeholder_thumbnail"]
+COUNTS = {"images_count": ["image"], "videos_count": ["video", "iframe"], "documents_count": ["document"],
+          "icons_count": ["icon"]}
 
 
 def media_endpoint(elements: DataFrame, cursor: str | None = None, limit: int = 20,
                    media_type: str | None = None) -> DataFrame:
     if not 1 <= limit <= 50:
         raise ValueError("limit must be within 1..50")
-    media = split_media(elements)
-    items, meta = split_page(media, cursor, limit, media_type)
-    nested = nest_ordered(items, ["page_id"], "pos", ITEM_FIELDS, "media_assets")
-    summary = media_summary(media)
-    env = meta.join(summary, "page_id").join(nested, "page_id", "left")
-    arr_t = nested.schema["media_assets"].dataType
-    assets = F.coalesce("media_assets", F.array().cast(arr_t))
-    return env.select(
+    start = decode_text_cursor_value(cursor)
+    media = split_media(elements).withColumn("_pdesc", -F.col("priority"))
+    by_rank = Window.partitionBy("page_id").orderBy("_pdesc", "class_rank", "node_id")
+    page = Window.partitionBy("page_id")
+    t = F.col("type")
+    ranked = media.withColumn("pos", F.row_number().over(by_rank)).withColumn(
+        "total_assets", F.count(F.lit(1)).over(page))
+    for name, types in COUNTS.items():
+        ranked = ranked.withColumn(name, F.sum(F.when(t.isin(*types), 1).otherwise(0)).over(page))
+    pos = F.col("pos")
+    in_slice = (pos > start) & (pos <= start + limit)
+    keep = in_slice & (t == media_type) if media_type else in_slice
+    item = F.struct(pos.alias("_o"), *[F.col(f) for f in ITEM_FIELDS])
+    agg = ranked.filter(in_slice | (pos == 1)).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(keep, item))).alias("_items"),
+        F.count_if(in_slice).alias("current_page_count"),
+        *[F.max(c).alias(c) for c in ["total_assets", *COUNTS]])
+    total = F.col("total_assets")
+    end = F.least(F.lit(start + limit), total)
+    has_more = end < total
+    assets = F.transform("_items", lambda s: F.struct(*[s[f].alias(f) for f in ITEM_FIELDS]))
+    return agg.select(
         F.lit(True).alias("success"), "page_id", assets.alias("media_assets"),
-        F.struct("total_assets", "images_count", "videos_count", "documents_count", "icons_count",
-                 F.size(assets).alias("current_page_count"), "has_more").alias("media_summary"),
-        F.struct("next_cursor", "has_more", "total_count", "current_page_start",
-                 "current_page_end").alias("pagination"))
+        F.struct("total_assets", *COUNTS, "current_page_count", has_more.alias("has_more")).alias("media_summary"),
+        F.struct(F.when(has_more, encode_text_cursor(end)).alias("next_cursor"), has_more.alias("has_more"),
+                 total.alias("total_count"), F.lit(start).alias("current_page_start"),
+                 end.alias("current_page_end")).alias("pagination"))

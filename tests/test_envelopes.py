@@ -54,3 +54,14 @@ def test_intelligent_envelope_schema(spark):
             assert f in d
         assert d["approach_used"] in ("ai_enhanced", "programmatic")
         assert d["company_info"]["confidence"] in ("high", "medium", "low")
+
+
+def test_media_type_filter_after_slice(spark):
+    el = parse_pages(gallery_pages(spark, SF))
+    full = {r["page_id"]: r for r in media_endpoint(el, None, 5).collect()}
+    only = {r["page_id"]: r for r in media_endpoint(el, None, 5, media_type="image").collect()}
+    for pid, r in only.items():
+        assert r["media_summary"]["current_page_count"] == full[pid]["media_summary"]["current_page_count"]
+        assert [a["media_url"] for a in r["media_assets"]] == \
+            [a["media_url"] for a in full[pid]["media_assets"] if a["type"] == "image"]
+        assert r["pagination"] == full[pid]["pagination"]

@@ -10,9 +10,10 @@ fields (one row per page leaves each map task); when the About pages are
 looked up in the same crawl, their texts come from that same aggregate
 instead of a second pass. The link ranking is a first-k per page; the
 About lookup is the one equi-join on url (AQE splits hot target urls);
-best text and the analysis list come from a single per-page aggregate
-that carries only lengths for the main page, so the page text itself is
-not shuffled again. Every per-page list in the envelope is bounded
+best text, the analysis list and the found count come from a single
+per-page aggregate that carries only lengths for the main page, so the
+page text itself is not shuffled again and the link URLs are resolved
+once. Every per-page list in the envelope is bounded
 (About analysis by ``max_about_pages``); the media lists stay a separate
 table (``hybrid_media``) and the summary counts resolve URLs only for
 anchors.
@@ -20,12 +21,12 @@ anchors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace, py_strip, truncate
 from ..operators.facts import ai_gate, hybrid_facts
-from ..operators.links import hybrid_about_links, page_texts, top_about
+from ..operators.links import hybrid_about_links, page_texts
 from ..operators.media import hybrid_counts
 from ..operators.page import page_fields
 
@@ -52,25 +53,37 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
         F.min_by(F.struct("about_title", "about_text"), "page_id").alias("t")).select(
         "about_url", "t.about_title", "t.about_text")
 
+    # one chain: rank the deduplicated About links and count them in the same
+    # window (links per page are few), keep the first max_about_pages, look
+    # them up (left join: unfetchable links still count as found), and fold
+    # everything per page in one aggregate.
     links = hybrid_about_links(elements)
-    found = links.groupBy("page_id").agg(F.count("*").alias("about_pages_found"))
-    top = top_about(links, max_about_pages).select("page_id", "rank", "about_url", "confidence")
-    fetched = top.join(texts, "about_url", "inner")       # unfetchable links are skipped
+    ranked = (links.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("sort_key")))
+              .withColumn("n_found", F.count(F.lit(1)).over(Window.partitionBy("page_id"))))
+    top = ranked.filter(F.col("rank") <= max_about_pages).select("page_id", "rank", "about_url", "confidence",
+                                                                  "n_found")
+    fetched = top.join(texts, "about_url", "left")
+    got = F.col("about_text").isNotNull()
     cand = fetched.select(
         "page_id", "rank", F.col("about_url").alias("cand_url"), F.length("about_text").alias("cand_len"),
         F.col("about_text").alias("cand_text"),
-        F.struct("rank", F.col("about_url").alias("url"), py_strip("about_title").alias("title"),
-                 F.length("about_text").alias("content_length"), "confidence").alias("a"))
+        F.when(got, F.struct("rank", F.col("about_url").alias("url"), py_strip("about_title").alias("title"),
+                             F.length("about_text").alias("content_length"), "confidence")).alias("a"),
+        F.col("n_found").alias("found"))
     main = fields.select("page_id", F.lit(0).alias("rank"), F.col("url").alias("cand_url"),
                          F.length("text").alias("cand_len"), F.lit(None).cast("string").alias("cand_text"),
-                         F.lit(None).cast(cand.schema["a"].dataType).alias("a"))
+                         F.lit(None).cast(cand.schema["a"].dataType).alias("a"),
+                         F.lit(None).cast("long").alias("found"))
+    order = F.when(F.col("cand_len").isNotNull(), F.struct("cand_len", -F.col("rank")))
     per_page = main.unionByName(cand).groupBy("page_id").agg(
-        # Longest text wins, ties keep the earlier candidate (main page first)
-        F.max_by(F.struct("cand_url", "cand_text"), F.struct("cand_len", -F.col("rank"))).alias("b"),
+        # Longest fetched text wins, ties keep the earlier candidate (main page first)
+        F.max_by(F.struct("cand_url", "cand_text"), order).alias("b"),
         # Fetched About pages in rank order (at most max_about_pages)
-        F.array_sort(F.collect_list("a")).alias("analysis"))
+        F.array_sort(F.collect_list("a")).alias("analysis"),
+        # Every About link found, fetched or not
+        F.max("found").alias("about_pages_found"))
     analysis_t = per_page.schema["analysis"].dataType
-    env = fields.join(per_page, "page_id", "left").join(found, "page_id", "left")
+    env = fields.join(per_page, "page_id", "left")
     best_text = F.coalesce(F.col("b.cand_text"), F.col("text"))
     env = env.withColumn("best_about_url", F.coalesce(F.col("b.cand_url"), F.col("url")))
     env = env.withColumn("best_text", best_text).withColumn("company_info", hybrid_facts("best_text"))

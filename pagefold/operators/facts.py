@@ -15,7 +15,6 @@ from ..functions.constants import (
     CLASSIC_LOCATION_PATTERNS, HYBRID_PATTERNS, KEY_VALUE_PATTERNS, MISSION_PATTERNS, NO_LOCATION,
 )
 from ..functions.text import py_strip, title_case
-from .topk import first_k
 
 U = "(?U)"
 
@@ -97,22 +96,27 @@ def ai_gate(facts: Column, text, force_ai: bool = False) -> Column:
     return F.struct(use.alias("used"), reason.alias("reason"))
 
 
-def key_values(df: DataFrame, text: str, k: int = 10, max_key_values: int = 10) -> DataFrame:
-    """Every match of the 11 ordered v4 patterns on lower-cased text,
+def key_values_array(text, k: int = 10, max_key_values: int = 10) -> Column:
+    """X5 as one per-row expression: every match of the 11 ordered v4
+    patterns on the lower-cased text (pattern order, then match order),
     stripped, longer than one character, Python-title-cased, distinct
-    (key, value) keeping the first, then the first ``min(k, max)`` per page.
-    Rows ``(page_id, ord, key, value)``."""
-    low = F.lower(F.col(text))
-    found = F.array(*[
-        F.struct(F.lit(i).alias("pidx"), F.lit(key).alias("key"),
-                 F.regexp_extract_all(low, F.lit(U + pat), 1).alias("vals"))
-        for i, (pat, key) in enumerate(KEY_VALUE_PATTERNS)])
-    per_pattern = df.select("page_id", F.inline(found))
-    rows = per_pattern.select("page_id", "pidx", "key", F.posexplode("vals").alias("midx", "raw"))
-    rows = rows.withColumn("value", py_strip("raw")).filter(F.length("value") > 1)
-    rows = rows.withColumn("value", title_case("value"))
-    # distinct (key, value), first occurrence wins: a partial aggregate
-    firsts = rows.groupBy("page_id", "key", "value").agg(
-        F.min(F.struct("pidx", "midx")).alias("o"))
-    top = first_k(firsts, ["page_id"], [F.col("o")], min(k, max_key_values), "ord")
-    return top.select("page_id", "ord", "key", "value")
+    (key, value) keeping the first occurrence, then the first
+    ``min(k, max_key_values)`` — ``array<struct<key, value>>``. No explode,
+    shuffle or window: the page row carries its own key/values."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+
+    def tag_with(key):  # one-argument lambda per pattern (a 2-arg one gets the index)
+        return lambda v: F.struct(F.lit(key).alias("key"), py_strip(v).alias("value"))
+
+    parts = [F.transform(F.regexp_extract_all(low, F.lit(U + pat), 1), tag_with(key))
+             for pat, key in KEY_VALUE_PATTERNS]
+    kept = F.filter(F.flatten(F.array(*parts)), lambda kv: F.length(kv["value"]) > 1)
+    titled = F.transform(kept, lambda kv: F.struct(kv["key"].alias("key"), title_case(kv["value"]).alias("value")))
+    return F.slice(F.array_distinct(titled), 1, min(k, max_key_values))
+
+
+def key_values(df: DataFrame, text: str, k: int = 10, max_key_values: int = 10) -> DataFrame:
+    """X5 as rows ``(page_id, ord, key, value)``."""
+    arr = df.select("page_id", F.posexplode(key_values_array(text, k, max_key_values)).alias("pos", "kv"))
+    return arr.select("page_id", (F.col("pos") + 1).cast("int").alias("ord"),
+                      F.col("kv.key").alias("key"), F.col("kv.value").alias("value"))

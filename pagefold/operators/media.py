@@ -229,9 +229,10 @@ def simple_media(elements: DataFrame, max_images: int = 20, max_videos: int = 10
     m = split_media(elements.filter(F.col("tag").isin("img", "video", "iframe")))
     m = m.filter(F.col("type").isin("image", "video", "iframe"))
     m = m.withColumn("kind", F.when(F.col("type") == "image", "images").otherwise("videos"))
-    imgs = first_k(m.filter("kind = 'images'"), ["page_id"], ["node_id"], max_images, "ord")
-    vids = first_k(m.filter("kind = 'videos'"), ["page_id"], ["node_id"], max_videos, "ord")
-    return imgs.unionByName(vids).select("page_id", "kind", "ord", "media_url")
+    # one first-k window per (page, kind) keeps both lists in one pass
+    top = first_k(m, ["page_id", "kind"], ["node_id"], max(max_images, max_videos), "ord")
+    cap = F.when(F.col("kind") == "images", max_images).otherwise(max_videos)
+    return top.filter(F.col("ord") <= cap).select("page_id", "kind", "ord", "media_url")
 
 
 # ------------------------------------------------------------------ svc (M9)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace, extractive_summary, normalize_url
-from ..operators.facts import key_values
+from ..operators.facts import key_values_array
 from ..operators.media import simple_media
 from ..operators.page import page_fields
 from ..operators.sections import sections
@@ -29,8 +29,7 @@ def text_v4(elements: DataFrame, max_sections: int = 10, max_key_values: int = 1
     f = f.withColumn("summary", extractive_summary("text", "page_title"))
     secs = nest_ordered(sections(elements, max_sections), ["page_id"], "ord",
                         ["name", "content_summary", "raw_excerpt"], "sections")
-    kvs = nest_ordered(key_values(f, "text", 10, max_key_values), ["page_id"], "ord",
-                       ["key", "value"], "key_values")
+    f = f.withColumn("key_values", key_values_array("text", 10, max_key_values))
     media = simple_media(elements)
     imgs = nest_ordered(media.filter("kind = 'images'").withColumnRenamed("media_url", "url"),
                         ["page_id"], "ord", ["url"], "images")
@@ -40,7 +39,7 @@ def text_v4(elements: DataFrame, max_sections: int = 10, max_key_values: int = 1
     vids = nest_ordered(vids, ["page_id"], "ord",
                         ["url", "thumbnail_url", "thumbnail_type", "thumbnail_source",
                          "is_placeholder_thumbnail"], "videos")
-    env = (f.join(secs, "page_id", "left").join(kvs, "page_id", "left")
+    env = (f.join(secs, "page_id", "left")
            .join(imgs, "page_id", "left").join(vids, "page_id", "left"))
 
     def empty(c, df):
@@ -48,5 +47,5 @@ def text_v4(elements: DataFrame, max_sections: int = 10, max_key_values: int = 1
 
     return env.select(
         F.lit(200).alias("statusCode"), "page_id", "page_title", "url", "language", "summary",
-        empty("sections", secs), empty("key_values", kvs),
+        empty("sections", secs), "key_values",
         F.struct(empty("images", imgs), empty("videos", vids)).alias("media"))

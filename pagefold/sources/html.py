@@ -27,20 +27,24 @@ the subtree, ``text_stripped`` is ``get_text(strip=True)``, ``text_head``
 the first 100 characters of ``text_stripped``.
 
 Nested containers would repeat their descendants' text, so full text is
-kept only for the tags some operator reads it from (``TEXT_TAGS``: the
-document, title, links, headings and the content containers); every
-other element keeps just ``text_head`` (enough for an image's parent
-context). ``text_tags=None`` keeps full text everywhere.
+kept only where some operator reads it (``keeps_full_text``: the document,
+title, links, headings, article/main/section, and divs whose classes make
+them a section or the main content); every other element keeps just
+``text_head`` (enough for an image's parent context).
+``full_text="all"`` keeps full text everywhere.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.constants import MAIN_CONTENT_CLASSES, SECTION_CLASS_REGEX
+
 # Tags without children (html.parser tree builder list).
 VOID_TAGS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",
@@ -56,9 +60,22 @@ ASCII_SPACES = " \n\t\x0c\r"
 DOCUMENT_TAG = "[document]"
 HEAD_CHARS = 100
 # Tags whose full subtree text an operator reads (page fields, links,
-# sections, About text).
-TEXT_TAGS = frozenset([DOCUMENT_TAG, "title", "a", "h1", "h2", "h3", "h4", "h5", "h6", "div",
+# sections, About text). Divs are read only when their classes make them a
+# section (P12) or the main content (P8), so only those keep full text.
+TEXT_TAGS = frozenset([DOCUMENT_TAG, "title", "a", "h1", "h2", "h3", "h4", "h5", "h6",
                        "article", "main", "section"])
+_SECTION_DIV = re.compile(SECTION_CLASS_REGEX, re.IGNORECASE)
+_CONTENT_DIV = frozenset(MAIN_CONTENT_CLASSES)
+
+
+def keeps_full_text(tag: str, class_attr) -> bool:
+    """Whether an element's full subtree text is kept (see TEXT_TAGS)."""
+    if tag in TEXT_TAGS:
+        return True
+    if tag == "div" and class_attr:
+        return bool(_SECTION_DIV.search(" ".join(class_attr.split()))) or \
+            any(c in _CONTENT_DIV for c in class_attr.split())
+    return False
 
 ELEMENT_SCHEMA = pa.schema([
     ("page_id", pa.int64()),
@@ -214,7 +231,7 @@ def _split_ws(value):
     return value.split()
 
 
-def _batches(it: Iterator[pa.RecordBatch], text_tags=TEXT_TAGS) -> Iterator[pa.RecordBatch]:
+def _batches(it: Iterator[pa.RecordBatch], all_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
@@ -243,7 +260,7 @@ def _batches(it: Iterator[pa.RecordBatch], text_tags=TEXT_TAGS) -> Iterator[pa.R
                     cols["text_stripped"].append("")
                     cols["text_head"].append("")
                 else:
-                    full = text_tags is None or tag in text_tags
+                    full = all_text or keeps_full_text(tag, amap.get("class") if amap else None)
                     cols["text"].append(text[t0:t1] if full else None)
                     cols["text_stripped"].append(stext[s0:s1] if full else None)
                     cols["text_head"].append(stext[s0:min(s1, s0 + HEAD_CHARS)])
@@ -254,7 +271,7 @@ def _batches(it: Iterator[pa.RecordBatch], text_tags=TEXT_TAGS) -> Iterator[pa.R
             yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
 
 
-def parse_pages(pages: DataFrame, text_tags=TEXT_TAGS) -> DataFrame:
+def parse_pages(pages: DataFrame, full_text: str = "needed") -> DataFrame:
     """``pages(page_id, url, html)`` -> element table (see module doc).
 
     Pages are independent, so the parse is a narrow map: no shuffle, each
@@ -268,8 +285,8 @@ def parse_pages(pages: DataFrame, text_tags=TEXT_TAGS) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < cores:
         src = src.repartition(cores)
-    tags = None if text_tags is None else frozenset(text_tags)
+    all_text = full_text == "all"
 
     def run(it):
-        return _batches(it, tags)
+        return _batches(it, all_text)
     return src.mapInArrow(run, ELEMENT_DDL)

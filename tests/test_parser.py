@@ -62,3 +62,11 @@ def test_spark_element_table(spark, parse):
     assert rows["body"]["text_stripped"] is None and rows["body"]["text_head"] == "About"
     assert rows["nav"]["text"] is None
     assert rows[DOCUMENT_TAG]["parent_id"] is None
+
+
+def test_full_text_only_where_read(parse):
+    el = parse('<div class="wrap"><div class="about-section">Hi <b>there</b></div><div id="x">plain</div></div>')
+    rows = {(r["tag"], r["attrs"].get("class") if r["attrs"] else None): r for r in el.collect()}
+    assert rows[("div", "about-section")]["text_stripped"] == "Hithere"
+    assert rows[("div", "wrap")]["text"] is None and rows[("div", "wrap")]["text_head"] == "Hithereplain"
+    assert rows[("div", None)]["text"] is None

@@ -14,7 +14,7 @@ Tree rules follow the html.parser tree builder the reference relies on:
   attribute is ``""``, a repeated attribute keeps the last value;
 * ``class``/``rel`` are split on whitespace;
 * text inside script/style/template/rt/rp, comments and doctype are not
-  part of any element's text; a whitespace-only text node is collapsed to
+  part of any element's text, CDATA sections are; a whitespace-only text node is collapsed to
   a single newline (if it contains one) or a single space, except inside
   pre/textarea.
 
@@ -147,7 +147,12 @@ class _TreeParser(HTMLParser):
         self._flush()
 
     def unknown_decl(self, data: str) -> None:
+        # <![CDATA[...]]> is a text string (CData counts for get_text());
+        # other declarations are not text
         self._flush()
+        if data.upper().startswith("CDATA["):
+            self.pending.append(data[len("CDATA["):])
+            self._flush()
 
     # -- tags -------------------------------------------------------------
     def handle_starttag(self, tag, attrs) -> None:

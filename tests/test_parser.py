@@ -70,3 +70,8 @@ def test_full_text_only_where_read(parse):
     assert rows[("div", "about-section")]["text_stripped"] == "Hithere"
     assert rows[("div", "wrap")]["text"] is None and rows[("div", "wrap")]["text_head"] == "Hithereplain"
     assert rows[("div", None)]["text"] is None
+
+
+def test_cdata_is_text_and_declarations_are_not():
+    _, text, _ = parse_html("<p>a<![CDATA[ b ]]>c<!ELEMENT x>d</p>")
+    assert text == "a b cd"

@@ -99,7 +99,8 @@ WITH g AS (
 
 
 @register("g4_classic_media_counts", oracle=_CLASSIC_MEDIA_CTE + """
-SELECT page_id, count_if(type = 'image') AS image_count, count_if(type = 'video') AS video_count FROM p GROUP BY page_id
+SELECT page_id, CAST(count_if(type = 'image') AS BIGINT) AS image_count,
+       CAST(count_if(type = 'video') AS BIGINT) AS video_count FROM p GROUP BY page_id
 """)
 def g4_classic_media_counts(spark, sf_dir):
     """Image and video counts per page over the classic media list."""
@@ -151,7 +152,8 @@ _CURSOR = "eyJvZmZzZXQiOiAyfQ=="   # base64('{"offset": 2}')
 
 @register("w6_w8_root_pagination", oracle=f"""
 WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
-t AS (SELECT o_custkey, count(*) AS total_count, count_if(pos > {_START} AND pos <= {_START + _LIMIT}) AS page_items FROM r GROUP BY o_custkey)
+t AS (SELECT o_custkey, count(*) AS total_count,
+             CAST(count_if(pos > {_START} AND pos <= {_START + _LIMIT}) AS BIGINT) AS page_items FROM r GROUP BY o_custkey)
 SELECT o_custkey, total_count, greatest(0, total_count - {_START + _LIMIT}) AS remaining_count,
        total_count - {_START + _LIMIT} > 0 AS has_more,
        CASE WHEN total_count - {_START + _LIMIT} > 0 THEN to_base64(encode('{{"offset": {_START + _LIMIT}}}')) END AS next_cursor,

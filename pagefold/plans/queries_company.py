@@ -239,7 +239,7 @@ SELECT k AS page_id, base AS url, best_about_url, name AS title,
        {_B['confidence']} AS confidence,
        CAST(CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END AS BIGINT) AS about_pages_found,
        CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS about_pages_analyzed,
-       CASE WHEN k % 3 <> 0 THEN length(about_text) END AS best_candidate_length,
+       CAST(CASE WHEN k % 3 <> 0 THEN length(about_text) END AS INTEGER) AS best_candidate_length,
        {_B['use_ai']} AS ai_used, {_B['reason']} AS ai_reason,
        CASE WHEN {_B['use_ai']} THEN 'ai_enhanced' ELSE 'programmatic' END AS approach_used,
        CAST(6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS total_assets,

@@ -69,9 +69,10 @@ def m6_m7_split_media(spark, sf_dir):
 
 
 @register("g1_split_media_summary", oracle=GALLERY_SQL + """
-SELECT page_id, count(*) AS total_assets, count_if(type = 'image') AS images_count,
-       count_if(type IN ('video', 'iframe')) AS videos_count, count_if(type = 'document') AS documents_count,
-       count_if(type = 'icon') AS icons_count
+SELECT page_id, count(*) AS total_assets, CAST(count_if(type = 'image') AS BIGINT) AS images_count,
+       CAST(count_if(type IN ('video', 'iframe')) AS BIGINT) AS videos_count,
+       CAST(count_if(type = 'document') AS BIGINT) AS documents_count,
+       CAST(count_if(type = 'icon') AS BIGINT) AS icons_count
 FROM split GROUP BY page_id
 """)
 def g1_split_media_summary(spark, sf_dir):
@@ -94,7 +95,7 @@ def w12_all_media_pages(spark, sf_dir):
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, class_rank, pk) AS pos FROM split),
 totals AS (SELECT page_id, count(*) AS total_count FROM split GROUP BY page_id),
 cur AS (SELECT page_id, count(*) AS current_page_count,
-               count_if(type = 'image') AS images_on_page
+               CAST(count_if(type = 'image') AS BIGINT) AS images_on_page
         FROM ranked WHERE pos > 20 AND pos <= 40 GROUP BY page_id)
 SELECT t.page_id, t.total_count, 20 AS current_page_start, least(40, t.total_count) AS current_page_end,
        least(40, t.total_count) < t.total_count AS has_more,
@@ -172,9 +173,10 @@ def m1_m5_hybrid_media(spark, sf_dir):
 
 
 @register("g2_hybrid_media_summary", oracle=GALLERY_SQL + """
-SELECT page_id, count(*) AS total_assets, count_if(kind IN (0, 1, 2, 7)) AS images_count,
-       count_if(kind IN (3, 4, 8)) AS videos_count, count_if(kind = 5) AS documents_count,
-       count_if(kind = 6) AS icons_count
+SELECT page_id, count(*) AS total_assets, CAST(count_if(kind IN (0, 1, 2, 7)) AS BIGINT) AS images_count,
+       CAST(count_if(kind IN (3, 4, 8)) AS BIGINT) AS videos_count,
+       CAST(count_if(kind = 5) AS BIGINT) AS documents_count,
+       CAST(count_if(kind = 6) AS BIGINT) AS icons_count
 FROM items GROUP BY page_id
 """)
 def g2_hybrid_media_summary(spark, sf_dir):
@@ -184,7 +186,7 @@ def g2_hybrid_media_summary(spark, sf_dir):
 
 @register("qb_media_endpoint", oracle=GALLERY_SQL + """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, class_rank, pk) AS pos FROM split)
-SELECT page_id, CAST(count_if(pos <= 20) AS INTEGER) AS current_page_count,
+SELECT page_id, CAST(count_if(pos <= 20) AS BIGINT) AS current_page_count,
        arg_min(media_url, pos) AS first_url, count(*) AS total_assets,
        count(*) > 20 AS has_more,
        CASE WHEN count(*) > 20 THEN to_base64(encode('media:20')) END AS next_cursor,

@@ -132,10 +132,11 @@ def w11_alarm_windows(spark, sf_dir):
 
 @register("g9_llm_cost_rollup", oracle=METRICS_SQL + f"""
 SELECT 'hour' AS period, {_wstart(3600)} AS window_epoch, (round((sum(cost)) * 100000000) / 100000000) AS cost_usd,
-       sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, count(*) AS calls
+       CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+       count(*) AS calls
 FROM calls GROUP BY ALL
 UNION ALL
-SELECT 'day', {_wstart(86400)}, (round((sum(cost)) * 100000000) / 100000000), sum(prompt_tokens), sum(completion_tokens), count(*)
+SELECT 'day', {_wstart(86400)}, (round((sum(cost)) * 100000000) / 100000000), CAST(sum(prompt_tokens) AS BIGINT), CAST(sum(completion_tokens) AS BIGINT), count(*)
 FROM calls GROUP BY ALL
 """)
 def g9_llm_cost_rollup(spark, sf_dir):
@@ -168,8 +169,8 @@ def z5_request_spans_batch(spark, sf_dir):
 
 
 @register("g8_cache_windows", oracle=METRICS_SQL + f"""
-SELECT {_wstart(300)} AS window_epoch, count_if(metric = 'CacheHits') AS hits,
-       count_if(metric = 'CacheMisses') AS misses,
+SELECT {_wstart(300)} AS window_epoch, CAST(count_if(metric = 'CacheHits') AS BIGINT) AS hits,
+       CAST(count_if(metric = 'CacheMisses') AS BIGINT) AS misses,
        (round((count_if(metric = 'CacheHits') / (count_if(metric = 'CacheHits') + count_if(metric = 'CacheMisses'))) * 1000000) / 1000000) AS hit_rate,
        {_favg("CASE WHEN metric = 'CacheLatency' THEN value END")} AS avg_latency_s
 FROM m WHERE metric IN ('CacheHits', 'CacheMisses', 'CacheLatency') GROUP BY ALL

@@ -107,7 +107,7 @@ WITH s AS (
     '[\\x00-\\x1f]', '', 'g'), '{PY_WS.replace(chr(92) + 'x{', chr(92) + 'x{')}+', ' ', 'g')) AS clean
   FROM documents
 )
-SELECT doc_id, length(clean) AS clean_length, md5(clean) AS clean_md5 FROM s
+SELECT doc_id, CAST(length(clean) AS INTEGER) AS clean_length, md5(clean) AS clean_md5 FROM s
 """)
 def v2_sanitize_documents(spark, sf_dir):
     """V2 on every whole document: HTML-escape, drop control characters,
@@ -268,7 +268,7 @@ WITH m AS (
   FROM m
 ), s AS (
   SELECT DISTINCT media_type || 's/' || substr(sha256(text || url), 1, 32) || ext AS key, media_type,
-         octet_length(encode(text)) AS size_bytes,
+         CAST(octet_length(encode(text)) AS INTEGER) AS size_bytes,
          CASE ext WHEN '.png' THEN 'image/png' WHEN '.svg' THEN 'image/svg+xml' WHEN '.jpg' THEN 'image/jpeg'
                   ELSE 'video/mp4' END AS content_type
   FROM k
@@ -310,8 +310,8 @@ WITH u AS (
   FROM documents
 )
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'svg' ELSE 'png' END AS format,
-       CASE doc_id % 4 WHEN 0 THEN octet_length(encode('<svg xmlns="http://www.w3.org/2000/svg">' || text || '</svg>'))
-            ELSE octet_length(encode(text)) END AS size_bytes
+       CAST(CASE doc_id % 4 WHEN 0 THEN octet_length(encode('<svg xmlns="http://www.w3.org/2000/svg">' || text || '</svg>'))
+            ELSE octet_length(encode(text)) END AS INTEGER) AS size_bytes
 FROM u WHERE doc_id % 4 IN (0, 1)
   AND NOT (url LIKE '%viewBox=%' AND (url LIKE '%0 0%' OR lower(url) LIKE '%placeholder%'))
   AND (CASE doc_id % 4 WHEN 0 THEN octet_length(encode('<svg xmlns="http://www.w3.org/2000/svg">' || text || '</svg>'))

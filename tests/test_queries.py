@@ -14,6 +14,9 @@ from conftest import SF_SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "array<string>": "VARCHAR[]"}
+
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 
@@ -60,4 +63,7 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(ORACLES[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for col, dtype, *_ in cur.description:
+        assert str(dtype) == SPARK_TO_DUCK.get(stypes[col], stypes[col]), (col, stypes[col], dtype)
     assert _rows(cols, rows) == _rows(dcols, cur.fetchall())

@@ -196,11 +196,34 @@ def w10_cursor_decode(spark, sf_dir):
     return e.select("event_id", off.cast("int").alias("offset"), valid.alias("is_valid"))
 
 
-@register("qd_classic_combined")
+def _qd_sql() -> str:
+    from ..functions.constants import CLASSIC_LOCATION_PATTERNS
+    from .queries_company import SITE_SQL
+    loc = " ".join(f"WHEN regexp_matches(about_us, '(?i){p}') THEN trim(regexp_extract(about_us, '(?i){p}', 1))"
+                   for p in CLASSIC_LOCATION_PATTERNS)
+    return SITE_SQL + f"""
+, sent AS (
+  SELECT k, base,
+         list_filter(list_transform(string_split(replace(home_text, '!', '.'), '.'), lambda x: trim(x)),
+                     lambda x: x <> '') AS sentences
+  FROM site
+), ab AS (
+  SELECT k, base, coalesce(list_filter(sentences, lambda x: contains(lower(x), 'based in')
+                                                   OR contains(lower(x), 'founded'))[1], sentences[1]) || '.' AS about_us
+  FROM sent
+)
+SELECT k AS page_id, base AS url_scraped, true AS success, CAST(NULL AS VARCHAR) AS error, about_us,
+       coalesce(CASE {loc} END, 'No location found') AS locations,
+       CAST(2 + k % 2 AS BIGINT) AS media_count
+FROM ab
+"""
+
+
+@register("qd_classic_combined", oracle=_qd_sql())
 def qd_classic_combined(spark, sf_dir):
-    """Q-D (rows-only: runs the deterministic stand-in model): classic
-    profile via the About fallback ladder and the model, classic media from
-    HTML and the LLM result, combined per page (J5)."""
+    """Q-D with the deterministic stand-in model: classic profile via the
+    About fallback ladder and the model, classic media from HTML and the
+    LLM result, combined per page (J5)."""
     el = parse_pages(company_site(spark, sf_dir))
     home = el.filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
     profile, media = classic_combined(home, stub_profile_model, lenient_fallback_model, corpus=el)

@@ -250,7 +250,13 @@ def stub_batch_model(prompt: str) -> dict:
     return {"completion": json.dumps({"profile": prof, "media": media})}
 
 
-@register("g3_l7_prompt_comparison")
+@register("g3_l7_prompt_comparison", oracle="""
+WITH n AS (SELECT least(20, count(*)) AS n FROM supplier)
+SELECT 'detailed' AS prompt_name, CAST(n / 20 AS DOUBLE) AS success_rate, CAST(1 AS DOUBLE) AS avg_media_count,
+       CAST(0 AS BIGINT) AS n_errors FROM n
+UNION ALL
+SELECT 'concise', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(n AS BIGINT) FROM n
+""")
 def g3_l7_prompt_comparison(spark, sf_dir, batch_size: int = 20):
     """G3/L7/X8/L6 (rows-only: stand-in model): each prompt variant over the
     first ``batch_size`` urls, completeness errors, success rate

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WS, sanitize_string
-from ..operators.cache import get_or_set, lookup, upsert
+from ..operators.cache import get_or_set, lookup
 from ..operators.llm import build_prompt, estimate_tokens, parse_completion, word_tokens
 from ..operators.quality import URL_FORMAT_REGEX, blocked_flag, request_error
 from ..session import table

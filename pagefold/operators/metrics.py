@@ -113,27 +113,49 @@ def with_hit_rate(metrics: DataFrame) -> DataFrame:
     return metrics.unionByName(lookups)
 
 
-def alarm_evaluation(metrics: DataFrame) -> DataFrame:
-    """W11/Z3 batch twin/J10: per alarm rule and window, the statistic, the
-    breach flag, and ``in_alarm`` when the last ``evaluation_periods``
-    consecutive windows all breached (a range frame over window starts, so
-    a window without data breaks the run)."""
-    spark = metrics.sparkSession
-    rules = spark.createDataFrame(ALARM_RULES, "alarm string, metric string, stat string, threshold double, "
-                                               "period_s int, evaluation_periods int, comparison string")
-    j = with_hit_rate(metrics).join(F.broadcast(rules), "metric")   # 7-row fixed rule table
+ALARM_RULES_DDL = ("alarm string, metric string, stat string, threshold double, period_s int, "
+                   "evaluation_periods int, comparison string")
+
+
+def alarm_rules(spark: SparkSession) -> DataFrame:
+    """K14 as a 7-row table (fixed size, safe to broadcast)."""
+    return spark.createDataFrame(ALARM_RULES, ALARM_RULES_DDL)
+
+
+def rule_windows(metrics: DataFrame) -> DataFrame:
+    """Z2 for the alarm rules: every alarmed metric's exact sum and average
+    per tumbling window of each period a rule uses -> (metric, period_s,
+    window_start, total, average)."""
+    periods = sorted({(m, p) for _, m, _, _, p, _, _ in ALARM_RULES})
+    spec = metrics.sparkSession.createDataFrame(periods, "metric string, period_s int")
+    j = with_hit_rate(metrics).join(F.broadcast(spec), "metric")       # fixed few rows
     j = j.withColumn("window_start", window_start(F.col("ts"), F.col("period_s")))
-    g = j.groupBy("alarm", "metric", "stat", "threshold", "period_s", "evaluation_periods", "comparison",
-                  "window_start").agg(fixed_avg("value").alias("avg_v"), fixed_sum("value").alias("sum_v"))
-    g = g.withColumn("value", F.when(F.col("stat") == "Average", F.col("avg_v")).otherwise(F.col("sum_v")))
+    return j.groupBy("metric", "period_s", "window_start").agg(
+        fixed_sum("value").alias("total"), fixed_avg("value").alias("average"))
+
+
+def rules_on_windows(windows: DataFrame) -> DataFrame:
+    """Each rule's statistic and breach flag on its windows, with the
+    window index ``w_idx`` (window start / period)."""
+    rules = F.broadcast(alarm_rules(windows.sparkSession))
+    g = windows.join(rules, ["metric", "period_s"])
+    g = g.withColumn("value", F.when(F.col("stat") == "Average", F.col("average")).otherwise(F.col("total")))
     g = g.withColumn("breach", F.when(F.col("comparison") == "GreaterThanThreshold",
                                       F.col("value") > F.col("threshold"))
                      .otherwise(F.col("value") < F.col("threshold")))
+    return g.withColumn("w_idx", F.floor(F.unix_seconds("window_start") / F.col("period_s")).cast("long"))
+
+
+def alarm_evaluation(metrics: DataFrame) -> DataFrame:
+    """W11/Z3 batch twin: per alarm rule and window, the statistic, the
+    breach flag, and ``in_alarm`` when the last ``evaluation_periods``
+    consecutive windows all breached (a window without data breaks the
+    run)."""
+    g = rules_on_windows(rule_windows(metrics))
     # Consecutive breaching windows (gaps and islands): among breaching
     # windows, w_idx - row_number is constant along a run of adjacent
     # windows; the position inside that run is the run length so far.
     # Each alarm has at most span/period windows, independent of data size.
-    g = g.withColumn("w_idx", F.floor(F.unix_seconds("window_start") / F.col("period_s")).cast("long"))
     b = g.filter("breach").withColumn(
         "_grp", F.col("w_idx") - F.row_number().over(Window.partitionBy("alarm").orderBy("w_idx")))
     b = b.withColumn("run_length", F.row_number().over(Window.partitionBy("alarm", "_grp").orderBy("w_idx")))

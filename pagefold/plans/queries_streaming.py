@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_places, utc_instant
 
-from ..operators.metrics import dashboard_stats, metrics_from_log
+from ..operators.metrics import metrics_from_log, rule_windows
 from ..session import materialize_elements, table
 from ..sources.html import parse_pages
 from ..sources.logs import parse_log_lines, service_log_lines
@@ -128,37 +128,19 @@ def z2_windowed_metrics_stream(spark, sf_dir):
                       "total", "average")
 
 
-@register("z3_alarm_stream")
+@register("z3_alarm_stream", oracle=ORACLES["w11_alarm_windows"])
 def z3_alarm_stream(spark, sf_dir):
-    """Z3: 5-minute alarms evaluated as a stream over finalized metric
-    windows (landed in window order), with consecutive-breach state."""
-    d = dashboard_stats(metrics_from_log(parse_log_lines(service_log_lines(spark, sf_dir))))
-    wins = d.filter(F.col("period_s") == 300).select(
-        "window_start", "metric", F.col("value").alias("total"), F.col("value").alias("average"))
+    """Z3: every alarm rule evaluated as a stream over the finalized metric
+    windows of its period (landed in window order, four micro-batches),
+    with consecutive-breach state per alarm."""
+    wins = rule_windows(metrics_from_log(parse_log_lines(service_log_lines(spark, sf_dir))))
     path = land(wins, "windows", 4, order_by="window_start")
-    src = spark.readStream.schema("window_start timestamp, metric string, total double, average double") \
+    src = spark.readStream.schema(
+        "metric string, period_s int, window_start timestamp, total double, average double") \
         .option("maxFilesPerTrigger", 1).parquet(path)
-    a = drain(alarm_stream(src, 300), "z3")
-    return a.select("alarm", F.unix_seconds("window_start").alias("window_epoch"),
-                    "value", "breach", "run_length", "in_alarm")
-
-
-ORACLES["z3_alarm_stream"] = METRICS_SQL + f"""
-, d AS (
-  SELECT metric, CAST(floor(epoch_us(ts) / (300 * CAST(1000000 AS BIGINT))) AS BIGINT) AS w_idx,
-         {_favg('value')} AS a, {_fsum('value')} AS s FROM m GROUP BY ALL
-), r AS (SELECT * FROM (VALUES ('HighErrorRate', 'Errors', 'Sum', 10.0, 2, 'GreaterThanThreshold'),
-                               ('HighLatency', 'RequestDuration', 'Average', 10.0, 2, 'GreaterThanThreshold'))
-         AS r(alarm, metric, stat, threshold, n, cmp)),
-b AS (SELECT alarm, w_idx, CASE WHEN stat = 'Average' THEN a ELSE s END AS v, n,
-             CASE WHEN stat = 'Average' THEN a ELSE s END > threshold AS breach FROM d JOIN r USING (metric)),
-runs AS (SELECT alarm, w_idx, row_number() OVER (PARTITION BY alarm, grp ORDER BY w_idx) AS run_length
-         FROM (SELECT alarm, w_idx, w_idx - row_number() OVER (PARTITION BY alarm ORDER BY w_idx) AS grp
-               FROM b WHERE breach))
-SELECT b.alarm, w_idx * 300 AS window_epoch, v AS value, breach,
-       CAST(coalesce(run_length, 0) AS INTEGER) AS run_length, coalesce(run_length, 0) >= n AS in_alarm
-FROM b LEFT JOIN runs USING (alarm, w_idx)
-"""
+    a = drain(alarm_stream(src), "z3")
+    return a.select("alarm", "metric", F.unix_seconds("window_start").alias("window_epoch"), "value", "breach",
+                    "run_length", "in_alarm")
 
 
 @register("z5_request_spans_stream", oracle=METRICS_SQL + """

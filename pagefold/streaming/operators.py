@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.constants import ALARM_RULES
 from ..functions.numeric import fixed_avg, fixed_sum
-from ..operators.metrics import metrics_from_log
+from ..operators.metrics import metrics_from_log, rules_on_windows
 from .state_machines import TokenBucket, TtlCache, scan_sorted
 
 THROTTLE_OUT = "user_id long, event_id long, allowed boolean, tokens double, retry_after double"
@@ -131,35 +130,32 @@ def windowed_metrics_stream(log: DataFrame, period: str = "300 seconds",
 
 
 # ------------------------------------------------------------------ Z3
-ALARM_OUT = "alarm string, window_start timestamp, value double, breach boolean, run_length int, in_alarm boolean"
+ALARM_OUT = ("alarm string, metric string, window_start timestamp, value double, breach boolean, "
+             "run_length int, in_alarm boolean")
 
 
-def alarm_stream(windows: DataFrame, period_s: int = 300) -> DataFrame:
-    """Z3: alarms of one period over a stream of finalized windows
-    (window_start, metric, total, average); the state per alarm is the
-    last window index and the current breach run length."""
-    rules = [r for r in ALARM_RULES if r[4] == period_s]
-    spark = windows.sparkSession
-    rdf = F.broadcast(spark.createDataFrame(
-        rules, "alarm string, metric string, stat string, threshold double, period_s int, n int, cmp string"))
-    j = windows.join(rdf, "metric").select(
-        "alarm", "window_start", F.when(F.col("stat") == "Average", F.col("average")).otherwise(F.col("total"))
-        .alias("value"), "threshold", "n", "cmp")
+def alarm_stream(windows: DataFrame) -> DataFrame:
+    """Z3: every alarm rule over a stream of finalized metric windows
+    (metric, period_s, window_start, total, average), in window order; the
+    state per alarm is the last window index and the current breach run
+    length, so a run continues only over adjacent windows."""
+    j = rules_on_windows(windows).select("alarm", "metric", "window_start", "w_idx", "value", "breach",
+                                         F.col("evaluation_periods").alias("n"))
 
     def fn(k, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values("window_start")
+        rows = pd.concat(list(frames)).sort_values("w_idx")
         last, run = state.get if state.exists else (None, 0)
         out = []
         for r in rows.itertuples(index=False):
-            w_idx = int(pd.Timestamp(r.window_start).value // 1_000_000_000 // period_s)
-            breach = bool(r.value > r.threshold) if r.cmp == "GreaterThanThreshold" else bool(r.value < r.threshold)
-            if breach:
-                run = run + 1 if last is not None and w_idx == last + 1 and run > 0 else 1
+            w = int(r.w_idx)
+            if r.breach:
+                run = run + 1 if last is not None and w == last + 1 and run > 0 else 1
             else:
                 run = 0
-            last = w_idx
-            out.append({"alarm": k[0], "window_start": r.window_start, "value": float(r.value),
-                        "breach": breach, "run_length": run, "in_alarm": run >= r.n})
+            last = w
+            out.append({"alarm": k[0], "metric": r.metric, "window_start": r.window_start,
+                        "value": float(r.value), "breach": bool(r.breach), "run_length": run,
+                        "in_alarm": run >= r.n})
         state.update((last, run))
         yield pd.DataFrame(out)
     return j.groupBy("alarm").applyInPandasWithState(

@@ -263,10 +263,12 @@ def svc_media(elements: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- classic
 def classic_media(elements: DataFrame) -> DataFrame:
-    """Raw (unresolved) media refs with a context label.
-    Branding images first-class, UI images dropped, video/source tags, CSS
-    background images of div/section/header. ``ord`` is document order with
-    the reference's three passes (images, videos, backgrounds)."""
+    """Raw (unresolved) media refs with a context label, from
+    one scan: branding images first-class, UI images dropped, video/source
+    tags, CSS background images of div/section/header. Each element yields an
+    array of items (backgrounds can be several), exploded once; ``pass_no``
+    and ``sub`` keep the reference's three-pass order (images, videos,
+    backgrounds)."""
     tag = F.col("tag")
     src = lazy_src()
     alt_l = F.lower(F.coalesce(_attr("alt"), F.lit("")))
@@ -274,22 +276,26 @@ def classic_media(elements: DataFrame) -> DataFrame:
     brand = _contains_any(alt_l, BRANDING_KEYWORDS) | _contains_any(src_l, BRANDING_KEYWORDS)
     ui = _contains_any(src_l, UI_EXCLUSIONS)
     label = F.when(alt_l != "", alt_l)
-    imgs = elements.filter((tag == "img") & src.isNotNull()).select(
-        "page_id", F.lit(0).alias("pass_no"), "node_id", F.lit(0).alias("sub"),
-        src.alias("media_url"), F.lit("image").alias("type"),
-        F.when(brand, F.concat(F.lit("Company image: "), F.coalesce(label, F.lit("Branding content"))))
-         .when(~ui, F.concat(F.lit("Content image: "), F.coalesce(label, F.lit("Page content"))))
-         .alias("context")).filter(F.col("context").isNotNull())
-    vids = elements.filter(tag.isin("video", "source") & (F.coalesce(_attr("src"), F.lit("")) != "")).select(
-        "page_id", F.lit(1).alias("pass_no"), "node_id", F.lit(0).alias("sub"),
-        _attr("src").alias("media_url"), F.lit("video").alias("type"),
-        F.lit("Video content").alias("context"))
-    bgs = elements.filter(tag.isin("div", "section", "header") & _attr("style").isNotNull()).select(
-        "page_id", "node_id", F.posexplode(F.regexp_extract_all(_attr("style"), F.lit(BACKGROUND_URL_REGEX), 1)))
-    bgs = bgs.select("page_id", F.lit(2).alias("pass_no"), "node_id", F.col("pos").alias("sub"),
-                     F.col("col").alias("media_url"), F.lit("image").alias("type"),
-                     F.lit("Background image").alias("context"))
-    return imgs.unionByName(vids).unionByName(bgs)
+    img_ctx = (F.when(brand, F.concat(F.lit("Company image: "), F.coalesce(label, F.lit("Branding content"))))
+               .when(~ui, F.concat(F.lit("Content image: "), F.coalesce(label, F.lit("Page content")))))
+
+    def item(pass_no, sub, url, kind, ctx):
+        return F.struct(F.lit(pass_no).alias("pass_no"), sub.alias("sub"), url.alias("media_url"),
+                        F.lit(kind).alias("type"), ctx.alias("context"))
+
+    img = F.when((tag == "img") & src.isNotNull() & img_ctx.isNotNull(),
+                 F.array(item(0, F.lit(0), src, "image", img_ctx)))
+    vid = F.when(tag.isin("video", "source") & (F.coalesce(_attr("src"), F.lit("")) != ""),
+                 F.array(item(1, F.lit(0), _attr("src"), "video", F.lit("Video content"))))
+    bgs = F.when(tag.isin("div", "section", "header") & _attr("style").isNotNull(),
+                 F.transform(F.regexp_extract_all(_attr("style"), F.lit(BACKGROUND_URL_REGEX), 1),
+                             lambda u, i: item(2, i, u, "image", F.lit("Background image"))))
+    items = F.coalesce(img, vid, bgs)
+    rows = elements.filter(tag.isin("img", "video", "source", "div", "section", "header")).select(
+        "page_id", "node_id", F.explode(items).alias("m"))
+    return rows.select("page_id", F.col("m.pass_no").alias("pass_no"), "node_id", F.col("m.sub").alias("sub"),
+                       F.col("m.media_url").alias("media_url"), F.col("m.type").alias("type"),
+                       F.col("m.context").alias("context"))
 
 
 # -------------------------------------------------------- context priority

@@ -118,3 +118,19 @@ def test_document_prefilter_keeps_every_possible_document(parse):
     got = {r["media_url"] for r in split_media(parse(html, "https://s.example.com/docs/base.pdf")).collect()}
     assert got == {"https://s.example.com/r.pdf", "https://s.example.com/docs/base.pdf?page=2",
                    "https://s.example.com/docs/base.pdf#top", "https://s.example.com/docs/y.doc"}
+
+
+def test_classic_media_passes_and_backgrounds(parse):
+    from pagefold.operators.media import classic_media
+    html = ('<div style="background-image: url(\'/a.png\'); background-image: url(&quot;/b.jpg&quot;)">'
+            '<img src="/img/team-photo.jpg"><img src="/icons/menu.svg" alt="x"><img data-src="/p.jpg" alt="Shop">'
+            '<video src="/v.mp4"><source src="/v.webm"></video></div>')
+    rows = sorted(classic_media(parse(html)).collect(), key=lambda r: (r["pass_no"], r["node_id"], r["sub"]))
+    assert [(r["media_url"], r["type"], r["context"]) for r in rows] == [
+        ("/img/team-photo.jpg", "image", "Company image: Branding content"),
+        ("/p.jpg", "image", "Content image: shop"),
+        ("/v.mp4", "video", "Video content"),
+        ("/v.webm", "video", "Video content"),
+        ("/a.png", "image", "Background image"),
+        ("/b.jpg", "image", "Background image"),
+    ]

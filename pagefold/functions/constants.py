@@ -85,8 +85,39 @@ MAX_OUTPUT_TOKENS = 1000
 MAIN_CONTENT_CLASSES = ["content", "main-content", "about-content"]
 # P12 section div class regex (case-insensitive search)
 SECTION_CLASS_REGEX = "section|about|mission|team|contact"
-# F1 classic context labels
-# M16-M18 context keyword tiers are in operators/media.py next to the ladders.
+# M1 hybrid image priority: "high" when alt + classes mention one of these
+HYBRID_HIGH_IMAGE_WORDS = ["logo", "brand", "company"]
+# M7 split image priority ladder, tested in this order: (field, words, score)
+SPLIT_IMAGE_LADDER = [("alt", ["logo", "brand", "company"], 100), ("alt", ["team", "founder", "ceo"], 80),
+                      ("class", ["logo", "brand", "header"], 90)]
+SPLIT_IMAGE_NOT_UI = 50
+SPLIT_IMAGE_DEFAULT = 10
+SPLIT_PRIORITY = {"video": 60, "iframe": 60, "document": 70, "icon": 85}
+# M16-M18 context priority tiers (first matching tier wins; default 10)
+CONTEXT_TIERS_CLASSIC = [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
+                         (["office", "location", "building"], 60), (["product", "service"], 40)]
+CONTEXT_TIERS_ROOT_SVC = [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
+                          (["office", "location"], 60), (["product", "service"], 40)]
+CONTEXT_TIERS_SERVICE = [(["logo", "brand"], 80), (["team", "founder", "leader"], 60),
+                         (["office", "location"], 40), (["product", "service"], 30)]
+CONTEXT_DEFAULT_PRIORITY = 10
+# M16-M18 size bonuses: square-ish ratio bounds, large side, bonus points
+SQUARE_RATIO = (0.8, 1.2)
+LARGE_SIDE_PX = 1000
+# F8/F9/P18 app and API media limits
+APP_VIDEO_FORMATS = ["mp4", "webm", "mov"]
+MAX_VIDEO_SECONDS = 300
+MAX_VIDEO_MB = 50
+MIN_IMAGE_SIDE_PX = 100
+BASE64_MAX_BYTES = 5_000_000
+# V5 model-name formats (root service, service)
+ROOT_MODEL_REGEX = r"^[a-zA-Z0-9-]+$"
+SERVICE_MODEL_REGEX = r"^[a-zA-Z0-9.-]+$"
+# S8 MIME -> extension as Python's mimetypes.guess_extension gives it
+EXTENSION_BY_MIME = [
+    ("image/jpeg", ".jpg"), ("image/png", ".png"), ("image/gif", ".gif"), ("image/webp", ".webp"),
+    ("image/svg+xml", ".svg"), ("video/mp4", ".mp4"), ("video/webm", ".webm"),
+]
 
 # R-hybrid: field -> ordered patterns (first match wins, on lower-cased text)
 HYBRID_PATTERNS = {
@@ -172,7 +203,6 @@ MAX_URL_LENGTH = 2048
 MAX_CONTENT_LENGTH = 10 * 1024 * 1024
 URL_BAD_CHARS = ["<", ">", '"', "'", ";", "(", ")"]
 API_KEY_REGEX = r"^sk-[a-zA-Z0-9]{32,}$"
-MODEL_NAME_REGEX = r"^[a-zA-Z0-9.-]+$"
 # ----------------------------------------------------------- end fixed values
 
 

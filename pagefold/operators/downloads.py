@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import ALLOWED_MIME, MAX_CONTENT_LENGTH, VIDEO_FORMATS
+from ..functions.constants import (
+    ALLOWED_MIME, APP_VIDEO_FORMATS, BASE64_MAX_BYTES, MAX_CONTENT_LENGTH, MAX_VIDEO_MB, MAX_VIDEO_SECONDS,
+    MIN_IMAGE_SIDE_PX, VIDEO_FORMATS,
+)
 from ..functions.urls import url_path
 
-APP_VIDEO_FORMATS = ["mp4", "webm", "mov"]      # fixed value: app video allow-list
-MAX_VIDEO_SECONDS = 300
-MAX_VIDEO_MB = 50
-BASE64_MAX_BYTES = 5_000_000
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -74,7 +72,7 @@ def app_kept(filename, size, width, height, duration, bitrate) -> Column:
     is_video = ext.isin(*APP_VIDEO_FORMATS)
     mb = _c(bitrate) * _c(duration) / (8 * 1024 * 1024)
     video_ok = _c(duration).isNotNull() & (_c(duration) <= MAX_VIDEO_SECONDS) & (mb <= MAX_VIDEO_MB)
-    small = (_c(width) < 100) | (_c(height) < 100)
+    small = (_c(width) < MIN_IMAGE_SIDE_PX) | (_c(height) < MIN_IMAGE_SIDE_PX)
     kind = media_kind(filename)
     return ((_c(size) <= MAX_CONTENT_LENGTH) & F.when(is_video, F.coalesce(video_ok, F.lit(False)))
             .otherwise(~((kind == "image") & F.coalesce(small, F.lit(False)))))

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    BACKGROUND_URL_REGEX, BRANDING_KEYWORDS, DOCUMENT_EXTENSIONS, ICON_RELS,
-    UI_EXCLUSIONS, UI_EXCLUSIONS_SPLIT, VIDEO_FORMATS, VIDEO_HINTS, alternation, sql_array,
+    BACKGROUND_URL_REGEX, BRANDING_KEYWORDS, CONTEXT_DEFAULT_PRIORITY, CONTEXT_TIERS_CLASSIC,
+    CONTEXT_TIERS_ROOT_SVC, CONTEXT_TIERS_SERVICE, DOCUMENT_EXTENSIONS, HYBRID_HIGH_IMAGE_WORDS, ICON_RELS,
+    LARGE_SIDE_PX, MIN_IMAGE_SIDE_PX, SPLIT_IMAGE_DEFAULT, SPLIT_IMAGE_LADDER, SPLIT_IMAGE_NOT_UI,
+    SPLIT_PRIORITY, SQUARE_RATIO, UI_EXCLUSIONS, UI_EXCLUSIONS_SPLIT, VIDEO_FORMATS, VIDEO_HINTS, alternation,
+    sql_array,
 )
 from ..functions.text import py_strip
 from ..functions.urls import media_id, path_extension, resolve_url, url_path
@@ -84,17 +87,18 @@ def split_media(elements: DataFrame) -> DataFrame:
     alt = F.coalesce(_attr("alt"), F.lit(""))
     alt_l = F.lower(alt)
     class_l = F.lower(F.array_join(F.coalesce(F.col("classes"), F.array()), " "))
-    img_priority = (F.when(_contains_any(alt_l, ["logo", "brand", "company"]), 100)
-                    .when(_contains_any(alt_l, ["team", "founder", "ceo"]), 80)
-                    .when(_contains_any(class_l, ["logo", "brand", "header"]), 90)
-                    .when(~_contains_any(lower_url, UI_EXCLUSIONS_SPLIT), 50)
-                    .otherwise(10))
+    img_priority = None
+    for field, words, score in SPLIT_IMAGE_LADDER:          # M7, in this order
+        cond = _contains_any(alt_l if field == "alt" else class_l, words)
+        img_priority = F.when(cond, score) if img_priority is None else img_priority.when(cond, score)
+    img_priority = (img_priority.when(~_contains_any(lower_url, UI_EXCLUSIONS_SPLIT), SPLIT_IMAGE_NOT_UI)
+                    .otherwise(SPLIT_IMAGE_DEFAULT))
     title = F.coalesce(_attr("title"), F.lit(""))
     poster = F.coalesce(_attr("poster"), F.lit(""))
     out = cand.withColumn("type", mtype).filter(F.col("type").isNotNull())
     t = F.col("type")
-    priority = (F.when(t == "image", img_priority).when(t.isin("video", "iframe"), 60)
-                .when(t == "document", 70).otherwise(85))
+    priority = (F.when(t == "image", img_priority).when(t.isin("video", "iframe"), SPLIT_PRIORITY["video"])
+                .when(t == "document", SPLIT_PRIORITY["document"]).otherwise(SPLIT_PRIORITY["icon"]))
     context = (F.when(t == "image", F.when(alt_l != "", alt_l).otherwise("Image"))
                .when(t.isin("video", "iframe"), F.when(title != "", title).otherwise("Video"))
                .when(t == "document", F.when(F.col("link_text") != "", F.col("link_text"))
@@ -163,7 +167,7 @@ def hybrid_media(elements: DataFrame) -> DataFrame:
     classes = F.coalesce(F.col("classes"), F.array())
     alt = F.coalesce(_attr("alt"), F.lit(""))
     img_high = _contains_any(F.lower(F.concat(alt, F.lit(" "), F.array_join(classes, " "))),
-                             ["logo", "brand", "company"])
+                             HYBRID_HIGH_IMAGE_WORDS)
     k = F.col("kind")
     return cand.withColumn("kind", kind).filter(k.isNotNull()).select(
         "page_id", "node_id", "kind", F.col("full_url").alias("media_url"),
@@ -305,48 +309,44 @@ def _ctx_tier(ctx: Column, tiers) -> Column:
     for words, score in tiers:
         cond = _contains_any(c, words)
         expr = F.when(cond, score) if expr is None else expr.when(cond, score)
-    return expr.otherwise(10)
+    return expr.otherwise(CONTEXT_DEFAULT_PRIORITY)
 
 
 def _square(w: Column, h: Column) -> Column:
     ratio = w.cast("double") / h.cast("double")
-    return (w > 0) & (h > 0) & (ratio >= 0.8) & (ratio <= 1.2)
+    return (w > 0) & (h > 0) & (ratio >= SQUARE_RATIO[0]) & (ratio <= SQUARE_RATIO[1])
 
 
 def priority_classic(context, media_type, width, height, require_min_width: bool = True) -> Column:
     """logo/brand 100, team/founder/leader 80, office/location/building 60,
     product/service 40, else 10; +20 for a square-ish image (the API also
     requires width >= 100; the app variant does not)."""
-    base = _ctx_tier(F.col(context), [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
-                                      (["office", "location", "building"], 60),
-                                      (["product", "service"], 40)])
+    base = _ctx_tier(F.col(context), CONTEXT_TIERS_CLASSIC)
     w, h = F.col(width), F.col(height)
     sq = (F.col(media_type) == "image") & _square(w, h)
     if require_min_width:
-        sq = sq & (w >= 100)
+        sq = sq & (w >= MIN_IMAGE_SIDE_PX)
     return base + F.when(sq, 20).otherwise(0)
 
 
 def priority_root_svc(context, width, height) -> Column:
     """100/80/60/40 tiers (no "building"), +20 square, +10 if either side
     >= 1000 px, uncapped."""
-    base = _ctx_tier(F.col(context), [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
-                                      (["office", "location"], 60), (["product", "service"], 40)])
+    base = _ctx_tier(F.col(context), CONTEXT_TIERS_ROOT_SVC)
     w, h = F.col(width), F.col(height)
     has = (w > 0) & (h > 0)
     return (base + F.when(has & _square(w, h), 20).otherwise(0)
-            + F.when(has & ((w >= 1000) | (h >= 1000)), 10).otherwise(0))
+            + F.when(has & ((w >= LARGE_SIDE_PX) | (h >= LARGE_SIDE_PX)), 10).otherwise(0))
 
 
 def priority_service(context, width, height) -> Column:
     """80/60/40/30/10 tiers, +15 square and +5 for >= 1000 px, each step
     capped at 100."""
-    base = _ctx_tier(F.col(context), [(["logo", "brand"], 80), (["team", "founder", "leader"], 60),
-                                      (["office", "location"], 40), (["product", "service"], 30)])
+    base = _ctx_tier(F.col(context), CONTEXT_TIERS_SERVICE)
     w, h = F.col(width), F.col(height)
     has = (w > 0) & (h > 0)
     p1 = F.when(has & _square(w, h), F.least(base + 15, F.lit(100))).otherwise(base)
-    return F.when(has & ((w >= 1000) | (h >= 1000)), F.least(p1 + 5, F.lit(100))).otherwise(p1)
+    return F.when(has & ((w >= LARGE_SIDE_PX) | (h >= LARGE_SIDE_PX)), F.least(p1 + 5, F.lit(100))).otherwise(p1)
 
 
 def media_kind_from_name(filename) -> Column:

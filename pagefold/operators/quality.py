@@ -12,7 +12,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import API_KEY_REGEX, MAX_CONTENT_LENGTH, MAX_URL_LENGTH, URL_BAD_CHARS
+from ..functions.constants import (
+    API_KEY_REGEX, MAX_CONTENT_LENGTH, MAX_URL_LENGTH, ROOT_MODEL_REGEX, SERVICE_MODEL_REGEX, URL_BAD_CHARS,
+)
 from ..functions.urls import url_netloc, url_scheme
 
 # Q16: the third-party URL validator is not available; this anchored regex
@@ -25,8 +27,6 @@ URL_FORMAT_REGEX = (
     r"(?:localhost|(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}|\d{1,3}(?:\.\d{1,3}){3})"
     r"(?::\d{1,5})?(?:[/?#]\S*)?$"
 )
-ROOT_MODEL_REGEX = r"^[a-zA-Z0-9-]+$"
-SERVICE_MODEL_REGEX = r"^[a-zA-Z0-9.-]+$"
 
 
 def _c(c) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import CONTEXT_TIERS_CLASSIC, CONTEXT_TIERS_ROOT_SVC, CONTEXT_TIERS_SERVICE
 from ..operators.downloads import app_kept, base64_payload, media_asset, media_filename, media_kind, mime_admitted
 from ..operators.llm import completeness_error, missing_required
 from ..operators.media import priority_classic, priority_root_svc, priority_service
@@ -80,12 +81,9 @@ def _tier_sql(ctx: str, tiers) -> str:
 
 _SQ = "(width > 0 AND height > 0 AND width / height >= 0.8 AND width / height <= 1.2)"
 _BIG = "(width > 0 AND height > 0 AND (width >= 1000 OR height >= 1000))"
-_M16 = _tier_sql("context", [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
-                             (["office", "location", "building"], 60), (["product", "service"], 40)])
-_M17 = _tier_sql("context", [(["logo", "brand"], 100), (["team", "founder", "leader"], 80),
-                             (["office", "location"], 60), (["product", "service"], 40)])
-_M18 = _tier_sql("context", [(["logo", "brand"], 80), (["team", "founder", "leader"], 60),
-                             (["office", "location"], 40), (["product", "service"], 30)])
+_M16 = _tier_sql("context", CONTEXT_TIERS_CLASSIC)
+_M17 = _tier_sql("context", CONTEXT_TIERS_ROOT_SVC)
+_M18 = _tier_sql("context", CONTEXT_TIERS_SERVICE)
 
 
 @register("p13_f9_m19_fetched_media", oracle=_FETCHED_SQL + f"""

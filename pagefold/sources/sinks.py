@@ -11,14 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import EXTENSION_BY_MIME
 from ..functions.urls import content_hash, mime_from_name
 
-# MIME -> extension as Python's mimetypes.guess_extension gives it.
-EXTENSION_BY_MIME = [
-    ("image/jpeg", ".jpg"), ("image/png", ".png"), ("image/gif", ".gif"), ("image/webp", ".webp"),
-    ("image/svg+xml", ".svg"), ("video/mp4", ".mp4"), ("video/webm", ".webm"),
-]
-
 
 def url_extension(url) -> Column:
     """``os.path.splitext(url)[1]`` on the whole URL string: the last "."

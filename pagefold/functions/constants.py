@@ -85,6 +85,16 @@ MAX_OUTPUT_TOKENS = 1000
 MAIN_CONTENT_CLASSES = ["content", "main-content", "about-content"]
 # P12 section div class regex (case-insensitive search)
 SECTION_CLASS_REGEX = "section|about|mission|team|contact"
+# F11 AI gate: text shorter than this, or fewer key facts than this
+AI_MIN_TEXT_LENGTH = 500
+AI_MIN_KEY_FACTS = 2
+# P9/P12 truncation lengths ("..." appended when longer)
+BASIC_TEXT_CHARS = 1000
+SPLIT_TEXT_CHARS = 2000
+INTELLIGENT_TEXT_CHARS = 3000
+SECTION_NAME_CHARS = 50
+SECTION_SUMMARY_CHARS = 300
+SECTION_EXCERPT_CHARS = 150
 # M1 hybrid image priority: "high" when alt + classes mention one of these
 HYBRID_HIGH_IMAGE_WORDS = ["logo", "brand", "company"]
 # M7 split image priority ladder, tested in this order: (field, words, score)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    CLASSIC_LOCATION_PATTERNS, HYBRID_PATTERNS, KEY_VALUE_PATTERNS, MISSION_PATTERNS, NO_LOCATION,
+    AI_MIN_KEY_FACTS, AI_MIN_TEXT_LENGTH, CLASSIC_LOCATION_PATTERNS, HYBRID_PATTERNS, KEY_VALUE_PATTERNS,
+    MISSION_PATTERNS, NO_LOCATION,
 )
 from ..functions.text import py_strip, title_case
 
@@ -90,7 +91,7 @@ def ai_gate(facts: Column, text, force_ai: bool = False) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     key = _truthy_count([facts["founded"], facts["employees"], facts["location"]])
     low = facts["confidence"] == "low"
-    use = F.lit(bool(force_ai)) | low | (F.length(t) < 500) | (key < 2)
+    use = F.lit(bool(force_ai)) | low | (F.length(t) < AI_MIN_TEXT_LENGTH) | (key < AI_MIN_KEY_FACTS)
     reason = (F.when(use & low, "Low confidence programmatic results")
               .when(use, "Forced by parameter").otherwise("Programmatic results were sufficient"))
     return F.struct(use.alias("used"), reason.alias("reason"))

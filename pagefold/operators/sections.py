@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import SECTION_CLASS_REGEX
+from ..functions.constants import (
+    SECTION_CLASS_REGEX, SECTION_EXCERPT_CHARS, SECTION_NAME_CHARS, SECTION_SUMMARY_CHARS,
+)
 from ..functions.text import title_case, truncate
 from .topk import first_k
 
@@ -35,10 +37,10 @@ def sections(elements: DataFrame, max_sections: int = 10) -> DataFrame:
     top = first_k(first, ["page_id"], ["o"], min(10, max_sections), "ord")
     classes = F.col("e.classes")
     heading = F.col("o.pass_no") == 1
-    name = (F.when(heading, truncate("txt", 50))
+    name = (F.when(heading, truncate("txt", SECTION_NAME_CHARS))
             .when(F.size(F.coalesce(classes, F.array())) > 0,
                   title_case(F.translate(F.array_join(classes, " "), "-_", "  ")))
             .otherwise(F.lit("Content")))
     return top.select("page_id", "ord", name.alias("name"),
-                      truncate("txt", 300).alias("content_summary"),
-                      truncate("txt", 150).alias("raw_excerpt"))
+                      truncate("txt", SECTION_SUMMARY_CHARS).alias("content_summary"),
+                      truncate("txt", SECTION_EXCERPT_CHARS).alias("raw_excerpt"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import BASIC_TEXT_CHARS, SPLIT_TEXT_CHARS
 from ..functions.text import clean_whitespace, truncate
 from ..operators.facts import basic_facts, hybrid_facts, split_facts
 from ..operators.links import split_about_links
@@ -22,7 +23,7 @@ def fast_scrape(elements: DataFrame, include_media: bool = True) -> DataFrame:
     out = f.select(
         "page_id", "url", F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("No description found")).alias("description"),
-        truncate("text", 2000).alias("content"), hybrid_facts("text").alias("company_info"),
+        truncate("text", SPLIT_TEXT_CHARS).alias("content"), hybrid_facts("text").alias("company_info"),
         F.lit("fast_programmatic").alias("approach_used"))
     if include_media:
         s = hybrid_counts(elements)
@@ -48,7 +49,7 @@ def split_text(elements: DataFrame, top_n: int = 3) -> DataFrame:
     return env.select(
         "page_id", "url", F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("")).alias("description"),
-        truncate("main", 2000).alias("content"), split_facts("main").alias("company_info"),
+        truncate("main", SPLIT_TEXT_CHARS).alias("content"), split_facts("main").alias("company_info"),
         F.coalesce("about_pages_found", F.lit(0)).alias("about_pages_found"),
         F.coalesce("about_page_analysis", F.array().cast(top.schema["about_page_analysis"].dataType))
          .alias("about_page_analysis"),
@@ -64,7 +65,7 @@ def basic_scrape(elements: DataFrame) -> DataFrame:
     return env.select(
         "page_id", "url", F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("No description found")).alias("description"),
-        truncate(clean_whitespace("doc_text"), 1000).alias("text_content"),
+        truncate(clean_whitespace("doc_text"), BASIC_TEXT_CHARS).alias("text_content"),
         F.coalesce("links", F.array().cast(links.schema["links"].dataType)).alias("links"))
 
 
@@ -73,4 +74,4 @@ def basic_about(elements: DataFrame) -> DataFrame:
     three basic facts (X4)."""
     f = page_fields(elements).withColumn("main", clean_whitespace("main_text"))
     return f.select("page_id", "url", F.coalesce("title_raw", F.lit("No title found")).alias("title"),
-                    truncate("main", 2000).alias("content"), basic_facts("main").alias("company_info"))
+                    truncate("main", SPLIT_TEXT_CHARS).alias("content"), basic_facts("main").alias("company_info"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import INTELLIGENT_TEXT_CHARS
 from ..functions.text import clean_whitespace, py_strip, truncate
 from ..operators.facts import ai_gate, hybrid_facts
 from ..operators.links import hybrid_about_links, page_texts
@@ -94,7 +95,7 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
                                               a["confidence"].alias("confidence")))
     cols = [
         F.lit(True).alias("success"), "page_id", "url", "best_about_url", "title", "description",
-        truncate("best_text", 3000).alias("content"), "company_info",
+        truncate("best_text", INTELLIGENT_TEXT_CHARS).alias("content"), "company_info",
         F.coalesce("about_pages_found", F.lit(0)).alias("about_pages_found"),
         analysis.alias("about_page_analysis"),
         "ai_enhancement",

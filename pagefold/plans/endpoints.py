@@ -40,12 +40,18 @@ def split_text(elements: DataFrame, top_n: int = 3) -> DataFrame:
     content (2000 chars), split facts, About links found and the top 3."""
     f = page_fields(elements).withColumn("main", clean_whitespace("main_text"))
     links = split_about_links(elements)
-    w = Window.partitionBy("page_id").orderBy("sort_key")
-    ranked = links.withColumn("rank", F.row_number().over(w))
-    found = links.groupBy("page_id").agg(F.count("*").alias("about_pages_found"))
-    top = nest_ordered(ranked.filter(F.col("rank") <= top_n).withColumnRenamed("about_url", "url"),
-                       ["page_id"], "rank", ["url", "title", "relevance_score"], "about_page_analysis")
-    env = f.join(found, "page_id", "left").join(top, "page_id", "left")
+    # rank and count in one window (links per page are few), so the link
+    # rows and their URL resolution are computed once
+    ranked = (links.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("sort_key")))
+              .withColumn("n_found", F.count(F.lit(1)).over(Window.partitionBy("page_id"))))
+    kept = ranked.filter(F.col("rank") <= top_n).withColumnRenamed("about_url", "url")
+    packed = F.struct(F.col("rank").alias("_o"), "url", "title", "relevance_score")
+    top = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(packed)).alias("_a"),
+                                      F.max("n_found").alias("about_pages_found"))
+    top = top.select("page_id", "about_pages_found", F.transform("_a", lambda x: F.struct(
+        x["url"].alias("url"), x["title"].alias("title"), x["relevance_score"].alias("relevance_score")))
+        .alias("about_page_analysis"))
+    env = f.join(top, "page_id", "left")
     return env.select(
         "page_id", "url", F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("")).alias("description"),

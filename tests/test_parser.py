@@ -75,3 +75,22 @@ def test_full_text_only_where_read(parse):
 def test_cdata_is_text_and_declarations_are_not():
     _, text, _ = parse_html("<p>a<![CDATA[ b ]]>c<!ELEMENT x>d</p>")
     assert text == "a b cd"
+
+
+def test_random_tag_soup_keeps_tree_invariants():
+    import random
+    rnd = random.Random(5)
+    pieces = ["<div>", "</div>", "<p>", "</p>", "<a href='/x'>", "</a>", "<br>", "<img src=x.png>", "<b>",
+              "</span>", "text", "  ", "\n", "&amp;", "&lt;", "<!-- c -->", "<script>var a='<p>';</script>",
+              "<![CDATA[x]]>", "<section class=about>", "</section>", "<li>", "<ul>", "</ul>", "<x/>", "<h1>"]
+    for _ in range(200):
+        html = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40)))
+        nodes, text, stext = parse_html(html)
+        assert nodes[0][0] == DOCUMENT_TAG and nodes[0][4] == len(nodes) - 1
+        for i, (tag, attrs, parent, depth, end_id, t0, t1, s0, s1) in enumerate(nodes[1:], start=1):
+            assert end_id >= i
+            p = nodes[parent]
+            assert parent < i <= p[4] and end_id <= p[4]       # child interval inside parent's
+            assert depth == p[3] + 1
+            assert p[5] <= t0 <= t1 <= p[6] and p[7] <= s0 <= s1 <= p[8]
+        assert text[nodes[0][5]:nodes[0][6]] == text

@@ -258,8 +258,8 @@ UNION ALL
 SELECT 'concise', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(n AS BIGINT) FROM n
 """)
 def g3_l7_prompt_comparison(spark, sf_dir, batch_size: int = 20):
-    """G3/L7/X8/L6 (rows-only: stand-in model): each prompt variant over the
-    first ``batch_size`` urls, completeness errors, success rate
+    """G3/L7/X8/L6 with the deterministic stand-in model: each prompt variant
+    over the first ``batch_size`` urls, completeness errors, success rate
     (divided by batch_size, Q12) and mean media count."""
     el = parse_pages(company_site(spark, sf_dir)).filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
     from ..operators.links import page_texts

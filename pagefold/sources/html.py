@@ -59,6 +59,7 @@ ASCII_SPACES = " \n\t\x0c\r"
 
 DOCUMENT_TAG = "[document]"
 HEAD_CHARS = 100
+BATCH_ROWS = 8192
 # Tags whose full subtree text an operator reads (page fields, links,
 # sections, About text). Divs are read only when their classes make them a
 # section (P12) or the main content (P8), so only those keep full text.
@@ -269,9 +270,9 @@ def _batches(it: Iterator[pa.RecordBatch], all_text: bool = False) -> Iterator[p
                     cols["text"].append(text[t0:t1] if full else None)
                     cols["text_stripped"].append(stext[s0:s1] if full else None)
                     cols["text_head"].append(stext[s0:min(s1, s0 + HEAD_CHARS)])
-            if len(cols["page_id"]) >= 8192:
-                yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
-                cols = {f.name: [] for f in ELEMENT_SCHEMA}
+                if len(cols["page_id"]) >= BATCH_ROWS:    # bounded batches, even within one huge page
+                    yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
+                    cols = {f.name: [] for f in ELEMENT_SCHEMA}
         if cols["page_id"]:
             yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
 

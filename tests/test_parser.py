@@ -94,3 +94,12 @@ def test_random_tag_soup_keeps_tree_invariants():
             assert depth == p[3] + 1
             assert p[5] <= t0 <= t1 <= p[6] and p[7] <= s0 <= s1 <= p[8]
         assert text[nodes[0][5]:nodes[0][6]] == text
+
+
+def test_huge_page_is_emitted_in_bounded_batches():
+    import pyarrow as pa
+    from pagefold.sources.html import BATCH_ROWS, _batches
+    html = "<ul>" + "<li>x</li>" * 20000 + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "html": [html]})
+    sizes = [b.num_rows for b in _batches(iter([batch]))]
+    assert sum(sizes) == 20002 and max(sizes) <= BATCH_ROWS

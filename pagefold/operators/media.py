@@ -60,7 +60,7 @@ CLASS_RANK = {"image": 0, "video": 1, "document": 2, "icon": 3}
 
 def split_media(elements: DataFrame) -> DataFrame:
     """The split variant's flat media list, one row
-    per item with ``priority`` and ``sort_rank`` = (priority desc, class,
+    per item with ``priority`` and ``class_rank``; the list order is (priority desc, class_rank,
     document order)."""
     tag = F.col("tag")
     vsrc = F.coalesce(_nz(_attr("src")), _nz(_attr("data-src")))

@@ -8,8 +8,9 @@ keep the longest text (J2, A7, A8) -> hybrid facts (X1/X2) -> media summary
 Shuffle plan: one partial aggregate over the elements gives every page's
 fields (one row per page leaves each map task); when the About pages are
 looked up in the same crawl, their texts come from that same aggregate
-instead of a second pass. The link ranking is a first-k per page; the
-About lookup is the one equi-join on url (AQE splits hot target urls);
+instead of a second pass. The About links are ranked and counted in one
+window per page (links of one page are few); the About lookup is the one
+equi-join on url (AQE splits hot target urls);
 best text, the analysis list and the found count come from a single
 per-page aggregate that carries only lengths for the main page, so the
 page text itself is not shuffled again and the link URLs are resolved

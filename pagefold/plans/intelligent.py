@@ -34,26 +34,35 @@ from ..operators.page import page_fields
 
 
 def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bool = True,
-                force_ai: bool = False, corpus: DataFrame | None = None) -> DataFrame:
+                force_ai: bool = False, corpus: DataFrame | None = None,
+                corpus_texts: DataFrame | None = None) -> DataFrame:
     """``elements``: the parsed pages to answer for; ``corpus``: the parsed
-    crawl the About pages are looked up in (defaults to ``elements``)."""
+    crawl the About pages are looked up in (defaults to ``elements``);
+    ``corpus_texts``: that crawl's stored url-bucketed text table
+    (``sources.tables.bucket_page_texts``), which makes the lookup join
+    shuffle only the link side."""
     fields = page_fields(elements).select(
         "page_id", "url", "title_raw",
         F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("No description found")).alias("description"),
         clean_whitespace("doc_text").alias("text"))
-    if corpus is None:
+    if corpus_texts is not None:
+        texts = None
+    elif corpus is None:
         texts = fields.select("page_id", F.col("url").alias("about_url"),
                               F.coalesce("title_raw", F.lit("")).alias("about_title"),
                               F.col("text").alias("about_text"))
     else:
         texts = page_texts(corpus).select(F.col("about_page_id").alias("page_id"), "about_url",
                                           "about_title", "about_text")
-    # one crawled page per url (a recrawl keeps the lowest page_id); the
-    # aggregate's url partitioning is the one the lookup join needs
-    texts = texts.groupBy("about_url").agg(
-        F.min_by(F.struct("about_title", "about_text"), "page_id").alias("t")).select(
-        "about_url", "t.about_title", "t.about_text")
+    if texts is None:
+        texts = corpus_texts.select("about_url", "about_title", "about_text")
+    else:
+        # one crawled page per url (a recrawl keeps the lowest page_id); the
+        # aggregate's url partitioning is the one the lookup join needs
+        texts = texts.groupBy("about_url").agg(
+            F.min_by(F.struct("about_title", "about_text"), "page_id").alias("t")).select(
+            "about_url", "t.about_title", "t.about_text")
 
     # one chain: rank the deduplicated About links and count them in the same
     # window (links per page are few), keep the first max_about_pages, look

@@ -41,3 +41,34 @@ def test_position_within_splits_a_hot_key(spark):
     # the positions follow the order of v inside the key
     ordered = [r["pos"] for r in hot.orderBy("v").collect()]
     assert ordered == sorted(ordered)
+
+
+def test_bucketed_page_texts_make_the_about_join_shuffle_only_links(spark):
+    import tempfile
+    from pagefold.plans.intelligent import intelligent
+    from pagefold.sources.html import parse_pages
+    from pagefold.sources.standin import company_site
+    from pagefold.sources.tables import bucket_page_texts
+    el = parse_pages(company_site(spark, SF))
+    texts = bucket_page_texts(el, "pf_site_texts", tempfile.mkdtemp(prefix="pf-bucket-") + "/t", buckets=16)
+    fast = intelligent(el, corpus=el, corpus_texts=texts)
+    slow = intelligent(el, corpus=el)
+    assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+    # inspect the static plan with broadcasting off, i.e. as at scale where
+    # neither side fits the broadcast threshold
+    bt = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # a fresh plan: the executed one above was planned with the old settings
+        fresh = intelligent(el, corpus=el, corpus_texts=spark.table("pf_site_texts"))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bt)
+    lines = plan.splitlines()
+    idx = next(i for i, l in enumerate(lines) if "FileScan" in l and "pf_site_texts" in l)
+    assert "Bucketed: true" in lines[idx]
+    # the text table's scan feeds the join without an exchange above it
+    above = lines[max(0, idx - 3):idx]
+    assert not any("Exchange" in l for l in above), "\n".join(lines[max(0, idx - 6):idx + 1])

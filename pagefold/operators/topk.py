@@ -26,6 +26,15 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def rows_per_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Row count per ``keys`` group as a partial aggregate. It counts a
+    struct of every column, so column pruning leaves ``df``'s plan whole;
+    when ``df`` ends in an exchange that another branch also reads (e.g.
+    ``first_k`` over the same rows), Spark reuses that exchange instead of
+    recomputing ``df``."""
+    return df.groupBy(*keys).agg(F.count(F.struct(*df.columns)).alias(name))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First-wins dedupe — one row per ``keys`` group, the first in
     ``order``."""

@@ -4,7 +4,7 @@ fields plus bounded per-page lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BASIC_TEXT_CHARS, SPLIT_TEXT_CHARS
@@ -13,7 +13,7 @@ from ..operators.facts import basic_facts, hybrid_facts, split_facts
 from ..operators.links import split_about_links
 from ..operators.media import hybrid_counts
 from ..operators.page import link_list, page_fields
-from ..operators.topk import nest_ordered
+from ..operators.topk import first_k, nest_ordered, rows_per_key
 
 
 def fast_scrape(elements: DataFrame, include_media: bool = True) -> DataFrame:
@@ -40,15 +40,14 @@ def split_text(elements: DataFrame, top_n: int = 3) -> DataFrame:
     content (2000 chars), split facts, About links found and the top 3."""
     f = page_fields(elements).withColumn("main", clean_whitespace("main_text"))
     links = split_about_links(elements)
-    # rank and count in one window (links per page are few), so the link
-    # rows and their URL resolution are computed once
-    ranked = (links.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("sort_key")))
-              .withColumn("n_found", F.count(F.lit(1)).over(Window.partitionBy("page_id"))))
-    kept = ranked.filter(F.col("rank") <= top_n).withColumnRenamed("about_url", "url")
+    # the top links are a first-k and the count a partial aggregate (no
+    # page's links gathered in one task); both read the deduplicating link
+    # aggregate, whose exchange Spark reuses
+    kept = first_k(links, ["page_id"], ["sort_key"], top_n, "rank").withColumnRenamed("about_url", "url")
+    found = rows_per_key(links, ["page_id"], "about_pages_found")
     packed = F.struct(F.col("rank").alias("_o"), "url", "title", "relevance_score")
-    top = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(packed)).alias("_a"),
-                                      F.max("n_found").alias("about_pages_found"))
-    top = top.select("page_id", "about_pages_found", F.transform("_a", lambda x: F.struct(
+    top = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(packed)).alias("_a"))
+    top = top.join(found, "page_id").select("page_id", "about_pages_found", F.transform("_a", lambda x: F.struct(
         x["url"].alias("url"), x["title"].alias("title"), x["relevance_score"].alias("relevance_score")))
         .alias("about_page_analysis"))
     env = f.join(top, "page_id", "left")

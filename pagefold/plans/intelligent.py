@@ -8,9 +8,10 @@ keep the longest text (J2, A7, A8) -> hybrid facts (X1/X2) -> media summary
 Shuffle plan: one partial aggregate over the elements gives every page's
 fields (one row per page leaves each map task); when the About pages are
 looked up in the same crawl, their texts come from that same aggregate
-instead of a second pass. The About links are ranked and counted in one
-window per page (links of one page are few); the About lookup is the one
-equi-join on url (AQE splits hot target urls);
+instead of a second pass. The top About links per page are a first-k
+(WindowGroupLimit) and the link count a partial aggregate, so no page's
+links are gathered in one task; the About lookup is the one equi-join on
+url (AQE splits hot target urls);
 best text, the analysis list and the found count come from a single
 per-page aggregate that carries only lengths for the main page, so the
 page text itself is not shuffled again and the link URLs are resolved
@@ -22,7 +23,7 @@ anchors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import INTELLIGENT_TEXT_CHARS
@@ -31,6 +32,7 @@ from ..operators.facts import ai_gate, hybrid_facts
 from ..operators.links import hybrid_about_links, page_texts
 from ..operators.media import hybrid_counts
 from ..operators.page import page_fields
+from ..operators.topk import first_k, rows_per_key
 
 
 def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bool = True,
@@ -49,9 +51,12 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
     if corpus_texts is not None:
         texts = None
     elif corpus is None:
+        # carries the description too, in the envelope's column order, so
+        # this branch and the envelope need the same page-field aggregate and
+        # Spark reuses its shuffle (the page texts are shuffled once)
         texts = fields.select("page_id", F.col("url").alias("about_url"),
                               F.coalesce("title_raw", F.lit("")).alias("about_title"),
-                              F.col("text").alias("about_text"))
+                              F.col("description").alias("_description"), F.col("text").alias("about_text"))
     else:
         texts = page_texts(corpus).select(F.col("about_page_id").alias("page_id"), "about_url",
                                           "about_title", "about_text")
@@ -60,19 +65,22 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
     else:
         # one crawled page per url (a recrawl keeps the lowest page_id); the
         # aggregate's url partitioning is the one the lookup join needs
+        payload = [c for c in texts.columns if c not in ("page_id", "about_url")]
         texts = texts.groupBy("about_url").agg(
-            F.min_by(F.struct("about_title", "about_text"), "page_id").alias("t")).select(
+            F.min_by(F.struct(*payload), "page_id").alias("t")).select(
             "about_url", "t.about_title", "t.about_text")
 
-    # one chain: rank the deduplicated About links and count them in the same
-    # window (links per page are few), keep the first max_about_pages, look
-    # them up (left join: unfetchable links still count as found), and fold
-    # everything per page in one aggregate.
+    # the first max_about_pages About links per page (a first-k: each map
+    # task keeps at most that many per page, so a page with a huge share of
+    # all links is never gathered in one task) and every page's link count
+    # (a partial aggregate). Both read the same deduplicating link aggregate,
+    # whose exchange Spark reuses. The top links are looked up (left join:
+    # unfetchable links still count as found) and everything folds into one
+    # per-page aggregate.
     links = hybrid_about_links(elements)
-    ranked = (links.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("sort_key")))
-              .withColumn("n_found", F.count(F.lit(1)).over(Window.partitionBy("page_id"))))
-    top = ranked.filter(F.col("rank") <= max_about_pages).select("page_id", "rank", "about_url", "confidence",
-                                                                  "n_found")
+    top = first_k(links, ["page_id"], ["sort_key"], max_about_pages, "rank").select(
+        "page_id", "rank", "about_url", "confidence")
+    found = rows_per_key(links, ["page_id"], "found")
     fetched = top.join(texts, "about_url", "left")
     got = F.col("about_text").isNotNull()
     cand = fetched.select(
@@ -80,24 +88,26 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
         F.col("about_text").alias("cand_text"),
         F.when(got, F.struct("rank", F.col("about_url").alias("url"), py_strip("about_title").alias("title"),
                              F.length("about_text").alias("content_length"), "confidence")).alias("a"),
-        F.col("n_found").alias("found"))
-    main = fields.select("page_id", F.lit(0).alias("rank"), F.col("url").alias("cand_url"),
-                         F.length("text").alias("cand_len"), F.lit(None).cast("string").alias("cand_text"),
-                         F.lit(None).cast(cand.schema["a"].dataType).alias("a"),
-                         F.lit(None).cast("long").alias("found"))
+        F.lit(None).cast("long").alias("found"))
+    counts = found.select("page_id", F.lit(None).cast("int").alias("rank"),
+                          F.lit(None).cast("string").alias("cand_url"), F.lit(None).cast("int").alias("cand_len"),
+                          F.lit(None).cast("string").alias("cand_text"),
+                          F.lit(None).cast(cand.schema["a"].dataType).alias("a"), "found")
     order = F.when(F.col("cand_len").isNotNull(), F.struct("cand_len", -F.col("rank")))
-    per_page = main.unionByName(cand).groupBy("page_id").agg(
-        # Longest fetched text wins, ties keep the earlier candidate (main page first)
-        F.max_by(F.struct("cand_url", "cand_text"), order).alias("b"),
+    per_page = cand.unionByName(counts).groupBy("page_id").agg(
+        # The longest fetched About text, ties keeping the earlier rank
+        F.max_by(F.struct("cand_url", "cand_text", "cand_len"), order).alias("b"),
         # Fetched About pages in rank order (at most max_about_pages)
         F.array_sort(F.collect_list("a")).alias("analysis"),
         # Every About link found, fetched or not
         F.max("found").alias("about_pages_found"))
     analysis_t = per_page.schema["analysis"].dataType
     env = fields.join(per_page, "page_id", "left")
-    best_text = F.coalesce(F.col("b.cand_text"), F.col("text"))
-    env = env.withColumn("best_about_url", F.coalesce(F.col("b.cand_url"), F.col("url")))
-    env = env.withColumn("best_text", best_text).withColumn("company_info", hybrid_facts("best_text"))
+    # An About text replaces the main page's only when strictly longer
+    # (the main page is the earliest candidate)
+    about_wins = F.col("b.cand_len").isNotNull() & (F.length("text").isNull() | (F.col("b.cand_len") > F.length("text")))
+    env = env.withColumn("best_about_url", F.when(about_wins, F.col("b.cand_url")).otherwise(F.col("url")))
+    env = env.withColumn("best_text", F.when(about_wins, F.col("b.cand_text")).otherwise(F.col("text"))).withColumn("company_info", hybrid_facts("best_text"))
     env = env.withColumn("ai_enhancement", ai_gate(F.col("company_info"), "best_text", force_ai))
     analysis = F.transform(F.coalesce("analysis", F.array().cast(analysis_t)),
                            lambda a: F.struct(a["url"].alias("url"), a["title"].alias("title"),

@@ -72,3 +72,17 @@ def test_bucketed_page_texts_make_the_about_join_shuffle_only_links(spark):
     # the text table's scan feeds the join without an exchange above it
     above = lines[max(0, idx - 3):idx]
     assert not any("Exchange" in l for l in above), "\n".join(lines[max(0, idx - 6):idx + 1])
+
+
+def test_intelligent_shuffles_page_texts_once_and_no_page_window_over_all_links(spark):
+    from pagefold.plans.intelligent import intelligent
+    from pagefold.sources.html import parse_pages
+    from pagefold.sources.standin import company_site
+    df = intelligent(parse_pages(company_site(spark, SF)))
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    # the page-field aggregate (page texts) is planned once and its shuffle reused
+    assert plan.count("partial_first(url") == 1
+    # the top About links are a first-k, not a full per-page rank with a count
+    assert "WindowGroupLimit" in plan
+    assert "count(1) windowspecdefinition" not in plan

@@ -4,19 +4,20 @@ Per page: the flat scored media list (M6/M7 with thumbnails T8), sorted by
 priority (W3), the slice after ``cursor`` (W5/W7), an optional post-slice
 type filter (F10), the full-list summary (G1) and pagination meta (W9).
 
-One chain: a single window over each page's media rows gives the position
-and the page totals, the slice rows (plus each page's first row, which
-carries the totals for pages whose slice is empty) go into one
-aggregate. The media rows — and their URL resolution — are therefore
-computed once. The nested item array is bounded by ``limit`` (1..50, V6).
+Skew: the page totals are a partial aggregate and the slice is a first-k of
+``start + limit`` rows per page (WindowGroupLimit, applied before the
+shuffle), so no page's whole media list is gathered in one task. The two
+branches join on page_id with matching partitioning. The nested item array
+is bounded by ``limit`` (1..50, V6).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.media import split_media
+from ..operators.topk import first_k
 from ..operators.paging import decode_text_cursor_value, encode_text_cursor
 
 ITEM_FIELDS = ["id", "media_url", "type", "alt", "title", "width", "height", "priority", "context", "poster",
@@ -32,21 +33,24 @@ def media_endpoint(elements: DataFrame, cursor: str | None = None, limit: int =
         raise ValueError("limit must be within 1..50")
     start = decode_text_cursor_value(cursor)
     media = split_media(elements).withColumn("_pdesc", -F.col("priority"))
-    by_rank = Window.partitionBy("page_id").orderBy("_pdesc", "class_rank", "node_id")
-    page = Window.partitionBy("page_id")
     t = F.col("type")
-    ranked = media.withColumn("pos", F.row_number().over(by_rank)).withColumn(
-        "total_assets", F.count(F.lit(1)).over(page))
-    for name, types in COUNTS.items():
-        ranked = ranked.withColumn(name, F.sum(F.when(t.isin(*types), 1).otherwise(0)).over(page))
+    # the page totals: a partial aggregate (each map task sends one row per page)
+    counts = media.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("total_assets"),
+        *[F.count_if(t.isin(*types)).alias(name) for name, types in COUNTS.items()])
+    # the slice: positions only up to its end are needed, so a first-k
+    # (WindowGroupLimit) keeps at most start + limit rows per page per task
+    head = first_k(media, ["page_id"], ["_pdesc", "class_rank", "node_id"], start + limit, "pos")
     pos = F.col("pos")
-    in_slice = (pos > start) & (pos <= start + limit)
+    in_slice = pos > start
     keep = in_slice & (t == media_type) if media_type else in_slice
     item = F.struct(pos.alias("_o"), *[F.col(f) for f in ITEM_FIELDS])
-    agg = ranked.filter(in_slice | (pos == 1)).groupBy("page_id").agg(
+    items = head.filter(in_slice).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.when(keep, item))).alias("_items"),
-        F.count_if(in_slice).alias("current_page_count"),
-        *[F.max(c).alias(c) for c in ["total_assets", *COUNTS]])
+        F.count(F.lit(1)).alias("current_page_count"))
+    agg = counts.join(items, "page_id", "left").select(
+        "page_id", F.coalesce("_items", F.array().cast(items.schema["_items"].dataType)).alias("_items"),
+        F.coalesce("current_page_count", F.lit(0)).alias("current_page_count"), "total_assets", *COUNTS)
     total = F.col("total_assets")
     end = F.least(F.lit(start + limit), total)
     has_more = end < total

@@ -65,3 +65,20 @@ def test_media_type_filter_after_slice(spark):
         assert [a["media_url"] for a in r["media_assets"]] == \
             [a["media_url"] for a in full[pid]["media_assets"] if a["type"] == "image"]
         assert r["pagination"] == full[pid]["pagination"]
+
+
+def test_cursor_slice_equals_slice_of_the_full_list(spark):
+    import base64
+    el = parse_pages(gallery_pages(spark, SF))
+    full = {r["page_id"]: r for r in media_endpoint(el, None, 50).collect()}
+    cur = base64.b64encode(b"media:7").decode()
+    part = {r["page_id"]: r for r in media_endpoint(el, cur, 4).collect()}
+    assert part.keys() == full.keys()
+    for pid, r in part.items():
+        whole = full[pid]["media_assets"]
+        assert [a["media_url"] for a in r["media_assets"]] == [a["media_url"] for a in whole[7:11]]
+        total = full[pid]["media_summary"]["total_assets"]
+        assert r["media_summary"]["total_assets"] == total
+        assert r["media_summary"]["current_page_count"] == len(whole[7:11])
+        assert r["pagination"]["has_more"] == (min(11, total) < total)
+        assert r["pagination"]["current_page_end"] == min(11, total)

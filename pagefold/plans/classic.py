@@ -15,7 +15,7 @@ into the profile row, so no per-page array grows without bound.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.json_media import ai_media, first_seen
@@ -23,6 +23,7 @@ from ..operators.links import classic_about_page, page_texts
 from ..operators.llm import ModelFn, build_prompt, classic_profile, enrich, failure_profile, meaningful_profile
 from ..operators.media import classic_media, priority_classic
 from ..session import materialize
+from ..operators.paging import position_within
 
 DEFAULT_SYSTEM = ("Extract the company profile as JSON with the sections About Us (including "
                   "locations), Our Culture, Our Team, Noteworthy & Differentiated.")
@@ -69,8 +70,10 @@ def classic_combined(elements: DataFrame, model_fn: ModelFn, fallback_fn: ModelF
     media = first_seen(html, llm)
     media = media.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
     media = media.withColumn("priority", priority_classic("context", "type", "width", "height"))
-    w = Window.partitionBy("page_id").orderBy(F.col("priority").desc(), F.col("o"))
-    media = media.withColumn("rank", F.row_number().over(w)).drop("width", "height")
+    # the full stable priority order per page, numbered without gathering a
+    # page in one task (position_within splits hot pages)
+    media = position_within(media, "page_id", [F.col("priority").desc(), F.col("o")], "rank").drop(
+        "width", "height")
     return profile, media
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.json_media import ai_media, first_seen
@@ -14,7 +13,7 @@ from ..operators.llm import (
     build_prompt, completeness_error, enrich, lenient_fallback_model, stub_profile_model,
 )
 from ..operators.media import classic_media, priority_classic
-from ..operators.paging import decode_json_cursor, decode_json_cursor_value, page_meta_root
+from ..operators.paging import decode_json_cursor, decode_json_cursor_value, page_meta_root, position_within
 from ..operators.topk import first_k
 from ..session import table
 from ..sources.html import parse_pages
@@ -64,8 +63,8 @@ def m10_m16_classic_media(spark, sf_dir):
     m = first_seen(html, none)
     m = m.withColumn("w", F.lit(None).cast("int")).withColumn("h", F.lit(None).cast("int"))
     m = m.withColumn("priority", priority_classic("context", "type", "w", "h"))
-    w = Window.partitionBy("page_id").orderBy(F.col("priority").desc(), "o")
-    return m.select("page_id", "media_url", "type", "context", "priority", F.row_number().over(w).alias("rank"))
+    m = position_within(m, "page_id", [F.col("priority").desc(), F.col("o")], "rank")
+    return m.select("page_id", "media_url", "type", "context", "priority", "rank")
 
 
 _CLASSIC_MEDIA_CTE = """

@@ -3,7 +3,6 @@ sections, key/values and the intelligent (Q-A) and text (Q-C) envelopes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import HYBRID_PATTERNS, KEY_VALUE_PATTERNS, MISSION_PATTERNS
@@ -11,6 +10,7 @@ from ..functions.text import clean_whitespace
 from ..operators.facts import ai_gate, hybrid_facts, key_values, split_facts
 from ..operators.links import classic_about_page, hybrid_about_links, split_about_links
 from ..operators.page import page_fields
+from ..operators.paging import position_within
 from ..operators.sections import sections
 from ..plans.intelligent import intelligent
 from ..plans.text_v4 import text_v4
@@ -169,8 +169,8 @@ def a1_hybrid_about_links(spark, sf_dir):
     """J1+A1+W1: about links inside nav/header/footer, first-seen dedupe,
     stable high-before-medium order."""
     ls = home_only(hybrid_about_links(site_elements(spark, sf_dir)))
-    w = Window.partitionBy("page_id").orderBy("sort_key")
-    return ls.select("page_id", F.row_number().over(w).alias("rank"), "about_url", "text", "confidence")
+    ls = position_within(ls, "page_id", ["sort_key"], "rank")
+    return ls.select("page_id", "rank", "about_url", "text", "confidence")
 
 
 @register("a2_split_about_links", oracle=SITE_SQL + """
@@ -190,9 +190,8 @@ FROM l
 def a2_split_about_links(spark, sf_dir):
     """A2+W2: split about links scored 0.9/0.8, max-score dedupe, sorted."""
     ls = home_only(split_about_links(site_elements(spark, sf_dir)))
-    w = Window.partitionBy("page_id").orderBy("sort_key")
-    return ls.select("page_id", F.row_number().over(w).alias("rank"), "about_url", "title",
-                     "relevance_score")
+    ls = position_within(ls, "page_id", ["sort_key"], "rank")
+    return ls.select("page_id", "rank", "about_url", "title", "relevance_score")
 
 
 def _sections_sql() -> str:

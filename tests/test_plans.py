@@ -86,3 +86,6 @@ def test_intelligent_shuffles_page_texts_once_and_no_page_window_over_all_links(
     # the top About links are a first-k, not a full per-page rank with a count
     assert "WindowGroupLimit" in plan
     assert "count(1) windowspecdefinition" not in plan
+    # the link rows feeding top-k and count come from one reused exchange, so
+    # URLs are resolved once for About links and once for the media summary
+    assert plan.count("ArrowEvalPython") == 2

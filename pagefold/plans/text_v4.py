@@ -30,17 +30,19 @@ def text_v4(elements: DataFrame, max_sections: int = 10, max_key_values: int = 1
     secs = nest_ordered(sections(elements, max_sections), ["page_id"], "ord",
                         ["name", "content_summary", "raw_excerpt"], "sections")
     f = f.withColumn("key_values", key_values_array("text", 10, max_key_values))
-    media = simple_media(elements)
-    imgs = nest_ordered(media.filter("kind = 'images'").withColumnRenamed("media_url", "url"),
-                        ["page_id"], "ord", ["url"], "images")
-    imgs = imgs.select("page_id", F.col("images.url").alias("images"))
-    vids = attach_thumbnails(media.filter("kind = 'videos'").withColumnRenamed("media_url", "url"),
-                             video_thumbnails(elements))
-    vids = nest_ordered(vids, ["page_id"], "ord",
-                        ["url", "thumbnail_url", "thumbnail_type", "thumbnail_source",
-                         "is_placeholder_thumbnail"], "videos")
-    env = (f.join(secs, "page_id", "left")
-           .join(imgs, "page_id", "left").join(vids, "page_id", "left"))
+    # both media lists from one aggregate over the same first-k rows, so the
+    # media rows (and their URL resolution) are computed once; thumbnails
+    # (at most one per video url) are joined to the video rows first
+    media = attach_thumbnails(simple_media(elements).withColumnRenamed("media_url", "url"),
+                              video_thumbnails(elements))
+    is_img, is_vid = F.col("kind") == "images", F.col("kind") == "videos"
+    vfields = ["url", "thumbnail_url", "thumbnail_type", "thumbnail_source", "is_placeholder_thumbnail"]
+    lists = media.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(is_img, F.struct(F.col("ord").alias("_o"), "url")))).alias("_i"),
+        F.array_sort(F.collect_list(F.when(is_vid, F.struct(F.col("ord").alias("_o"), *vfields)))).alias("_v"))
+    lists = lists.select("page_id", F.transform("_i", lambda s: s["url"]).alias("images"),
+                         F.transform("_v", lambda s: F.struct(*[s[f].alias(f) for f in vfields])).alias("videos"))
+    env = f.join(secs, "page_id", "left").join(lists, "page_id", "left")
 
     def empty(c, df):
         return F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
@@ -48,4 +50,4 @@ def text_v4(elements: DataFrame, max_sections: int = 10, max_key_values: int = 1
     return env.select(
         F.lit(200).alias("statusCode"), "page_id", "page_title", "url", "language", "summary",
         empty("sections", secs), "key_values",
-        F.struct(empty("images", imgs), empty("videos", vids)).alias("media"))
+        F.struct(empty("images", lists), empty("videos", lists)).alias("media"))

@@ -7,7 +7,9 @@ type filter (F10), the full-list summary (G1) and pagination meta (W9).
 Skew: the page totals are a partial aggregate and the slice is a first-k of
 ``start + limit`` rows per page (WindowGroupLimit, applied before the
 shuffle), so no page's whole media list is gathered in one task. The two
-branches join on page_id with matching partitioning. The nested item array
+branches join on page_id with matching partitioning. Both branches derive
+the media rows, so their URL resolution runs twice; that is small next to
+the parse and is the price of not ranking whole pages in one task. The nested item array
 is bounded by ``limit`` (1..50, V6).
 """
 

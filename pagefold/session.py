@@ -2,7 +2,7 @@
 
 The session settings here are the ones the library relies on: ANSI mode
 (Spark 4 default), AQE with skew-join splitting, Arrow for Python
-workers, UTC session time zone and no web UI.
+workers with byte-bounded batches, UTC session time zone and no web UI.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HTML rows are large: cap each Arrow batch sent to the parser by
+        # bytes, not only by the default 10,000 rows
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PAGEFOLD_DRIVER_MEMORY", "16g"))
     )

@@ -89,3 +89,18 @@ def test_intelligent_shuffles_page_texts_once_and_no_page_window_over_all_links(
     # the link rows feeding top-k and count come from one reused exchange, so
     # URLs are resolved once for About links and once for the media summary
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_media_endpoint_slices_with_first_k_and_counts_partially(spark):
+    from pagefold.plans.media_pages import media_endpoint
+    from pagefold.sources.html import parse_pages
+    from pagefold.sources.standin import gallery_pages
+    import base64
+    cur = base64.b64encode(b"media:5").decode()
+    df = media_endpoint(parse_pages(gallery_pages(spark, SF)), cur, 10)
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    # the slice keeps at most start + limit rows per page per map task
+    assert "WindowGroupLimit" in plan and "row_number(), 15, Partial" in plan
+    # page totals are aggregates, not window aggregates over a whole page
+    assert "windowspecdefinition" not in plan.replace("row_number() windowspecdefinition", "")

@@ -14,6 +14,7 @@ import os
 import uuid
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +61,12 @@ def drain(stream: DataFrame, name: str, output_mode: str = "append",
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(write_batch)
          .option("checkpointLocation", chk).trigger(availableNow=True).start())
     q.awaitTermination()
-    if not os.path.isdir(out):
+    try:
+        # read through Spark (not the local file system): the folder lives on
+        # the shared checkpoint storage
+        res = spark.read.parquet(out)
+    except AnalysisException:        # no batch wrote anything: the folder does not exist
         return spark.createDataFrame([], stream.schema)
-    res = spark.read.parquet(out)
     if keys:
         rest = [c for c in res.columns if c not in keys and c != "batch"]
         latest = res.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))

@@ -25,12 +25,17 @@ from .topk import first_k
 _PAT = "|".join(ABOUT_URL_PATTERNS)  # regexes, searched
 
 
-def links_in_containers(elements: DataFrame, container: Column) -> DataFrame:
+def links_in_containers(elements: DataFrame, container: Column, link_filter: Column | None = None) -> DataFrame:
     """``a[href]`` rows that sit inside an element matching ``container``,
     with ``outer`` = node_id of the outermost such container (the
     reference visits containers in document order, so a link is first seen
-    under its outermost container)."""
+    under its outermost container). ``link_filter`` (over element columns)
+    drops links before the running windows: the windows' values come from
+    container rows only, so the result for the kept links is unchanged and
+    the windows see just the containers and the candidate links."""
     is_link = (F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()
+    if link_filter is not None:
+        is_link = is_link & F.coalesce(link_filter, F.lit(False))
     rows = elements.filter(is_link | container).select(
         "page_id", "url", "node_id", "end_id", "tag", "attrs", "text",
         container.alias("is_c"), is_link.alias("is_a"))
@@ -49,11 +54,12 @@ def hybrid_about_links(elements: DataFrame) -> DataFrame:
     keyword; confidence high iff text has about/company; distinct url keeping
     the first seen; ``sort_key`` = (confidence rank, first position)."""
     cont = F.col("tag").isin("nav", "header", "footer")
-    ls = links_in_containers(elements, cont)
     text_l = F.lower(py_strip("text"))
-    href_l = F.lower("href")
-    match = href_l.rlike(_PAT) | text_l.rlike(alternation(ABOUT_TEXT_KEYWORDS_HYBRID))
-    ls = ls.filter(match).select(
+
+    def match(href):
+        return F.lower(href).rlike(_PAT) | text_l.rlike(alternation(ABOUT_TEXT_KEYWORDS_HYBRID))
+    ls = links_in_containers(elements, cont, match(F.col("attrs")["href"]))
+    ls = ls.filter(match(F.col("href"))).select(
         "page_id", "url", "outer", "node_id", resolve_url("url", "href").alias("about_url"),
         py_strip("text").alias("text"),
         F.when(text_l.rlike(alternation(HIGH_CONFIDENCE_TEXT)), "high").otherwise("medium").alias("confidence"))
@@ -157,10 +163,12 @@ def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
     area1 = F.col("tag").isin("nav", "header", "menu")
     area2 = (F.col("tag") == "ul") & F.lower(F.array_join(F.coalesce("classes", F.array()), " ")).rlike("nav|menu")
 
+    def hit(href):
+        return F.lower(href).rlike(kw) | F.lower(py_strip("text")).rlike(kw)
+
     def area_links(cond, rank):
-        ls = links_in_containers(elements, cond)
-        hit = F.lower("href").rlike(kw) | F.lower(py_strip("text")).rlike(kw)
-        return ls.filter(hit).select(F.col("page_id").alias("root_id"), F.lit(rank).alias("area"),
+        ls = links_in_containers(elements, cond, hit(F.col("attrs")["href"]))
+        return ls.filter(hit(F.col("href"))).select(F.col("page_id").alias("root_id"), F.lit(rank).alias("area"),
                                      "outer", "node_id", "href")
     nav = area_links(area1, 0).unionByName(area_links(area2, 1))
     if all_links_fallback:

@@ -181,3 +181,26 @@ def test_media_service_limits_and_asset_defaults(spark):
     a = media_asset(df.limit(1)).first()
     assert (a["asset_type"], a["asset_width"], a["asset_height"], a["asset_format"], a["asset_priority"]) == \
         ("image", 100, 100, "jpeg", 80)
+
+
+def test_link_prefilter_does_not_change_container_attribution(spark):
+    """Dropping non-candidate links before the running windows leaves the
+    kept links' outermost containers unchanged (random nested markup)."""
+    import random
+    from pagefold.operators.links import links_in_containers
+    from pagefold.sources.html import parse_pages
+    rnd = random.Random(17)
+    pieces = ["<nav>", "</nav>", "<header>", "</header>", "<footer>", "</footer>", "<div>", "</div>",
+              "<a href='/about'>About</a>", "<a href='/x'>x</a>", "<a href='/team'>Our team</a>",
+              "<a href='/y'>About us</a>", "<a>no href</a>", "<p>", "text"]
+    rows = [(i, f"https://s{i}.example.com/", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40))))
+            for i in range(150)]
+    el = parse_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    cont = F.col("tag").isin("nav", "header", "footer")
+    cand = lambda href: F.lower(href).rlike("about|team")
+    full = links_in_containers(el, cont).filter(cand(F.col("href")))
+    pre = links_in_containers(el, cont, cand(F.col("attrs")["href"]))
+    key = ["page_id", "node_id", "outer", "href"]
+    a = sorted(tuple(r) for r in full.select(*key).collect())
+    b = sorted(tuple(r) for r in pre.select(*key).collect())
+    assert a == b and len(a) > 50

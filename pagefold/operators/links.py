@@ -80,9 +80,10 @@ def split_about_links(elements: DataFrame) -> DataFrame:
     a = elements.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
     a = a.select("page_id", "url", "node_id", F.col("attrs")["href"].alias("href"),
                  py_strip("text").alias("title"))
-    a = a.withColumn("about_url", resolve_url("url", "href"))
     by_text = F.lower("title").rlike(alternation(ABOUT_TEXT_KEYWORDS_SPLIT))
     by_url = F.col("href").rlike("(?i)" + _PAT)
+    # neither test reads the resolved URL: resolve only the matching anchors
+    a = a.filter(by_text | by_url).withColumn("about_url", resolve_url("url", "href"))
     entries = F.filter(F.array(
         F.when(by_text, F.struct(F.lit(0.9).alias("score"), F.lit(0).alias("sub"), F.col("title").alias("title"))),
         F.when(by_url, F.struct(F.lit(0.8).alias("score"), F.lit(1).alias("sub"),

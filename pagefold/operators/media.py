@@ -130,6 +130,24 @@ def split_media(elements: DataFrame) -> DataFrame:
     )
 
 
+def split_media_types(elements: DataFrame) -> DataFrame:
+    """``(page_id, type)`` for every row of ``split_media`` without resolving
+    URLs where the type does not depend on them: an ``img`` with a source is
+    an image, a ``video`` with a source a video, an icon ``link`` with an
+    href an icon. Only ``iframe`` and ``a`` rows (video hints and document
+    extensions are read from the resolved URL) go through ``split_media``."""
+    tag = F.col("tag")
+    vsrc = F.coalesce(_nz(_attr("src")), _nz(_attr("data-src")))
+    icon = F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])) & _nz(_attr("href")).isNotNull()
+    known = (F.when((tag == "img") & lazy_src().isNotNull(), "image")
+             .when((tag == "video") & vsrc.isNotNull(), "video")
+             .when((tag == "link") & icon, "icon"))
+    by_tag = elements.filter(tag.isin("img", "video", "link")).select("page_id", known.alias("type")).filter(
+        F.col("type").isNotNull())
+    by_url = split_media(elements.filter(tag.isin("iframe", "a"))).select("page_id", "type")
+    return by_tag.unionByName(by_url)
+
+
 def media_summary(media: DataFrame) -> DataFrame:
     """G1: per-page counts over ALL media of the split list."""
     t = F.col("type")

@@ -7,9 +7,9 @@ type filter (F10), the full-list summary (G1) and pagination meta (W9).
 Skew: the page totals are a partial aggregate and the slice is a first-k of
 ``start + limit`` rows per page (WindowGroupLimit, applied before the
 shuffle), so no page's whole media list is gathered in one task. The two
-branches join on page_id with matching partitioning. Both branches derive
-the media rows, so their URL resolution runs twice; that is small next to
-the parse and is the price of not ranking whole pages in one task. The nested item array
+branches join on page_id with matching partitioning. The totals branch
+types images, videos and icons by tag, so only iframe and anchor URLs are
+resolved a second time. The nested item array
 is bounded by ``limit`` (1..50, V6).
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.media import split_media
+from ..operators.media import split_media, split_media_types
 from ..operators.topk import first_k
 from ..operators.paging import decode_text_cursor_value, encode_text_cursor
 
@@ -36,8 +36,9 @@ def media_endpoint(elements: DataFrame, cursor: str | None = None, limit: int =
     start = decode_text_cursor_value(cursor)
     media = split_media(elements).withColumn("_pdesc", -F.col("priority"))
     t = F.col("type")
-    # the page totals: a partial aggregate (each map task sends one row per page)
-    counts = media.groupBy("page_id").agg(
+    # the page totals: a partial aggregate (each map task sends one row per
+    # page) over the media types, which need URLs only for iframes and anchors
+    counts = split_media_types(elements).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("total_assets"),
         *[F.count_if(t.isin(*types)).alias(name) for name, types in COUNTS.items()])
     # the slice: positions only up to its end are needed, so a first-k

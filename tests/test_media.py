@@ -134,3 +134,26 @@ def test_classic_media_passes_and_backgrounds(parse):
         ("/a.png", "image", "Background image"),
         ("/b.jpg", "image", "Background image"),
     ]
+
+
+def test_media_types_by_tag_equal_the_full_split_list(spark):
+    """Q-B totals type img/video/link rows by tag and resolve only iframe and
+    anchor URLs; the (page, type) multiset must equal split_media's."""
+    import random
+    from pyspark.sql import functions as F
+    from pagefold.operators.media import split_media, split_media_types
+    from pagefold.sources.html import parse_pages
+    rnd = random.Random(23)
+    pieces = ["<img src='a.png'>", "<img src=''>", "<img data-src='/l.jpg'>", "<img>", "<img data-lazy-src='z.gif'>",
+              "<video src='v.mp4'></video>", "<video></video>", "<video data-src='/v'></video>",
+              "<iframe src='https://www.youtube.com/embed/x'></iframe>", "<iframe src='/frame'></iframe>",
+              "<iframe></iframe>", "<link rel='icon' href='/f.ico'>", "<link rel='icon'>",
+              "<link rel='stylesheet' href='s.css'>", "<link rel='shortcut icon' href=''>",
+              "<a href='/doc.pdf'>Doc</a>", "<a href='/page'>p</a>", "<a href='x.docx'></a>", "<a>n</a>",
+              "<div>", "</div>"]
+    rows = [(i, f"https://video{i % 3}.example.com/dir/", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))))
+            for i in range(120)]
+    el = parse_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    a = sorted(tuple(r) for r in split_media(el).groupBy("page_id", "type").count().collect())
+    b = sorted(tuple(r) for r in split_media_types(el).groupBy("page_id", "type").count().collect())
+    assert a == b and len({t for _, t, _ in a}) >= 4

@@ -8,17 +8,17 @@ keep the longest text (J2, A7, A8) -> hybrid facts (X1/X2) -> media summary
 Shuffle plan: one partial aggregate over the elements gives every page's
 fields (one row per page leaves each map task); when the About pages are
 looked up in the same crawl, their texts come from that same aggregate
-instead of a second pass. The top About links per page are a first-k
-(WindowGroupLimit) and the link count a partial aggregate, so no page's
-links are gathered in one task; the About lookup is the one equi-join on
-url (AQE splits hot target urls);
-best text, the analysis list and the found count come from a single
-per-page aggregate that carries only lengths for the main page, so the
-page text itself is not shuffled again and the link URLs are resolved
-once. Every per-page list in the envelope is bounded
-(About analysis by ``max_about_pages``); the media lists stay a separate
-table (``hybrid_media``) and the summary counts resolve URLs only for
-anchors.
+(Spark reuses its shuffle) instead of a second pass. The top About links
+per page are a first-k (WindowGroupLimit) and the link count a partial
+aggregate, so no page's links are gathered in one task; the About lookup
+is the one equi-join on url (AQE splits hot target urls). The best About
+text, the analysis list and the found count come from a single per-page
+aggregate over the few About candidates, and the main page is compared
+with the best of them after the join on page_id, so the page text itself
+is not shuffled again and the link URLs are resolved once. Every per-page
+list in the envelope is bounded (About analysis by ``max_about_pages``);
+the media lists stay a separate table (``hybrid_media``) and the summary
+counts resolve URLs only for anchors.
 """
 
 from __future__ import annotations

@@ -246,12 +246,18 @@ def hybrid_summary(media: DataFrame) -> DataFrame:
 def simple_media(elements: DataFrame, max_images: int = 20, max_videos: int = 10) -> DataFrame:
     """M8: image urls (first 20) and video urls passing F3 (first 10) per page
     as rows ``(page_id, kind, ord, url)``."""
-    # only img/video/iframe rows can be images or videos: skip anchors/links
-    # before the url resolution instead of after it
-    m = split_media(elements.filter(F.col("tag").isin("img", "video", "iframe")))
-    m = m.filter(F.col("type").isin("image", "video", "iframe"))
-    m = m.withColumn("kind", F.when(F.col("type") == "image", "images").otherwise("videos"))
-    # one first-k window per (page, kind) keeps both lists in one pass
+    tag = F.col("tag")
+    # an img with a source is an image whatever its URL, and the order is
+    # document order: keep the first max_images img rows per page before
+    # resolving, so only those URLs are resolved
+    img_rows = first_k(elements.filter((tag == "img") & lazy_src().isNotNull()), ["page_id"], ["node_id"],
+                       max_images, "_k").drop("_k")
+    imgs = split_media(img_rows).filter(F.col("type") == "image").withColumn("kind", F.lit("images"))
+    # an iframe is a video only by its resolved URL, so video/iframe rows are
+    # resolved first and then cut to the first max_videos
+    vids = split_media(elements.filter(tag.isin("video", "iframe"))).filter(
+        F.col("type").isin("video", "iframe")).withColumn("kind", F.lit("videos"))
+    m = imgs.unionByName(vids)
     top = first_k(m, ["page_id", "kind"], ["node_id"], max(max_images, max_videos), "ord")
     cap = F.when(F.col("kind") == "images", max_images).otherwise(max_videos)
     return top.filter(F.col("ord") <= cap).select("page_id", "kind", "ord", "media_url")

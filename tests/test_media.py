@@ -157,3 +157,32 @@ def test_media_types_by_tag_equal_the_full_split_list(spark):
     a = sorted(tuple(r) for r in split_media(el).groupBy("page_id", "type").count().collect())
     b = sorted(tuple(r) for r in split_media_types(el).groupBy("page_id", "type").count().collect())
     assert a == b and len({t for _, t, _ in a}) >= 4
+
+
+def test_simple_media_cuts_images_before_resolving_and_matches_brute_force(spark):
+    """M8: first 20 images and first 10 videos per page in document order;
+    images are cut before URL resolution, checked against the full list."""
+    import random
+    from collections import defaultdict
+    from pagefold.operators.media import simple_media, split_media
+    from pagefold.sources.html import parse_pages
+    rnd = random.Random(9)
+    pieces = ["<img src='a%d.png'>", "<img src=''>", "<img data-src='/l%d.jpg'>", "<img>",
+              "<video src='v%d.mp4'></video>", "<iframe src='https://www.youtube.com/embed/%d'></iframe>",
+              "<iframe src='/frame%d'></iframe>", "<div>", "</div>"]
+
+    def piece(j):
+        p = rnd.choice(pieces)
+        return p % j if "%d" in p else p
+    rows = [(i, f"https://video{i % 2}.example.com/d/", "".join(piece(j) for j in range(rnd.randint(0, 80))))
+            for i in range(80)]
+    el = parse_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    full = defaultdict(list)
+    for r in split_media(el).select("page_id", "node_id", "type", "media_url").collect():
+        kind = "images" if r["type"] == "image" else "videos" if r["type"] in ("video", "iframe") else None
+        if kind:
+            full[(r["page_id"], kind)].append((r["node_id"], r["media_url"]))
+    want = sorted((pid, kind, i + 1, u) for (pid, kind), xs in full.items()
+                  for i, (_, u) in enumerate(sorted(xs)[:20 if kind == "images" else 10]))
+    got = sorted(tuple(r) for r in simple_media(el).collect())
+    assert got == want and any(k == "images" and o == 20 for _, k, o, _ in got)

@@ -104,3 +104,15 @@ def test_media_endpoint_slices_with_first_k_and_counts_partially(spark):
     assert "WindowGroupLimit" in plan and "row_number(), 15, Partial" in plan
     # page totals are aggregates, not window aggregates over a whole page
     assert "windowspecdefinition" not in plan.replace("row_number() windowspecdefinition", "")
+
+
+def test_split_text_resolves_candidate_links_once(spark):
+    from pagefold.plans.endpoints import split_text
+    from pagefold.sources.html import parse_pages
+    from pagefold.sources.standin import company_site
+    df = split_text(parse_pages(company_site(spark, SF)))
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    # top-k and the found count read one reused link aggregate: one Python node
+    assert plan.count("ArrowEvalPython") == 1 and "ReusedExchange" in plan
+    assert "WindowGroupLimit" in plan and "count(1) windowspecdefinition" not in plan

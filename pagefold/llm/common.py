@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.session import materialize
+from pagefold.session import ensure_checkpoint_dir, materialize
 
 #: Rows of one Arrow batch that a Python pass handles together.
 SLICE_ROWS = 256
@@ -26,6 +27,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, ``text`` (null read as empty) and the columns in ``keep``; other columns are dropped."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie
-from .common import read_table, tokenizer_path
+from . import bpe_trie, packing, token_files
+from .common import read_table, scratch_path, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express.
@@ -23,3 +23,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole document with the word BPE file; digests of ids and decoded text."""
     return bpe_trie.token_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole document, write its ids to token files in ``doc_id`` order and read them back."""
+    out = scratch_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), out, end_id=0)
+    return token_files.document_digests(spark, out)
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every whole document into sequences of at most 1024 ids."""
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, width=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

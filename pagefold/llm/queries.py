@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, licenses, packing, token_files, topk
+from . import bpe_trie, licenses, packing, secret_scan, token_files, topk
 from .common import read_table, scratch_path, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, out)
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document, judged by who else in the corpus holds them."""
+    docs = secret_scan.with_identity(read_table(spark, sf_dir, "documents"))
+    return secret_scan.digests(secret_scan.scan(docs))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every whole document into sequences of at most 1024 ids."""

@@ -138,7 +138,8 @@ def estimate(counts: dict[int, int], praises: list[bool], rounds: int = 200, pri
     ``bad_rule`` and ``prior`` are where it starts and what ``weight``
     imagined texts say, so rules that never vote keep sane rates. A vote
     never speaks for the other side: its rates meet at most. ``praises``
-    tells of each rule whether it speaks for good quality.
+    tells of each rule whether it speaks for good quality; that a text lacks
+    praise says nothing.
     """
     begin = [good_rule if p else bad_rule for p in praises]
     rates, good = list(begin), prior
@@ -149,7 +150,10 @@ def estimate(counts: dict[int, int], praises: list[bool], rounds: int = 200, pri
         logit = math.log(good / (1 - good))
         for i, (a, b) in enumerate(rates):
             a, b = min(max(a, 1e-9), 1 - 1e-9), min(max(b, 1e-9), 1 - 1e-9)
-            logit += math.log(a / b) if p >> i & 1 else math.log((1 - a) / (1 - b))
+            if p >> i & 1:
+                logit += math.log(a / b)
+            elif not praises[i]:
+                logit += math.log((1 - a) / (1 - b))
         return 1 / (1 + math.exp(-min(max(logit, -700), 700)))
 
     for _ in range(rounds):

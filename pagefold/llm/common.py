@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -60,58 +61,143 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_ADJACENT = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """``text`` cut at single spaces between two non-blank characters.
+def byte_alphabet() -> dict[str, int]:
+    """Byte of each character of the byte-level alphabet: printable Latin-1 stands for itself, the rest follow from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(own)]
+    return {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
-    Byte-level BPE patterns let a word take one blank before it, so such a
-    space always begins a new pre-token: the first chunk is encoded as it is,
-    every other one with a blank in front, and the ids join to the ids of the
-    whole text.
-    """
-    return _SAFE_SPACE.split(text) if _ADJACENT.search(text) or text[-1:].isspace() else text.split(" ")
 
+#: Chunks whose characters are assigned alike in every Unicode version, with no blank at either end.
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f](?:[\n -~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?")
 
-class ChunkEncoder:
-    """Ids of a byte-level BPE tokenizer file, each distinct chunk encoded once by the tokenizers library.
 
-    The memo of chunks is bounded: when it holds ``cache_items`` it is
-    emptied, which costs time and changes no id.
+class ChunkEncoder:
+    """Ids of a byte-level BPE tokenizer file, each distinct chunk encoded once.
+
+    New chunks of a batch are joined and encoded in one call; tokens never
+    cross a chunk's border, so byte counts tell which ids are whose. Plain
+    chunks are encoded by tiktoken with ranks made from the same file (only
+    if its ids are in merge order), all others by the tokenizers library,
+    which is the measure for both. The memo of chunks is bounded: when it
+    holds ``cache_items`` it is emptied, which costs time and changes no id.
     """
 
     def __init__(self, path: str, cache_items: int = 400_000, longest: int = 48):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import numpy as np
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
+        self.path, self.dtype = path, "<u2" if size <= 1 << 16 else "<u4"
         self.cache_items, self.longest = cache_items, longest
         self.memo: dict[str, bytes] = {}
+        self.library = None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = None
+        pre = spec["pre_tokenizer"] or {}
+        made = [vocab[a + b] for a, b in (m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges)]
+        if (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                and spec["normalizer"] is None and made == sorted(set(made))):
+            import public_tokenizers
+            import tiktoken
+
+            letters = byte_alphabet()
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.width = np.zeros(size, dtype=np.int64)
+            for t, i in ranks.items():
+                self.width[i] = len(t)
+
+    def _library(self, todo: list[str]) -> list[bytes]:
+        """Ids by the tokenizers library, which is loaded when it is first needed."""
+        import numpy as np
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian ids (``self.dtype``) of each text."""
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return [np.asarray(e.ids, dtype=self.dtype).tobytes()
+                for e in self.library.encode_batch_fast(todo, add_special_tokens=False)]
+
+    def _plain(self, chunk: str) -> bool:
+        return self.fast is not None and _PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
+
+    def _joined(self, new: list[str]) -> list[bytes]:
+        """Ids of plain chunks, each with a blank in front, encoded in one call."""
         import numpy as np
 
-        parts = [chunks(t) for t in batch]
-        heads = [p[0] for p in parts]
-        wanted = set().union(*(p[1:] for p in parts)) if parts else set()
+        ids = np.array(self.fast.encode_ordinary("".join([" " + x for x in new])), dtype=self.dtype)
+        ends = np.cumsum([1 + len(x.encode()) for x in new])
+        reached = np.cumsum(self.width[ids])
+        cuts = [0, *(np.searchsorted(reached, ends) + 1).tolist()]
+        raw, w = ids.tobytes(), ids.itemsize
+        return [raw[a * w:b * w] for a, b in zip(cuts, cuts[1:])]
+
+    def _head(self, text: str) -> bytes:
+        import numpy as np
+
+        if not text or not self._plain(text):
+            return self._library([text])[0]
+        return np.array(self.fast.encode_ordinary(text), dtype=self.dtype).tobytes()
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Little-endian ids (``self.dtype``) of each text.
+
+        The pre-tokenizer lets a word take one blank before it, so a single
+        space between two non-blank characters always begins a new
+        pre-token: texts are cut there, the first chunk is encoded as it is
+        and every other one with a blank in front. Where a cut at a space
+        leaves an empty chunk, or one with a blank at an end, the text is cut
+        anew by a pattern that looks at both sides.
+        """
         if len(self.memo) > self.cache_items:
             self.memo = {}
-        new = list(wanted - self.memo.keys())
-        todo = heads + [" " + x for x in new]
-        done = [np.asarray(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]
-        memo, rare = self.memo, {}
-        for x, ids in zip(new, done[len(heads):]):
-            (memo if len(x) <= self.longest else rare)[x] = ids
-        if rare:
-            memo = {**{x: memo[x] for x in wanted if x in memo}, **rare}
-        return [b"".join([head, *[memo[x] for x in p[1:]]]) for head, p in zip(done, parts)]
+        parts = [t.split(" ") for t in batch]
+        heads = [p.pop(0) for p in parts]
+        self._learn(set().union(*parts) if parts else set())
+        out, again, get = [b""] * len(batch), [], self.memo.__getitem__
+        for i, (head, p) in enumerate(zip(heads, parts)):
+            try:
+                if head[-1:].isspace() or not head:
+                    raise TypeError
+                out[i] = b"".join([self._head(head), *map(get, p)])
+            except (KeyError, TypeError):
+                again.append(i)
+        for i in again:
+            if batch[i]:
+                head, *p = _SAFE_SPACE.split(batch[i])
+                rare = self._learn(set(p))
+                out[i] = b"".join([self._head(head), *[rare.get(x) or self.memo[x] for x in p]])
+        return out
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Puts new chunks into the memo; long ones, and those with a blank at an end, are returned instead.
+
+        In the memo, ``None`` marks a chunk that is no chunk of a right cut.
+        """
+        memo, apart = self.memo, {}
+        new = [x for x in wanted if memo.get(x) is None]
+        plain = [x for x in new if self._plain(x)]
+        other = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        for names, done in ((plain, self._joined(plain) if plain else []),
+                            (other, self._library([" " + x for x in other]) if other else [])):
+            for x, ids in zip(names, done):
+                if not x or x[0].isspace() or x[-1].isspace():
+                    memo[x] = None
+                    apart[x] = ids
+                elif len(x) <= self.longest:
+                    memo[x] = ids
+                else:
+                    apart[x] = ids
+        return apart
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -46,6 +46,10 @@ def _runs(text: str) -> list[str]:
     return [r for r in _BLANK.split(text) if r] if _ODD_BLANK.search(text) else text.split()
 
 
+def _endings(tokens: dict[str, int]) -> dict[str, int | None]:
+    return {t[i:]: tokens.get(t[i:]) for t in tokens for i in range(len(t))}
+
+
 class Merges:
     """Vocabulary and merge order of a BPE file with an end-of-word suffix."""
 
@@ -75,7 +79,8 @@ class Merges:
                 symbols[-1] += self.end
             if all(s in self.vocab for s in symbols) and self._merge(symbols, i):
                 (self.last if at_end else self.inner)[body] = i
-        self.longest = max((len(t) for t in (*self.inner, *self.last)), default=1)
+        #: every ending of a token's text: the token it is itself, or None
+        self.inner_ends, self.last_ends = _endings(self.inner), _endings(self.last)
 
     def _merge(self, symbols: list[str], whole: int) -> bool:
         """Merge a token's symbols in rank order; note its last merge. True if the token itself results."""
@@ -144,9 +149,9 @@ class TrieEncoder:
             depth = len(prefix)
             if depth:
                 del path[depth:]
-                path.append(self._state(prefix, self.merges.inner, path))
+                path.append(self._state(prefix, self.merges.inner_ends, path))
             for w in node.get("", ()):
-                token, back = self._state(w, self.merges.last, path)
+                token, back = self._state(w, self.merges.last_ends, path)
                 ids = [token]
                 while back:
                     token, back = path[back]
@@ -157,11 +162,24 @@ class TrieEncoder:
                     stack.append((child, prefix + ch))
         return out
 
-    def _state(self, prefix: str, vocab: dict[str, int], path: list[tuple[int, int]]) -> tuple[int, int]:
-        n = len(prefix)
-        for start in range(max(0, n - self.merges.longest), n):
-            token = vocab.get(prefix[start:])
-            if token is not None and (start == 0 or self._fits(path[start][0], token)):
+    def _state(self, prefix: str, ends: dict[str, int | None], path: list[tuple[int, int]]) -> tuple[int, int]:
+        """Last token of ``prefix``, and where it starts: of the tokens that end here, the one that fits its path."""
+        start, found = len(prefix) - 1, []
+        get = ends.get
+        while start >= 0:
+            token = get(prefix[start:], -1)
+            if token is not None:
+                if token < 0:
+                    break
+                found.append((token, start))
+            start -= 1
+        pairs = self.pairs
+        while found:
+            token, start = found.pop()
+            if not start:
+                return token, 0
+            ok = pairs.get((path[start][0], token))
+            if ok or (ok is None and self._fits(path[start][0], token)):
                 return token, start
         raise ValueError(f"no token ends {prefix!r}")
 
@@ -174,7 +192,7 @@ class WordCodec:
     from the trie. The memo is bounded and emptied when full.
     """
 
-    def __init__(self, path: str, cache_items: int = 250_000):
+    def __init__(self, path: str, cache_items: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

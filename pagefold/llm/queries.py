@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, licenses, packing, quality_rules, secret_scan, token_files, topk
+from . import bpe_trie, jaccard_join, licenses, packing, quality_rules, secret_scan, token_files, topk
 from .common import read_table, scratch_path, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ SELECT query_id, k::INTEGER AS rank, vec_id, score FROM ranked WHERE k <= 5
 """
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 85 % or more."""
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"), k=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole document, write its ids to token files in ``doc_id`` order and read them back."""

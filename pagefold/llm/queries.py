@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, jaccard_join, licenses, packing, quality_rules, secret_scan, token_files, topk
+from . import bpe_trie, jaccard_join, kneser_ney, licenses, packing, quality_rules, secret_scan, token_files, topk, toxicity
 from .common import read_table, scratch_path, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs))
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from the labelled rows that are not held out."""
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    return toxicity.score(read_table(spark, sf_dir, "documents"), labels).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_hits")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every whole document and the verdict of the weakly supervised rules."""
@@ -75,6 +84,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every whole document under a model of the documents labelled good, and the verdict of its language."""
+    trusted = read_table(spark, sf_dir, "labels").filter("quality = 1")
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), trusted).select(
+        "doc_id", "lang", "perplexity", "lowest", "highest", "kept")
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every whole document into sequences of at most 1024 ids."""

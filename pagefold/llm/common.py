@@ -6,7 +6,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,25 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns that clash with ``names`` renamed, and a function that gives back just its own columns."""
+    own = docs.columns
+    taken = {*own, *names}
+    renamed = {}
+    for c in own:
+        if c in names:
+            new = f"{c}_own"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            renamed[c] = new
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select([F.col(f"`{renamed.get(c, c)}`").alias(c) for c in own])
+
+    return docs.withColumnsRenamed(renamed), restore
+
+
 def text_key(text: Column | str = "text") -> Column:
     """128 bits of a text: with ``doc_id`` it names a row's content, so equal rows share a key."""
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, slices, store, texts
+from .common import set_aside, slices, store, texts
 from .components import components
 from .words import BLANK_WORDS, batch_word_hashes, gram_hashes, mix
 
@@ -262,7 +262,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> Dat
     entries = store(shared_entries(classes), "shared-entries")
     # one text of each class that has a shared entry, read once and kept by node for all verifications
     wanted = entries.select("node").distinct().join(classes.select("node", "sig", "doc_id"), "node")
-    keyed = with_signature(docs, k)
+    keyed = with_signature(docs.select("doc_id", "text"), k)
     contents = store(keyed.join(wanted, ["doc_id", "sig"]).groupBy("node").agg(F.first("text").alias("text")), "shingle-texts")
     links, grouped = None, None
     for turn in range(rounds + 1):
@@ -292,3 +292,21 @@ def with_signature(docs: DataFrame, k: int) -> DataFrame:
                                              [*names, "sig"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("sig", T.StringType())]))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, that of the smallest ``doc_id``, with its own columns.
+
+    Rows without words have no group and all stay; rows without a ``doc_id``
+    stay once for each set if their group has no ``doc_id`` at all.
+    """
+    groups = join(docs, k, percent)
+    keep = (groups.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias("keep_id"), F.col("sig").alias("keep_sig")).distinct())
+    rows, restore = set_aside(docs, "sig", "keep_id", "keep_sig")
+    keyed = with_signature(rows, k)
+    empty = signature(np.zeros(0, dtype=np.uint64))
+    first = (keyed.filter(F.col("sig") != empty)
+             .join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("sig") == F.col("keep_sig")), "left_semi")
+             .dropDuplicates(["doc_id", "sig"]))
+    return restore(first.unionByName(keyed.filter(F.col("sig") == empty)))

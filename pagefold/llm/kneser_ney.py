@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, store
+from .common import set_aside, slices, store
 
 ORDER = 4
 #: 0 blank, 1-26 letters without accents, 27 other letters, 28 digits, 29 full stop, 30 comma, 31 other marks, 32 symbols.
@@ -190,4 +190,5 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", lo
 
 def keep_fluent(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their own columns."""
-    return classify(docs, trusted_ids).filter("kept").select(docs.columns)
+    rows, restore = set_aside(docs, "perplexity", "q", "language", "lowest", "highest", "kept")
+    return restore(classify(rows, trusted_ids).filter("kept"))

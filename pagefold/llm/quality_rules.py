@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import set_aside, store
 
 #: Words, symbols and the base rule.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -81,13 +81,18 @@ def measures(text: Column) -> Column:
         _removed(t, r"\|").alias("n_bars"))
 
 
+#: Names of the measures, and their places in the struct.
+MEASURES = {
+    **{c: f"m.w.{c}" for c in ("n_words", "word_chars", "n_distinct", "n_repeat_words")},
+    **{c: f"m.l.{c}" for c in ("n_lines", "n_dup_lines")},
+    **{c: f"m.{c}" for c in ("n_symbols", "n_upper", "n_marks", "n_letters", "n_bars")},
+}
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the measures of ``text`` as columns after its own (which must not have their names)."""
-    parts = {c: f"m.w.{c}" for c in ("n_words", "word_chars", "n_distinct", "n_repeat_words")}
-    parts |= {c: f"m.l.{c}" for c in ("n_lines", "n_dup_lines")}
-    parts |= {c: f"m.{c}" for c in ("n_symbols", "n_upper", "n_marks", "n_letters", "n_bars")}
     return docs.withColumn("m", measures(F.col("text"))).select(
-        *docs.columns, *[F.col(path).alias(c) for c, path in parts.items()])
+        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(path).alias(c) for c, path in MEASURES.items()])
 
 
 def base_failed() -> Column:
@@ -195,7 +200,6 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, without moving a text."""
-    own = docs.columns
+    rows, restore = set_aside(docs, "m", *MEASURES)
     chance = posterior_column(measured(docs.select("text")))
-    rows = docs.select(F.struct(*own).alias("own"), F.col("text"))
-    return measured(rows).filter(~base_failed() & (chance >= least)).select("own.*")
+    return restore(measured(rows).filter(~base_failed() & (chance >= least)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, store
+from .common import set_aside, slices, store
 
 #: The base patterns, in the order that breaks ties of start.
 KINDS = ("assign", "access", "hex")
@@ -157,8 +157,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) -> D
     meet the verdicts in a join.
     """
     columns = docs.columns
-    found = candidates(with_identity(docs))
-    clean = found.filter(F.size("spans") == 0).select(columns)
+    rows, restore = set_aside(docs, "owner", "repo", "spans", "row", "cuts")
+    found = candidates(with_identity(rows))
+    clean = restore(found.filter(F.size("spans") == 0))
     held = store(found.filter(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()), "secret-docs")
     masked = (judged(held, "owner", "repo", copied_owners)
               .filter((F.col("verdict") != "copied") & ((F.col("kind") != "live") | (F.col("verdict") == "live")))
@@ -180,4 +181,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) -> D
     out = joined_rows.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(out.select(columns))
+    return clean.unionByName(restore(out))

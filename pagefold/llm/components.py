@@ -34,3 +34,22 @@ def components(edges: DataFrame) -> DataFrame:
             break
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select("b", "b").distinct())
+
+
+def contract(links: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """Components after more ``links``, given the ``grouped`` ones before.
+
+    The links are drawn between components first, where all that join the
+    same two are one edge; only that smaller graph is searched.
+    """
+    if grouped is None:
+        return store(components(links), "components")
+    named = links
+    for end in "ab":
+        of = grouped.select(F.col("node").alias(end), F.col("component").alias("c"))
+        named = named.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = store(components(named), "components")
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = grouped.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = joined.join(grouped.select("node"), "node", "left_anti")
+    return store(old.union(fresh.select("node", "component")), "components")

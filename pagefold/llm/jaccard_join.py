@@ -5,14 +5,15 @@ Two sets that are similar enough must share at least l shingles among the
 first (size - needed overlap + l) of each, for any l. The plain prefix
 filter takes l = 1; here each document takes the l whose longer prefix costs
 least, by the estimated number of other documents behind its prefix
-shingles. A pair becomes a candidate if it shares the smaller of its two l
-within both prefixes, and is then verified on the words themselves.
+shingles. A pair becomes a candidate if it shares as many prefix shingles as
+both its documents' prefixes and its two sizes allow to ask for, and is then
+verified on the words themselves.
 
 * Equal sets are one class; only classes are joined.
 * Frequencies for the order come from one sketch of counts over all
   documents: any order is right, a good one saves candidates. Its size is
   fixed, so it may be broadcast.
-* Large groups of near copies are first linked to a few centres and
+* Large groups of near copies are first linked by a few tries a document and
   contracted to components; then all candidate pairs *between* components
   are verified. No link between two components is lost, and no group is
   expanded into all its pairs.
@@ -21,6 +22,7 @@ within both prefixes, and is then verified on the words themselves.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import set_aside, slices, store, texts
-from .components import components
+from .common import scratch_path, set_aside, shuffle_partitions, slices, store, texts
+from .components import contract
 from .words import BLANK_WORDS, batch_word_hashes, gram_hashes, mix
 
 #: Counters of the frequency sketch, and of one stored piece of it.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNK = 1 << 14
 #: Most shared prefix shingles that a document may ask for.
 MOST_MATCHES = 4
@@ -99,22 +101,26 @@ def best_matches(cost: np.ndarray, plain: int, n: int) -> int:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Of every document its set size and signature; and, as rows of their own, the counts of the sketch by task."""
+    """Of every document its set size and signature; and, as rows of their own, the counts of the sketch by task.
+
+    A task counts to 255 at most for a counter, in a compressed byte each:
+    what is counted higher is frequent in any case.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for b in slices(batches):
             sets = shingle_sets(b["text"].to_pylist(), k)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=1 << SKETCH_BITS)
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([
                 b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.string()),
                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], SET_SCHEMA.names)
-        pieces = total.reshape(-1, CHUNK) if total.any() else total[:0].reshape(0, CHUNK)
+        codec = pa.Codec("zstd", 1)
+        pieces = np.minimum(total, 255).astype(np.uint8).reshape(-1, CHUNK) if total.any() else ()
         n = len(pieces)
         yield pa.RecordBatch.from_arrays([
             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(range(n), pa.int32()),
-            pa.array([p.astype("<u4").tobytes() for p in pieces], pa.binary())], SET_SCHEMA.names)
+            pa.array([codec.compress(p.tobytes(), asbytes=True) for p in pieces], pa.binary())], SET_SCHEMA.names)
 
     return texts(docs).mapInArrow(run, SET_SCHEMA)
 
@@ -122,22 +128,28 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 def sketch(sets: DataFrame) -> np.ndarray:
     """The summed sketch: a fixed number of counters, whatever the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
+        at, total, codec = None, None, pa.Codec("zstd", 1)
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())],
+                CHUNK_SCHEMA.names)
+
         for b in batches:
             for chunk, counts in zip(b["chunk"].to_pylist(), b["counts"].to_pylist()):
                 if chunk != at:
                     if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], CHUNK_SCHEMA.names)
+                        yield close()
                     at, total = chunk, np.zeros(CHUNK, dtype=np.int64)
-                total += np.frombuffer(counts, dtype="<u4")
+                total += np.frombuffer(codec.decompress(counts, CHUNK), dtype=np.uint8)
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], CHUNK_SCHEMA.names)
+            yield close()
 
-    out = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    out = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, dtype=np.uint32).reshape(-1, CHUNK)
     parts = sets.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
     for row in parts.mapInArrow(run, CHUNK_SCHEMA).collect():
-        out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return np.minimum(out.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
+        out[row["chunk"]] = np.frombuffer(row["counts"], dtype="<u4")
+    return out.reshape(-1)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -169,29 +181,30 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
 
 
 def shared_entries(classes: DataFrame) -> DataFrame:
-    """Index entries (``token``, ``node``, ``n``, ``matches``, ``level``) of tokens that two classes or more have.
-
-    ``level`` is the least number of matches whose prefix holds the entry.
-    """
-    entries = classes.select("node", "n", "matches", "plain", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "node", "n", "matches", F.greatest(F.lit(1), F.col("pos") - F.col("plain") + 2).alias("level"))
+    """Index entries (``token``, ``node``, ``n``, ``matches``, ``pos``) of tokens that two classes or more have."""
+    entries = classes.select("node", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "node", "n", "matches", "pos")
     per = Window.partitionBy("token")
     return entries.withColumn("many", F.count("*").over(per)).filter("many > 1").drop("many")
 
 
-def centre_pairs(entries: DataFrame) -> DataFrame:
-    """For each component's entries, the one other component's centre that it shares most prefix tokens with.
+def neighbour_pairs(entries: DataFrame, turn: int, most: int) -> DataFrame:
+    """For each node up to ``most`` nodes of other components that share prefix tokens with it.
 
-    The centre of a token is its smallest component's node; a node is paired
-    with one centre at most, so the pairs grow with the nodes.
+    The entries of each token are put in an order that is random, and
+    another one each ``turn``; neighbours there become pairs, two an entry at
+    most, and of its pairs a node keeps those that share most tokens. So the
+    pairs grow with the entries, whatever the size of a group; in a large
+    group of near copies a few of them suffice to connect nearly all.
     """
-    per = Window.partitionBy("token")
-    seen = entries.withColumns({"low": F.min("component").over(per)}).filter("component <> low")
-    heads = entries.groupBy("token").agg(F.min(F.struct("component", "node", "n")).alias("h"))
-    pairs = (seen.join(heads, "token").filter(_sizes_fit("n", "h.n"))
-             .groupBy("node", F.col("h.node").alias("b")).agg(F.count("*").alias("c")))
-    return (pairs.groupBy("node").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("m"))
-            .select(F.col("node").alias("a"), (-F.col("m.b")).alias("b")))
+    mixed = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+    other = lambda k: F.struct(*[F.lag(c, k).over(mixed).alias(c) for c in ("node", "component", "n")])
+    met = (entries.select("node", "component", "n", "percent", F.array(other(1), other(2)).alias("o"))
+           .select("node", "component", "n", "percent", F.explode("o").alias("o"))
+           .filter((F.col("component") != F.col("o.component")) & _sizes_fit("n", "o.n")))
+    shared = met.groupBy(F.col("node").alias("a"), F.col("o.node").alias("b")).agg(F.count("*").alias("c"))
+    first = Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64(F.lit(turn), "b"), "b")
+    return shared.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("a", "b")
 
 
 def _sizes_fit(a: str, b: str, percent: str = "percent") -> Column:
@@ -199,25 +212,29 @@ def _sizes_fit(a: str, b: str, percent: str = "percent") -> Column:
 
 
 def cross_pairs(entries: DataFrame) -> DataFrame:
-    """Candidate pairs between components: those that share the smaller of their two asked-for matches.
-
-    Within the entries of a token the component with most of them is not
-    joined with itself, so a group that is already linked costs its length,
-    not its square.
+    """Candidate pairs between components: those that share enough tokens of their prefixes.
+
+    Two sizes together need a larger overlap than either needs alone; what
+    that adds to the overlap can be asked for as matches besides those that
+    the document asked for itself, in prefixes no longer than the stored
+    ones. Within the entries of a token the component with most of them is
+    not joined with itself, so a group that is already linked costs its
+    length, not its square.
     """
-    per = Window.partitionBy("token")
     sizes = entries.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k"))
     marked = entries.join(main.filter("k > 1"), "token")
     left, right = (marked.select("token", "percent", *[F.col(c).alias(f"{c}_{s}") for c in
-                   ("node", "n", "matches", "level", "component")], (F.col("component") == F.col("main")).alias(f"main_{s}"))
+                   ("node", "n", "matches", "pos", "component")], (F.col("component") == F.col("main")).alias(f"main_{s}"))
                    for s in "xy")
+    both = F.ceil(F.expr("percent * (n_x + n_y) / (100 + percent)"))
+    alone = {s: F.ceil(F.expr(f"percent * n_{s} / 100")) for s in "xy"}
+    ask = F.least(*[F.col(f"matches_{s}") + both - alone[s] for s in "xy"])
+    near = [F.col(f"pos_{s}") < F.col(f"n_{s}") - both + ask for s in "xy"]
     met = (left.filter("not main_x").join(right.drop("percent"), "token")
            .filter((F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
-                   & _sizes_fit("n_x", "n_y")))
-    ask = F.least("matches_x", "matches_y")
-    return (met.filter(F.greatest("level_x", "level_y") <= ask)
-            .groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+                   & _sizes_fit("n_x", "n_y") & near[0] & near[1]))
+    return (met.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
             .agg(F.count("*").alias("c"), F.first(ask).alias("ask")).filter("c >= ask").select("a", "b"))
 
 
@@ -238,11 +255,21 @@ def verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], LINK_SCHEMA.names)
 
     one = pairs.join(contents.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(contents.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    heads = pairs.select(F.col("b").alias("node")).distinct().join(contents, "node")
+    two = one.join(heads.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK_SCHEMA)
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def bucketed(contents: DataFrame) -> DataFrame:
+    """``contents`` stored in buckets of ``node``, so that joins on it move only their other side."""
+    spark = contents.sparkSession
+    name, n = f"llm_texts_{uuid.uuid4().hex}", shuffle_partitions(spark)
+    (contents.repartition(n, "node").write.bucketBy(n, "node").sortBy("node")
+     .option("path", scratch_path(spark, "shingle-texts")).saveAsTable(name))
+    return spark.table(name)
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, partners: int = 16) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of ``percent`` or more of their ``k``-word shingles.
 
     Returns a row for each row of ``docs``: ``doc_id``, ``sig`` (signature of
@@ -250,8 +277,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> Dat
     that links reach. Null, empty and wordless texts have an empty set and
     are linked with nothing; texts of fewer words are one shingle; repeated
     rows have equal sets and so one group; other columns are ignored; an
-    empty table gives no rows. ``rounds`` of linking to centres precede the
-    join of all remaining candidates; their number changes no result.
+    empty table gives no rows. ``rounds`` in which each node tries a few
+    ``partners`` precede the join of all remaining candidates; neither number
+    changes the result.
     """
     sets = store(document_sets(docs, k), "shingle-sets")
     rows = sets.filter("chunk is null").select("doc_id", "n", "sig")
@@ -261,18 +289,19 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> Dat
     ).withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     entries = store(shared_entries(classes), "shared-entries")
     # one text of each class that has a shared entry, read once and kept by node for all verifications
-    wanted = entries.select("node").distinct().join(classes.select("node", "sig", "doc_id"), "node")
+    wanted = entries.select("node").distinct().join(
+        classes.select("node", F.col("sig").alias("of_sig"), F.col("doc_id").alias("of_id")), "node")
     keyed = with_signature(docs.select("doc_id", "text"), k)
-    contents = store(keyed.join(wanted, ["doc_id", "sig"]).groupBy("node").agg(F.first("text").alias("text")), "shingle-texts")
-    links, grouped = None, None
+    single = keyed.dropDuplicates(["doc_id", "sig"]).join(wanted, (keyed["sig"] == wanted["of_sig"]) & keyed["doc_id"].eqNullSafe(wanted["of_id"]))
+    contents = bucketed(single.select("node", F.coalesce("text", F.lit("")).alias("text")))
+    grouped = None
     for turn in range(rounds + 1):
         part = entries.withColumn("component", F.col("node")) if grouped is None else (
             entries.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
         part = part.withColumn("percent", F.lit(percent))
-        pairs = centre_pairs(part) if turn < rounds else cross_pairs(part)
-        fresh = store(verified(pairs, contents, k, percent), "shingle-links")
-        links = fresh if links is None else links.union(fresh)
-        grouped = store(components(links), "shingle-components")
+        pairs = neighbour_pairs(part, turn, partners) if turn < rounds else cross_pairs(part)
+        links = store(verified(store(pairs, "shingle-pairs"), contents, k, percent), "shingle-links")
+        grouped = contract(links, grouped)
     reach = classes.select("node", "sig", "doc_id").join(grouped, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -186,7 +186,7 @@ def posterior_column(table: DataFrame) -> Column:
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Measures, ``base_failed``, ``quality`` (posterior) and ``kept`` of every document.
+    """Measures, ``base_failed``, ``posterior`` and ``kept`` of every document.
 
     Null and empty texts have no words and fail the base rule; equal rows
     keep a row each; columns but ``doc_id`` and ``text`` are ignored; an
@@ -194,8 +194,8 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     stored, and patterns are counted on them.
     """
     table = store(measured(docs.select("doc_id", "text")).drop("text"), "quality-measures")
-    return (table.withColumn("quality", posterior_column(table)).withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)))
+    return (table.withColumn("posterior", posterior_column(table)).withColumn("base_failed", base_failed())
+            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -100,12 +100,10 @@ class Lexicon:
         for node, errors in self.sets[state]:
             if ch in self.children[node]:
                 items.add((self.children[node][ch], errors))
-            if not errors and node:
+            if not errors:
                 if self.long[node]:
                     items.add((node, 1))
                 items.update((child, 1) for c, child in self.children[node].items() if c != ch and self.long[child])
-            elif not errors:
-                items.update((child, 1) for c, child in self.children[0].items() if c != ch and self.long[child])
         out = self._state(self._close(items)) if items else -1
         if len(self.sets) < 200_000:
             self.step[state][ch] = out

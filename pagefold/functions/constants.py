@@ -123,12 +123,6 @@ BASE64_MAX_BYTES = 5_000_000
 # V5 model-name formats (root service, service)
 ROOT_MODEL_REGEX = r"^[a-zA-Z0-9-]+$"
 SERVICE_MODEL_REGEX = r"^[a-zA-Z0-9.-]+$"
-# S8 MIME -> extension as Python's mimetypes.guess_extension gives it
-EXTENSION_BY_MIME = [
-    ("image/jpeg", ".jpg"), ("image/png", ".png"), ("image/gif", ".gif"), ("image/webp", ".webp"),
-    ("image/svg+xml", ".svg"), ("video/mp4", ".mp4"), ("video/webm", ".webm"),
-]
-
 # R-hybrid: field -> ordered patterns (first match wins, on lower-cased text)
 HYBRID_PATTERNS = {
     "founded": [r"founded\s+in?\s+(\d{4})", r"established\s+in?\s+(\d{4})",
@@ -200,13 +194,7 @@ PROFILE_SECTIONS = [
 ]
 NOT_AVAILABLE = "Not available"
 NO_LOCATION = "No location found"
-# S7/P19 MIME by extension and the default
-MIME_BY_EXTENSION = [
-    (".jpg", "image/jpeg"), (".jpeg", "image/jpeg"), (".png", "image/png"),
-    (".gif", "image/gif"), (".webp", "image/webp"), (".svg", "image/svg+xml"),
-    (".mp4", "video/mp4"), (".webm", "video/webm"), (".mov", "video/quicktime"),
-    (".avi", "video/x-msvideo"), (".pdf", "application/pdf"),
-]
+# S7/P19 default
 DEFAULT_MIME = "application/octet-stream"
 # V* validation limits
 MAX_URL_LENGTH = 2048

@@ -7,12 +7,15 @@ a media/link reference. Everything else is built-in expressions.
 
 from __future__ import annotations
 
+import mimetypes
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import DEFAULT_MIME, MIME_BY_EXTENSION
+from .constants import DEFAULT_MIME
 
 
 def _col(c) -> Column:
@@ -87,8 +90,17 @@ def content_hash(content, url) -> Column:
     return F.substring(F.sha2(F.concat(_col(content), F.encode(_col(url), "UTF-8")), 256), 1, 32)
 
 
+@lru_cache(maxsize=1)
+def mime_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """MIME type by extension, and extension by MIME type, as Python's
+    mimetypes has them by default (no files of the machine are read)."""
+    known = mimetypes.MimeTypes()
+    by_name = known.types_map[True]
+    return by_name, {t: known.guess_extension(t) for t in set(by_name.values())}
+
+
 def mime_from_name(c) -> Column:
     """MIME type by file extension, else application/octet-stream."""
-    m = F.create_map(*[x for kv in MIME_BY_EXTENSION for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    m = F.create_map(*[F.lit(x) for kv in sorted(mime_tables()[0].items()) for x in kv])
     ext = F.concat(F.lit("."), F.lower(F.regexp_extract(_col(c), r"\.([^./]+)$", 1)))
     return F.coalesce(F.try_element_at(m, ext), F.lit(DEFAULT_MIME))

@@ -14,6 +14,8 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CACHE_DDL = "url string, type string, data string, expires_at bigint, created_at bigint"
 
 
@@ -61,13 +63,16 @@ def get_or_set(requests: DataFrame, cache: DataFrame, getter: Callable[[DataFram
                now: int, ttl: int, boundary: str = "root") -> tuple[DataFrame, DataFrame]:
     """Hits are answered from the cache; misses (and expired rows)
     are computed by ``getter(misses) -> (url, type, data)`` and written
-    back. Returns (answers with ``hit`` flag, new cache table)."""
+    back. Returns (answers with ``hit`` flag, new cache table). The getter
+    gets each missing key once, and its output is stored before it feeds
+    both results, so it runs once; repeated requests share its answer."""
     looked = lookup(requests, cache, now, boundary)
     hits = looked.filter(F.col("cache_status") == "hit").select(
         "url", "type", F.col("cached_data").alias("data"), F.lit(True).alias("hit"))
-    misses = looked.filter(F.col("cache_status") != "hit").select("url", "type")
-    computed = getter(misses).select("url", "type", "data")
-    answers = hits.unionByName(computed.withColumn("hit", F.lit(False)))
+    missed = looked.filter(F.col("cache_status") != "hit").select("url", "type")
+    computed = materialize(getter(missed.distinct()).select("url", "type", "data"), "cache-computed")
+    answers = hits.unionByName(missed.join(computed, ["url", "type"]).select(
+        "url", "type", "data", F.lit(False).alias("hit")))
     writes = computed.select("url", "type", "data", F.lit(now + ttl).cast("long").alias("expires_at"),
                              F.lit(now).cast("long").alias("created_at"))
     return answers, upsert(purge_expired(cache, now, boundary), writes)

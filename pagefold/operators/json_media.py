@@ -1,9 +1,12 @@
 """Media references inside LLM JSON results (M13, M14, M15, M16 apply).
 
-The walk is recursive and order-sensitive (a url is later deduplicated
-"first seen"), and JSON object key order is not kept by VARIANT, so it is a
-small per-document helper in an Arrow-batched pandas UDF; it runs only on
-the (gated, few) LLM result rows. Dedupe and scoring are DataFrame ops.
+A result's references are wanted in document order (a url is later
+deduplicated "first seen"), and JSON object key order is not kept by
+VARIANT, so one small helper flattens each document into its string leaves
+in an Arrow-batched pandas UDF, with a stack instead of recursion, so any
+depth that the JSON parser reads is safe. Which leaves are media, dedupe and
+scoring are DataFrame expressions. It runs only on the (gated, few) LLM
+result rows.
 """
 
 from __future__ import annotations
@@ -11,70 +14,67 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.constants import IMAGE_EXTENSIONS, MEDIA_JSON_KEYS, VIDEO_EXTENSIONS
+from ..functions.constants import IMAGE_EXTENSIONS, MEDIA_JSON_KEYS, VIDEO_EXTENSIONS, alternation
 
-_MEDIA_EXT = IMAGE_EXTENSIONS + VIDEO_EXTENSIONS
-_ITEM = T.StructType([T.StructField("media_url", T.StringType()), T.StructField("type", T.StringType()),
-                      T.StructField("path", T.StringType())])
+_LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()),
+                      T.StructField("value", T.StringType())])
 
 
-def _kind(value: str) -> str:
-    low = value.lower()
-    return "video" if any(e in low for e in VIDEO_EXTENSIONS) else "image"
+def string_leaves(doc) -> list[tuple[str, str | None, str]]:
+    """(path, own key, value) of every string in a JSON document, in order.
 
+    An object's member has its key as ``name``; an array's item has none.
+    """
+    leaves = []
+    todo = [("", None, doc)]
+    while todo:
+        path, name, node = todo.pop()
+        if isinstance(node, str):
+            leaves.append((path, name, node))
+        elif isinstance(node, list):
+            todo += [(f"{path}[{i}]", None, node[i]) for i in reversed(range(len(node)))]
+        elif isinstance(node, dict):
+            todo += [(f"{path}.{k}" if path else k, k, node[k]) for k in reversed(list(node))]
+    return leaves
 
-def walk_json(doc, mode: str = "api") -> list[tuple[str, str, str]]:
-    """(url, type, path) in visiting order. ``api`` (M13): a media key with a
-    string value that has a media extension; ``app`` (M14): any string under a
-    media key, plus any bare string with a media extension."""
-    out: list[tuple[str, str, str]] = []
 
-    def visit(node, path):
-        if isinstance(node, dict):
-            for key, value in node.items():
-                cur = f"{path}.{key}" if path else key
-                if key.lower() in MEDIA_JSON_KEYS and isinstance(value, str):
-                    if mode == "app" or any(e in value.lower() for e in _MEDIA_EXT):
-                        out.append((value, _kind(value), cur))
-                elif isinstance(value, (dict, list)):
-                    visit(value, cur)
-        elif isinstance(node, list):
-            for i, item in enumerate(node):
-                visit(item, f"{path}[{i}]")
-        elif mode == "app" and isinstance(node, str):
-            if any(e in node.lower() for e in _MEDIA_EXT):
-                out.append((node, _kind(node), path))
-
-    root = doc["content"] if isinstance(doc, dict) and "content" in doc else doc
-    visit(root, "")
-    return out
-
-
-def _walker(mode: str):
-    @F.pandas_udf(T.ArrayType(_ITEM))
-    def walk(js: pd.Series) -> pd.Series:
-        res = []
-        for s in js:
-            try:
-                doc = json.loads(s) if s is not None else None
-            except ValueError:
-                doc = None
-            res.append([{"media_url": u, "type": t, "path": p} for u, t, p in walk_json(doc, mode)]
-                       if doc is not None else [])
-        return pd.Series(res)
-    return walk
+@F.pandas_udf(T.ArrayType(_LEAF))
+def _leaves(js: pd.Series) -> pd.Series:
+    def of(text):
+        try:
+            doc = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            return []
+        if isinstance(doc, dict) and "content" in doc:
+            doc = doc["content"]
+        return [dict(zip(("path", "name", "value"), leaf)) for leaf in string_leaves(doc)]
+    return js.map(of)
+
+
+def _any_in(value: Column, extensions) -> Column:
+    return F.lower(value).rlike(alternation(extensions))
 
 
 def ai_media(results: DataFrame, json_col: str, keys: list[str], mode: str = "api") -> DataFrame:
     """One row per media reference found in each JSON result, with
-    ``ord`` (visiting order) and context "AI found: <path>"."""
-    w = results.select(*keys, F.posexplode(_walker(mode)(F.col(json_col))).alias("ord", "m"))
-    return w.select(*keys, "ord", F.col("m.media_url").alias("media_url"), F.col("m.type").alias("type"),
-                    F.concat(F.lit("AI found: "), F.col("m.path")).alias("context"))
+    ``ord`` (document order) and context "AI found: <path>". ``api`` (M13): a
+    string under a media key that has a media extension; ``app`` (M14): any
+    string under a media key, and any array item or bare string that has a
+    media extension."""
+    def refers(leaf: Column) -> Column:
+        under = F.coalesce(F.lower(leaf["name"]).isin(*MEDIA_JSON_KEYS), F.lit(False))
+        looks = _any_in(leaf["value"], IMAGE_EXTENSIONS + VIDEO_EXTENSIONS)
+        return under & looks if mode == "api" else under | (leaf["name"].isNull() & looks)
+
+    leaves = results.select(*keys, _leaves(F.col(json_col)).alias("leaves"))
+    return leaves.select(*keys, F.posexplode(F.filter("leaves", refers)).alias("ord", "m")).select(*keys, "ord", "m.*").select(
+        *keys, "ord", F.col("value").alias("media_url"),
+        F.when(_any_in(F.col("value"), VIDEO_EXTENSIONS), "video").otherwise("image").alias("type"),
+        F.concat(F.lit("AI found: "), "path").alias("context"))
 
 
 def first_seen(html_media: DataFrame, llm_media: DataFrame, key: str = "page_id") -> DataFrame:

@@ -180,14 +180,17 @@ def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
         nav = nav.unionByName(allk.drop("t"))
     first_nav = nav.groupBy("root_id").agg(
         F.min_by("href", F.struct("area", "outer", "node_id")).alias("nav_href"))
-    probes = pages.filter(~F.col("has_about_content")).select(
-        "page_id", "domain", F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("prank", "path"))
-    probes = probes.withColumn("probe_url", resolve_url("domain", "path"))
+    # only sites whose root page was crawled are probed; the paths start with
+    # "/", so a path is resolved by appending it to the site
+    probes = pages.filter(~F.col("has_about_content")).join(roots.select("domain"), "domain", "left_semi").select(
+        "page_id", F.posexplode(F.array(*[F.concat(F.col("domain"), F.lit(p)) for p in paths])).alias("prank", "probe_url"))
     existing = probes.join(corpus_urls.select(F.col("url").alias("probe_url")).distinct(), "probe_url",
                            "left_semi")
     first_path = existing.groupBy("page_id").agg(F.min_by("probe_url", "prank").alias("path_url"))
-    out = (pages.join(roots, "domain", "left").join(first_nav, "root_id", "left")
-           .join(first_path, "page_id", "left"))
+    # the navigation link is looked up by site, so pages without a crawled
+    # root page do not meet on one NULL key
+    site_nav = roots.join(first_nav, "root_id").select("domain", "nav_href")
+    out = pages.join(site_nav, "domain", "left").join(first_path, "page_id", "left")
     nav_url = F.when(F.col("nav_href").isNotNull(), resolve_url("domain", "nav_href"))
     about = F.when(F.col("has_about_content"), F.col("url")).otherwise(
         F.coalesce(nav_url, F.col("path_url"), F.col("url")))

@@ -148,15 +148,22 @@ def split_media_types(elements: DataFrame) -> DataFrame:
     return by_tag.unionByName(by_url)
 
 
-def media_summary(media: DataFrame) -> DataFrame:
-    """G1: per-page counts over ALL media of the split list."""
+def pages_of(elements: DataFrame) -> DataFrame:
+    """The ``page_id`` of every parsed page, with or without media."""
+    return elements.filter(F.col("tag") == "[document]").select("page_id")
+
+
+def media_summary(media: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """G1: per-page counts over ALL media of the split list. With ``pages``
+    (``pages_of`` the elements) a page without media has a row of zeros."""
     t = F.col("type")
-    return media.groupBy("page_id").agg(
+    counts = media.groupBy("page_id").agg(
         F.count("*").alias("total_assets"),
         F.count_if(t == "image").alias("images_count"),
         F.count_if(t.isin("video", "iframe")).alias("videos_count"),
         F.count_if(t == "document").alias("documents_count"),
         F.count_if(t == "icon").alias("icons_count"))
+    return counts if pages is None else pages.join(counts, "page_id", "left").fillna(0)
 
 
 # ----------------------------------------------------------------- hybrid (M1-M5)

@@ -171,7 +171,7 @@ def llm_cost_rollup(calls: DataFrame) -> DataFrame:
     out = None
     for label, secs in (("hour", 3600), ("day", 86400)):
         g = calls.groupBy(window_start(F.col("ts"), F.lit(secs)).alias("window_start")).agg(
-            F.sum("cost_estimate_usd").alias("cost_usd"), F.sum("prompt_tokens").alias("prompt_tokens"),
+            fixed_sum("cost_estimate_usd").alias("cost_usd"), F.sum("prompt_tokens").alias("prompt_tokens"),
             F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"))
         g = g.withColumn("period", F.lit(label))
         out = g if out is None else out.unionByName(g)

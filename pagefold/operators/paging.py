@@ -116,14 +116,15 @@ def decode_json_cursor_value(cursor: str | None) -> tuple[int, bool]:
 
 
 # ---------------------------------------------------------------- split pages
-def split_page(media: DataFrame, cursor: str | None, limit: int,
-               media_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+def split_page(media: DataFrame, cursor: str | None, limit: int, media_type: str | None = None,
+               pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """W3+W5+W9+F10: one page of the priority-sorted media list per page_id
     for a cursor. Returns (items, meta). The slice is a first-k
     (start+limit) per page, so the map-side WindowGroupLimit bounds what
     each task ships; totals come from a separate partial count, kept apart
     so the first-k rewrite survives. The media_type filter applies AFTER
-    the slice and leaves counts and cursors untouched."""
+    the slice and leaves counts and cursors untouched. With ``pages``
+    (``page_id`` of every page) a page without media has its meta row too."""
     start = decode_text_cursor_value(cursor)
     m = media.withColumn("_pdesc", -F.col("priority"))
     w = Window.partitionBy("page_id").orderBy("_pdesc", "class_rank", "node_id")
@@ -132,6 +133,8 @@ def split_page(media: DataFrame, cursor: str | None, limit: int,
     if media_type:
         items = items.filter(F.col("type") == media_type)
     totals = media.groupBy("page_id").agg(F.count("*").alias("total_count"))
+    if pages is not None:
+        totals = pages.join(totals, "page_id", "left").fillna(0, ["total_count"])
     return items, page_meta_split(totals, start, limit)
 
 

@@ -39,7 +39,9 @@ def classic_combined(elements: DataFrame, model_fn: ModelFn, fallback_fn: ModelF
     cands = about.select("page_id", "url", F.posexplode(
         F.when(F.col("about_url") != F.col("url"), F.array("about_url", "url")).otherwise(F.array("url")))
         .alias("try_rank", "try_url"))
-    texts = page_texts(corpus).select(F.col("about_url").alias("try_url"), F.col("about_text").alias("text"))
+    # a recrawled url keeps the text of its lowest page_id: one model call
+    texts = page_texts(corpus).groupBy(F.col("about_url").alias("try_url")).agg(
+        F.min_by("about_text", "about_page_id").alias("text"))
     cands = cands.join(texts, "try_url", "inner")            # unfetchable candidates are skipped
     cands = cands.withColumn("prompt", build_prompt(F.lit(system_prompt), F.col("text")))
     answered = enrich(cands.select("page_id", "url", "try_rank", "try_url", "prompt"), model_fn, fallback_fn)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.media import split_media, split_media_types
+from ..operators.media import pages_of, split_media, split_media_types
 from ..operators.topk import first_k
 from ..operators.paging import decode_text_cursor_value, encode_text_cursor
 
@@ -51,9 +51,10 @@ def media_endpoint(elements: DataFrame, cursor: str | None = None, limit: int =
     items = head.filter(in_slice).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.when(keep, item))).alias("_items"),
         F.count(F.lit(1)).alias("current_page_count"))
-    agg = counts.join(items, "page_id", "left").select(
+    # a row for every page: one without media has an empty list and zero totals
+    agg = pages_of(elements).join(counts, "page_id", "left").join(items, "page_id", "left").select(
         "page_id", F.coalesce("_items", F.array().cast(items.schema["_items"].dataType)).alias("_items"),
-        F.coalesce("current_page_count", F.lit(0)).alias("current_page_count"), "total_assets", *COUNTS)
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("current_page_count", "total_assets", *COUNTS)])
     total = F.col("total_assets")
     end = F.least(F.lit(start + limit), total)
     has_more = end < total

@@ -190,10 +190,10 @@ SELECT metric, count(*) AS samples, (round((sum(value)) * 1000) / 1000) AS total
 def g13_metrics_from_bodies(spark, sf_dir):
     """Metric rows derived from response bodies — LLM usage, one media
     row per item, cache hit/miss — totalled per metric."""
-    from ..functions.numeric import round_places
+    from ..functions.numeric import fixed_sum, round_places
     from ..operators.metrics import metrics_from_bodies
     m = metrics_from_bodies(response_bodies(spark, sf_dir), "body")
-    return m.groupBy("metric").agg(F.count("*").alias("samples"), round_places(F.sum("value"), 3).alias("total"))
+    return m.groupBy("metric").agg(F.count("*").alias("samples"), round_places(fixed_sum("value"), 3).alias("total"))
 
 
 def llm_check_results(spark, sf_dir):

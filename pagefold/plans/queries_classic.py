@@ -15,7 +15,7 @@ from ..operators.llm import (
 from ..operators.media import classic_media, priority_classic
 from ..operators.paging import decode_json_cursor, decode_json_cursor_value, page_meta_root, position_within
 from ..operators.topk import first_k
-from ..session import table
+from ..session import materialize_elements, table
 from ..sources.html import parse_pages
 from ..sources.standin import ABOUT_PAGE_OFFSET, company_site, gallery_pages
 from .classic import classic_combined, combine
@@ -57,7 +57,7 @@ def m10_m16_classic_media(spark, sf_dir):
     """Classic HTML media (branding filter, video
     and source tags, CSS backgrounds), first-seen dedupe, context priority,
     stable priority order."""
-    el = parse_pages(gallery_pages(spark, sf_dir))
+    el = materialize_elements(parse_pages(gallery_pages(spark, sf_dir)), "gallery-elements")
     html = classic_media(el)
     none = html.limit(0).select("page_id", F.lit(0).alias("ord"), "media_url", "type", "context")
     m = first_seen(html, none)
@@ -103,7 +103,7 @@ SELECT page_id, CAST(count_if(type = 'image') AS BIGINT) AS image_count,
 """)
 def g4_classic_media_counts(spark, sf_dir):
     """Image and video counts per page over the classic media list."""
-    m = classic_media(parse_pages(gallery_pages(spark, sf_dir)))
+    m = classic_media(materialize_elements(parse_pages(gallery_pages(spark, sf_dir)), "gallery-elements"))
     return m.groupBy("page_id").agg(F.count_if(F.col("type") == "image").alias("image_count"),
                                     F.count_if(F.col("type") == "video").alias("video_count"))
 
@@ -223,7 +223,7 @@ def qd_classic_combined(spark, sf_dir):
     """Q-D with the deterministic stand-in model: classic profile via the
     About fallback ladder and the model, classic media from HTML and the
     LLM result, combined per page (J5)."""
-    el = parse_pages(company_site(spark, sf_dir))
+    el = materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements")
     home = el.filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
     profile, media = classic_combined(home, stub_profile_model, lenient_fallback_model, corpus=el)
     c = combine(profile, media)
@@ -260,7 +260,7 @@ def g3_l7_prompt_comparison(spark, sf_dir, batch_size: int = 20):
     """G3/L7/X8/L6 with the deterministic stand-in model: each prompt variant
     over the first ``batch_size`` urls, completeness errors, success rate
     (divided by batch_size, Q12) and mean media count."""
-    el = parse_pages(company_site(spark, sf_dir)).filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
+    el = materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements").filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
     from ..operators.links import page_texts
     pages = page_texts(el).select(F.col("about_url").alias("url"), F.col("about_text").alias("text"))
     batch = pages.orderBy("url").limit(batch_size)          # the batch is the feature

@@ -14,13 +14,14 @@ from ..operators.paging import position_within
 from ..operators.sections import sections
 from ..plans.intelligent import intelligent
 from ..plans.text_v4 import text_v4
+from ..session import materialize_elements
 from ..sources.html import parse_pages
 from ..sources.standin import ABOUT_PAGE_OFFSET, company_site
 from .registry import register
 
 
 def site_elements(spark, sf_dir):
-    return parse_pages(company_site(spark, sf_dir))
+    return materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements")
 
 
 def home_only(df):

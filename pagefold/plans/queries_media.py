@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.media import hybrid_media, hybrid_summary, media_summary, simple_media, split_media, svc_media
+from ..operators.media import (
+    hybrid_media, hybrid_summary, media_summary, pages_of, simple_media, split_media, svc_media,
+)
 from ..operators.paging import all_pages, split_page
 from ..operators.thumbs import PLACEHOLDER_URL
+from ..session import materialize_elements
 from ..sources.html import parse_pages
 from ..sources.standin import gallery_pages
+from .media_pages import media_endpoint
 from .registry import register
 
 
 def gallery_elements(spark, sf_dir):
-    return parse_pages(gallery_pages(spark, sf_dir))
+    """The parsed galleries, stored so that a query's branches share one parse."""
+    return materialize_elements(parse_pages(gallery_pages(spark, sf_dir)), "gallery-elements")
 
 
 # DuckDB: the expected media of every gallery item, from part columns.
@@ -80,6 +85,29 @@ def g1_split_media_summary(spark, sf_dir):
     return media_summary(split_media(gallery_elements(spark, sf_dir)))
 
 
+@register("g1_w9_pages_without_media", oracle=GALLERY_SQL + """
+, pages AS (
+  SELECT DISTINCT page_id FROM split
+  UNION ALL SELECT DISTINCT page_id + 1000000000 FROM split
+)
+SELECT p.page_id, count(s.type) AS total_assets, CAST(coalesce(count_if(s.type = 'image'), 0) AS BIGINT) AS images_count,
+       count(s.type) AS total_count, count(s.type) > 20 AS has_more, least(20, count(s.type)) AS items_on_page
+FROM pages p LEFT JOIN split s USING (page_id) GROUP BY p.page_id
+""")
+def g1_w9_pages_without_media(spark, sf_dir):
+    """G1, W9 and Q-B answer for every page: each gallery has a second page of
+    prose only, which has zero totals and an empty list."""
+    galleries = gallery_pages(spark, sf_dir)
+    prose = galleries.select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat("url", F.lit("?prose")).alias("url"),
+                             F.lit("<html><body><p>No media here</p></body></html>").alias("html"))
+    elements = materialize_elements(parse_pages(galleries.unionByName(prose)), "gallery-elements")
+    media, pages = split_media(elements), pages_of(elements)
+    summary = media_summary(media, pages).select("page_id", "total_assets", "images_count")
+    _, meta = split_page(media, None, 20, pages=pages)
+    listed = media_endpoint(elements, None, 20).select("page_id", F.size("media_assets").cast("long").alias("items_on_page"))
+    return (summary.join(meta.select("page_id", "total_count", "has_more"), "page_id").join(listed, "page_id"))
+
+
 @register("w12_all_media_pages", oracle=GALLERY_SQL + """
 SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST((pos - 1) // 20 AS INTEGER) AS page_no, media_url, priority
 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, class_rank, pk) AS pos FROM split)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace, normalize_url, truncate
 from ..operators.page import link_list, links, page_fields, page_header
-from ..session import table
+from ..session import materialize_elements, table
 from ..sources.html import parse_pages
 from .registry import register
 
@@ -17,7 +17,7 @@ _DECODE = ("replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&lt;'
 
 
 def elements_of(spark, sf_dir):
-    return parse_pages(table(spark, sf_dir, "pages"))
+    return materialize_elements(parse_pages(table(spark, sf_dir, "pages")), "page-elements")
 
 
 @register("p2_p4_page_header", oracle=f"""

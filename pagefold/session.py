@@ -51,11 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator sets this to a shared file system path and we
-    only read it. Only when it is unset (local tests) do we pick a fresh
-    scratch folder.
+    only read it; there, executors cannot see a folder of the driver's own
+    machine, so an unset path is an error. Only a local master (tests) gets a
+    fresh scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pagefold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -92,12 +92,13 @@ ELEMENT_SCHEMA = pa.schema([
     ("text", pa.string()),
     ("text_stripped", pa.string()),
     ("text_head", pa.string()),
+    ("parse_error", pa.string()),
 ])
 
 ELEMENT_DDL = (
     "page_id bigint, url string, node_id int, end_id int, parent_id int, "
     "depth int, tag string, attrs map<string,string>, classes array<string>, "
-    "rel array<string>, text string, text_stripped string, text_head string"
+    "rel array<string>, text string, text_stripped string, text_head string, parse_error string"
 )
 
 
@@ -115,6 +116,7 @@ class _TreeParser(HTMLParser):
         self.text_len = 0
         self.strip_parts: list[str] = []
         self.strip_len = 0
+        self.at = 0           # place of the construct at hand in rawdata
         self.hidden = 0       # open non-text containers
         self.preserve = 0     # open pre/textarea
 
@@ -204,8 +206,28 @@ class _TreeParser(HTMLParser):
         if t in PRESERVE_WS_TAGS:
             self.preserve -= 1
 
+    def updatepos(self, i: int, j: int) -> int:
+        self.at = j
+        return super().updatepos(i, j)
+
+    def unread(self) -> str:
+        """Takes back what has not been parsed, from the construct at hand."""
+        rest, self.rawdata = self.rawdata[self.at:], ""
+        return rest
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that the stdlib refuses (``<![foo[x]]>``) is read as
+        a bogus comment, as browsers do, and parsing goes on behind it."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i, 0)
+
     def finish(self) -> None:
         self.close()
+        self.end_page()
+
+    def end_page(self) -> None:
         self._flush()
         while len(self.stack) > 1:
             self._close(self.stack.pop())
@@ -215,20 +237,29 @@ class _TreeParser(HTMLParser):
         root[8] = self.strip_len
 
 
-def parse_html(html: str) -> tuple[list[list], str, str]:
-    """Parse one page; returns (nodes, full_text, stripped_text)."""
+def parse_html(html: str) -> tuple[list[list], str, str, str | None]:
+    """Parse one page; returns (nodes, full_text, stripped_text, error).
+
+    If the tokenizer raises on markup that it cannot read, that one "<" is
+    taken as text and the rest of the page is parsed; ``error`` names the
+    first such fault, so the page can be told from a clean one."""
     p = _TreeParser()
-    try:
-        p.feed(html or "")
-        p.finish()
-    except Exception:  # malformed input: keep what was parsed so far
-        p._flush()
-        while len(p.stack) > 1:
-            p._close(p.stack.pop())
-        p.nodes[0][4] = len(p.nodes) - 1
-        p.nodes[0][6] = p.text_len
-        p.nodes[0][8] = p.strip_len
-    return p.nodes, "".join(p.text_parts), "".join(p.strip_parts)
+    rest, error = html or "", None
+    while True:
+        try:
+            p.feed(rest)
+            p.finish()
+            break
+        except (AssertionError, ValueError, IndexError) as e:
+            error = error or f"{type(e).__name__}: {e}"[:200]
+            rest = p.unread()
+            if rest:
+                p.handle_data(rest[:1])
+            else:       # nothing is left to parse: close what is open
+                p.end_page()
+                break
+            rest = rest[1:]
+    return p.nodes, "".join(p.text_parts), "".join(p.strip_parts), error
 
 
 def _split_ws(value):
@@ -244,7 +275,7 @@ def _batches(it: Iterator[pa.RecordBatch], all_text: bool = False) -> Iterator[p
         htmls = batch.column("html").to_pylist()
         cols: dict[str, list] = {f.name: [] for f in ELEMENT_SCHEMA}
         for pid, url, html in zip(ids, urls, htmls):
-            nodes, text, stext = parse_html(html)
+            nodes, text, stext, error = parse_html(html)
             for i, (tag, amap, parent, depth, end_id, t0, t1, s0, s1) in enumerate(nodes):
                 cols["page_id"].append(pid)
                 cols["url"].append(url)
@@ -253,6 +284,7 @@ def _batches(it: Iterator[pa.RecordBatch], all_text: bool = False) -> Iterator[p
                 cols["parent_id"].append(parent)
                 cols["depth"].append(depth)
                 cols["tag"].append(tag)
+                cols["parse_error"].append(None if i else error)
                 if amap is None:
                     cols["attrs"].append(None)
                     cols["classes"].append(None)
@@ -282,15 +314,10 @@ def parse_pages(pages: DataFrame, full_text: str = "needed") -> DataFrame:
 
     Pages are independent, so the parse is a narrow map: no shuffle, each
     task parses the pages of its own input split. Only the three needed
-    columns are read from the source. A source with fewer splits than the
-    cluster has cores (a small test file) is spread round-robin first; a
-    large crawl already has many splits and is never shuffled here.
+    columns are read from the source, in the splits of its reader
+    (``spark.sql.files.maxPartitionBytes``); nothing is shuffled here.
     """
     src = pages.select("page_id", "url", "html")
-    spark = pages.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < cores:
-        src = src.repartition(cores)
     all_text = full_text == "all"
 
     def run(it):

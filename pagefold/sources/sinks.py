@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import EXTENSION_BY_MIME
-from ..functions.urls import content_hash, mime_from_name
+from ..functions.urls import content_hash, mime_from_name, mime_tables
 
 
 def url_extension(url) -> Column:
@@ -51,7 +50,7 @@ def write_store(store: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def url_addressed_name(url, mime) -> Column:
     """``md5(url)`` + the MIME type's extension, else ".bin"."""
-    m = F.create_map(*[x for kv in EXTENSION_BY_MIME for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    m = F.create_map(*[F.lit(x) for kv in sorted(mime_tables()[1].items()) for x in kv])
     mm = F.col(mime) if isinstance(mime, str) else mime
     u = F.col(url) if isinstance(url, str) else url
     return F.concat(F.md5(u), F.coalesce(F.try_element_at(m, mm), F.lit(".bin")))

@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagefold.functions.text import supplied_text_override
-from pagefold.operators.json_media import walk_json
+from pagefold.functions.urls import mime_from_name
+from pagefold.operators.cache import CACHE_DDL, get_or_set
+from pagefold.operators.json_media import ai_media, first_seen
 from pagefold.operators.links import classic_about_page
 from pagefold.operators.llm import classic_profile, enrich, failure_profile, meaningful_profile
 from pagefold.operators.media import hybrid_media
@@ -66,10 +68,10 @@ def test_seed_harvest_stops_after_enough_queries(spark):
 
 
 def test_url_addressed_name_and_sinks(spark):
-    df = spark.createDataFrame([("https://a.com/x", "image/png"), ("https://a.com/y", "text/plain")],
+    df = spark.createDataFrame([("https://a.com/x", "image/png"), ("https://a.com/y", "text/plain"), ("https://a.com/z", "x/none")],
                                "url string, mime string")
     names = [r[0] for r in df.select(url_addressed_name("url", "mime")).collect()]
-    assert names[0].endswith(".png") and names[1].endswith(".bin") and len(names[0]) == 36
+    assert names[0].endswith(".png") and names[1].endswith(".txt") and names[2].endswith(".bin") and len(names[0]) == 36
     env = spark.createDataFrame([(1, "p", "m")], "page_id long, profile string, media string")
     assert result_mode(env, "profile", ["profile"], ["media"]).columns == ["page_id", "profile"]
     out = tempfile.mkdtemp(prefix="pf-json-") + "/r"
@@ -127,13 +129,53 @@ def test_enrich_isolation_fallback_and_profile(spark):
     assert (fp["about_us"], fp["locations"], fp["success"]) == ("Not available", "No location found", False)
 
 
-def test_json_walk_modes():
+def test_json_media_modes(spark):
     doc = {"content": {"logo": "https://x/l.png", "photos": ["https://x/a.jpg", "plain"],
                        "media": {"clip": "https://x/c.mp4"}, "video": "no-ext"}}
-    assert walk_json(doc, "api") == [("https://x/l.png", "image", "logo"),
-                                     ("https://x/c.mp4", "video", "media.clip")]
-    app = walk_json(doc, "app")
-    assert ("https://x/a.jpg", "image", "photos[0]") in app and ("no-ext", "image", "video") in app
+    deep = "[" * 400 + '"https://x/deep.png"' + "]" * 400
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, None), (3, "not json"), (4, deep), (5, '["b.PNG", {"image": "x.gif"}]')],
+                               "id int, js string")
+    found = {mode: [(r["id"], r["media_url"], r["type"], r["context"].removeprefix("AI found: "))
+                    for r in ai_media(df, "js", ["id"], mode).orderBy("id", "ord").collect()] for mode in ("api", "app")}
+    assert found["api"] == [(1, "https://x/l.png", "image", "logo"), (1, "https://x/c.mp4", "video", "media.clip"),
+                            (5, "x.gif", "image", "[1].image")]
+    assert found["app"] == [(1, "https://x/l.png", "image", "logo"), (1, "https://x/a.jpg", "image", "photos[0]"),
+                            (1, "https://x/c.mp4", "video", "media.clip"), (1, "no-ext", "image", "video"),
+                            (4, "https://x/deep.png", "image", "[0]" * 400), (5, "b.PNG", "image", "[0]"),
+                            (5, "x.gif", "image", "[1].image")]
+
+
+def test_html_and_llm_media_are_deduplicated_first_seen(spark):
+    html = spark.createDataFrame([(1, "u1", "image", "html", 0, 5, 0), (1, "u2", "video", "html", 1, 2, 0)],
+                                 "page_id long, media_url string, type string, context string, pass_no int, node_id int, sub int")
+    llm = spark.createDataFrame([(1, "u2", "image", "llm", 0), (1, "u3", "image", "llm", 1), (1, "u3", "video", "again", 2)],
+                                "page_id long, media_url string, type string, context string, ord int")
+    got = {(r["media_url"], r["type"], r["context"]) for r in first_seen(html, llm).collect()}
+    assert got == {("u1", "image", "html"), ("u2", "video", "html"), ("u3", "image", "llm")}
+
+
+def test_get_or_set_computes_each_missing_key_once(spark):
+    cache = spark.createDataFrame([("a", "t", "A", 100, 0), ("old", "t", "O", 5, 0)], CACHE_DDL)
+    requests = spark.createDataFrame([("a", "t"), ("b", "t"), ("b", "t"), ("c", "t"), ("old", "t"), ("b", "t")], "url string, type string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def getter(misses):
+        def run(batches):
+            for pdf in batches:
+                calls.add(len(pdf))
+                yield pdf.assign(data="new " + pdf["url"])
+        return misses.mapInPandas(run, "url string, type string, data string")
+    answers, table = get_or_set(requests, cache, getter, now=10, ttl=60)
+    got = sorted((r["url"], r["data"], r["hit"]) for r in answers.collect())
+    assert got == [("a", "A", True), *[("b", "new b", False)] * 3, ("c", "new c", False), ("old", "new old", False)]
+    assert {r["url"]: r["data"] for r in table.collect()} == {"a": "A", "b": "new b", "c": "new c", "old": "new old"}
+    assert calls.value == 3
+
+
+def test_mime_tables_are_whole(spark):
+    df = spark.createDataFrame([("a.mp3",), ("b.MOV",), ("c.txt",), ("d.bmp",), ("e",), ("f.unknown",)], "n string")
+    got = [r[0] for r in df.select(mime_from_name("n")).collect()]
+    assert got[0] == "audio/mpeg" and got[1:] == ["video/quicktime", "text/plain", "image/bmp"] + ["application/octet-stream"] * 2
 
 
 def test_hybrid_image_order_and_v4_thumbnail_attach(spark, parse):

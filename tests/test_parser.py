@@ -4,12 +4,12 @@ from pagefold.sources.html import DOCUMENT_TAG, parse_html
 
 
 def nodes_by_tag(html):
-    nodes, text, stext = parse_html(html)
+    nodes, text, stext, _ = parse_html(html)
     return nodes, text, stext
 
 
 def test_preorder_ids_and_subtree_interval():
-    nodes, _, _ = parse_html("<div><p>a</p><p>b<b>c</b></p></div><span>d</span>")
+    nodes, *_ = parse_html("<div><p>a</p><p>b<b>c</b></p></div><span>d</span>")
     tags = [n[0] for n in nodes]
     assert tags == [DOCUMENT_TAG, "div", "p", "p", "b", "span"]
     div = nodes[1]
@@ -19,13 +19,13 @@ def test_preorder_ids_and_subtree_interval():
 
 
 def test_unclosed_p_nests_and_unmatched_end_ignored():
-    nodes, _, _ = parse_html("<body><p>one<p>two</span></body>")
+    nodes, *_ = parse_html("<body><p>one<p>two</span></body>")
     p1, p2 = [i for i, n in enumerate(nodes) if n[0] == "p"]
     assert nodes[p2][2] == p1   # no implied </p>: the second p nests in the first
 
 
 def test_void_and_self_closing_tags_have_no_children():
-    nodes, _, _ = parse_html("<div><img src=a.png><br/><div/>x</div>")
+    nodes, *_ = parse_html("<div><img src=a.png><br/><div/>x</div>")
     tags = [n[0] for n in nodes]
     assert tags == [DOCUMENT_TAG, "div", "img", "br", "div"]
     assert all(n[2] == 1 for n in nodes[2:])   # all children of the outer div
@@ -34,20 +34,20 @@ def test_void_and_self_closing_tags_have_no_children():
 def test_text_excludes_script_style_comments_and_decodes_entities():
     html = ("<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style>"
             "<script>var t='</p>';</script></head><body><!-- c --><p>x &lt; y</p></body></html>")
-    nodes, text, _ = parse_html(html)
+    nodes, text, *_ = parse_html(html)
     assert text == "A & Bx < y"
     title = [n for n in nodes if n[0] == "title"][0]
     assert text[title[5]:title[6]] == "A & B"
 
 
 def test_whitespace_only_strings_collapse_and_strip_text():
-    nodes, text, stext = parse_html("<div>\n   \n<p> a </p>  <p>b</p></div>")
+    nodes, text, stext, _ = parse_html("<div>\n   \n<p> a </p>  <p>b</p></div>")
     assert text == "\n a  b"
     assert stext == "ab"
 
 
 def test_attributes_lowercase_valueless_and_last_duplicate_wins():
-    nodes, _, _ = parse_html('<A HREF="/x" Data-X data-x="2" hidden class="a  b">t</A>')
+    nodes, *_ = parse_html('<A HREF="/x" Data-X data-x="2" hidden class="a  b">t</A>')
     tag, attrs = nodes[1][0], nodes[1][1]
     assert tag == "a"
     assert attrs == {"href": "/x", "data-x": "2", "hidden": "", "class": "a  b"}
@@ -73,7 +73,7 @@ def test_full_text_only_where_read(parse):
 
 
 def test_cdata_is_text_and_declarations_are_not():
-    _, text, _ = parse_html("<p>a<![CDATA[ b ]]>c<!ELEMENT x>d</p>")
+    _, text, *_ = parse_html("<p>a<![CDATA[ b ]]>c<!ELEMENT x>d</p>")
     assert text == "a b cd"
 
 
@@ -85,7 +85,7 @@ def test_random_tag_soup_keeps_tree_invariants():
               "<![CDATA[x]]>", "<section class=about>", "</section>", "<li>", "<ul>", "</ul>", "<x/>", "<h1>"]
     for _ in range(200):
         html = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40)))
-        nodes, text, stext = parse_html(html)
+        nodes, text, stext, _ = parse_html(html)
         assert nodes[0][0] == DOCUMENT_TAG and nodes[0][4] == len(nodes) - 1
         for i, (tag, attrs, parent, depth, end_id, t0, t1, s0, s1) in enumerate(nodes[1:], start=1):
             assert end_id >= i
@@ -103,3 +103,28 @@ def test_huge_page_is_emitted_in_bounded_batches():
     batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "html": [html]})
     sizes = [b.num_rows for b in _batches(iter([batch]))]
     assert sum(sizes) == 20002 and max(sizes) <= BATCH_ROWS
+
+
+def test_refused_declaration_loses_nothing():
+    nodes, text, _, error = parse_html("<p>a</p><![foo[x]]><p>kept</p><![if !IE]>b<![endif]><i>c</i>")
+    assert text.startswith("a") and "kept" in text and "b" in text and text.endswith("c") and error is None
+    assert [n[0] for n in nodes].count("p") == 2
+
+
+def test_a_fault_of_the_tokenizer_is_recorded_and_skipped(monkeypatch):
+    from pagefold.sources import html as H
+    real = H._TreeParser.parse_starttag
+
+    def broken(self, i):
+        if self.rawdata.startswith("<bad", i):
+            raise ValueError("no such markup")
+        return real(self, i)
+    monkeypatch.setattr(H._TreeParser, "parse_starttag", broken)
+    nodes, text, _, error = parse_html("<p>one</p><bad x>two<b>three</b>")
+    assert error == "ValueError: no such markup" and "two" in text and "three" in text
+    assert [n[0] for n in nodes][1:] == ["p", "b"]
+
+
+def test_page_row_carries_the_error(parse):
+    row = parse("<p>x</p>").filter("tag = '[document]'").first()
+    assert row["parse_error"] is None

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from pagefold.operators.page import link_list
 from pagefold.operators.paging import position_within
+from pagefold.plans import registry
 
 SF = "/root/testdata/sf0.001"
 # streaming queries run their streams eagerly; their plans are the stream operators
-BATCH = sorted(n for n in E.queries() if not n.startswith("z") or n.endswith("_batch"))
+registry.load_all()
+BATCH = sorted(n for n in registry.QUERIES if not n.startswith("z") or n.endswith("_batch"))
 
 
 def _plan(df):
@@ -22,6 +24,13 @@ def test_no_pair_explosions(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["a3_a6_classic_about_page", "qa_intelligent", "qc_v4_text", "split_text_scrape", "qb_media_endpoint",
+                                  "fast_scrape_hybrid", "m9_svc_media_context", "w5_w9_media_page_at_cursor",
+                                  "p2_p4_page_header", "basic_scrape_envelope"])
+def test_a_query_parses_its_pages_once_in_the_stored_element_table(spark, name):
+    assert "MapInArrow" not in _plan(E.queries()[name](spark, SF))
+
+
 def test_first_k_is_a_window_group_limit(spark, parse):
     el = parse("<a href='/1'>a</a>" * 30)
     assert "WindowGroupLimit" in _plan(link_list(el, 10))

@@ -17,7 +17,7 @@ from ..operators.paging import decode_json_cursor, decode_json_cursor_value, pag
 from ..operators.topk import first_k
 from ..session import materialize_elements, table
 from ..sources.html import parse_pages
-from ..sources.standin import ABOUT_PAGE_OFFSET, company_site, gallery_pages
+from ..sources.standin import company_site, gallery_pages
 from .classic import classic_combined, combine
 from .registry import register
 
@@ -202,18 +202,18 @@ def _qd_sql() -> str:
                    for p in CLASSIC_LOCATION_PATTERNS)
     return SITE_SQL + f"""
 , sent AS (
-  SELECT k, base,
-         list_filter(list_transform(string_split(replace(home_text, '!', '.'), '.'), lambda x: trim(x)),
+  SELECT k, page_id, url, is_home,
+         list_filter(list_transform(string_split(replace(page_text, '!', '.'), '.'), lambda x: trim(x)),
                      lambda x: x <> '') AS sentences
-  FROM site
+  FROM crawl
 ), ab AS (
-  SELECT k, base, coalesce(list_filter(sentences, lambda x: contains(lower(x), 'based in')
+  SELECT k, page_id, url, is_home, coalesce(list_filter(sentences, lambda x: contains(lower(x), 'based in')
                                                    OR contains(lower(x), 'founded'))[1], sentences[1]) || '.' AS about_us
   FROM sent
 )
-SELECT k AS page_id, base AS url_scraped, true AS success, CAST(NULL AS VARCHAR) AS error, about_us,
+SELECT page_id, url AS url_scraped, true AS success, CAST(NULL AS VARCHAR) AS error, about_us,
        coalesce(CASE {loc} END, 'No location found') AS locations,
-       CAST(2 + k % 2 AS BIGINT) AS media_count
+       CAST(CASE WHEN is_home THEN 2 + k % 2 ELSE 0 END AS BIGINT) AS media_count
 FROM ab
 """
 
@@ -224,8 +224,7 @@ def qd_classic_combined(spark, sf_dir):
     About fallback ladder and the model, classic media from HTML and the
     LLM result, combined per page (J5)."""
     el = materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements")
-    home = el.filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
-    profile, media = classic_combined(home, stub_profile_model, lenient_fallback_model, corpus=el)
+    profile, media = classic_combined(el, stub_profile_model, lenient_fallback_model)
     c = combine(profile, media)
     return c.select("page_id", "url_scraped", "success", "error",
                     F.col("profile.about_us").alias("about_us"), F.col("profile.locations").alias("locations"),
@@ -249,18 +248,24 @@ def stub_batch_model(prompt: str) -> dict:
     return {"completion": json.dumps({"profile": prof, "media": media})}
 
 
-@register("g3_l7_prompt_comparison", oracle="""
-WITH n AS (SELECT least(20, count(*)) AS n FROM supplier)
-SELECT 'detailed' AS prompt_name, CAST(n / 20 AS DOUBLE) AS success_rate, CAST(1 AS DOUBLE) AS avg_media_count,
+def _g3_sql() -> str:
+    from .queries_company import SITE_SQL
+    return SITE_SQL + """
+, batch AS (SELECT * FROM crawl ORDER BY url LIMIT 20),
+n AS (SELECT count(*) AS n, avg(CASE WHEN contains(page_text, 'report') THEN 1.0 ELSE 0.0 END) AS media FROM batch)
+SELECT 'detailed' AS prompt_name, CAST(n / 20 AS DOUBLE) AS success_rate, CAST(media AS DOUBLE) AS avg_media_count,
        CAST(0 AS BIGINT) AS n_errors FROM n
 UNION ALL
-SELECT 'concise', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(n AS BIGINT) FROM n
-""")
+SELECT 'concise', CAST(0 AS DOUBLE), CAST(media AS DOUBLE), CAST(n AS BIGINT) FROM n
+"""
+
+
+@register("g3_l7_prompt_comparison", oracle=_g3_sql())
 def g3_l7_prompt_comparison(spark, sf_dir, batch_size: int = 20):
     """G3/L7/X8/L6 with the deterministic stand-in model: each prompt variant
     over the first ``batch_size`` urls, completeness errors, success rate
     (divided by batch_size, Q12) and mean media count."""
-    el = materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements").filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
+    el = materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements")
     from ..operators.links import page_texts
     pages = page_texts(el).select(F.col("about_url").alias("url"), F.col("about_text").alias("text"))
     batch = pages.orderBy("url").limit(batch_size)          # the batch is the feature

@@ -16,7 +16,7 @@ from ..plans.intelligent import intelligent
 from ..plans.text_v4 import text_v4
 from ..session import materialize_elements
 from ..sources.html import parse_pages
-from ..sources.standin import ABOUT_PAGE_OFFSET, company_site
+from ..sources.standin import company_site
 from .registry import register
 
 
@@ -24,10 +24,6 @@ def site_elements(spark, sf_dir):
     return materialize_elements(parse_pages(company_site(spark, sf_dir)), "site-elements")
 
 
-def home_only(df):
-    return df.filter(F.col("page_id") < ABOUT_PAGE_OFFSET)
-
-
 # ----------------------------------------------------------------- DuckDB side
 def _ladder(text: str, patterns, strip: bool = True) -> str:
     parts = []
@@ -76,6 +72,14 @@ WITH s AS (
                              || '. Our team of ' || (k * 3) || ' people. ' || trim(filler) || ' ' || trim(filler)
          WHEN k % 3 = 2 THEN 'About ' || name || 'About ' || name || 'A short page.' END AS about_text
   FROM t
+), crawl AS (   -- every crawled page: home pages and About pages
+  SELECT k, k AS page_id, base AS url, true AS is_home, name AS title, home_text AS page_text, main_text,
+         CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools' END AS description,
+         CASE WHEN k % 3 = 0 THEN 'de' ELSE lang END AS page_lang, base, about_text, name, filler FROM site
+  UNION ALL
+  SELECT k, k + 1000000000, base || 'about', false, 'About ' || name, about_text,
+         substr(about_text, length('About ' || name) + 1), NULL, 'en', base, about_text, name, filler
+  FROM site WHERE k % 3 <> 0
 )
 """
 
@@ -91,19 +95,19 @@ def _hybrid_sql(text: str) -> dict[str, str]:
     return {**f, "confidence": conf, "use_ai": use, "reason": reason}
 
 
-_H = _hybrid_sql("home_text")
+_H = _hybrid_sql("page_text")
 
 
 @register("x1_x2_f11_hybrid_facts", oracle=SITE_SQL + f"""
-SELECT k AS page_id, {_H['founded']} AS founded, {_H['employees']} AS employees,
+SELECT page_id, {_H['founded']} AS founded, {_H['employees']} AS employees,
        {_H['location']} AS location, CAST(NULL AS VARCHAR) AS ceo, {_H['confidence']} AS confidence,
        {_H['use_ai']} AS use_ai, {_H['reason']} AS ai_reason
-FROM site
+FROM crawl
 """)
 def x1_x2_f11_hybrid_facts(spark, sf_dir):
-    """Hybrid regex facts, confidence and the AI gate on each home
+    """Hybrid regex facts, confidence and the AI gate on each
     page's cleaned text."""
-    f = home_only(page_fields(site_elements(spark, sf_dir))).withColumn("text", clean_whitespace("doc_text"))
+    f = page_fields(site_elements(spark, sf_dir)).withColumn("text", clean_whitespace("doc_text"))
     f = f.withColumn("facts", hybrid_facts("text")).withColumn("gate", ai_gate(F.col("facts"), "text"))
     return f.select("page_id", "facts.founded", "facts.employees", "facts.location", "facts.ceo",
                     "facts.confidence", F.col("gate.used").alias("use_ai"),
@@ -114,17 +118,17 @@ _LOWMAIN = "lower(main_text)"
 
 
 @register("x3_split_facts", oracle=SITE_SQL + f"""
-SELECT k AS page_id,
+SELECT page_id,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['founded'][:1], strip=False)} AS founded,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['employees'][:1], strip=False)} AS employees,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['location'][:1])} AS location,
        {_ladder(_LOWMAIN, MISSION_PATTERNS)} AS mission,
        CASE WHEN regexp_matches({_LOWMAIN}, '{HYBRID_PATTERNS['founded'][0]}') THEN 'high' ELSE 'medium' END AS confidence
-FROM site
+FROM crawl
 """)
 def x3_split_facts(spark, sf_dir):
     """P8+X3: main-content choice and the split facts (with mission)."""
-    f = home_only(page_fields(site_elements(spark, sf_dir)))
+    f = page_fields(site_elements(spark, sf_dir))
     f = f.withColumn("facts", split_facts(clean_whitespace("main_text")))
     return f.select("page_id", "facts.founded", "facts.employees", "facts.location", "facts.mission",
                     "facts.confidence")
@@ -133,25 +137,28 @@ def x3_split_facts(spark, sf_dir):
 def _kv_sql() -> str:
     parts = []
     for i, (p, key) in enumerate(KEY_VALUE_PATTERNS):
-        parts.append(f"SELECT k, {i} AS pidx, '{key}' AS key, "
-                     f"unnest(regexp_extract_all(lower(home_text), '{p}', 1)) AS raw, "
-                     f"generate_subscripts(regexp_extract_all(lower(home_text), '{p}', 1), 1) AS midx FROM site")
+        parts.append(f"SELECT page_id, {i} AS pidx, '{key}' AS key, "
+                     f"unnest(regexp_extract_all(lower(page_text), '{p}', 1)) AS raw, "
+                     f"generate_subscripts(regexp_extract_all(lower(page_text), '{p}', 1), 1) AS midx FROM crawl")
     return " UNION ALL ".join(parts)
 
 
-@register("x5_key_values", oracle=SITE_SQL + f"""
+_KV_SQL = f"""
 , m AS ({_kv_sql()}),
-v AS (SELECT k, pidx, midx, key,
+v AS (SELECT page_id, pidx, midx, key,
              array_to_string(list_transform(regexp_extract_all(trim(raw), '[A-Za-z]+|[^A-Za-z]+', 0),
                  lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]') THEN upper(left(t, 1)) || lower(substr(t, 2)) ELSE t END), '') AS value
       FROM m WHERE length(trim(raw)) > 1),
-d AS (SELECT k, key, value, min(pidx * 100000 + midx) AS o FROM v GROUP BY k, key, value)
-SELECT k AS page_id, CAST(row_number() OVER (PARTITION BY k ORDER BY o) AS INTEGER) AS ord, key, value
-FROM d QUALIFY ord <= 10
-""")
+d AS (SELECT page_id, key, value, min(pidx * 100000 + midx) AS o FROM v GROUP BY page_id, key, value),
+kv AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) AS INTEGER) AS ord, key, value
+       FROM d QUALIFY ord <= 10)
+"""
+
+
+@register("x5_key_values", oracle=SITE_SQL + _KV_SQL + "SELECT * FROM kv")
 def x5_key_values(spark, sf_dir):
     """X5+Q4: v4 key/values (all matches, title-cased, distinct, first 10)."""
-    f = home_only(page_fields(site_elements(spark, sf_dir))).withColumn("text", clean_whitespace("doc_text"))
+    f = page_fields(site_elements(spark, sf_dir)).withColumn("text", clean_whitespace("doc_text"))
     return key_values(f, "text")
 
 
@@ -169,7 +176,7 @@ FROM l
 def a1_hybrid_about_links(spark, sf_dir):
     """J1+A1+W1: about links inside nav/header/footer, first-seen dedupe,
     stable high-before-medium order."""
-    ls = home_only(hybrid_about_links(site_elements(spark, sf_dir)))
+    ls = hybrid_about_links(site_elements(spark, sf_dir))
     ls = position_within(ls, "page_id", ["sort_key"], "rank")
     return ls.select("page_id", "rank", "about_url", "text", "confidence")
 
@@ -190,7 +197,7 @@ FROM l
 """)
 def a2_split_about_links(spark, sf_dir):
     """A2+W2: split about links scored 0.9/0.8, max-score dedupe, sorted."""
-    ls = home_only(split_about_links(site_elements(spark, sf_dir)))
+    ls = split_about_links(site_elements(spark, sf_dir))
     ls = position_within(ls, "page_id", ["sort_key"], "rank")
     return ls.select("page_id", "rank", "about_url", "title", "relevance_score")
 
@@ -207,6 +214,12 @@ def _sections_sql() -> str:
         "SELECT k, 4, 'Content', main_stripped FROM site",
         f"SELECT k, 5, {tc(chr(39) + 'our mission' + chr(39))}, 'Our MissionOur mission: to deliver quality parts.' FROM site",
     ]
+    about = "'About ' || name"
+    body = ("CASE WHEN k % 3 = 1 THEN 'Established in ' || about_year || '. Our team of ' || (k * 3) || ' people. ' || filler "
+            "|| ' ' || trim(filler) ELSE 'A short page.' END")
+    rows += [f"SELECT k + 1000000000, 1, CASE WHEN length({about}) > 50 THEN left({about}, 50) || '...' ELSE {about} END, "
+             f"{about} FROM site WHERE k % 3 <> 0",
+             f"SELECT k + 1000000000, 2, 'Content', {about} || {body} FROM site WHERE k % 3 <> 0"]
     return " UNION ALL ".join(rows)
 
 
@@ -219,7 +232,7 @@ FROM sec
 """)
 def p12_sections(spark, sf_dir):
     """Four-pass section extraction with exact-text dedupe, first 10."""
-    return home_only(sections(site_elements(spark, sf_dir)))
+    return sections(site_elements(spark, sf_dir))
 
 
 _B = _hybrid_sql("best_text")
@@ -227,32 +240,29 @@ _B = _hybrid_sql("best_text")
 
 @register("qa_intelligent", oracle=SITE_SQL + f"""
 , b AS (
-  SELECT *, CASE WHEN k % 3 = 1 THEN base || 'about' ELSE base END AS best_about_url,
-            CASE WHEN k % 3 = 1 THEN about_text ELSE home_text END AS best_text
-  FROM site
+  SELECT *, CASE WHEN is_home AND k % 3 = 1 THEN base || 'about' ELSE url END AS best_about_url,
+            CASE WHEN is_home AND k % 3 = 1 THEN about_text ELSE page_text END AS best_text
+  FROM crawl
 )
-SELECT k AS page_id, base AS url, best_about_url, name AS title,
-       CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools'
-            ELSE 'No description found' END AS description,
+SELECT page_id, url, best_about_url, title, coalesce(description, 'No description found') AS description,
        CASE WHEN length(best_text) > 3000 THEN left(best_text, 3000) || '...' ELSE best_text END AS content,
        {_B['founded']} AS founded, {_B['employees']} AS employees, {_B['location']} AS location,
        {_B['confidence']} AS confidence,
-       CAST(CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END AS BIGINT) AS about_pages_found,
-       CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS about_pages_analyzed,
-       CAST(CASE WHEN k % 3 <> 0 THEN length(about_text) END AS INTEGER) AS best_candidate_length,
+       CAST(CASE WHEN NOT is_home THEN 0 WHEN k % 2 = 0 THEN 4 ELSE 3 END AS BIGINT) AS about_pages_found,
+       CAST(CASE WHEN NOT is_home OR k % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS about_pages_analyzed,
+       CAST(CASE WHEN is_home AND k % 3 <> 0 THEN length(about_text) END AS INTEGER) AS best_candidate_length,
        {_B['use_ai']} AS ai_used, {_B['reason']} AS ai_reason,
        CASE WHEN {_B['use_ai']} THEN 'ai_enhanced' ELSE 'programmatic' END AS approach_used,
-       CAST(6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS total_assets,
-       CAST(3 AS BIGINT) AS images_count,
-       CAST(1 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS videos_count
+       CAST(CASE WHEN is_home THEN 6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS total_assets,
+       CAST(CASE WHEN is_home THEN 3 ELSE 0 END AS BIGINT) AS images_count,
+       CAST(CASE WHEN is_home THEN 1 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS videos_count
 FROM b
 """)
 def qa_intelligent(spark, sf_dir):
-    """Q-A: the intelligent scrape per home page — header, About discovery,
+    """Q-A: the intelligent scrape per page — header, About discovery,
     best About text over up to 3 fetched About pages, hybrid facts, media
     summary and the AI gate."""
     env = intelligent(site_elements(spark, sf_dir), max_about_pages=3)
-    env = home_only(env)
     return env.select(
         "page_id", "url", "best_about_url", "title", "description", "content",
         "company_info.founded", "company_info.employees", "company_info.location",
@@ -264,29 +274,32 @@ def qa_intelligent(spark, sf_dir):
         "media_summary.videos_count")
 
 
-@register("qc_v4_text", oracle=SITE_SQL + """
+@register("qc_v4_text", oracle=SITE_SQL + _KV_SQL + f"""
 , sent AS (
-  SELECT k, list_filter(list_transform(regexp_split_to_array(home_text, '[.!?]+'), lambda x: trim(x)),
-                        lambda x: length(x) > 20) AS kept FROM site
-)
-SELECT k AS page_id, name AS page_title, base AS url,
-       CASE WHEN k % 3 = 0 THEN 'de' ELSE lang END AS language,
-       CASE WHEN len(kept) = 0 THEN name || ' provides information about their services and offerings.'
+  SELECT page_id, list_filter(list_transform(regexp_split_to_array(page_text, '[.!?]+'), lambda x: trim(x)),
+                              lambda x: length(x) > 20) AS kept FROM crawl
+), pairs AS (SELECT page_id, string_agg(key || '=' || value, ';' ORDER BY ord) AS key_values FROM kv GROUP BY page_id),
+sec AS ({_sections_sql()}),
+named AS (SELECT k AS page_id, string_agg(name, ';' ORDER BY o) AS section_names FROM sec GROUP BY k)
+SELECT page_id, title AS page_title, url, page_lang AS language,
+       CASE WHEN len(kept) = 0 THEN title || ' provides information about their services and offerings.'
             WHEN suffix(array_to_string(kept[1:3], '. '), '.') THEN array_to_string(kept[1:3], '. ')
             ELSE array_to_string(kept[1:3], '. ') || '.' END AS summary,
-       CAST(5 AS INTEGER) AS n_sections,
-       CAST(CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS INTEGER) AS n_key_values,
-       CAST(3 AS INTEGER) AS n_images,
-       CAST((k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS n_videos
-FROM sent JOIN site USING (k)
+       section_names, coalesce(key_values, '') AS key_values,
+       CASE WHEN is_home THEN base || 'img/logo.png,' || base || 'team.jpg,' || base || 'icons/cart-icon.png' ELSE '' END AS images,
+       CAST(CASE WHEN is_home THEN (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END
+                 ELSE 0 END AS INTEGER) AS n_videos
+FROM crawl JOIN sent USING (page_id) JOIN named USING (page_id) LEFT JOIN pairs USING (page_id)
 """)
 def qc_v4_text(spark, sf_dir):
-    """Q-C: the v4 text envelope per home page (title, language, summary,
+    """Q-C: the v4 text envelope per page (title, language, summary,
     sections, key/values, media with thumbnails)."""
-    env = home_only(text_v4(site_elements(spark, sf_dir)))
+    env = text_v4(site_elements(spark, sf_dir))
     return env.select("page_id", "page_title", "url", "language", "summary",
-                      F.size("sections").alias("n_sections"), F.size("key_values").alias("n_key_values"),
-                      F.size("media.images").alias("n_images"), F.size("media.videos").alias("n_videos"))
+                      F.array_join("sections.name", ";").alias("section_names"),
+                      F.array_join(F.transform("key_values", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+                       .alias("key_values"),
+                      F.array_join("media.images", ",").alias("images"), F.size("media.videos").alias("n_videos"))
 
 
 @register("a3_a6_classic_about_page", oracle=SITE_SQL + """
@@ -304,57 +317,54 @@ def a3_a6_classic_about_page(spark, sf_dir):
 
 
 @register("fast_scrape_hybrid", oracle=SITE_SQL + f"""
-SELECT k AS page_id, name AS title,
-       CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools'
-            ELSE 'No description found' END AS description,
-       CASE WHEN length(home_text) > 2000 THEN left(home_text, 2000) || '...' ELSE home_text END AS content,
+SELECT page_id, title, coalesce(description, 'No description found') AS description,
+       CASE WHEN length(page_text) > 2000 THEN left(page_text, 2000) || '...' ELSE page_text END AS content,
        {_H['founded']} AS founded, {_H['employees']} AS employees, {_H['location']} AS location,
        {_H['confidence']} AS confidence,
-       CAST(6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS total_assets
-FROM site
+       CAST(CASE WHEN is_home THEN 6 + (k % 2) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS total_assets
+FROM crawl
 """)
 def fast_scrape_hybrid(spark, sf_dir):
-    """Hybrid /scrape/fast per home page: header, text, hybrid facts, media
+    """Hybrid /scrape/fast per page: header, text, hybrid facts, media
     summary."""
     from .endpoints import fast_scrape
-    e = home_only(fast_scrape(site_elements(spark, sf_dir)))
+    e = fast_scrape(site_elements(spark, sf_dir))
     return e.select("page_id", "title", "description", "content", "company_info.founded",
                     "company_info.employees", "company_info.location", "company_info.confidence",
                     "media_summary.total_assets")
 
 
 @register("split_text_scrape", oracle=SITE_SQL + f"""
-SELECT k AS page_id, name AS title,
-       CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 <> 0 THEN name || ' supplies parts & tools' ELSE '' END AS description,
+SELECT page_id, title, coalesce(description, '') AS description,
        CASE WHEN length(main_text) > 2000 THEN left(main_text, 2000) || '...' ELSE main_text END AS content,
        {_ladder(_LOWMAIN, MISSION_PATTERNS)} AS mission,
        CASE WHEN regexp_matches({_LOWMAIN}, '{HYBRID_PATTERNS['founded'][0]}') THEN 'high' ELSE 'medium' END AS confidence,
-       CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE 6 END AS BIGINT) AS about_pages_found,
-       CASE WHEN k % 2 = 0 THEN base || 'about,' || base || 'Company,' || base || 'our-team'
+       CAST(CASE WHEN NOT is_home THEN 0 WHEN k % 2 = 0 THEN 5 ELSE 6 END AS BIGINT) AS about_pages_found,
+       CASE WHEN NOT is_home THEN '' WHEN k % 2 = 0 THEN base || 'about,' || base || 'Company,' || base || 'our-team'
             ELSE base || 'about,' || base || 'our-team,' || base || 'team' END AS top_about_urls
-FROM site
+FROM crawl
 """)
 def split_text_scrape(spark, sf_dir):
-    """Split /scrape/text per home page: main content, split facts, About
+    """Split /scrape/text per page: main content, split facts, About
     links found and the top 3 by relevance."""
     from .endpoints import split_text
-    e = home_only(split_text(site_elements(spark, sf_dir)))
+    e = split_text(site_elements(spark, sf_dir))
     return e.select("page_id", "title", "description", "content", "company_info.mission",
                     "company_info.confidence", "about_pages_found",
                     F.array_join(F.col("about_page_analysis.url"), ",").alias("top_about_urls"))
 
 
 @register("x4_basic_about_scrape", oracle=SITE_SQL + f"""
-SELECT k AS page_id, name AS title,
+SELECT page_id, title,
        CASE WHEN length(main_text) > 2000 THEN left(main_text, 2000) || '...' ELSE main_text END AS content,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['founded'][:1], strip=False)} AS founded,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['employees'][:1], strip=False)} AS employees,
        {_ladder(_LOWMAIN, HYBRID_PATTERNS['location'][:1])} AS location
-FROM site
+FROM crawl
 """)
 def x4_basic_about_scrape(spark, sf_dir):
-    """X4 basic /scrape/about per home page: main content and three facts."""
+    """X4 basic /scrape/about per page: main content and three facts."""
     from .endpoints import basic_about
-    e = home_only(basic_about(site_elements(spark, sf_dir)))
+    e = basic_about(site_elements(spark, sf_dir))
     return e.select("page_id", "title", "content", "company_info.founded", "company_info.employees",
                     "company_info.location")

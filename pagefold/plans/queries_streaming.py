@@ -11,7 +11,7 @@ from ..operators.metrics import metrics_from_log, rule_windows
 from ..session import materialize_elements, table
 from ..sources.html import parse_pages
 from ..sources.logs import parse_log_lines, service_log_lines
-from ..sources.standin import ABOUT_PAGE_OFFSET, company_site
+from ..sources.standin import company_site
 from ..streaming.operators import (
     alarm_stream, incremental, request_spans_stream, throttle_batch, throttle_stream, ttl_cache_batch,
     ttl_cache_stream, windowed_metrics_stream,
@@ -155,9 +155,9 @@ def z5_request_spans_stream(spark, sf_dir):
 
 
 @register("z6_incremental_intelligent", oracle=SITE_SQL + f"""
-, b AS (SELECT *, CASE WHEN k % 3 = 1 THEN base || 'about' ELSE base END AS best_about_url,
-               CASE WHEN k % 3 = 1 THEN about_text ELSE home_text END AS best_text FROM site)
-SELECT k AS page_id, best_about_url, {_B['founded']} AS founded, {_B['employees']} AS employees,
+, b AS (SELECT *, CASE WHEN is_home AND k % 3 = 1 THEN base || 'about' ELSE url END AS best_about_url,
+               CASE WHEN is_home AND k % 3 = 1 THEN about_text ELSE page_text END AS best_text FROM crawl)
+SELECT page_id, best_about_url, {_B['founded']} AS founded, {_B['employees']} AS employees,
        {_B['confidence']} AS confidence,
        CASE WHEN {_B['use_ai']} THEN 'ai_enhanced' ELSE 'programmatic' END AS approach_used
 FROM b
@@ -176,7 +176,7 @@ def z6_incremental_intelligent(spark, sf_dir):
 
     def plan(batch):
         env = intelligent(parse_pages(batch), corpus=corpus)
-        return env.filter(F.col("page_id") < ABOUT_PAGE_OFFSET).select(
+        return env.select(
             "page_id", "best_about_url", "company_info.founded", "company_info.employees",
             "company_info.confidence", "approach_used")
 

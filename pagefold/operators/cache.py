@@ -26,15 +26,28 @@ def is_valid(expires_at, now: int, boundary: str = "root"):
     return e > F.lit(now) if boundary == "root" else e >= F.lit(now)
 
 
+def _found(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    c = cache.select("url", "type", F.col("data").alias("_data"), F.col("expires_at").alias("_exp"))
+    return requests.join(c, ["url", "type"], "left")
+
+
+def _status(now: int, boundary: str):
+    return (F.when(F.col("_exp").isNull(), "miss").when(is_valid("_exp", now, boundary), "hit")
+            .otherwise("expired"))
+
+
 def lookup(requests: DataFrame, cache: DataFrame, now: int, boundary: str = "root") -> DataFrame:
     """Per request (url, type): status hit / expired / miss and the
     cached data on a hit."""
-    c = cache.select("url", "type", F.col("data").alias("_data"), F.col("expires_at").alias("_exp"))
-    j = requests.join(c, ["url", "type"], "left")
-    live = is_valid("_exp", now, boundary)
-    status = F.when(F.col("_exp").isNull(), "miss").when(live, "hit").otherwise("expired")
-    return j.withColumn("cache_status", status).withColumn(
-        "cached_data", F.when(live, F.col("_data"))).drop("_data", "_exp")
+    return _found(requests, cache).withColumn("cache_status", _status(now, boundary)).withColumn(
+        "cached_data", F.when(is_valid("_exp", now, boundary), F.col("_data"))).drop("_data", "_exp")
+
+
+def lookup_both(requests: DataFrame, cache: DataFrame, now: int) -> DataFrame:
+    """The status under either boundary, and root's cached data, from one join."""
+    return _found(requests, cache).withColumns({
+        "root_status": _status(now, "root"), "service_status": _status(now, "service"),
+        "cached_data": F.when(is_valid("_exp", now, "root"), F.col("_data"))}).drop("_data", "_exp")
 
 
 def upsert(cache: DataFrame, writes: DataFrame) -> DataFrame:

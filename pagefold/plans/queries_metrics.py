@@ -12,6 +12,7 @@ from ..operators.metrics import (
     alarm_evaluation, cache_rollup, dashboard_stats, llm_calls, llm_cost_rollup, metrics_from_log,
     request_spans, threshold_flags,
 )
+from ..session import materialize
 from ..sources.logs import parse_log_lines, service_log_lines
 from .registry import register
 
@@ -19,7 +20,9 @@ from .registry import register
 
 
 def service_log(spark, sf_dir):
-    return parse_log_lines(service_log_lines(spark, sf_dir))
+    """The parsed service log, stored: its lines are scanned and parsed once,
+    and each branch of a query reads the columns it needs."""
+    return materialize(parse_log_lines(service_log_lines(spark, sf_dir)), "service-log")
 
 
 # DuckDB: the metric rows every event implies, straight from ``events``.

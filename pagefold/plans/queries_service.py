@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WS, sanitize_string
-from ..operators.cache import get_or_set, lookup
+from ..operators.cache import get_or_set, lookup_both
 from ..operators.llm import build_prompt, estimate_tokens, parse_completion, word_tokens
 from ..operators.quality import URL_FORMAT_REGEX, blocked_flag, request_error
 from ..session import table
@@ -192,11 +192,7 @@ def s11_cache_lookup(spark, sf_dir):
     """Hit / expired / miss per request under both TTL boundaries."""
     cache = cache_table(spark, sf_dir)
     req = cache_requests(spark, sf_dir)
-    a = lookup(req, cache, NOW, "root").select("page_id", "type", F.col("cache_status").alias("root_status"),
-                                               "cached_data")
-    b = lookup(req, cache, NOW, "service").select("page_id", "type",
-                                                  F.col("cache_status").alias("service_status"))
-    return a.join(b, ["page_id", "type"])
+    return lookup_both(req, cache, NOW).select("page_id", "type", "root_status", "service_status", "cached_data")
 
 
 @register("j4_s12_cache_get_or_set", oracle=_CACHE_SQL + f"""

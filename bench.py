@@ -47,18 +47,22 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t0, 3)
         return out
 
+    def spread(pages):
+        """The test files hold one row group: deal their rows over the cores, as a crawl's many files would be."""
+        return pages.repartition(int(cpus))
+
     # warm-up: JVM, Python workers, Arrow path
     run(parse_pages(table(spark, sf_dir, "pages").limit(20)))
 
     # raw crawl pages: parse once, then the page header + link count
-    raw = timed("s2_parse_raw_pages", lambda: materialize_elements(parse_pages(table(spark, sf_dir, "pages")),
+    raw = timed("s2_parse_raw_pages", lambda: materialize_elements(parse_pages(spread(table(spark, sf_dir, "pages"))),
                                                                     "raw-el"))
     counts["raw_pages"] = table(spark, sf_dir, "pages").count()
     timed("p2_p7_page_header", lambda: run(page_header(raw).join(
         links(raw).groupBy("page_id").agg(F.count("*").alias("n_links")), "page_id", "left")))
 
     # company sites: parse once, Q-A and Q-C over the whole crawl
-    site = timed("s2_parse_company_site", lambda: materialize_elements(parse_pages(company_site(spark, sf_dir)),
+    site = timed("s2_parse_company_site", lambda: materialize_elements(parse_pages(spread(company_site(spark, sf_dir))),
                                                                         "site-el"))
     counts["site_pages"] = site.filter(F.col("tag") == "[document]").count()
     counts["home_pages"] = site.filter((F.col("tag") == "[document]") &
@@ -67,7 +71,7 @@ def main() -> None:
     timed("qc_v4_text", lambda: run(text_v4(site)))
 
     # galleries: parse once, Q-B every page's first media page
-    gal = timed("s2_parse_gallery", lambda: materialize_elements(parse_pages(gallery_pages(spark, sf_dir)),
+    gal = timed("s2_parse_gallery", lambda: materialize_elements(parse_pages(spread(gallery_pages(spark, sf_dir))),
                                                                   "gal-el"))
     counts["gallery_pages"] = gal.filter(F.col("tag") == "[document]").count()
     timed("qb_media_endpoint", lambda: run(media_endpoint(gal, None, 20)))

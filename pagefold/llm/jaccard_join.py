@@ -5,8 +5,8 @@ Two sets that are similar enough must share at least l shingles among the
 first (size - needed overlap + l) of each, for any l. The plain prefix
 filter takes l = 1; here each document takes the l whose longer prefix costs
 least, by the estimated number of other documents behind its prefix
-shingles. A pair becomes a candidate if it shares as many prefix shingles as
-both its documents' prefixes and its two sizes allow to ask for, and is then
+shingles. A pair becomes a candidate if it shares the smaller of its two l
+within prefixes cut to the overlap that its two sizes need, and is then
 verified on the words themselves.
 
 * Equal sets are one class; only classes are joined.
@@ -182,10 +182,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
 
 def shared_entries(classes: DataFrame) -> DataFrame:
     """Index entries (``token``, ``node``, ``n``, ``matches``, ``pos``) of tokens that two classes or more have."""
+    # the three small numbers travel as one: size, place and matches
     entries = classes.select("node", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "node", "n", "matches", "pos")
+        "token", "node", F.expr("shiftleft(bigint(n), 32) | shiftleft(bigint(pos), 4) | matches").alias("packed"))
     per = Window.partitionBy("token")
-    return entries.withColumn("many", F.count("*").over(per)).filter("many > 1").drop("many")
+    return entries.withColumn("many", F.count("*").over(per)).filter("many > 1").select(
+        "token", "node", F.expr("int(shiftright(packed, 32))").alias("n"), F.expr("int(packed & 15)").alias("matches"),
+        F.expr("int(shiftright(packed, 4) & 268435455)").alias("pos"))
 
 
 def neighbour_pairs(entries: DataFrame, turn: int, most: int) -> DataFrame:
@@ -214,12 +217,11 @@ def _sizes_fit(a: str, b: str, percent: str = "percent") -> Column:
 def cross_pairs(entries: DataFrame) -> DataFrame:
     """Candidate pairs between components: those that share enough tokens of their prefixes.
 
-    Two sizes together need a larger overlap than either needs alone; what
-    that adds to the overlap can be asked for as matches besides those that
-    the document asked for itself, in prefixes no longer than the stored
-    ones. Within the entries of a token the component with most of them is
-    not joined with itself, so a group that is already linked costs its
-    length, not its square.
+    Two sizes together need a larger overlap than either needs alone, so a
+    pair is looked for in shorter prefixes than the stored ones: long enough
+    for the matches that both documents ask for. Within the entries of a
+    token the component with most of them is not joined with itself, so a
+    group that is already linked costs its length, not its square.
     """
     sizes = entries.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k"))
@@ -228,8 +230,7 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
                    ("node", "n", "matches", "pos", "component")], (F.col("component") == F.col("main")).alias(f"main_{s}"))
                    for s in "xy")
     both = F.ceil(F.expr("percent * (n_x + n_y) / (100 + percent)"))
-    alone = {s: F.ceil(F.expr(f"percent * n_{s} / 100")) for s in "xy"}
-    ask = F.least(*[F.col(f"matches_{s}") + both - alone[s] for s in "xy"])
+    ask = F.least("matches_x", "matches_y")
     near = [F.col(f"pos_{s}") < F.col(f"n_{s}") - both + ask for s in "xy"]
     met = (left.filter("not main_x").join(right.drop("percent"), "token")
            .filter((F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
@@ -239,7 +240,7 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``pairs`` whose word shingles are similar enough; ``contents`` has the text of each ``node``."""
+    """The ``pairs`` whose word shingles are similar enough; ``contents`` has a text of each signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in slices(batches, 64):
@@ -254,17 +255,17 @@ def verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> Dat
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], LINK_SCHEMA.names)
 
-    one = pairs.join(contents.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    heads = pairs.select(F.col("b").alias("node")).distinct().join(contents, "node")
-    two = one.join(heads.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(contents.select(F.col("sig").alias("sig_a"), F.col("text").alias("text_a")), "sig_a")
+    heads = pairs.select(F.col("sig_b").alias("sig")).distinct().join(contents, "sig")
+    two = one.join(heads.select(F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "sig_b").sortWithinPartitions("b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK_SCHEMA)
 
 
 def bucketed(contents: DataFrame) -> DataFrame:
-    """``contents`` stored in buckets of ``node``, so that joins on it move only their other side."""
+    """``contents`` stored in buckets of ``sig``, so that joins on it move only their other side."""
     spark = contents.sparkSession
     name, n = f"llm_texts_{uuid.uuid4().hex}", shuffle_partitions(spark)
-    (contents.repartition(n, "node").write.bucketBy(n, "node").sortBy("node")
+    (contents.write.bucketBy(n, "sig").sortBy("sig")
      .option("path", scratch_path(spark, "shingle-texts")).saveAsTable(name))
     return spark.table(name)
 
@@ -288,19 +289,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, partne
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "matches", "plain", "prefix")],
     ).withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     entries = store(shared_entries(classes), "shared-entries")
-    # one text of each class that has a shared entry, read once and kept by node for all verifications
-    wanted = entries.select("node").distinct().join(
-        classes.select("node", F.col("sig").alias("of_sig"), F.col("doc_id").alias("of_id")), "node")
-    keyed = with_signature(docs.select("doc_id", "text"), k)
-    single = keyed.dropDuplicates(["doc_id", "sig"]).join(wanted, (keyed["sig"] == wanted["of_sig"]) & keyed["doc_id"].eqNullSafe(wanted["of_id"]))
-    contents = bucketed(single.select("node", F.coalesce("text", F.lit("")).alias("text")))
+    # one text of each class that has a shared entry, moved once and kept in buckets for all verifications
+    signed = store(entries.select("node").distinct().join(classes.select("node", "sig"), "node"), "shingle-nodes")
+    keyed = with_signature(docs.select("text"), k).select("sig", F.coalesce("text", F.lit("")).alias("text"))
+    contents = bucketed(keyed.dropDuplicates(["sig"]).join(signed, "sig", "left_semi"))
+    ends = [signed.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
     grouped = None
     for turn in range(rounds + 1):
         part = entries.withColumn("component", F.col("node")) if grouped is None else (
             entries.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
         part = part.withColumn("percent", F.lit(percent))
         pairs = neighbour_pairs(part, turn, partners) if turn < rounds else cross_pairs(part)
-        links = store(verified(store(pairs, "shingle-pairs"), contents, k, percent), "shingle-links")
+        links = store(verified(store(pairs.join(ends[0], "a").join(ends[1], "b"), "shingle-pairs"), contents, k, percent), "shingle-links")
         grouped = contract(links, grouped)
     reach = classes.select("node", "sig", "doc_id").join(grouped, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

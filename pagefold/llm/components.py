@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import store
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: equal when a round moved nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node of ``edges`` (``a``, ``b``), by long ids.
 
@@ -18,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     star costs no more than its edges.
     """
     now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    seen = _digest(now)
+    while seen[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -27,10 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "a")
         moved = (small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
                  .union(lowest.select("a", F.col("m").alias("b"))).distinct())
-        fresh = store(moved, "edges")
-        sums = [df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for df in (now, fresh)]
-        now = fresh
-        if sums[0] == sums[1]:
+        now = store(moved, "edges")
+        before, seen = seen, _digest(now)
+        if seen == before:
             break
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select("b", "b").distinct())

@@ -194,13 +194,13 @@ def shared_entries(classes: DataFrame) -> DataFrame:
 def neighbour_pairs(entries: DataFrame, turn: int, most: int) -> DataFrame:
     """For each node up to ``most`` nodes of other components that share prefix tokens with it.
 
-    The entries of each token are put in an order that is random, and
+    The entries of each token are put in a random order of their own, and
     another one each ``turn``; neighbours there become pairs, two an entry at
     most, and of its pairs a node keeps those that share most tokens. So the
     pairs grow with the entries, whatever the size of a group; in a large
     group of near copies a few of them suffice to connect nearly all.
     """
-    mixed = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+    mixed = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "token", "node"), "node")
     other = lambda k: F.struct(*[F.lag(c, k).over(mixed).alias(c) for c in ("node", "component", "n")])
     met = (entries.select("node", "component", "n", "percent", F.array(other(1), other(2)).alias("o"))
            .select("node", "component", "n", "percent", F.explode("o").alias("o"))

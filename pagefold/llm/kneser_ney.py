@@ -1,14 +1,13 @@
 """Interpolated modified Kneser-Ney quality classifier (operator 8).
 
-Text is read as symbols of a fixed alphabet of classes, and an n-gram model
-with modified Kneser-Ney smoothing is trained on trusted text. Every task
-counts the n-grams of its trusted texts; counts are sharded by n-gram and
-summed, and lower orders, totals and discounts come from joins and sums of
-count tables. The alphabet bounds the finished table of probabilities
-(``ALPHABET ** ORDER`` entries), so it may be broadcast; the scoring pass
-looks the n-grams of whole texts up and gives each document its perplexity.
-A document is kept if its perplexity lies within quantiles of the trusted
-text of its language.
+Here are the character model that spells words, and the classifier; the word
+n-grams that texts are scored by are in ``word_model``. For spelling, text is
+read as symbols of a fixed alphabet of classes. Every task counts the n-grams
+of its trusted texts; counts are sharded by n-gram and summed, and lower
+orders, totals and discounts come from joins and sums of count tables. The
+alphabet bounds this table of probabilities (``ALPHABET ** ORDER`` entries),
+so it may be broadcast. A document is kept if its perplexity under the word
+model lies within quantiles of the trusted text of its language.
 """
 
 from __future__ import annotations
@@ -144,42 +143,29 @@ def log_table(model: DataFrame) -> np.ndarray:
     return table
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` with ``perplexity`` of each whole text, by symbol; null for a text without symbols."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_table(model))
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in slices(batches):
-            out = []
-            for t in b["text"].to_pylist():
-                found = grams(symbols(t or ""))
-                out.append(float(2.0 ** -table[found].mean(dtype=np.float64)) if len(found) > 1 else None)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(out, pa.float64())], [*names, "perplexity"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("perplexity", T.DoubleType())]))
-
-
 def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", low: float = 0.001, high: float = 0.999,
-             slack: float = 1.25) -> DataFrame:
+             slack: float = 1.25, least: int = 200) -> DataFrame:
     """``docs`` with ``perplexity``, the bounds of its language and ``kept``.
 
     ``trusted_ids`` names the trusted documents by ``doc_id``. A document is
     kept if its perplexity is between the ``low`` quantile of trusted texts
     of its language divided by ``slack`` and the ``high`` one times
-    ``slack``; a language without trusted text takes the quantiles of all.
+    ``slack``; a language with fewer than ``least`` trusted texts, too few for
+    such quantiles, takes those of all.
     Null, empty and blank texts have no perplexity and are not kept; equal
     rows keep a row each; without any trusted text everything with a
     perplexity is kept; an empty table gives no rows. ``docs`` must not have
     columns of the new names.
     """
+    from . import word_model
+
     ids = trusted_ids.select("doc_id").filter("doc_id is not null").distinct()
-    model = train(docs.join(ids, "doc_id", "left_semi"))
-    scored = perplexities(docs, model)
+    measured = word_model.perplexities(docs, docs.join(ids, "doc_id", "left_semi")).withColumnRenamed("row", "content")
+    scored = docs.withColumn("content", word_model.row_key()).join(measured, "content", "left").drop("content")
     seen = scored.select("doc_id", F.col(language).alias("language"), "perplexity").join(ids, "doc_id", "left_semi")
     cut = F.percentile_approx("perplexity", [low, high], 10_000)
-    bounds = store(seen.groupBy("language").agg(cut.alias("q")).filter("q is not null"), "language-bounds")
+    bounds = store(seen.groupBy("language").agg(cut.alias("q"), F.count("perplexity").alias("n"))
+                   .filter(F.col("n") >= least).select("language", "q"), "language-bounds")
     overall = seen.agg(cut.alias("q")).first()["q"] or [0.0, float("inf")]
     bound = lambda i: F.coalesce(F.col("q")[i], F.lit(float(overall[i])))
     # a stored row a language: Spark sees its size and broadcasts it if it is small
@@ -190,5 +176,5 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", lo
 
 def keep_fluent(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their own columns."""
-    rows, restore = set_aside(docs, "perplexity", "q", "language", "lowest", "highest", "kept")
+    rows, restore = set_aside(docs, "perplexity", "content", "q", "language", "lowest", "highest", "kept")
     return restore(classify(rows, trusted_ids).filter("kept"))

@@ -143,14 +143,14 @@ def log_table(model: DataFrame) -> np.ndarray:
     return table
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", low: float = 0.001, high: float = 0.999,
-             slack: float = 1.25, least: int = 200) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", low: float = 0.0025, high: float = 0.9975,
+             least: int = 200) -> DataFrame:
     """``docs`` with ``perplexity``, the bounds of its language and ``kept``.
 
     ``trusted_ids`` names the trusted documents by ``doc_id``. A document is
-    kept if its perplexity is between the ``low`` quantile of trusted texts
-    of its language divided by ``slack`` and the ``high`` one times
-    ``slack``; a language with fewer than ``least`` trusted texts, too few for
+    kept if its perplexity is between the ``low`` and the ``high`` quantile of
+    trusted texts of its language, each scored by a model that has not seen
+    it; a language with fewer than ``least`` trusted texts, too few for
     such quantiles, takes those of all.
     Null, empty and blank texts have no perplexity and are not kept; equal
     rows keep a row each; without any trusted text everything with a
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", lo
     bound = lambda i: F.coalesce(F.col("q")[i], F.lit(float(overall[i])))
     # a stored row a language: Spark sees its size and broadcasts it if it is small
     return (scored.join(bounds, scored[language].eqNullSafe(bounds["language"]), "left")
-            .select(*scored.columns, (bound(0) / slack).alias("lowest"), (bound(1) * slack).alias("highest"))
+            .select(*scored.columns, bound(0).alias("lowest"), bound(1).alias("highest"))
             .withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("lowest"), F.col("highest")), F.lit(False))))
 
 

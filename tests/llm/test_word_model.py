@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagefold.llm import kneser_ney, word_model
+from pagefold.llm import kneser_ney, queries, word_model
 from pagefold.llm.common import read_table
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -101,3 +101,22 @@ def test_op8_sees_the_order_of_words(spark):
     got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(both, labels.filter("doc_id % 2 = 0")).select(
         "doc_id", "perplexity").collect()}
     assert sum(got[10**9 + r["doc_id"]] > 1.1 * got[r["doc_id"]] for r in own) > 0.95 * len(own)
+
+
+def test_op8_rejects_bad_labels_that_perplexity_sees(spark):
+    large = "/root/testdata/sf0.1"
+    rows = (queries.op8_quality_classifier(spark, large).select("doc_id", "kept")
+            .join(read_table(spark, large, "labels"), "doc_id")
+            .join(read_table(spark, large, "documents").select("doc_id", "text"), "doc_id").collect())
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert sum(good) / len(good) > 0.99
+    for sign, most in ((" | ", 0.1), ("!!", 0.05), ("$$$", 0.05), ("&&&", 0.05)):
+        bad = [r["kept"] for r in rows if r["quality"] == 0 and sign in r["text"]]
+        assert len(bad) > 50 and sum(bad) / len(bad) < most, sign
+
+
+def test_bounds_have_no_slack(spark):
+    rows = kneser_ney.classify(read_table(spark, MEDIUM, "documents"), read_table(spark, MEDIUM, "labels").filter("quality = 1"))
+    got = rows.collect()
+    seen = {r["perplexity"] for r in got}
+    assert all(r["lowest"] in seen and r["highest"] in seen for r in got)

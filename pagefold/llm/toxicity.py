@@ -188,14 +188,15 @@ def learn_lexicon(rows: list[tuple[str, int]], least_docs: int = 4) -> tuple[dic
     return weighed(seen, least_docs, 2.5), weighed(stems, 2 * least_docs, 3.0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.01) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, rounds: int = 60, ridge: float = 0.01) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton's method; row ``i`` counts ``counts[i]`` times (null: once)."""
     w = np.zeros(x.shape[1])
+    counts = np.ones(len(y)) if counts is None else counts
     penalty = ridge * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - penalty @ w
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), slope)
+        slope = x.T @ (counts * (y - p)) - penalty @ w
+        move = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), slope)
         w += move
         if np.abs(move).max() < 1e-8:
             break
@@ -207,10 +208,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
     Half of the sample teaches the lexicon and the other half the weights,
     so the weights are learned on words as an unseen text has them. The
-    sample takes the smallest hashes of ``doc_id``, as many of each class.
+    sample takes the smallest hashes of ``doc_id``, at most as many of each
+    class; in the fit a class counts by its share of all labelled rows, so
+    the scores do not depend on how far the sample cut a class.
     """
     rank = F.xxhash64("doc_id")
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    all_rows = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     taken = known.filter("toxic = 1").orderBy(rank).limit(sample // 2).union(
         known.filter("toxic = 0").orderBy(rank).limit(sample // 2))
     rows = (docs.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
@@ -222,7 +226,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     base = sum(y for _, y in second) / max(1, len(second))
     if not second or base in (0.0, 1.0):
         return words, stems, np.array([-4.0, *[0.0] * (N_FEATURES - 2), 5.0])
-    weights = fit(np.array([features(t, lexicon, memo) for t, _ in second]), np.array([y for _, y in second], dtype=float))
+    y = np.array([y for _, y in second], dtype=float)
+    share = all_rows[1] / (all_rows[0] + all_rows[1])
+    weights = fit(np.array([features(t, lexicon, memo) for t, _ in second]), y, np.where(y == 1, share / base, (1 - share) / (1 - base)))
     words, stems = learn_lexicon(first + second)
     return words, stems, weights
 

@@ -29,7 +29,8 @@ from .common import slices
 
 #: Labelled texts that the lexicon and the weights are learned from, at most (taken by hash of doc_id).
 SAMPLE = 6000
-#: Characters of a text that may be in that sample, at most: the sample has a bound in bytes.
+#: Characters up to which every labelled text may be in that sample; of longer ones, fewer are taken by their length,
+#: so the expected bytes of the sample have a bound.
 SAMPLE_CHARS = 20_000
 #: Terms of the lexicon, at most.
 MOST_TERMS = 600
@@ -203,21 +204,28 @@ def fit(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, rounds:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict, dict, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
+          sample_chars: int = SAMPLE_CHARS) -> tuple[dict, dict, np.ndarray]:
     """Lexicon and weights from a bounded sample of labelled texts (``doc_id``, ``toxic``).
 
     Half of the sample teaches the lexicon and the other half the weights,
     so the weights are learned on words as an unseen text has them. The
     sample takes the smallest hashes of ``doc_id``, at most as many of each
     class; in the fit a class counts by its share of all labelled rows, so
-    the scores do not depend on how far the sample cut a class.
+    the scores do not depend on how far the sample cut a class. A text of
+    more than ``sample_chars`` characters may be taken with the chance
+    ``sample_chars`` / its length, and then counts as often as it stands for.
     """
     rank = F.xxhash64("doc_id")
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    all_rows = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    held = known.join(docs.groupBy("doc_id").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("chars")), "doc_id")
+    all_rows = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands = F.greatest(F.lit(1.0), F.col("chars") / sample_chars)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("long text")), F.lit(1 << 20)) / (1 << 20)
+    known = held.select("doc_id", "toxic", stands.alias("stands")).filter(chance * F.col("stands") < 1)
     taken = known.filter("toxic = 1").orderBy(rank).limit(sample // 2).union(
         known.filter("toxic = 0").orderBy(rank).limit(sample // 2))
-    rows = (docs.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = (docs.join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "stands")
             .dropDuplicates(["doc_id"]).orderBy(rank).limit(sample).collect())
     first = [(r["text"], r["toxic"]) for r in rows[0::2]]
     second = [(r["text"], r["toxic"]) for r in rows[1::2]]
@@ -228,12 +236,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
         return words, stems, np.array([-4.0, *[0.0] * (N_FEATURES - 2), 5.0])
     y = np.array([y for _, y in second], dtype=float)
     share = all_rows[1] / (all_rows[0] + all_rows[1])
-    weights = fit(np.array([features(t, lexicon, memo) for t, _ in second]), y, np.where(y == 1, share / base, (1 - share) / (1 - base)))
+    stands = np.array([r["stands"] for r in rows[1::2]])
+    counts = stands * len(y) * np.where(y == 1, share / stands[y == 1].sum(), (1 - share) / stands[y == 0].sum())
+    weights = fit(np.array([features(t, lexicon, memo) for t, _ in second]), y, counts)
     words, stems = learn_lexicon(first + second)
     return words, stems, weights
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1), ``n_hits`` and ``spans`` (words of the hits) of every whole document.
 
     ``labels`` are the rows to learn from. Null and empty texts have no hits
@@ -241,7 +251,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     classes among the labels a fixed score of the hits is used; an empty
     table gives no rows. Only the text is an input of a score.
     """
-    words, stems, weights = learn(docs.select("doc_id", "text"), labels, sample)
+    words, stems, weights = learn(docs.select("doc_id", "text"), labels, sample, sample_chars)
     shared = docs.sparkSession.sparkContext.broadcast((words, stems, weights))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()),
                            T.StructField("n_hits", T.LongType()), T.StructField("spans", T.ArrayType(T.StringType()))])

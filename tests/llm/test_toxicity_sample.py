@@ -34,3 +34,13 @@ def test_sample_of_even_classes_keeps_the_calibration(spark):
     texts = {t for _, t in score}
     for text in texts:
         assert score[1600, text] == pytest.approx(score[18000, text], abs=1.0)
+
+
+def test_long_texts_teach_too(spark):
+    rows = labelled(spark, 400)
+    long = rows.selectExpr("doc_id", "concat(repeat(concat(text, ' '), 100), if(toxic = 1, 'zarkon', '')) as text", "toxic")
+    assert long.selectExpr("min(length(text))").first()[0] > 20_000
+    words, _, _ = toxicity.learn(long.select("doc_id", "text"), long.select("doc_id", "toxic"))
+    assert "zarkon" in words
+    words, _, _ = toxicity.learn(long.select("doc_id", "text"), long.select("doc_id", "toxic"), sample_chars=1)
+    assert not words

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, jaccard_join, kneser_ney, licenses, packing, quality_rules, secret_scan, token_files, topk, toxicity
+from . import bpe_trie, density, divergence, jaccard_join, kneser_ney, licenses, packing, quality_rules, secret_scan, spelling, token_files, topk, toxicity
 from .common import read_table, scratch_path, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,59 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and diagonal-voting license labels of every whole document."""
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart from a word at least twice as frequent, and the end of each chain of such forms."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"), least_length=5, least_n=3, times=2, drop_one_in=97)
+
+
+@query
+def op12_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page by composite text density."""
+    return density.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that each source uses beyond its language."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"), limit=30, ranks=50)
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d),
+t AS (
+    SELECT r, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS n
+    FROM words GROUP BY ALL),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n)::HUGEINT AS s FROM cnt GROUP BY ALL),
+p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(o.s, 0) + 5 * z.v) AS p
+    FROM grp g JOIN kept k USING (lang) JOIN size z USING (lang) LEFT JOIN total o USING (lang, source)
+    LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (
+    SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (any_value(s) + 5 * any_value(v)) AS q
+    FROM cnt JOIN (SELECT lang, sum(s) AS s FROM total GROUP BY ALL) USING (lang) JOIN size USING (lang) GROUP BY ALL),
+dist AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+terms AS (
+    SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value
+    FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, k::INTEGER AS rank FROM ranked WHERE part = 'pair' OR k <= 50
+"""

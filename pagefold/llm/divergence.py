@@ -1,9 +1,9 @@
 """Operator 13: how the sources of a language differ in their words, by chunk factorization.
 
 A chunk is a run of anything but ASCII blanks; no term crosses its ends. Each
-task counts the chunks of its documents: occurrences and documents by
-language, source and chunk. Each distinct chunk is then tokenized once, and
-its terms are joined back to the counts. Occurrences of a term are sums over
+task counts the chunks of its documents: a row for each language and chunk has
+the documents and, by source, the occurrences. Each distinct chunk is then
+tokenized once, and its terms are joined back to the counts. Occurrences of a term are sums over
 its chunks; the documents of a term are not, since one document may hold
 several of its chunks, but they lie between those of its commonest chunk and
 the sum of all. Only terms that these two bounds leave open are counted
@@ -23,21 +23,20 @@ can pass 64 bits are decimals.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, store
 
-_CHUNK_BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
-#: Chunk counts that a task holds before it sends them on.
-HELD_CHUNKS = 200_000
+#: Words, and distinct chunks, that a task counts before it sends the counts on.
+HELD_WORDS, HELD_CHUNKS = 4_000_000, 600_000
 #: Counts of a slice of pair sums, the most that it grows to where there are many sources, and sources of one block of its matrix.
 SLICE_COUNTS, SLICE_MOST = 50_000, 1_000_000
 SOURCE_BLOCK = 32
@@ -45,57 +44,107 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
-    """``lang, source, chunk, n, n_docs, rows``: parts that each task has summed; ``rows`` names the documents if fewer than ``limit``."""
+class _Counts:
+    """Chunks of some documents as numbers, until they are counted."""
+
+    def __init__(self):
+        self.chunks: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.codes: list[np.ndarray] = []
+        self.doc_words: list[np.ndarray] = []
+        self.doc_group: list[int] = []
+        self.n_words = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.doc_group += [self.groups.setdefault(g, len(self.groups))
+                           for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
+        found = pc.ascii_split_whitespace(batch.column("text"))
+        self.doc_words.append(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        distinct = found.flatten().dictionary_encode()
+        known = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in distinct.dictionary.to_pylist()], dtype=np.int64)
+        self.codes.append(known[distinct.indices.to_numpy()])
+        self.n_words += len(distinct)
+
+    def summed(self, task: int, first_row: int, limit: int) -> pa.RecordBatch:
+        """A row for each language and chunk."""
+        langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in self.groups))}
+        lang_of = np.array([langs[lang] for lang, _ in self.groups])
+        doc_group = np.array(self.doc_group)
+        by_group = np.argsort(doc_group, kind="stable")     # documents in the order of their sources
+        place = np.empty_like(by_group)
+        place[by_group] = np.arange(len(by_group))
+        doc = np.repeat(np.arange(len(doc_group)), np.concatenate(self.doc_words))
+        key = (lang_of[doc_group[doc]] * len(self.chunks) + np.concatenate(self.codes)) * len(doc_group) + place[doc]
+        empty = self.chunks.get("")
+        key, times = np.unique(key, return_counts=True)
+        pair, doc = key // len(doc_group), by_group[key % len(doc_group)]
+        if empty is not None:       # what stands before a leading blank
+            words = pair % len(self.chunks) != empty
+            pair, doc, times = pair[words], doc[words], times[words]
+        group = doc_group[doc]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])[:len(pair)]
+        starts = np.flatnonzero(new)
+        n_docs = np.diff(starts, append=len(pair))
+        source_starts = np.flatnonzero(new | np.concatenate([[True], group[1:] != group[:-1]])[:len(pair)])
+        n = np.add.reduceat(times, source_starts) if len(pair) else times
+        rare = n_docs < limit
+        names = pa.array([source for _, source in self.groups], pa.string())
+        by_source = pa.StructArray.from_arrays([names.take(pa.array(group[source_starts])), pa.array(n, pa.int64())], names=["source", "n"])
+        offsets = np.searchsorted(source_starts, np.append(starts, len(pair)))
+        rows = pa.array(doc[np.repeat(rare, n_docs)] + first_row, pa.int32())
+        row_offsets = np.concatenate([[0], np.cumsum(np.where(rare, n_docs, 0))])
+        lang, chunk = pair[starts] // len(self.chunks), pair[starts] % len(self.chunks)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(langs), pa.string()).take(pa.array(lang)), pa.array(list(self.chunks), pa.string()).take(pa.array(chunk)),
+             pa.array(n_docs, pa.int64()), pa.array(np.full(len(starts), task), pa.int32()),
+             pa.ListArray.from_arrays(pa.array(row_offsets, pa.int32()), rows),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), by_source)],
+            names=["lang", "chunk", "n_docs", "task", "rows", "by_source"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        row = TaskContext.get().partitionId() << 40
 
-        def sent() -> pa.RecordBatch:
-            cols = list(zip(*held)) or [(), (), ()]
-            n, n_docs, rows = list(zip(*held.values())) or [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.string()) for c in cols), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64()),
-                 pa.array([r if len(r) < limit else None for r in rows], pa.list_(pa.int64()))],
-                names=["lang", "source", "chunk", "n", "n_docs", "rows"])
+def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
+    """``lang, chunk, n_docs, task, rows, by_source``: sums of each task.
+
+    ``by_source`` has the occurrences by source; ``task`` and ``rows`` name the documents of a chunk that is in
+    fewer than ``limit`` of them (else ``rows`` is empty).
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row, held = TaskContext.get().partitionId(), 0, _Counts()
         for batch in slices(batches):
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                row += 1
-                for chunk, n in Counter(text.encode().translate(_CHUNK_BLANKS).split()).items():
-                    had = held.get((lang, source, chunk))
-                    if had is None:
-                        held[lang, source, chunk] = [n, 1, [row]]
-                    else:
-                        had[0] += n
-                        had[1] += 1
-                        if had[1] <= limit:
-                            had[2].append(row)
-                if len(held) >= HELD_CHUNKS:
-                    yield sent()
-                    held.clear()
-        yield sent()
+            held.add(batch)
+            if held.n_words >= HELD_WORDS or len(held.chunks) >= HELD_CHUNKS:
+                yield held.summed(task, row, limit)
+                row, held = row + len(held.doc_group), _Counts()
+        if held.n_words:
+            yield held.summed(task, row, limit)
 
     read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return read.mapInArrow(run, "lang string, source string, chunk string, n long, n_docs long, rows array<long>")
+    return read.mapInArrow(run, "lang string, chunk string, n_docs long, task int, rows array<int>, "
+                                "by_source array<struct<source:string,n:long>>")
+
 
+def chunk_terms(parts: DataFrame) -> DataFrame:
+    """``lang, chunk, n_docs, term, times``: each distinct chunk tokenized once, its terms joined back to its counts.
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """``chunk, term, times`` of each distinct chunk, tokenized once."""
-    terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    return (chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
-            .groupBy("chunk", F.translate("term", UPPER, LOWER).alias("term")).agg(F.count("*").alias("times")))
+    One shuffle by chunk serves the sums, the distinct chunks and the join.
+    """
+    dealt = parts.select("lang", "chunk", "n_docs").repartition("chunk")
+    terms = (dealt.select("chunk").distinct()
+             .select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
+             .groupBy("chunk", F.translate("term", UPPER, LOWER).alias("term")).agg(F.count("*").alias("times")))
+    return dealt.groupBy("lang", "chunk").agg(F.sum("n_docs").alias("n_docs")).join(terms, "chunk").select(
+        "lang", "chunk", "n_docs", "term", "times")
 
 
 def kept_terms(parts: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """``lang, term`` of the terms in at least ``limit`` documents of a language."""
-    by_chunk = parts.groupBy("lang", "chunk").agg(F.sum("n_docs").alias("n_docs"))
-    bounds = store(by_chunk.join(terms, "chunk").groupBy("lang", "term").agg(
+    bounds = store(terms.groupBy("lang", "term").agg(
         F.max("n_docs").alias("least"), F.sum("n_docs").alias("most")).filter(F.col("most") >= limit), "term-bounds")
     open_terms = bounds.filter(F.col("least") < limit).select("lang", "term")
-    rare = terms.join(open_terms, "term").select("lang", "chunk", "term")
-    exact = (parts.join(rare, ["lang", "chunk"]).select("lang", "term", F.explode("rows").alias("row")).distinct()
+    rare = terms.join(open_terms, ["lang", "term"]).select("lang", "chunk", "term")
+    exact = (parts.select("lang", "chunk", "task", "rows").join(rare, ["lang", "chunk"])
+             .select("lang", "term", "task", F.explode("rows").alias("row")).distinct()
              .groupBy("lang", "term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= limit))
     return bounds.filter(F.col("least") >= limit).select("lang", "term").unionByName(exact.select("lang", "term"))
 
@@ -149,9 +198,10 @@ def audit(docs: DataFrame, limit: int = 30, ranks: int = 50, slice_counts: int =
     terms = store(chunk_terms(parts), "chunk-terms")
     kept = store(kept_terms(parts, terms, limit), "kept-terms")
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    counts = store(parts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n")).join(terms, "chunk")
-                   .groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-                   .join(kept, ["lang", "term"]), "term-counts")
+    of_kept = terms.join(kept, ["lang", "term"]).select("lang", "chunk", "term", "times")
+    counts = store(parts.select("lang", "chunk", "by_source").join(of_kept, ["lang", "chunk"])
+                   .select("lang", "term", "times", F.inline("by_source"))
+                   .groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n")), "term-counts")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     cells = counts.groupBy("lang").agg(F.count("*").alias("cells"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import slices, store
 
 #: Words, and distinct chunks, that a task counts before it sends the counts on.
-HELD_WORDS, HELD_CHUNKS = 4_000_000, 600_000
+HELD_WORDS, HELD_CHUNKS = 6_000_000, 800_000
 #: Counts of a slice of pair sums, the most that it grows to where there are many sources, and sources of one block of its matrix.
 SLICE_COUNTS, SLICE_MOST = 50_000, 1_000_000
 SOURCE_BLOCK = 32
@@ -61,7 +61,7 @@ class _Counts:
         found = pc.ascii_split_whitespace(batch.column("text"))
         self.doc_words.append(pc.list_value_length(found).to_numpy(zero_copy_only=False))
         distinct = found.flatten().dictionary_encode()
-        known = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in distinct.dictionary.to_pylist()], dtype=np.int64)
+        known = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in distinct.dictionary.to_pylist()], dtype=np.int32)
         self.codes.append(known[distinct.indices.to_numpy()])
         self.n_words += len(distinct)
 
@@ -111,7 +111,7 @@ def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row, held = TaskContext.get().partitionId(), 0, _Counts()
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             held.add(batch)
             if held.n_words >= HELD_WORDS or len(held.chunks) >= HELD_CHUNKS:
                 yield held.summed(task, row, limit)
@@ -137,15 +137,30 @@ def chunk_terms(parts: DataFrame) -> DataFrame:
         "lang", "chunk", "n_docs", "term", "times")
 
 
-def kept_terms(parts: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+def term_bounds(terms: DataFrame, limit: int) -> DataFrame:
+    """``lang, term, least, most``: bounds of the documents of each term that may be in ``limit`` of them."""
+    return terms.groupBy("lang", "term").agg(F.max("n_docs").alias("least"), F.sum("n_docs").alias("most")).filter(F.col("most") >= limit)
+
+
+def term_cells(parts: DataFrame, terms: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
+    """One pass over the counted chunks: ``lang, term, source, n`` (occurrences) and, with ``source`` null, a row
+    ``lang, term, task, row`` for each document of a term that the bounds leave open."""
+    is_open = F.col("least") < limit
+    wanted = terms.join(bounds.select("lang", "term", is_open.alias("open")), ["lang", "term"]).select("lang", "chunk", "term", "times", "open")
+    cell = "struct<source:string,task:int,row:int,n:long>"
+    counted = F.transform("by_source", lambda s: F.struct(
+        s["source"].alias("source"), F.lit(None).cast("int").alias("task"), F.lit(None).cast("int").alias("row"),
+        (s["n"] * F.col("times")).alias("n")))
+    named = F.transform("rows", lambda r: F.struct(
+        F.lit(None).cast("string").alias("source"), F.col("task").alias("task"), r.alias("row"), F.lit(0).cast("long").alias("n")))
+    return (parts.join(wanted, ["lang", "chunk"])
+            .select("lang", "term", F.inline(F.concat(counted, F.when(F.col("open"), named).otherwise(F.array().cast(f"array<{cell}>")))))
+            .groupBy("lang", "term", "source", "task", "row").agg(F.sum("n").alias("n")))
+
+
+def kept_terms(bounds: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
     """``lang, term`` of the terms in at least ``limit`` documents of a language."""
-    bounds = store(terms.groupBy("lang", "term").agg(
-        F.max("n_docs").alias("least"), F.sum("n_docs").alias("most")).filter(F.col("most") >= limit), "term-bounds")
-    open_terms = bounds.filter(F.col("least") < limit).select("lang", "term")
-    rare = terms.join(open_terms, ["lang", "term"]).select("lang", "chunk", "term")
-    exact = (parts.select("lang", "chunk", "task", "rows").join(rare, ["lang", "chunk"])
-             .select("lang", "term", "task", F.explode("rows").alias("row")).distinct()
-             .groupBy("lang", "term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= limit))
+    exact = cells.filter("source IS NULL").groupBy("lang", "term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= limit)
     return bounds.filter(F.col("least") >= limit).select("lang", "term").unionByName(exact.select("lang", "term"))
 
 
@@ -196,21 +211,20 @@ def audit(docs: DataFrame, limit: int = 30, ranks: int = 50, slice_counts: int =
     """``lang, source, part, item, value, rank``: other sources by distance, and the terms that a source uses most beyond its language."""
     parts = store(chunk_counts(docs, limit), "chunk-counts")
     terms = store(chunk_terms(parts), "chunk-terms")
-    kept = store(kept_terms(parts, terms, limit), "kept-terms")
+    bounds = store(term_bounds(terms, limit), "term-bounds")
+    cells = store(term_cells(parts, terms, bounds, limit), "term-cells")
+    kept = store(kept_terms(bounds, cells, limit), "kept-terms")
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    of_kept = terms.join(kept, ["lang", "term"]).select("lang", "chunk", "term", "times")
-    counts = store(parts.select("lang", "chunk", "by_source").join(of_kept, ["lang", "chunk"])
-                   .select("lang", "term", "times", F.inline("by_source"))
-                   .groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n")), "term-counts")
+    counts = store(cells.filter("source IS NOT NULL").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "term-counts")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    cells = counts.groupBy("lang").agg(F.count("*").alias("cells"))
+    filled = counts.groupBy("lang").agg(F.count("*").alias("filled"))
     sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     per_slice = F.greatest(F.lit(slice_counts), F.least(F.col("sources") * F.col("sources"), F.lit(SLICE_MOST)))
     zero = F.lit(0)
-    groups = store(groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").join(cells, "lang", "left").join(sources, "lang").select(
+    groups = store(groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").join(filled, "lang", "left").join(sources, "lang").select(
         "lang", "source", F.coalesce("size", zero).alias("size"), F.coalesce("total", zero).alias("total"),
-        F.ceil(F.coalesce("cells", zero) / per_slice).cast("int").alias("slices")).withColumn(
+        F.ceil(F.coalesce("filled", zero) / per_slice).cast("int").alias("slices")).withColumn(
         "none", _share(zero, F.col("total"), F.col("size"))), "source-groups")
 
     own = counts.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("size")))

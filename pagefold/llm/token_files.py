@@ -90,12 +90,13 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``ranks``, ``control`` and ``data`` of the ids of a block."""
-    distinct, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = encode_values(rank[place.reshape(-1)] if len(ids) else np.zeros(0, np.uint32))
-    return distinct[order].astype("<u4").tobytes(), control, data
+    count = np.bincount(ids) if len(ids) else np.zeros(0, dtype=np.int64)
+    distinct = np.flatnonzero(count)
+    ranked = distinct[np.lexsort((distinct, -count[distinct]))]
+    rank = np.zeros(len(count), dtype=np.uint32)        # as large as the vocabulary
+    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
+    control, data = encode_values(rank[ids])
+    return ranked.astype("<u4").tobytes(), control, data
 
 
 def _shard_bounds(docs: DataFrame, n: int) -> list[int]:
@@ -113,7 +114,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, bounds: list[int])
         coder = chunk_encoder(path)
         tail = b"" if end_id is None else np.array([end_id], dtype=coder.dtype).tobytes()
         width, codec = np.dtype(coder.dtype).itemsize, pa.Codec("zstd", 1)
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             raw = [x + tail for x in coder.encode(b["text"].to_pylist())]
             keys = [edges[0] if i is None and len(edges) else i or 0 for i in b["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([

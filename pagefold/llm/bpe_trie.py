@@ -18,6 +18,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ DIGEST_SCHEMA = T.StructType([
     T.StructField("ids_sha256", T.StringType()),
     T.StructField("decoded_sha256", T.StringType()),
 ])
+#: Rows whose new words are inserted together.
+WORD_ROWS = 1024
 #: Separators of this range are blanks to Python but not to the tokenizer's pattern.
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -46,10 +49,6 @@ def _runs(text: str) -> list[str]:
     return [r for r in _BLANK.split(text) if r] if _ODD_BLANK.search(text) else text.split()
 
 
-def _endings(tokens: dict[str, int]) -> dict[str, int | None]:
-    return {t[i:]: tokens.get(t[i:]) for t in tokens for i in range(len(t))}
-
-
 class Merges:
     """Vocabulary and merge order of a BPE file with an end-of-word suffix."""
 
@@ -79,8 +78,6 @@ class Merges:
                 symbols[-1] += self.end
             if all(s in self.vocab for s in symbols) and self._merge(symbols, i):
                 (self.last if at_end else self.inner)[body] = i
-        #: every ending of a token's text: the token it is itself, or None
-        self.inner_ends, self.last_ends = _endings(self.inner), _endings(self.last)
 
     def _merge(self, symbols: list[str], whole: int) -> bool:
         """Merge a token's symbols in rank order; note its last merge. True if the token itself results."""
@@ -117,12 +114,71 @@ class Merges:
                 before, right = b[0] + 0.5, b[1]
 
 
-class TrieEncoder:
-    """Encodes batches of distinct words; states of shared prefixes are computed once a batch."""
+class Endings:
+    """Automaton over the symbols of all tokens: for what has been read, the tokens that end there, longest first.
+
+    A state is the longest ending that begins some token; ``fail`` leads to
+    the next shorter one, ``shorter`` to the next that is a token itself.
+    """
 
     def __init__(self, merges: Merges):
-        self.merges = merges
+        self.end = merges.end
+        self.next: list[dict[str, int]] = [{}]
+        self.token, self.length, self.fail, self.shorter = [-1], [0], [0], [0]
+        for tokens, end in ((merges.inner, ""), (merges.last, merges.end)):
+            for body, i in tokens.items():
+                state = 0
+                for symbol in (*body[:-1], body[-1] + end):
+                    state = self.next[state].get(symbol) or self._new(state, symbol)
+                self.token[state] = i
+        level = list(self.next[0].values())
+        while level:        # by length, so shorter endings are done first
+            below = []
+            for state in level:
+                for symbol, child in self.next[state].items():
+                    fail = self.fail[child] = self.step(self.fail[state], symbol)
+                    self.shorter[child] = fail if self.token[fail] >= 0 else self.shorter[fail]
+                    below.append(child)
+            level = below
+
+    def _new(self, state: int, symbol: str) -> int:
+        child = self.next[state][symbol] = len(self.next)
+        self.next.append({})
+        self.token.append(-1)
+        self.length.append(self.length[state] + 1)
+        self.fail.append(0)
+        self.shorter.append(0)
+        return child
+
+    def step(self, state: int, symbol: str) -> int:
+        while (child := self.next[state].get(symbol)) is None:
+            if not state:
+                return 0
+            state = self.fail[state]
+        return child
+
+
+#: Places in a node of the trie: its children by symbol, the last token of its prefix, the length of the prefix
+#: before that token, and the state of the automaton.
+CHILDREN, TOKEN, BACK, STATE = range(4)
+
+
+class TrieEncoder:
+    """Encodes distinct words; the states of shared prefixes are computed once.
+
+    Words are inserted in their order, which walks the trie depth first: a
+    new node takes its last token from the nodes above it. The trie stays
+    between batches and is begun anew when it holds ``most_nodes``, which
+    costs time and changes no id.
+    """
+
+    def __init__(self, merges: Merges, most_nodes: int = 600_000):
+        self.merges, self.endings, self.most_nodes = merges, Endings(merges), most_nodes
         self.pairs: dict[tuple[int, int], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.root, self.nodes = [{}, -1, -1, 0], 0
 
     def _fits(self, left: int, right: int) -> bool:
         ok = self.pairs.get((left, right))
@@ -134,54 +190,50 @@ class TrieEncoder:
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word. Words are non-empty strings of the byte alphabet."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for ch in w[:-1]:
-                node = node.setdefault(ch, {})
-            node.setdefault("", []).append(w)
+        if self.nodes > self.most_nodes:
+            self._clear()
         out: dict[str, list[int]] = {}
-        # path[d]: (last token, depth of the prefix before it) of the prefix of d symbols
-        path: list[tuple[int, int]] = [(-1, -1)]
-        stack: list[tuple[dict, str]] = [(root, "")]
-        while stack:
-            node, prefix = stack.pop()
-            depth = len(prefix)
-            if depth:
-                del path[depth:]
-                path.append(self._state(prefix, self.merges.inner_ends, path))
-            for w in node.get("", ()):
-                token, back = self._state(w, self.merges.last_ends, path)
-                ids = [token]
-                while back:
-                    token, back = path[back]
-                    ids.append(token)
-                out[w] = ids[::-1]
-            for ch, child in node.items():
-                if ch:
-                    stack.append((child, prefix + ch))
+        step, end, last = self.endings.step, self.endings.end, self._last
+        before, path = "", [self.root]
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(before, word[:-1]):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1:]
+            node, before = path[-1], word[:-1]
+            for symbol in before[shared:]:
+                child = node[CHILDREN].get(symbol)
+                if child is None:
+                    state = step(node[STATE], symbol)
+                    child = node[CHILDREN][symbol] = [{}, *last(path, state), state]
+                    self.nodes += 1
+                path.append(child)
+                node = child
+            token, back = last(path, step(node[STATE], word[-1] + end))
+            ids = [token]
+            while back:
+                node = path[back]
+                ids.append(node[TOKEN])
+                back = node[BACK]
+            out[word] = ids[::-1]
         return out
 
-    def _state(self, prefix: str, ends: dict[str, int | None], path: list[tuple[int, int]]) -> tuple[int, int]:
-        """Last token of ``prefix``, and where it starts: of the tokens that end here, the one that fits its path."""
-        start, found = len(prefix) - 1, []
-        get = ends.get
-        while start >= 0:
-            token = get(prefix[start:], -1)
-            if token is not None:
-                if token < 0:
-                    break
-                found.append((token, start))
-            start -= 1
-        pairs = self.pairs
-        while found:
-            token, start = found.pop()
+    def _last(self, path: list[list], state: int) -> tuple[int, int]:
+        """Last token of the prefix that goes one symbol beyond ``path``, and where it starts: the one that fits what is before it."""
+        ends, pairs = self.endings, self.pairs
+        if ends.token[state] < 0:
+            state = ends.shorter[state]
+        while state:
+            token, start = ends.token[state], len(path) - ends.length[state]
             if not start:
                 return token, 0
-            ok = pairs.get((path[start][0], token))
-            if ok or (ok is None and self._fits(path[start][0], token)):
+            ok = pairs.get((path[start][TOKEN], token))
+            if ok or (ok is None and self._fits(path[start][TOKEN], token)):
                 return token, start
-        raise ValueError(f"no token ends {prefix!r}")
+            state = ends.shorter[state]
+        raise ValueError("no token ends a prefix")
 
 
 class WordCodec:
@@ -207,7 +259,7 @@ class WordCodec:
         self.number = [str(i) for i in range(size)]
         self.decoder = tok.decoder
         self.cache_items = cache_items
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, list[int]] = {}
 
     def _words(self, run: str) -> list:
         """Pieces of a run of non-blank characters: byte-alphabet words, and ids of special tokens."""
@@ -231,9 +283,12 @@ class WordCodec:
         pieces = {r: self._words(r) for r in new}
         coded = self.trie.encode(list({w for p in pieces.values() for w in p if isinstance(w, str)}))
         for r, p in pieces.items():
-            self.memo[r] = tuple([i for w in p for i in (coded[w] if isinstance(w, str) else (w,))])
-        memo = self.memo
-        return [[i for r in rs for i in memo[r]] for rs in runs]
+            if len(p) == 1 and isinstance(p[0], str):
+                self.memo[r] = coded[p[0]]
+            else:
+                self.memo[r] = [i for w in p for i in (coded[w] if isinstance(w, str) else (w,))]
+        ids_of = self.memo.__getitem__
+        return [list(chain.from_iterable(map(ids_of, rs))) for rs in runs]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``, special tokens included; a file without a decoder joins tokens by blanks."""
@@ -259,7 +314,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
-        for b in slices(batches):
+        for b in slices(batches, WORD_ROWS):
             ids = codec.encode(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())],
@@ -272,7 +327,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and SHA-256 of ids and decoded text, without moving ids out of the worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
-        for b in slices(batches):
+        for b in slices(batches, WORD_ROWS):
             n, a, d = [], [], []
             for ids in codec.encode(b["text"].to_pylist()):
                 n.append(len(ids))

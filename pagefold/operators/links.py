@@ -20,6 +20,7 @@ from ..functions.constants import (
 )
 from ..functions.text import clean_whitespace, py_strip
 from ..functions.urls import resolve_url, url_netloc, url_scheme
+from ..sources.html import with_text
 from .topk import first_k
 
 _PAT = "|".join(ABOUT_URL_PATTERNS)  # regexes, searched
@@ -36,7 +37,11 @@ def links_in_containers(elements: DataFrame, container: Column, link_filter: Col
     is_link = (F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()
     if link_filter is not None:
         is_link = is_link & F.coalesce(link_filter, F.lit(False))
-    rows = elements.filter(is_link | container).select(
+    # the filter on links may read their text, so deferred texts are filled in
+    # before it; containers stand for themselves
+    anchors = with_text(elements, elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()))
+    rows = anchors.filter(is_link | container).unionByName(elements.filter(~((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
+                                                                           & container)).select(
         "page_id", "url", "node_id", "end_id", "tag", "attrs", "text",
         container.alias("is_c"), is_link.alias("is_a"))
     w = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +83,7 @@ def split_about_links(elements: DataFrame) -> DataFrame:
     max score, the title of the first entry with that score, and the url's
     first position as tie-break (Python dict order + stable sort)."""
     a = elements.filter((F.col("tag") == "a") & (F.coalesce(F.col("attrs")["href"], F.lit("")) != ""))
-    a = a.select("page_id", "url", "node_id", F.col("attrs")["href"].alias("href"),
+    a = with_text(elements, a).select("page_id", "url", "node_id", F.col("attrs")["href"].alias("href"),
                  py_strip("text").alias("title"))
     by_text = F.lower("title").rlike(alternation(ABOUT_TEXT_KEYWORDS_SPLIT))
     by_url = F.col("href").rlike("(?i)" + _PAT)
@@ -116,27 +121,6 @@ def page_texts(elements: DataFrame) -> DataFrame:
                     clean_whitespace("doc_text").alias("about_text"))
 
 
-def best_about(main: DataFrame, about: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A7/A8/J2. ``main``: (page_id, url, text); ``about``: top about links
-    (page_id, rank, about_url, confidence); ``texts``: page_texts.
-    Returns (best per page: best_about_url, best_text; analysis rows).
-    Unfetchable links (no crawled page) are skipped by the inner join; the
-    best text is the longest, ties keeping the earlier candidate."""
-    fetched = about.join(texts, "about_url", "inner")   # AQE splits hot target urls
-    analysis = fetched.select("page_id", "rank", F.col("about_url").alias("url"),
-                              F.col("about_title").alias("title"),
-                              F.length("about_text").alias("content_length"), "confidence")
-    cands = main.select("page_id", F.lit(0).alias("rank"), F.col("url").alias("cand_url"),
-                        F.col("text").alias("cand_text")).unionByName(
-        fetched.select("page_id", "rank", F.col("about_url").alias("cand_url"),
-                       F.col("about_text").alias("cand_text")))
-    best = cands.groupBy("page_id").agg(F.max_by(
-        F.struct("cand_url", "cand_text"),
-        F.struct(F.length("cand_text"), -F.col("rank"))).alias("b"))
-    return best.select("page_id", F.col("b.cand_url").alias("best_about_url"),
-                       F.col("b.cand_text").alias("best_text")), analysis
-
-
 def about_content_page(elements: DataFrame) -> DataFrame:
     """pages whose lower-cased text contains an about phrase."""
     doc = elements.filter(F.col("tag") == "[document]")
@@ -173,7 +157,7 @@ def classic_about_page(elements: DataFrame, corpus_urls: DataFrame,
                                      "outer", "node_id", "href")
     nav = area_links(area1, 0).unionByName(area_links(area2, 1))
     if all_links_fallback:
-        allk = elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select(
+        allk = with_text(elements, elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())).select(
             F.col("page_id").alias("root_id"), F.lit(2).alias("area"), F.lit(0).alias("outer"), "node_id",
             F.col("attrs")["href"].alias("href"), py_strip("text").alias("t"))
         allk = allk.filter(F.lower("href").rlike(kw) | F.lower("t").rlike(alternation(ABOUT_LINK_PHRASES)))

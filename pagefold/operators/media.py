@@ -20,6 +20,7 @@ from ..functions.constants import (
     sql_array,
 )
 from ..functions.text import py_strip
+from ..sources.html import with_text
 from ..functions.urls import media_id, path_extension, resolve_url, url_path
 from .thumbs import thumbnail_struct
 from .topk import first_k
@@ -72,7 +73,10 @@ def split_media(elements: DataFrame) -> DataFrame:
         tag.isin("img", "video", "iframe", "a", "link")
         & ~((tag == "link") & ~F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])))
         & ((tag != "a") | could_be_document(href))
-    ).select("page_id", "url", "node_id", "tag", "attrs", "classes", "rel",
+    )
+    # only documents show a text; the other tags' rows are not text-bearing
+    cand = with_text(elements, cand.filter(tag == "a")).unionByName(cand.filter(tag != "a")).select(
+             "page_id", "url", "node_id", "tag", "attrs", "classes", "rel",
              py_strip("text").alias("link_text"), ref.alias("ref")).filter(F.col("ref").isNotNull())
     cand = cand.withColumn("full_url", resolve_url("url", "ref"))
     path = url_path("full_url")
@@ -177,11 +181,11 @@ def hybrid_media(elements: DataFrame) -> DataFrame:
            .when(tag.isin("video", "iframe"), vsrc)
            .when(tag == "audio", _nz(_attr("src")))
            .when(tag.isin("a", "link"), _nz(_attr("href"))))
-    cand = elements.filter(tag.isin("img", "video", "iframe", "audio", "a", "link")).select(
+    anchors = elements.filter((tag == "a") & could_be_document(_nz(_attr("href"))))
+    cand = with_text(elements, anchors).unionByName(elements.filter(tag.isin("img", "video", "iframe", "audio", "link"))).select(
         "page_id", "url", "node_id", "tag", "attrs", "classes", "rel",
         py_strip("text").alias("link_text"), ref.alias("ref")).filter(F.col("ref").isNotNull())
     cand = cand.filter((tag != "link") | F.arrays_overlap(F.col("rel"), F.array(*[F.lit(r) for r in ICON_RELS])))
-    cand = cand.filter((tag != "a") | could_be_document("ref"))
     cand = cand.withColumn("full_url", resolve_url("url", "ref"))
     path = url_path("full_url")
     ext = path_extension(path)
@@ -268,19 +272,12 @@ def simple_media(elements: DataFrame, max_images: int = 20, max_videos: int = 10
 def svc_media(elements: DataFrame) -> DataFrame:
     """``img[src]`` with context alt -> title -> parent text (strip,
     first 100 chars, if different from src) -> "Image"; ``video/iframe[src]``
-    with context title -> "Video". Parent text comes from an equi-join of
-    the image rows to their parent rows on (page_id, parent_id)."""
+    with context title -> "Video". Parent text comes with the image's
+    row (``parent_head``), so nothing is joined."""
     tag = F.col("tag")
     m = elements.filter(tag.isin("img", "video", "iframe") & (F.coalesce(_attr("src"), F.lit("")) != ""))
-    m = m.select("page_id", "url", "node_id", "parent_id", "tag",
-                 _attr("src").alias("src"), _attr("alt").alias("alt"), _attr("title").alias("title"))
-    parents = elements.select("page_id", F.col("node_id").alias("parent_id"),
-                              F.col("text_head").alias("parent_text"))
-    # Only image rows need their parent: semi-join the parents down to those ids
-    # first so the join input is bounded by the number of media rows.
-    need = m.filter("tag = 'img'").select("page_id", "parent_id").distinct()
-    parents = parents.join(need, ["page_id", "parent_id"], "left_semi")
-    j = m.join(parents, ["page_id", "parent_id"], "left")
+    j = m.select("page_id", "url", "node_id", "tag", _attr("src").alias("src"), _attr("alt").alias("alt"),
+                 _attr("title").alias("title"), F.col("parent_head").alias("parent_text"))
     pt = F.col("parent_text")
     img_ctx = F.coalesce(_nz(F.col("alt")), _nz(F.col("title")),
                          F.when(_nz(pt).isNotNull() & (pt != F.col("src")), pt), F.lit("Image"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import MAIN_CONTENT_CLASSES
 from ..functions.text import clean_whitespace, py_strip
+from ..sources.html import with_text
 from .topk import first_k
 
 DOC = "[document]"
@@ -83,7 +84,8 @@ def page_header(elements: DataFrame, title_default: str = "No title found",
 def links(elements: DataFrame) -> DataFrame:
     """All ``a[href]`` rows with their stripped text, document order kept in
     ``node_id``."""
-    return (elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
+    anchors = elements.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
+    return (with_text(elements, anchors)
             .select("page_id", "url", "node_id",
                     F.col("attrs")["href"].alias("href"),
                     py_strip("text").alias("link_text"),

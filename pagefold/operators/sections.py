@@ -17,8 +17,12 @@ from ..functions.constants import (
     SECTION_CLASS_REGEX, SECTION_EXCERPT_CHARS, SECTION_NAME_CHARS, SECTION_SUMMARY_CHARS,
 )
 from ..functions.text import title_case, truncate
+from ..sources.html import with_text
 from .topk import first_k
 
+# one character beyond the longest cut, so a cut still shows
+TEXT_KEPT = max(SECTION_NAME_CHARS, SECTION_SUMMARY_CHARS, SECTION_EXCERPT_CHARS) + 1
+
 
 def sections(elements: DataFrame, max_sections: int = 10) -> DataFrame:
     tag = F.col("tag")
@@ -27,14 +31,16 @@ def sections(elements: DataFrame, max_sections: int = 10) -> DataFrame:
                .when((tag == "div") & joined.rlike("(?i)" + SECTION_CLASS_REGEX), 2)
                .when(tag == "article", 3)
                .when(tag.isin("main", "section"), 4))
-    scoped = elements.filter(tag.isin("h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "main", "section"))
-    cand = scoped.select("page_id", "node_id", "tag", "classes", F.col("text_stripped").alias("txt"),
-                         pass_no.alias("pass_no"))
-    cand = cand.filter(F.col("pass_no").isNotNull() & (F.col("txt") != ""))
-    first = cand.groupBy("page_id", "txt").agg(
-        F.min_by(F.struct("tag", "classes"), F.struct("pass_no", "node_id")).alias("e"),
+    scoped = elements.filter(tag.isin("h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "main", "section") & pass_no.isNotNull())
+    # equal texts share a digest, and no output reads more than the longest
+    # excerpt, so the text itself is neither a shuffle key nor carried along
+    cand = with_text(elements, scoped).filter(F.col("text_stripped") != "").select(
+        "page_id", "node_id", "tag", "classes", F.sha2("text_stripped", 256).alias("digest"),
+        F.left("text_stripped", F.lit(TEXT_KEPT)).alias("txt"), pass_no.alias("pass_no"))
+    first = cand.groupBy("page_id", "digest").agg(
+        F.min_by(F.struct("tag", "classes", "txt"), F.struct("pass_no", "node_id")).alias("e"),
         F.min(F.struct("pass_no", "node_id")).alias("o"))
-    top = first_k(first, ["page_id"], ["o"], min(10, max_sections), "ord")
+    top = first_k(first, ["page_id"], ["o"], min(10, max_sections), "ord").withColumn("txt", F.col("e.txt"))
     classes = F.col("e.classes")
     heading = F.col("o.pass_no") == 1
     name = (F.when(heading, truncate("txt", SECTION_NAME_CHARS))

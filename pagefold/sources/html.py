@@ -20,18 +20,23 @@ Tree rules follow the html.parser tree builder the reference relies on:
 
 Output, one row per element plus one ``[document]`` row (node 0) per page:
 ``page_id, url, node_id, end_id, parent_id, depth, tag, attrs, classes,
-rel, text, text_stripped, text_head``. ``node_id`` is the pre-order
-position and ``end_id`` the node_id of the last descendant, so "x is inside
-y" is ``y.node_id < x.node_id <= y.end_id``. ``text`` is ``get_text()`` of
-the subtree, ``text_stripped`` is ``get_text(strip=True)``, ``text_head``
-the first 100 characters of ``text_stripped``.
-
-Nested containers would repeat their descendants' text, so full text is
-kept only where some operator reads it (``keeps_full_text``: the document,
-title, links, headings, article/main/section, and divs whose classes make
-them a section or the main content); every other element keeps just
-``text_head`` (enough for an image's parent context).
-``full_text="all"`` keeps full text everywhere.
+rel, t0, t1, s0, s1, text, text_stripped, parent_head, deferred,
+parse_error``. ``node_id`` is the pre-order position and ``end_id`` the
+node_id of the last descendant, so "x is inside y" is
+``y.node_id < x.node_id <= y.end_id``.
+
+Text is held by interval: the ``[document]`` row has the page's text
+(``get_text()``) and its stripped text (``get_text(strip=True)``), every
+element the places ``t0..t1`` and ``s0..s1`` of its own in them. Elements
+whose text some operator reads (``TEXT_TAGS``, and divs whose classes make
+them a section or the main content) also carry it in their row, but only
+while fewer than ``INLINE_LEVELS`` elements of their kind are open around
+them; deeper ones, as unclosed ``<a>`` tags make them, are ``deferred``
+(counted on the document row) and cut from the page's text by
+``with_text``. So the table stays linear in the HTML whatever the nesting.
+``parent_head`` of an image is the start of its parent's stripped text, as
+far as image contexts read it. ``full_text="all"`` carries the text in every
+row.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.constants import MAIN_CONTENT_CLASSES, SECTION_CLASS_REGEX
 
@@ -58,25 +64,30 @@ PRESERVE_WS_TAGS = frozenset(["pre", "textarea"])
 ASCII_SPACES = " \n\t\x0c\r"
 
 DOCUMENT_TAG = "[document]"
-HEAD_CHARS = 100
+PARENT_HEAD_CHARS = 100     # what image contexts (M9) read of the parent's text
+# An output batch ends at so many rows, or characters of text.
 BATCH_ROWS = 8192
-# Tags whose full subtree text an operator reads (page fields, links,
-# sections, About text). Divs are read only when their classes make them a
-# section (P12) or the main content (P8), so only those keep full text.
+BATCH_CHARS = 4 << 20
+# Tags whose subtree text an operator reads (page fields, links, sections,
+# About text). Divs are read only when their classes make them a section
+# (P12) or the main content.
 TEXT_TAGS = frozenset([DOCUMENT_TAG, "title", "a", "h1", "h2", "h3", "h4", "h5", "h6",
                        "article", "main", "section"])
+INLINE_LEVELS = 4
 _SECTION_DIV = re.compile(SECTION_CLASS_REGEX, re.IGNORECASE)
 _CONTENT_DIV = frozenset(MAIN_CONTENT_CLASSES)
 
 
-def keeps_full_text(tag: str, class_attr) -> bool:
-    """Whether an element's full subtree text is kept (see TEXT_TAGS)."""
+def text_kinds(tag: str, class_attr) -> tuple[str, ...]:
+    """The kinds of text-bearing element that an element is."""
     if tag in TEXT_TAGS:
-        return True
+        return (tag,)
     if tag == "div" and class_attr:
-        return bool(_SECTION_DIV.search(" ".join(class_attr.split()))) or \
-            any(c in _CONTENT_DIV for c in class_attr.split())
-    return False
+        classes = class_attr.split()
+        section = ("div.section",) if _SECTION_DIV.search(" ".join(classes)) else ()
+        return section + (("div.content",) if any(c in _CONTENT_DIV for c in classes) else ())
+    return ()
+
 
 ELEMENT_SCHEMA = pa.schema([
     ("page_id", pa.int64()),
@@ -89,16 +100,22 @@ ELEMENT_SCHEMA = pa.schema([
     ("attrs", pa.map_(pa.string(), pa.string())),
     ("classes", pa.list_(pa.string())),
     ("rel", pa.list_(pa.string())),
+    ("t0", pa.int32()),
+    ("t1", pa.int32()),
+    ("s0", pa.int32()),
+    ("s1", pa.int32()),
     ("text", pa.string()),
     ("text_stripped", pa.string()),
-    ("text_head", pa.string()),
+    ("parent_head", pa.string()),
+    ("deferred", pa.int32()),
     ("parse_error", pa.string()),
 ])
 
 ELEMENT_DDL = (
     "page_id bigint, url string, node_id int, end_id int, parent_id int, "
-    "depth int, tag string, attrs map<string,string>, classes array<string>, "
-    "rel array<string>, text string, text_stripped string, text_head string, parse_error string"
+    "depth int, tag string, attrs map<string,string>, classes array<string>, rel array<string>, "
+    "t0 int, t1 int, s0 int, s1 int, text string, text_stripped string, parent_head string, "
+    "deferred int, parse_error string"
 )
 
 
@@ -268,47 +285,73 @@ def _split_ws(value):
     return value.split()
 
 
+def inlined(nodes: list[list], all_text: bool = False) -> tuple[list[bool], int]:
+    """Which elements carry their text in their row, and how many text-bearing ones don't."""
+    out, deferred = [], 0
+    open_ends: dict[str, list[int]] = {}
+    for i, (tag, amap, _, _, end_id, *_) in enumerate(nodes):
+        kinds, shallow = text_kinds(tag, amap.get("class") if amap else None), False
+        for kind in kinds:
+            ends = open_ends.setdefault(kind, [])
+            while ends and ends[-1] < i:
+                ends.pop()
+            shallow = shallow or len(ends) < INLINE_LEVELS
+            ends.append(end_id)
+        out.append(all_text or shallow or tag in VOID_TAGS)
+        deferred += bool(kinds) and not out[-1]
+    return out, deferred
+
+
 def _batches(it: Iterator[pa.RecordBatch], all_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
         cols: dict[str, list] = {f.name: [] for f in ELEMENT_SCHEMA}
+        chars = 0
         for pid, url, html in zip(ids, urls, htmls):
             nodes, text, stext, error = parse_html(html)
+            inline, deferred = inlined(nodes, all_text)
             for i, (tag, amap, parent, depth, end_id, t0, t1, s0, s1) in enumerate(nodes):
-                cols["page_id"].append(pid)
-                cols["url"].append(url)
-                cols["node_id"].append(i)
-                cols["end_id"].append(end_id)
-                cols["parent_id"].append(parent)
-                cols["depth"].append(depth)
-                cols["tag"].append(tag)
-                cols["parse_error"].append(None if i else error)
-                if amap is None:
-                    cols["attrs"].append(None)
-                    cols["classes"].append(None)
-                    cols["rel"].append(None)
-                else:
-                    cols["attrs"].append(list(amap.items()))
-                    cols["classes"].append(_split_ws(amap.get("class")))
-                    cols["rel"].append(_split_ws(amap.get("rel")))
-                if tag in VOID_TAGS:
-                    cols["text"].append("")
-                    cols["text_stripped"].append("")
-                    cols["text_head"].append("")
-                else:
-                    full = all_text or keeps_full_text(tag, amap.get("class") if amap else None)
-                    cols["text"].append(text[t0:t1] if full else None)
-                    cols["text_stripped"].append(stext[s0:s1] if full else None)
-                    cols["text_head"].append(stext[s0:min(s1, s0 + HEAD_CHARS)])
-                if len(cols["page_id"]) >= BATCH_ROWS:    # bounded batches, even within one huge page
+                head = None
+                if tag == "img":
+                    _, _, _, _, _, _, _, p0, p1 = nodes[parent]
+                    head = stext[p0:min(p1, p0 + PARENT_HEAD_CHARS)]
+                row = (pid, url, i, end_id, parent, depth, tag,
+                       None if amap is None else list(amap.items()),
+                       None if amap is None else _split_ws(amap.get("class")),
+                       None if amap is None else _split_ws(amap.get("rel")),
+                       t0, t1, s0, s1, text[t0:t1] if inline[i] else None, stext[s0:s1] if inline[i] else None,
+                       head, None if i else deferred, None if i else error)
+                for col, value in zip(cols.values(), row):
+                    col.append(value)
+                if inline[i]:
+                    chars += t1 - t0 + s1 - s0
+                if len(cols["page_id"]) >= BATCH_ROWS or chars >= BATCH_CHARS:   # bounded batches, even within one huge page
                     yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
-                    cols = {f.name: [] for f in ELEMENT_SCHEMA}
+                    cols, chars = {f.name: [] for f in ELEMENT_SCHEMA}, 0
         if cols["page_id"]:
             yield pa.RecordBatch.from_pydict(cols, schema=ELEMENT_SCHEMA)
 
 
+def with_text(elements: DataFrame, rows: DataFrame, any_element: bool = False) -> DataFrame:
+    """``rows`` (a filter of ``elements``) with ``text`` and ``text_stripped`` filled in.
+
+    Rows that carry their text pass as they are. The deferred ones join the
+    document rows of just the pages that have any, and cut their interval.
+    ``any_element``: ``rows`` also holds elements that are never text-bearing,
+    so every page's document row may be needed.
+    """
+    page = elements.filter(F.col("tag") == DOCUMENT_TAG)
+    if not any_element:
+        page = page.filter("deferred > 0")
+    page = page.select("page_id", F.col("text").alias("_page"), F.col("text_stripped").alias("_page_stripped"))
+    cut = rows.filter("text IS NULL").join(page, "page_id").withColumns({
+        "text": F.substring("_page", F.col("t0") + 1, F.col("t1") - F.col("t0")),
+        "text_stripped": F.substring("_page_stripped", F.col("s0") + 1, F.col("s1") - F.col("s0"))})
+    return rows.filter("text IS NOT NULL").unionByName(cut.select(*rows.columns))
+
+
 def parse_pages(pages: DataFrame, full_text: str = "needed") -> DataFrame:
     """``pages(page_id, url, html)`` -> element table (see module doc).
 

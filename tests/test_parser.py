@@ -59,7 +59,7 @@ def test_spark_element_table(spark, parse):
     assert rows["a"]["rel"] == ["nofollow", "me"]
     assert rows["a"]["text"] == "About"
     assert rows["nav"]["end_id"] == rows["a"]["node_id"]
-    assert rows["body"]["text_stripped"] is None and rows["body"]["text_head"] == "About"
+    assert (rows["body"]["s0"], rows["body"]["s1"]) == (0, 5) and rows[DOCUMENT_TAG]["deferred"] == 0
     assert rows["nav"]["text"] is None
     assert rows[DOCUMENT_TAG]["parent_id"] is None
 
@@ -68,7 +68,9 @@ def test_full_text_only_where_read(parse):
     el = parse('<div class="wrap"><div class="about-section">Hi <b>there</b></div><div id="x">plain</div></div>')
     rows = {(r["tag"], r["attrs"].get("class") if r["attrs"] else None): r for r in el.collect()}
     assert rows[("div", "about-section")]["text_stripped"] == "Hithere"
-    assert rows[("div", "wrap")]["text"] is None and rows[("div", "wrap")]["text_head"] == "Hithereplain"
+    assert rows[("div", "wrap")]["text"] is None
+    page = rows[(DOCUMENT_TAG, None)]["text_stripped"]
+    assert page[rows[("div", "wrap")]["s0"]:rows[("div", "wrap")]["s1"]] == "Hithereplain"
     assert rows[("div", None)]["text"] is None
 
 
@@ -128,3 +130,55 @@ def test_a_fault_of_the_tokenizer_is_recorded_and_skipped(monkeypatch):
 def test_page_row_carries_the_error(parse):
     row = parse("<p>x</p>").filter("tag = '[document]'").first()
     assert row["parse_error"] is None
+
+
+def test_unclosed_tags_give_a_table_linear_in_the_page():
+    import pyarrow as pa
+    from pagefold.sources.html import _batches
+
+    def size(n):
+        html = "".join(f"<a href=/{i}>link {i} <h2>head <section><div class='about content'>" for i in range(n))
+        batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "html": [html]})
+        return sum(b.nbytes for b in _batches(iter([batch]))) / len(html)
+    assert size(4000) < 1.3 * size(400)
+
+
+def test_batches_are_bounded_by_their_text():
+    import pyarrow as pa
+    from pagefold.sources.html import BATCH_CHARS, _batches
+    html = "<article>" + "<h2>" + "long " * 20_000 + "</h2>"
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(60)), "url": ["u"] * 60, "html": [html] * 60})
+    found = [sum(len(t or "") for c in ("text", "text_stripped") for t in b.column(c).to_pylist()) for b in _batches(iter([pages]))]
+    assert sum(found) == 60 * 3 * (100_000 + 99_999) and max(found) < BATCH_CHARS + 3 * 200_000
+
+
+def test_deferred_texts_are_cut_from_the_page(spark):
+    import random
+    from pagefold.sources.html import parse_pages, with_text
+    rnd = random.Random(9)
+    pieces = ["<a href=/x>", "<a href=/y>", "</a>", "<h2>", "</h2>", "<section>", "<div class=about>", "<div class='content team'>",
+              "<div class=plain>", "</div>", "text \U0001F469 ", " \n ", "é&amp;", "<br>", "<img src=i>", "<script>no</script>"]
+    pages = [(i, "u", "".join(rnd.choice(pieces) for _ in range(120))) for i in range(30)] + [(99, "u", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    el, whole = parse_pages(df), parse_pages(df, full_text="all")
+    assert el.filter("deferred > 0").count() > 10
+    for rows, any_element in ((lambda e: e.filter("tag IN ('a', 'h2', 'section', '[document]')"), False), (lambda e: e, True)):
+        def texts(frame):
+            return sorted(map(tuple, frame.select("page_id", "node_id", "text", "text_stripped").collect()))
+        assert texts(with_text(el, rows(el), any_element)) == texts(rows(whole))
+
+
+def test_operators_read_deferred_texts(spark):
+    """A page of unclosed tags gives the links and sections that its whole texts give."""
+    from pagefold.operators.links import hybrid_about_links, split_about_links
+    from pagefold.operators.media import hybrid_media, split_media
+    from pagefold.operators.page import link_list
+    from pagefold.operators.sections import sections
+    from pagefold.sources.html import parse_pages
+    html = "<nav>" + "".join(f"<a href='/p{i}.pdf'>our team {i}<a href='/about{i}'><section class=about>part {i} " for i in range(12))
+    df = spark.createDataFrame([(1, "https://x.org/", html), (2, "https://y.org/", "<nav><a href='/about'>About</a></nav>")],
+                               "page_id bigint, url string, html string")
+    el, whole = parse_pages(df), parse_pages(df, full_text="all")
+    for f in (hybrid_about_links, split_about_links, hybrid_media, split_media, link_list, sections):
+        got, want = f(el), f(whole)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 9

@@ -186,18 +186,28 @@ def threshold_flags(calls: DataFrame) -> DataFrame:
                         (F.col("duration") > LATENCY_SECONDS).alias("latency_flag"))
 
 
-def request_spans(log: DataFrame) -> DataFrame:
-    """Z5 batch twin: pair request_start with request_end/request_error by
-    request_id -> start, end, duration, success (end = 2xx, error = not)."""
-    r = log.filter(F.col("event_type").isin("request_start", "request_end", "request_error"))
-    g = r.groupBy("request_id").agg(
-        F.min(F.when(F.col("event_type") == "request_start", F.col("ts"))).alias("start_ts"),
-        F.max_by(F.struct("ts", "event_type"),
-                 F.when(F.col("event_type") != "request_start", F.col("ts"))).alias("e"))
-    return g.filter(F.col("start_ts").isNotNull() & F.col("e.ts").isNotNull()).select(
-        "request_id", "start_ts", F.col("e.ts").alias("end_ts"),
-        ((F.unix_micros(F.col("e.ts")) - F.unix_micros("start_ts")) / 1e6).alias("duration_s"),
-        (F.col("e.event_type") == "request_end").alias("success"))
+def span_pairs(starts: DataFrame, ends: DataFrame, max_duration: str) -> DataFrame:
+    """The span rule of both twins: a start (``sid, start_ts``) with each end (``eid, end_ts, event_type``) of its
+    request that comes within ``max_duration``; a start without one stays, with null end, duration and success."""
+    j = starts.join(ends, F.expr(
+        f"sid = eid AND end_ts >= start_ts AND end_ts <= start_ts + interval {max_duration}"), "left")
+    return j.select(F.col("sid").alias("request_id"), "start_ts", "end_ts",
+                    ((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6).alias("duration_s"),
+                    (F.col("event_type") == "request_end").alias("success"))
+
+
+def span_sides(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Starts and ends of the requests in a log."""
+    starts = log.filter(F.col("event_type") == "request_start").select(F.col("request_id").alias("sid"), F.col("ts").alias("start_ts"))
+    ends = log.filter(F.col("event_type").isin("request_end", "request_error")).select(
+        F.col("request_id").alias("eid"), F.col("ts").alias("end_ts"), "event_type")
+    return starts, ends
+
+
+def request_spans(log: DataFrame, max_duration: str = "1 hour") -> DataFrame:
+    """Z5 batch twin: each request_start with its request_end/request_error within ``max_duration`` (success = it
+    was an end), or with nulls if none came in time."""
+    return span_pairs(*span_sides(log), max_duration)
 
 
 def cache_rollup(metrics: DataFrame, period_s: int = 300) -> DataFrame:

@@ -11,7 +11,8 @@ looked up in the same crawl, their texts come from that same aggregate
 (Spark reuses its shuffle) instead of a second pass. The top About links
 per page are a first-k (WindowGroupLimit) and the link count a partial
 aggregate, so no page's links are gathered in one task; the About lookup
-is the one equi-join on url (AQE splits hot target urls). The best About
+is the one equi-join on url (AQE splits hot target urls), and only the texts
+of linked pages take part in it (``linked_texts``). The best About
 text, the analysis list and the found count come from a single per-page
 aggregate over the few About candidates, and the main page is compared
 with the best of them after the join on page_id, so the page text itself
@@ -35,6 +36,25 @@ from ..operators.page import page_fields
 from ..operators.topk import first_k, rows_per_key
 
 
+def linked_texts(texts: DataFrame, corpus: DataFrame, top: DataFrame) -> DataFrame:
+    """``about_url, about_title, about_text`` of the crawled pages that ``top`` links to, one page per url (a
+    recrawl keeps the lowest page_id).
+
+    The crawl is cut down to them before any text moves by url: the
+    (page_id, url) rows of the document elements are semi-joined with the
+    distinct target urls, and the page-field aggregate, which lies by page_id
+    already, is joined with the page_ids found. (An inner join with distinct
+    ids: a semi-join would be pushed below that aggregate, which then could
+    not be shared.) Only the texts that are left are exchanged by url; that
+    partitioning is the one the lookup join needs.
+    """
+    crawled = corpus.filter(F.col("tag") == "[document]").select("page_id", F.col("url").alias("about_url"))
+    linked = crawled.join(top.select("about_url").distinct(), "about_url", "left_semi").select("page_id").distinct()
+    payload = [c for c in texts.columns if c not in ("page_id", "about_url")]
+    return texts.join(linked, "page_id").groupBy("about_url").agg(
+        F.min_by(F.struct(*payload), "page_id").alias("t")).select("about_url", "t.about_title", "t.about_text")
+
+
 def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bool = True,
                 force_ai: bool = False, corpus: DataFrame | None = None,
                 corpus_texts: DataFrame | None = None) -> DataFrame:
@@ -42,34 +62,24 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
     crawl the About pages are looked up in (defaults to ``elements``);
     ``corpus_texts``: that crawl's stored url-bucketed text table
     (``sources.tables.bucket_page_texts``), which makes the lookup join
-    shuffle only the link side."""
+    shuffle only the link side. Rows without a ``page_id`` belong to no page
+    and are left out."""
+    elements = elements.filter("page_id IS NOT NULL")
     fields = page_fields(elements).select(
         "page_id", "url", "title_raw",
         F.coalesce("title_raw", F.lit("No title found")).alias("title"),
         F.coalesce("description_raw", F.lit("No description found")).alias("description"),
         clean_whitespace("doc_text").alias("text"))
-    if corpus_texts is not None:
-        texts = None
-    elif corpus is None:
+    if corpus is None and corpus_texts is None:
         # carries the description too, in the envelope's column order, so
         # this branch and the envelope need the same page-field aggregate and
         # Spark reuses its shuffle (the page texts are shuffled once)
         texts = fields.select("page_id", F.col("url").alias("about_url"),
                               F.coalesce("title_raw", F.lit("")).alias("about_title"),
                               F.col("description").alias("_description"), F.col("text").alias("about_text"))
-    else:
+    elif corpus_texts is None:
         texts = page_texts(corpus).select(F.col("about_page_id").alias("page_id"), "about_url",
                                           "about_title", "about_text")
-    if texts is None:
-        texts = corpus_texts.select("about_url", "about_title", "about_text")
-    else:
-        # one crawled page per url (a recrawl keeps the lowest page_id); the
-        # aggregate's url partitioning is the one the lookup join needs
-        payload = [c for c in texts.columns if c not in ("page_id", "about_url")]
-        texts = texts.groupBy("about_url").agg(
-            F.min_by(F.struct(*payload), "page_id").alias("t")).select(
-            "about_url", "t.about_title", "t.about_text")
-
     # the first max_about_pages About links per page (a first-k: each map
     # task keeps at most that many per page, so a page with a huge share of
     # all links is never gathered in one task) and every page's link count
@@ -80,6 +90,10 @@ def intelligent(elements: DataFrame, max_about_pages: int = 3, include_media: bo
     links = hybrid_about_links(elements)
     top = first_k(links, ["page_id"], ["sort_key"], max_about_pages, "rank").select(
         "page_id", "rank", "about_url", "confidence")
+    if corpus_texts is not None:
+        texts = corpus_texts.select("about_url", "about_title", "about_text")
+    else:
+        texts = linked_texts(texts, elements if corpus is None else corpus, top)
     found = rows_per_key(links, ["page_id"], "found")
     fetched = top.join(texts, "about_url", "left")
     got = F.col("about_text").isNotNull()

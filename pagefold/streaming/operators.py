@@ -6,8 +6,9 @@
   append mode (built-in streaming aggregation, partial-aggregated).
 * Z3 alarms: consecutive-breach state per alarm over Z2's finalized
   windows (``applyInPandasWithState``).
-* Z5 request spans: stream-stream inner join with watermarks on both
-  sides and an event-time range condition, so join state is bounded.
+* Z5 request spans: stream-stream left outer join with watermarks on both
+  sides and an event-time range condition, so join state is bounded and a
+  start without an end comes out when it is evicted.
 * Z6 incremental pages: ``foreachBatch`` runs a batch plan per micro-batch.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import fixed_avg, fixed_sum
-from ..operators.metrics import metrics_from_log, rules_on_windows
+from ..operators.metrics import metrics_from_log, rules_on_windows, span_pairs, span_sides
 from .state_machines import TokenBucket, TtlCache, scan_sorted
 
 THROTTLE_OUT = "user_id long, event_id long, allowed boolean, tokens double, retry_after double"
@@ -165,19 +166,12 @@ def alarm_stream(windows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ Z5
 def request_spans_stream(log: DataFrame, watermark: str = "10 minutes",
                          max_duration: str = "1 hour") -> DataFrame:
-    """request_start joined to request_end/request_error on request_id
-    within ``max_duration`` of the start."""
-    starts = (log.filter(F.col("event_type") == "request_start")
-              .select(F.col("request_id").alias("sid"), F.col("ts").alias("start_ts"))
-              .withWatermark("start_ts", watermark))
-    ends = (log.filter(F.col("event_type").isin("request_end", "request_error"))
-            .select(F.col("request_id").alias("eid"), F.col("ts").alias("end_ts"), "event_type")
-            .withWatermark("end_ts", watermark))
-    j = starts.join(ends, F.expr(
-        f"sid = eid AND end_ts >= start_ts AND end_ts <= start_ts + interval {max_duration}"))
-    return j.select(F.col("sid").alias("request_id"), "start_ts", "end_ts",
-                    ((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6).alias("duration_s"),
-                    (F.col("event_type") == "request_end").alias("success"))
+    """Every request_start with its request_end/request_error within
+    ``max_duration``. The left outer join holds a start until the watermark
+    has passed its bound; one that got no end by then is emitted with nulls
+    as it is evicted, so state is bounded and no request is lost."""
+    starts, ends = span_sides(log)
+    return span_pairs(starts.withWatermark("start_ts", watermark), ends.withWatermark("end_ts", watermark), max_duration)
 
 
 # ------------------------------------------------------------------ Z6

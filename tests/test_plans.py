@@ -125,3 +125,44 @@ def test_split_text_resolves_candidate_links_once(spark):
     # top-k and the found count read one reused link aggregate: one Python node
     assert plan.count("ArrowEvalPython") == 1 and "ReusedExchange" in plan
     assert "WindowGroupLimit" in plan and "count(1) windowspecdefinition" not in plan
+
+
+def _exchanges(plan):
+    """(partitioning and output of each shuffle that ran, records that it wrote) of a final adaptive plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _exchanges(plan.executedPlan())
+    if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+        return _exchanges(plan.plan())
+    out = []
+    if name == "ShuffleExchangeExec":
+        records = plan.metrics().get("shuffleRecordsWritten").get().value()
+        out.append((plan.outputPartitioning().toString(), plan.output().toString(), records))
+    children = plan.children()
+    for i in range(children.size()):
+        out += _exchanges(children.apply(i))
+    return out
+
+
+@pytest.mark.parametrize("own_corpus", [True, False])
+def test_only_linked_pages_move_their_text_by_url(spark, own_corpus):
+    from pagefold.plans.intelligent import intelligent
+    from pagefold.session import materialize_elements
+    from pagefold.sources.html import parse_pages
+    text = "<p>" + "we build bridges of stone. " * 30 + "</p>"
+    pages = [(i, f"https://s{i}.org/", f"<nav><a href='/about'>About us</a></nav>{text}") for i in range(3)]
+    pages += [(10 + i, f"https://s{i}.org/about", text + f"founded in 19{i}0") for i in range(2)]
+    pages += [(20, "https://s0.org/about", "recrawled")] + [(100 + i, f"https://other.org/{i}", text) for i in range(200)]
+    el = materialize_elements(parse_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as at scale
+    try:
+        df = intelligent(el, corpus=None if own_corpus else el)
+        rows = {r["page_id"]: r for r in df.collect()}
+        by_url = [(out, n) for part, out, n in _exchanges(df._jdf.queryExecution().executedPlan())
+                  if "hashpartitioning(about_url" in part]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert by_url and all(n <= 3 for _, n in by_url), by_url
+    assert rows[0]["best_about_url"] == "https://s0.org/about" and rows[2]["best_about_url"] == "https://s2.org/"
+    assert len(rows) == len(pages)

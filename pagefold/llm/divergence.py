@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, store
+from .common import scratch_path, slices, store
 
 #: Words, and distinct chunks, that a task counts before it sends the counts on.
 HELD_WORDS, HELD_CHUNKS = 6_000_000, 800_000
@@ -127,14 +127,17 @@ def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
 def chunk_terms(parts: DataFrame) -> DataFrame:
     """``lang, chunk, n_docs, term, times``: each distinct chunk tokenized once, its terms joined back to its counts.
 
-    One shuffle by chunk serves the sums, the distinct chunks and the join.
+    One shuffle by chunk serves both: the sums by language of a chunk (as many as there are languages) meet in its
+    row, which is tokenized and spread over its languages and terms.
     """
     dealt = parts.select("lang", "chunk", "n_docs").repartition("chunk")
-    terms = (dealt.select("chunk").distinct()
-             .select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-             .groupBy("chunk", F.translate("term", UPPER, LOWER).alias("term")).agg(F.count("*").alias("times")))
-    return dealt.groupBy("lang", "chunk").agg(F.sum("n_docs").alias("n_docs")).join(terms, "chunk").select(
-        "lang", "chunk", "n_docs", "term", "times")
+    counts = (dealt.groupBy("chunk", "lang").agg(F.sum("n_docs").alias("n_docs"))
+              .groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("counts")))
+    terms = F.transform(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)), lambda t: F.translate(t, UPPER, LOWER))
+    found = counts.select("chunk", "counts", terms.alias("terms")).select(
+        "chunk", "counts", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    times = F.when(F.size("terms") == 1, 1).otherwise(F.size(F.filter("terms", lambda t: t == F.col("term")))).cast("long")
+    return found.select("chunk", "term", times.alias("times"), F.inline("counts")).select("lang", "chunk", "n_docs", "term", "times")
 
 
 def term_bounds(terms: DataFrame, limit: int) -> DataFrame:
@@ -209,7 +212,9 @@ def pair_sums(frame: pd.DataFrame) -> pd.DataFrame:
 
 def audit(docs: DataFrame, limit: int = 30, ranks: int = 50, slice_counts: int = SLICE_COUNTS) -> DataFrame:
     """``lang, source, part, item, value, rank``: other sources by distance, and the terms that a source uses most beyond its language."""
-    parts = store(chunk_counts(docs, limit), "chunk-counts")
+    path = scratch_path(docs.sparkSession, "chunk-counts")      # the largest table: packed tighter than by default
+    chunk_counts(docs, limit).write.option("compression", "zstd").parquet(path)
+    parts = docs.sparkSession.read.parquet(path)
     terms = store(chunk_terms(parts), "chunk-terms")
     bounds = store(term_bounds(terms, limit), "term-bounds")
     cells = store(term_cells(parts, terms, bounds, limit), "term-cells")

@@ -214,29 +214,62 @@ def _sizes_fit(a: str, b: str, percent: str = "percent") -> Column:
     return (F.col(a) * 100 >= F.col(b) * F.col(percent)) & (F.col(b) * 100 >= F.col(a) * F.col(percent))
 
 
-def cross_pairs(entries: DataFrame) -> DataFrame:
+def _overlap(a: Column, b: Column) -> Column:
+    """Least overlap of similar sets of the sizes ``a`` and ``b``."""
+    return F.ceil(F.col("percent") * (a + b) / (F.col("percent") + 100))
+
+
+def cross_entries(entries: DataFrame) -> DataFrame:
+    """The ``entries`` that can serve a link between components, with ``met`` and whether they are of the ``main`` component.
+
+    A token that only one component has is in no other, neither in its
+    prefixes nor behind them: what stands before a shared token in one
+    prefix, and is in the other set, stands before it there too. So of the
+    tokens before an entry only the ``met`` ones, which another component
+    has as well, can be shared, and a set that has lost too many of them is
+    similar to no set of the sizes that the token has. In a large group of
+    copies this takes out the members that differ from all others, whose
+    entries would meet the whole group. No entry of a link is lost.
+    """
+    sizes = entries.groupBy("token", "component").agg(F.count("*").alias("c"), F.min("n").alias("low"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"),
+                                      F.min("low").alias("low"), F.count("*").alias("k"))
+    marked = entries.join(main.filter("k > 1").drop("k"), "token")
+    ranked = marked.withColumn("met", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
+    smallest = F.greatest("low", F.ceil(F.col("n") * F.col("percent") / 100))
+    return (ranked.filter(F.col("n") - F.col("pos") + F.col("met") >= _overlap(F.col("n"), smallest))
+            .withColumn("main", F.col("component") == F.col("main")).drop("low"))
+
+
+def cross_pairs(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs between components: those that share enough tokens of their prefixes.
 
     Two sizes together need a larger overlap than either needs alone, so a
     pair is looked for in shorter prefixes than the stored ones: long enough
-    for the matches that both documents ask for. Within the entries of a
-    token the component with most of them is not joined with itself, so a
-    group that is already linked costs its length, not its square.
+    for the matches that both documents ask for. A pair of l matches is met
+    at the l-th of them or later, so an entry serves it only with l - 1
+    ``met`` tokens before it, and only where what stands behind it, and may
+    be shared before it, reaches the overlap. The distinct pairs met like
+    this are then counted on their prefixes. Within the entries of a token
+    the component with most of them is not joined with itself, so a group
+    that is already linked costs its length, not its square.
     """
-    sizes = entries.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k"))
-    marked = entries.join(main.filter("k > 1"), "token")
-    left, right = (marked.select("token", "percent", *[F.col(c).alias(f"{c}_{s}") for c in
-                   ("node", "n", "matches", "pos", "component")], (F.col("component") == F.col("main")).alias(f"main_{s}"))
-                   for s in "xy")
-    both = F.ceil(F.expr("percent * (n_x + n_y) / (100 + percent)"))
+    open_entries = store(cross_entries(entries), "cross-entries")
+    left, right = (open_entries.select("token", "percent", *[F.col(c).alias(f"{c}_{s}") for c in
+                   ("node", "n", "matches", "pos", "met", "component", "main")]) for s in "xy")
     ask = F.least("matches_x", "matches_y")
+    both = _overlap(F.col("n_x"), F.col("n_y"))
     near = [F.col(f"pos_{s}") < F.col(f"n_{s}") - both + ask for s in "xy"]
+    before = F.least("met_x", "met_y")
+    reach = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + before >= both
     met = (left.filter("not main_x").join(right.drop("percent"), "token")
            .filter((F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
-                   & _sizes_fit("n_x", "n_y") & near[0] & near[1]))
-    return (met.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-            .agg(F.count("*").alias("c"), F.first(ask).alias("ask")).filter("c >= ask").select("a", "b"))
+                   & (before >= ask - 1) & _sizes_fit("n_x", "n_y") & near[0] & near[1] & reach))
+    pairs = met.select("percent", F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    for s, end in zip("xy", "ab"):
+        pairs = pairs.join(classes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "matches", "prefix")]), end)
+    cut = [F.slice(f"prefix_{s}", F.lit(1), (F.col(f"n_{s}") - both + ask).cast("int")) for s in "xy"]
+    return pairs.filter(F.size(F.array_intersect(*cut)) >= ask).select("a", "b")
 
 
 def verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -299,7 +332,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, partne
         part = entries.withColumn("component", F.col("node")) if grouped is None else (
             entries.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
         part = part.withColumn("percent", F.lit(percent))
-        pairs = neighbour_pairs(part, turn, partners) if turn < rounds else cross_pairs(part)
+        pairs = neighbour_pairs(part, turn, partners) if turn < rounds else cross_pairs(part, classes)
         links = store(verified(store(pairs.join(ends[0], "a").join(ends[1], "b"), "shingle-pairs"), contents, k, percent), "shingle-links")
         grouped = contract(links, grouped)
     reach = classes.select("node", "sig", "doc_id").join(grouped, "node", "left").withColumn(

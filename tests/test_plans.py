@@ -24,6 +24,12 @@ def test_no_pair_explosions(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["a1_hybrid_about_links", "a2_split_about_links", "m9_svc_media_context", "w5_w9_media_page_at_cursor",
+                                  "qb_media_endpoint", "qc_v4_text", "t8_split_video_thumbnails"])
+def test_urls_are_resolved_without_python(spark, name):
+    assert "EvalPython" not in _plan(E.queries()[name](spark, SF))
+
+
 @pytest.mark.parametrize("name", ["a3_a6_classic_about_page", "qa_intelligent", "qc_v4_text", "split_text_scrape", "qb_media_endpoint",
                                   "fast_scrape_hybrid", "m9_svc_media_context", "w5_w9_media_page_at_cursor",
                                   "p2_p4_page_header", "basic_scrape_envelope"])
@@ -95,9 +101,8 @@ def test_intelligent_shuffles_page_texts_once_and_no_page_window_over_all_links(
     # the top About links are a first-k, not a full per-page rank with a count
     assert "WindowGroupLimit" in plan
     assert "count(1) windowspecdefinition" not in plan
-    # the link rows feeding top-k and count come from one reused exchange, so
-    # URLs are resolved once for About links and once for the media summary
-    assert plan.count("ArrowEvalPython") == 2
+    # URLs are resolved by built-in expressions
+    assert "EvalPython" not in plan
 
 
 def test_media_endpoint_slices_with_first_k_and_counts_partially(spark):
@@ -122,8 +127,8 @@ def test_split_text_resolves_candidate_links_once(spark):
     df = split_text(parse_pages(company_site(spark, SF)))
     df.collect()
     plan = _plan(df).split("== Initial Plan ==")[0]
-    # top-k and the found count read one reused link aggregate: one Python node
-    assert plan.count("ArrowEvalPython") == 1 and "ReusedExchange" in plan
+    # top-k and the found count read one reused link aggregate, resolved by built-in expressions
+    assert "EvalPython" not in plan and "ReusedExchange" in plan
     assert "WindowGroupLimit" in plan and "count(1) windowspecdefinition" not in plan
 
 

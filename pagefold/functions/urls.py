@@ -28,6 +28,15 @@ def _col(c) -> Column:
 _PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+# the two commonest references need no taking apart: whole URLs stay as they are, paths from the root follow the
+# scheme and host of a plain base
+_HOST = r"https?://[A-Za-z0-9._~%@:+\-]+"
+_REST = r"(?:\?[^#\t\r\n]+)?(?:#[^\t\r\n]+)?\z"
+_WHOLE = rf"^{_HOST}(?:/[^;?#\t\r\n]*)?{_REST}"
+_FROM_ROOT = rf"^(?![^?#]*/\.{{1,2}}(?:[/?#]|\z))/(?!/)[^;?#\t\r\n]*{_REST}"
+_ORIGIN = rf"^({_HOST})(?:[/?#]|\z)"
+
+
 @lru_cache(maxsize=1)
 def _bracketed_host() -> str:
     """Pattern of what may stand in brackets: an IPv6 address (by the grammar of RFC 3986, with a zone) or IPvFuture."""
@@ -124,7 +133,9 @@ def resolve_url(base, ref) -> Column:
         return F.when(usable, found).otherwise(ref)
 
     both = _let(_taken_apart(base, F.lit("")), lambda b: _let(_taken_apart(ref, b["scheme"]), lambda r: joined(b, r)))
-    return F.when(ref.isNull() | base.isNull() | (base == ""), ref).when(ref == "", base).otherwise(both)
+    return (F.when(ref.isNull() | base.isNull() | (base == "") | ref.rlike(_WHOLE), ref).when(ref == "", base)
+            .when(ref.rlike(_FROM_ROOT) & base.rlike(_ORIGIN), F.concat(F.regexp_extract(base, _ORIGIN, 1), ref))
+            .otherwise(both))
 
 
 def naive_resolve(ref, base) -> Column:

@@ -11,13 +11,15 @@ from pagefold.functions.urls import resolve_url
 
 BASES = ["http://a/b/c/d;p?q", "https://example.com", "https://example.com/", "http://a/b/c/../d", "HTTP://A/x", "//host/p/q",
          "a/b/c", "x", "/", "", "file:///etc/hosts", "mailto:me@x.org", "http://[::1]/a/b", "http://[1::2::3]/a", "http://a/b//c//d",
-         " http://a/b", "http://a;x/y;z/w", "svn+ssh://h/p/", "http://a?x=1", "http://ex\u2100.org/a"]
+         " http://a/b", "http://a;x/y;z/w", "svn+ssh://h/p/", "http://a?x=1", "http://ex\u2100.org/a",
+         "https://u:p@h:80?q", "http://h#f", "http://h\n/a", "http:a", "http://h"]
 REFS = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../", "../g", "../..",
         "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g;x=1/../y", "http:g", "http://x", "https:g",
         "data:image/png;base64,AA//..", "javascript:void(0)", "mailto:a@b", "  g ", "\tg\n/h", "a\nb", "//[::1]/x", "//[zz]/x", "//[::1/x",
         "//x]/y", "//[v1.a]/x", "//[1:2:3:4:5:6:7::]/x", "//[1:2:3:4:5:6:7:8]", "//[::1.2.3.4]/x", "//[::1.2.3.04]", "//[fe80::1%25e]/x",
         "//[1.2.3.4]", "//[]", "http://\uff0fx/y", "//caf\u00e9/x", "/a;", "/a;b/c;", "///x", "////x", "//", "?", "#", ":x", "1:x", "é:x",
-        "a//b", "/a//b/../c", "g?a/../b", "g#a/../b", "\x00g", "\u00a0g", None]
+        "a//b", "/a//b/../c", "/a/.?x", "/..", "/.#f", "/a/...", "/a?x#", "/a?", "/a/?b/..", "http://h", "http://h/../x", "https://u:p@h:80/a;b?c",
+        "HTTP://H/x", "http://h?", "http://h/a#", "http:///x", "http://h\n/x", "/a\n", "http://h\\n/x", "g?a/../b", "g#a/../b", "\x00g", "\u00a0g", None]
 PIECES = ["a", "b", ".", "..", "/", "//", "?", "#", ";", ":", "http:", "https://", "x.y", "é", " ", "%20", "[", "]", "::1", "@", "\t", "=", "&", "\U0001f600"]
 
 

@@ -166,16 +166,17 @@ def alarm_evaluation(metrics: DataFrame) -> DataFrame:
 
 
 def llm_cost_rollup(calls: DataFrame) -> DataFrame:
-    """LLM cost summed per hour and per day (GROUPING SETS-like union of
-    two tumbling periods)."""
-    out = None
-    for label, secs in (("hour", 3600), ("day", 86400)):
-        g = calls.groupBy(window_start(F.col("ts"), F.lit(secs)).alias("window_start")).agg(
-            fixed_sum("cost_estimate_usd").alias("cost_usd"), F.sum("prompt_tokens").alias("prompt_tokens"),
-            F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"))
-        g = g.withColumn("period", F.lit(label))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """LLM cost summed per hour and per day, as the two grouping sets of
+    one aggregate: the calls are read and shuffled once for both. Calls
+    without a time are summed in a window of their own (null start)."""
+    starts = {label: window_start(F.col("ts"), F.lit(secs)) for label, secs in (("hour", 3600), ("day", 86400))}
+    hourly = F.grouping("hour") == 0
+    g = calls.withColumns(starts).groupingSets([["hour"], ["day"]], "hour", "day").agg(
+        F.when(hourly, "hour").otherwise("day").alias("period"),
+        F.when(hourly, F.col("hour")).otherwise(F.col("day")).alias("window_start"),
+        fixed_sum("cost_estimate_usd").alias("cost_usd"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"))
+    return g.drop("hour", "day")
 
 
 def threshold_flags(calls: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Ordering, cursors and pagination.
 
 ``position_within`` numbers the rows of every group in a total order
-without sending a whole group to one task: a range shuffle on (group,
-order) spreads even a group holding a third of all rows over many
-partitions, each partition numbers its own slice, and a small per
-(partition, group) count table supplies the offsets.
+without sending a whole group to one task: bounds computed from the row
+itself cut a group into slices, each slice is numbered by itself, and a
+small table of counts a slice supplies the offsets.
 """
 
 from __future__ import annotations
@@ -14,29 +13,43 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .topk import _cols
 
 
-def position_within(df: DataFrame, key: str, order: Sequence, out: str = "pos") -> DataFrame:
+#: Places of one document in a slice: a group of n rows becomes about n / SLICE slices (or more) for each value before.
+SLICE = 8192
+
+
+def slice_of(place) -> Column:
+    """The slice of a whole-number place within its page, for ``position_within``."""
+    return F.floor((F.col(place) if isinstance(place, str) else place) / SLICE)
+
+
+def position_within(df: DataFrame, key: str, order: Sequence, bounds: Sequence, out: str = "pos") -> DataFrame:
     """1-based position of each row inside its ``key`` group by ``order``
-    (``order`` must be a total order within the group)."""
-    order_c = _cols(order)
-    # The partition a row lands in must be the same for both branches below
-    # (numbering and counts). Unless Spark reuses one exchange for both,
-    # each range exchange samples its own bounds and AQE may coalesce it
-    # differently, so the assignment is computed once and stored.
-    ranged = materialize(
-        df.repartitionByRange(F.col(key), *order_c).withColumn("_pid", F.spark_partition_id()),
-        "ranked")
-    local = ranged.withColumn(
-        "_lpos", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order_c)))
-    counts = ranged.groupBy("_pid", key).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    (``order`` must be a total order within the group).
+
+    ``bounds`` are columns that rise with ``order`` (a row before another
+    never has greater ones): they cut each group into slices that follow one
+    another. Being functions of the row alone, they are the same in every
+    run of the plan, so numbering and counting may each compute them, nothing
+    is written, and no job starts before the result is asked for. A row's
+    position is its place in its slice plus the rows of the slices before,
+    from one count a slice; a slice, not a group, is what one task sorts.
+    Null keys are one group; null bounds come first, as Spark's ascending
+    order has them.
+    """
+    cuts = [f"_cut{i}" for i in range(len(bounds))]
+    # a struct is never null itself and compares with nulls inside as equal, so null keys meet in the join, too
+    sliced = df.withColumn("_slice", F.struct(F.col(key).alias("_key"), *[b.alias(c) for b, c in zip(_cols(bounds), cuts)]))
+    local = sliced.withColumn("_lpos", F.row_number().over(Window.partitionBy("_slice").orderBy(*_cols(order))))
+    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(F.col("_slice._key")).orderBy(*[F.col(f"_slice.{c}") for c in cuts])
+              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (local.join(offsets, ["_pid", key])
+    return (local.join(offsets, "_slice")
             .withColumn(out, (F.col("_lpos") + F.col("_off")).cast("int"))
-            .drop("_pid", "_lpos", "_off"))
+            .drop("_slice", "_lpos", "_off"))
 
 
 # -------------------------------------------------------------------- cursors
@@ -151,7 +164,8 @@ def all_pages(media: DataFrame, limit: int) -> DataFrame:
     """Every result page of every page_id at once. Adds ``pos``
     (1-based rank in priority order), ``page_no`` and per-row page bounds."""
     m = media.withColumn("priority_desc", -F.col("priority"))
-    ranked = position_within(m, "page_id", ["priority_desc", "class_rank", "node_id"]).drop("priority_desc")
+    ranked = position_within(m, "page_id", ["priority_desc", "class_rank", "node_id"],
+                             ["priority_desc", "class_rank", slice_of("node_id")]).drop("priority_desc")
     return ranked.withColumn("page_no", F.floor((F.col("pos") - 1) / limit).cast("int"))
 
 

@@ -23,7 +23,7 @@ from ..operators.links import classic_about_page, page_texts
 from ..operators.llm import ModelFn, build_prompt, classic_profile, enrich, failure_profile, meaningful_profile
 from ..operators.media import classic_media, priority_classic
 from ..session import materialize
-from ..operators.paging import position_within
+from ..operators.paging import position_within, slice_of
 
 DEFAULT_SYSTEM = ("Extract the company profile as JSON with the sections About Us (including "
                   "locations), Our Culture, Our Team, Noteworthy & Differentiated.")
@@ -74,7 +74,8 @@ def classic_combined(elements: DataFrame, model_fn: ModelFn, fallback_fn: ModelF
     media = media.withColumn("priority", priority_classic("context", "type", "width", "height"))
     # the full stable priority order per page, numbered without gathering a
     # page in one task (position_within splits hot pages)
-    media = position_within(media, "page_id", [F.col("priority").desc(), F.col("o")], "rank").drop(
+    media = position_within(media, "page_id", [F.col("priority").desc(), F.col("o")],
+                            [-F.col("priority"), "o.src", "o.pass_no", slice_of("o.node_id")], "rank").drop(
         "width", "height")
     return profile, media
 

@@ -13,7 +13,7 @@ from ..operators.llm import (
     build_prompt, completeness_error, enrich, lenient_fallback_model, stub_profile_model,
 )
 from ..operators.media import classic_media, priority_classic
-from ..operators.paging import decode_json_cursor, decode_json_cursor_value, page_meta_root, position_within
+from ..operators.paging import decode_json_cursor, decode_json_cursor_value, page_meta_root, position_within, slice_of
 from ..operators.topk import first_k
 from ..session import materialize_elements, table
 from ..sources.html import parse_pages
@@ -63,7 +63,8 @@ def m10_m16_classic_media(spark, sf_dir):
     m = first_seen(html, none)
     m = m.withColumn("w", F.lit(None).cast("int")).withColumn("h", F.lit(None).cast("int"))
     m = m.withColumn("priority", priority_classic("context", "type", "w", "h"))
-    m = position_within(m, "page_id", [F.col("priority").desc(), F.col("o")], "rank")
+    m = position_within(m, "page_id", [F.col("priority").desc(), F.col("o")],
+                        [-F.col("priority"), "o.src", "o.pass_no", slice_of("o.node_id")], "rank")
     return m.select("page_id", "media_url", "type", "context", "priority", "rank")
 
 

@@ -10,7 +10,7 @@ from ..functions.text import clean_whitespace
 from ..operators.facts import ai_gate, hybrid_facts, key_values, split_facts
 from ..operators.links import classic_about_page, hybrid_about_links, split_about_links
 from ..operators.page import page_fields
-from ..operators.paging import position_within
+from ..operators.paging import position_within, slice_of
 from ..operators.sections import sections
 from ..plans.intelligent import intelligent
 from ..plans.text_v4 import text_v4
@@ -177,7 +177,8 @@ def a1_hybrid_about_links(spark, sf_dir):
     """J1+A1+W1: about links inside nav/header/footer, first-seen dedupe,
     stable high-before-medium order."""
     ls = hybrid_about_links(site_elements(spark, sf_dir))
-    ls = position_within(ls, "page_id", ["sort_key"], "rank")
+    ls = position_within(ls, "page_id", ["sort_key"], ["sort_key.c", "sort_key.pos.outer", slice_of("sort_key.pos.node_id")],
+                         "rank")
     return ls.select("page_id", "rank", "about_url", "text", "confidence")
 
 
@@ -198,7 +199,8 @@ FROM l
 def a2_split_about_links(spark, sf_dir):
     """A2+W2: split about links scored 0.9/0.8, max-score dedupe, sorted."""
     ls = split_about_links(site_elements(spark, sf_dir))
-    ls = position_within(ls, "page_id", ["sort_key"], "rank")
+    ls = position_within(ls, "page_id", ["sort_key"],
+                         [-F.col("relevance_score"), slice_of("first_pos.node_id")], "rank")
     return ls.select("page_id", "rank", "about_url", "title", "relevance_score")
 
 

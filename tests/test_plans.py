@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from pagefold.operators.page import link_list
-from pagefold.operators.paging import position_within
+from pagefold.operators.metrics import llm_cost_rollup
+from pagefold.operators.paging import position_within, slice_of
 from pagefold.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -43,19 +44,46 @@ def test_first_k_is_a_window_group_limit(spark, parse):
 
 
 def test_position_within_splits_a_hot_key(spark):
-    n = 30000
-    # key -1 holds a third of all rows
-    df = spark.range(n).select((F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 97)).alias("k"),
-                               F.col("id").alias("v"))
-    ranked = position_within(df, "k", ["v"])
-    hot = ranked.filter("k = -1")
-    parts = df.repartitionByRange(8, "k", "v").filter("k = -1").select(F.spark_partition_id()).distinct().count()
-    assert parts > 1                     # the hot key's rows land in several tasks
-    got = sorted(r[0] for r in hot.select("pos").collect())
-    assert got == list(range(1, n // 3 + 1))
-    # the positions follow the order of v inside the key
-    ordered = [r["pos"] for r in hot.orderBy("v").collect()]
-    assert ordered == sorted(ordered)
+    n = 60000
+    # key -1 holds a third of all rows, key null another tenth
+    df = spark.range(n).select((F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 10 == 1, F.lit(None))
+                                .otherwise(F.col("id") % 97)).alias("k"), F.col("id").alias("v"), (F.col("id") % 2).alias("p"))
+    df = df.unionByName(spark.createDataFrame([(-1, None, None), (-1, None, 0)], "k long, v long, p long"))
+    # a descending rank first, as the media lists have it, then the place in the page
+    ranked = position_within(df, "k", [F.col("p").desc_nulls_first(), "v"], [-F.col("p"), slice_of("v")])
+    want = df.toPandas().sort_values(["p", "v"], ascending=[False, True], na_position="first")
+    want["pos"] = want.groupby("k", dropna=False).cumcount() + 1
+    key = lambda r: tuple(-2.0 if x != x or x is None else float(x) for x in r)
+    assert sorted(map(key, ranked.select("k", "v", "p", "pos").toPandas().itertuples(index=False, name=None))) == \
+        sorted(map(key, want[["k", "v", "p", "pos"]].itertuples(index=False, name=None)))
+    # one task sorts a slice of the hot key, not the key
+    most = df.filter("k = -1").groupBy("p", slice_of("v")).count().agg(F.max("count")).first()[0]
+    assert most <= 8192 < df.filter("k = -1").count()
+
+
+def test_position_within_starts_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    try:
+        df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+        ranked = position_within(df, "k", ["v"], [slice_of("v")])
+        assert not tracker.getJobIdsForGroup("ranks")
+        assert ranked.count() == 100
+        assert tracker.getJobIdsForGroup("ranks")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_cost_rollup_is_one_aggregate(spark):
+    calls = spark.createDataFrame(
+        [("2024-01-01 00:10:00", 1.0, 10, 1), ("2024-01-01 00:50:00", 2.0, 20, 2), ("2024-01-01 05:00:00", 4.0, 40, 4),
+         (None, 8.0, 80, 8)], "t string, cost_estimate_usd double, prompt_tokens long, completion_tokens long")
+    r = llm_cost_rollup(calls.select(F.col("t").cast("timestamp").alias("ts"), "*"))
+    assert _plan(r).count("Exchange hashpartitioning") == 1
+    got = sorted((x["period"], str(x["window_start"]), float(x["cost_usd"]), x["prompt_tokens"], x["calls"]) for x in r.collect())
+    assert got == [("day", "2024-01-01 00:00:00", 7.0, 70, 3), ("day", "None", 8.0, 80, 1),
+                   ("hour", "2024-01-01 00:00:00", 3.0, 30, 2), ("hour", "2024-01-01 05:00:00", 4.0, 40, 1),
+                   ("hour", "None", 8.0, 80, 1)]
 
 
 def test_bucketed_page_texts_make_the_about_join_shuffle_only_links(spark):

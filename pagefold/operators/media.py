@@ -288,13 +288,20 @@ def svc_media(elements: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- classic
-def classic_media(elements: DataFrame) -> DataFrame:
+#: The labels of branding and other images, with what stands in for an empty alt text.
+CLASSIC_LABELS = {
+    "api": (("Company image: ", "Branding content"), ("Content image: ", "Page content")),
+    "app": (("Image: ", "Company image"), ("Image: ", "Content image")),
+}
+
+
+def classic_media(elements: DataFrame, variant: str = "api") -> DataFrame:
     """Raw (unresolved) media refs with a context label, from
     one scan: branding images first-class, UI images dropped, video/source
     tags, CSS background images of div/section/header. Each element yields an
     array of items (backgrounds can be several), exploded once; ``pass_no``
     and ``sub`` keep the reference's three-pass order (images, videos,
-    backgrounds)."""
+    backgrounds). ``variant`` chooses the labels of images (api, app)."""
     tag = F.col("tag")
     src = lazy_src()
     alt_l = F.lower(F.coalesce(_attr("alt"), F.lit("")))
@@ -302,8 +309,8 @@ def classic_media(elements: DataFrame) -> DataFrame:
     brand = _contains_any(alt_l, BRANDING_KEYWORDS) | _contains_any(src_l, BRANDING_KEYWORDS)
     ui = _contains_any(src_l, UI_EXCLUSIONS)
     label = F.when(alt_l != "", alt_l)
-    img_ctx = (F.when(brand, F.concat(F.lit("Company image: "), F.coalesce(label, F.lit("Branding content"))))
-               .when(~ui, F.concat(F.lit("Content image: "), F.coalesce(label, F.lit("Page content")))))
+    branding, content = (F.concat(F.lit(head), F.coalesce(label, F.lit(empty))) for head, empty in CLASSIC_LABELS[variant])
+    img_ctx = F.when(brand, branding).when(~ui, content)
 
     def item(pass_no, sub, url, kind, ctx):
         return F.struct(F.lit(pass_no).alias("pass_no"), sub.alias("sub"), url.alias("media_url"),

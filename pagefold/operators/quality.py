@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    API_KEY_REGEX, MAX_CONTENT_LENGTH, MAX_URL_LENGTH, ROOT_MODEL_REGEX, SERVICE_MODEL_REGEX, URL_BAD_CHARS,
+    API_KEY_REGEX, MAX_CONTENT_LENGTH, MAX_URL_LENGTH, REQUEST_LIMITS, REQUEST_MODELS, ROOT_MODEL_REGEX, SERVICE_MODEL_REGEX, URL_BAD_CHARS,
 )
 from ..functions.urls import url_netloc, url_scheme
 
@@ -112,6 +112,35 @@ def media_violations(df: DataFrame) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+def _violations(*checks: tuple[Column, str]) -> Column:
+    return F.filter(F.array(*[F.when(c, F.lit(msg)) for c, msg in checks]), lambda x: x.isNotNull())
+
+
+def scrape_request_violations(url="url", model="model", limit="limit") -> Column:
+    """V6: what breaks the constraints of a scrape request, as
+    ``array<string>``: url present and at most 2048 long, model one of the
+    enumeration, limit within 1..50 when given (null: the default)."""
+    low, high = REQUEST_LIMITS
+    return _violations(
+        (_c(url).isNull(), "url is required"),
+        (F.length(_c(url)) > MAX_URL_LENGTH, f"URL too long (max {MAX_URL_LENGTH} characters)"),
+        (_c(model).isNull(), "model is required"),
+        (~_c(model).isin(REQUEST_MODELS), "model is not supported"),
+        (~_c(limit).between(low, high), f"limit must be within {low}..{high}"))
+
+
+def page_meta_violations(total="total_count", remaining="remaining_count", has_more="has_more",
+                         next_cursor="next_cursor") -> Column:
+    """V6: what breaks the constraints of a page's meta: counts present and not negative, no more remaining than there
+    are, a next cursor exactly if there is more."""
+    n, r, m = _c(total), _c(remaining), _c(has_more)
+    return _violations(
+        (n.isNull() | (n < 0), "total_count must be >= 0"),
+        (r.isNull() | (r < 0), "remaining_count must be >= 0"),
+        (r > n, "remaining_count exceeds total_count"),
+        (m.isNull() | (m != _c(next_cursor).isNotNull()), "next_cursor must be given exactly when has_more"))
+
+
 def split_valid(df: DataFrame, violations: Column) -> tuple[DataFrame, DataFrame]:
     """Good rows and the quarantine (with their violations)."""
     v = df.withColumn("violations", violations)

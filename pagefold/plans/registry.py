@@ -28,6 +28,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         queries_classic, queries_company, queries_media, queries_metrics, queries_page, queries_service,
-        queries_streaming, queries_assets,
+        queries_streaming, queries_assets, queries_stores,
     )
 FLAGSHIP = "qa_intelligent"

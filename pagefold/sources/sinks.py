@@ -22,13 +22,17 @@ def url_extension(url) -> Column:
     return F.regexp_extract(seg, r"^\.*[^.].*(\.[^.]*)$", 1)
 
 
+def store_key(digest: Column, ext: Column, media_type: Column) -> Column:
+    """``{type}s/{digest}{ext}``; without an ext .jpg for images and .mp4 otherwise."""
+    ext = F.when(ext != "", ext).when(media_type == "image", ".jpg").otherwise(".mp4")
+    return F.concat(media_type, F.lit("s/"), digest, ext)
+
+
 def media_key(content, url, media_type) -> Column:
     """``{type}s/{sha256(content||url)[:32]}{ext}``; ext from the url,
     else .jpg for images and .mp4 otherwise."""
-    ext = url_extension(url)
     t = F.col(media_type) if isinstance(media_type, str) else media_type
-    ext = F.when(ext != "", ext).when(t == "image", ".jpg").otherwise(".mp4")
-    return F.concat(t, F.lit("s/"), content_hash(content, url), ext)
+    return store_key(content_hash(content, url), url_extension(url), t)
 
 
 def store_media(media: DataFrame, cdn_domain: str, upload_date: str) -> DataFrame:

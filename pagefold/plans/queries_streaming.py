@@ -13,7 +13,7 @@ from ..sources.html import parse_pages
 from ..sources.logs import parse_log_lines, service_log_lines
 from ..sources.standin import company_site
 from ..streaming.operators import (
-    alarm_stream, incremental, request_spans_stream, throttle_batch, throttle_stream, ttl_cache_batch,
+    TIMER_STORE, alarm_stream, incremental, request_spans_stream, throttle_batch, throttle_stream, ttl_cache_batch,
     ttl_cache_stream, windowed_metrics_stream,
 )
 from ..streaming.runner import _dir, drain, land
@@ -128,17 +128,44 @@ def z2_windowed_metrics_stream(spark, sf_dir):
                       "total", "average")
 
 
+@register("z2_windowed_metrics_append", oracle=METRICS_SQL + f"""
+SELECT CAST(floor(epoch_us(ts) / (300 * CAST(1000000 AS BIGINT))) * 300 AS BIGINT) AS window_epoch, metric,
+       count(*) AS samples, {_fsum('value')} AS total, {_favg('value')} AS average
+FROM m GROUP BY ALL
+""")
+def z2_windowed_metrics_append(spark, sf_dir):
+    """Z2 in append mode: each window once, when the watermark has passed its end. A request a day later lets the
+    last windows go out; its own stay behind."""
+    lines = service_log_lines(spark, sf_dir).withColumn("ts", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")))
+    path = land(_with_later_request(spark, lines), "log", 4, order_by="ts")
+    src = spark.readStream.schema("value string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    w = drain(windowed_metrics_stream(parse_log_lines(src.select("value"))), "z2-append")
+    return w.select(F.unix_seconds("window_start").alias("window_epoch"), "metric", "samples", "total", "average")
+
+
+WINDOWS = "metric string, period_s int, window_start timestamp, total double, average double"
+
+
 @register("z3_alarm_stream", oracle=ORACLES["w11_alarm_windows"])
 def z3_alarm_stream(spark, sf_dir):
-    """Z3: every alarm rule evaluated as a stream over the finalized metric
-    windows of its period (landed in window order, four micro-batches),
-    with consecutive-breach state per alarm."""
+    """Z3: every alarm rule over the metric windows of its period, which
+    arrive out of order and up to two hours late (four micro-batches); event-
+    time timers give the batch twin's alarms. A window a day later lets the
+    last ones go out."""
     wins = rule_windows(metrics_from_log(parse_log_lines(service_log_lines(spark, sf_dir))))
-    path = land(wins, "windows", 4, order_by="window_start")
-    src = spark.readStream.schema(
-        "metric string, period_s int, window_start timestamp, total double, average double") \
-        .option("maxFilesPerTrigger", 1).parquet(path)
-    a = drain(alarm_stream(src), "z3")
+    late = F.pmod(F.xxhash64("metric", "period_s", "window_start"), F.lit(7200))
+    wins = wins.withColumn("arrives", F.timestamp_seconds(F.unix_seconds("window_start") + late))
+    newest = wins.orderBy(F.desc("window_start")).limit(1).withColumns(
+        {c: F.expr(f"{c} + INTERVAL 1 DAY") for c in ("window_start", "arrives")})
+    path = land(wins.unionByName(newest), "windows", 4, order_by="arrives")
+    src = spark.readStream.schema(WINDOWS).option("maxFilesPerTrigger", 1).parquet(path)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, TIMER_STORE)
+    try:
+        a = drain(alarm_stream(src), "z3")
+    finally:
+        spark.conf.set(store, before)
     return a.select("alarm", "metric", F.unix_seconds("window_start").alias("window_epoch"), "value", "breach",
                     "run_length", "in_alarm")
 

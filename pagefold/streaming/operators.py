@@ -4,8 +4,8 @@
   (``applyInPandasWithState``; batch twin: sorted ``mapInPandas`` scan).
 * Z2 windowed metrics: event-time tumbling windows with a watermark,
   append mode (built-in streaming aggregation, partial-aggregated).
-* Z3 alarms: consecutive-breach state per alarm over Z2's finalized
-  windows (``applyInPandasWithState``).
+* Z3 alarms: consecutive-breach state per alarm over metric windows in any
+  order, held by event-time timers (``transformWithStateInPandas``).
 * Z5 request spans: stream-stream left outer join with watermarks on both
   sides and an event-time range condition, so join state is bounded and a
   start without an end comes out when it is evicted.
@@ -19,6 +19,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import fixed_avg, fixed_sum
@@ -131,36 +132,68 @@ def windowed_metrics_stream(log: DataFrame, period: str = "300 seconds",
 
 
 # ------------------------------------------------------------------ Z3
-ALARM_OUT = ("alarm string, metric string, window_start timestamp, value double, breach boolean, "
-             "run_length int, in_alarm boolean")
-
-
-def alarm_stream(windows: DataFrame) -> DataFrame:
-    """Z3: every alarm rule over a stream of finalized metric windows
-    (metric, period_s, window_start, total, average), in window order; the
-    state per alarm is the last window index and the current breach run
-    length, so a run continues only over adjacent windows."""
-    j = rules_on_windows(windows).select("alarm", "metric", "window_start", "w_idx", "value", "breach",
-                                         F.col("evaluation_periods").alias("n"))
-
-    def fn(k, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values("w_idx")
-        last, run = state.get if state.exists else (None, 0)
+ALARM_ROWS = "alarm string, metric string, start_us long, value double, breach boolean, run_length int, in_alarm boolean"
+#: State with timers lives in this store; a session that runs ``alarm_stream`` must name it as
+#: ``spark.sql.streaming.stateStore.providerClass`` when the query starts.
+TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AlarmRuns(StatefulProcessor):
+    """Holds an alarm's windows until the watermark has passed their end, then counts breaches in window order."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState(
+            "waiting", "w_idx long", "metric string, start_us long, end_ms long, value double, breach boolean, n int")
+        self.last = handle.getValueState("last", "w_idx long, run int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                self.waiting.updateValue((int(r.w_idx),), (r.metric, int(r.start_us), int(r.end_ms), float(r.value),
+                                                           bool(r.breach), int(r.n)))
+                self.handle.registerTimer(int(r.end_ms))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the first timer takes every window that is final; those of the others then find nothing left
+        passed = timerValues.getCurrentWatermarkInMs()
+        final = sorted((k[0], v) for k, v in self.waiting.iterator() if v[2] <= passed)
+        last, run = self.last.get() if self.last.exists() else (None, 0)
         out = []
-        for r in rows.itertuples(index=False):
-            w = int(r.w_idx)
-            if r.breach:
-                run = run + 1 if last is not None and w == last + 1 and run > 0 else 1
-            else:
-                run = 0
+        for w, (metric, start_us, _, value, breach, n) in final:
+            run = (run + 1 if last == w - 1 else 1) if breach else 0
             last = w
-            out.append({"alarm": k[0], "metric": r.metric, "window_start": r.window_start,
-                        "value": float(r.value), "breach": bool(r.breach), "run_length": run,
-                        "in_alarm": run >= r.n})
-        state.update((last, run))
-        yield pd.DataFrame(out)
-    return j.groupBy("alarm").applyInPandasWithState(
-        fn, ALARM_OUT, "last_w long, run int", "append", GroupStateTimeout.NoTimeout)
+            out.append((key[0], metric, start_us, value, breach, run, run >= n))
+            self.waiting.removeKey((w,))
+        if out:
+            self.last.update((last, run))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALARM_ROWS.split(", ")]) if out else pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_stream(windows: DataFrame, lateness: str = "3 hours") -> DataFrame:
+    """Z3: every alarm rule over a stream of metric windows (metric,
+    period_s, window_start, total, average), as the batch twin has it: a
+    breach run continues only over adjacent windows.
+
+    Windows may come in any order, up to ``lateness`` after the newest one
+    seen. Event-time timers hold each until the watermark has passed its
+    end, so runs are counted in window order, and state keeps only windows
+    that are not final and one run an alarm. Of a window that comes twice
+    before it is final the later one counts; one that comes after that is
+    dropped, as the watermark has it. Needs ``TIMER_STORE``.
+    """
+    j = rules_on_windows(windows).withColumn("end_ts", F.timestamp_seconds(F.unix_seconds("window_start") + F.col("period_s")))
+    j = j.withWatermark("end_ts", lateness).select(
+        "alarm", "metric", F.unix_micros("window_start").alias("start_us"), F.unix_millis("end_ts").alias("end_ms"), "end_ts",
+        "w_idx", "value", "breach", F.col("evaluation_periods").alias("n"))
+    rows = j.groupBy("alarm").transformWithStateInPandas(
+        statefulProcessor=AlarmRuns(), outputStructType=ALARM_ROWS, outputMode="Append", timeMode="EventTime")
+    return rows.withColumn("window_start", F.timestamp_micros("start_us")).select(
+        "alarm", "metric", "window_start", "value", "breach", "run_length", "in_alarm")
 
 
 # ------------------------------------------------------------------ Z5

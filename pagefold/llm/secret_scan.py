@@ -3,10 +3,11 @@
 Patterns find candidates in every whole text. What tells a live credential
 from an example is who has it: the hash of each candidate value is
 aggregated over the corpus by distinct owners and repositories. A value that
-several owners hold is a widely copied example; a value of one owner that
-does not look like a placeholder is taken for live. Base spans always stay;
-candidates that only look random become spans of kind ``live`` if the corpus
-says that one owner alone has them.
+several owners hold, or two in several repositories, is a widely copied
+example; a value of one owner that does not look like a placeholder is taken
+for live. Base spans always stay; candidates that only look random become
+spans unless they are copied or placeholders: of kind ``live`` if the corpus
+says that one owner alone has them, else ``unclear``.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def random_spans(text: str, base: list[tuple[str, int, int, str]], least_entropy
 
 
 def candidates(docs: DataFrame, least_entropy: float = 3.3) -> DataFrame:
-    """All columns of ``docs`` and ``spans``: every candidate of the whole text (null: none), kind ``live`` still unjudged."""
+    """All columns of ``docs`` and ``spans``: every candidate of the whole text (null: none), kind ``live`` still unjudged. ``docs`` has no column ``spans``."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,25 +100,34 @@ def ownership(spans: DataFrame, owner: str, repo: str) -> DataFrame:
                                        F.count("*").alias("n_owners")))
 
 
-def verdict(copied_owners: int) -> Column:
-    return (F.when(F.col("n_owners") >= copied_owners, "copied")
-            .when((F.col("n_owners") == 1) & F.col("plausible"), "live").otherwise("unclear"))
+def verdict(copied_owners: int, copied_repos: int) -> Column:
+    """``copied``: held by ``copied_owners`` owners, or by two or more in ``copied_repos`` repositories together.
+    ``live``: one owner's, and no placeholder. ``unclear``: all others."""
+    widely = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos))
+    return F.when(widely, "copied").when((F.col("n_owners") == 1) & F.col("plausible"), "live").otherwise("unclear")
 
 
-def judged(rows: DataFrame, owner: str, repo: str, copied_owners: int = 3) -> DataFrame:
-    """``row``, ``kind``, ``start``, ``end``, ``verdict`` and the counts of every candidate of ``rows`` (with ``spans``)."""
+def judged(rows: DataFrame, owner: str, repo: str, copied_owners: int = 3, copied_repos: int = 4) -> DataFrame:
+    """``row``, ``kind``, ``start``, ``end``, ``verdict`` and the counts of every span of ``rows`` (with ``spans``).
+
+    Base spans all stay; random ones stay if they are neither copied nor placeholders, under their verdict as kind.
+    """
     spans = rows.select("row", owner, repo, F.explode("spans").alias("s")).select("row", owner, repo, "s.*")
-    return (spans.join(ownership(spans, owner, repo), "value_hash")
-            .select("row", "kind", "start", "end", verdict(copied_owners).alias("verdict"), "n_rows", "n_repos", "n_owners"))
+    met = spans.join(ownership(spans, owner, repo), "value_hash").withColumn("verdict", verdict(copied_owners, copied_repos))
+    base = F.col("kind") != "live"
+    return met.filter(base | (F.col("plausible") & (F.col("verdict") != "copied"))).select(
+        "row", F.when(base, F.col("kind")).otherwise(F.col("verdict")).alias("kind"), "start", "end", "verdict",
+        "n_rows", "n_repos", "n_owners")
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
-    """Owner and repository of a document: its source, and its source and language."""
+    """Owner and repository of a document: its source, and its source and language (own columns of these names are replaced)."""
     return docs.withColumns({"owner": F.col("source"), "repo": F.concat_ws("/", "source", "lang")})
 
 
-def scan(docs: DataFrame, owner: str = "owner", repo: str = "repo", copied_owners: int = 3) -> DataFrame:
-    """A row a document: ``doc_id``, ``spans`` (base ones and judged ``live`` ones, each with its verdict), in order.
+def scan(docs: DataFrame, owner: str = "owner", repo: str = "repo", copied_owners: int = 3,
+         copied_repos: int = 4) -> DataFrame:
+    """A row a document: ``doc_id``, ``spans`` (base ones, ``live`` and ``unclear`` ones, each with its verdict), in order.
 
     Null and empty texts have no spans; equal rows keep a row each; null
     owners count as one owner; other columns are ignored; an empty table
@@ -126,9 +136,8 @@ def scan(docs: DataFrame, owner: str = "owner", repo: str = "repo", copied_owner
     """
     found = candidates(docs.select("doc_id", "text", owner, repo)).drop("text")
     rows = store(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    kinds = F.array(*[F.lit(k) for k in (*KINDS, "live")])
-    kept = (judged(rows, owner, repo, copied_owners)
-            .filter((F.col("kind") != "live") | (F.col("verdict") == "live"))
+    kinds = F.array(*[F.lit(k) for k in (*KINDS, "live", "unclear")])
+    kept = (judged(rows, owner, repo, copied_owners, copied_repos)
             .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
                 "start", F.array_position(kinds, F.col("kind")).alias("place"), "end", "kind", "verdict", "n_repos", "n_owners",
             ))).alias("spans")))
@@ -143,15 +152,15 @@ def joined(spans: Column) -> Column:
 
 def digests(found: DataFrame) -> DataFrame:
     """Counts by base kind, the hash of the base spans, and all spans as text."""
-    base = F.filter("spans", lambda s: s["kind"] != "live")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"),
                         F.array_join(F.transform("spans", lambda s: s["verdict"]), ",").alias("verdicts"))
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) -> DataFrame:
-    """``docs`` with every candidate that is not a widely copied example masked in ``text``; ``n_chars`` follows.
+def redact(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3, copied_repos: int = 4) -> DataFrame:
+    """``docs`` with every span that is not a widely copied example masked in ``text``; ``n_chars`` follows.
 
     Documents without candidates are passed on as they are; only the others
     meet the verdicts in a join.
@@ -161,8 +170,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) -> D
     found = candidates(with_identity(rows))
     clean = restore(found.filter(F.size("spans") == 0))
     held = store(found.filter(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()), "secret-docs")
-    masked = (judged(held, "owner", "repo", copied_owners)
-              .filter((F.col("verdict") != "copied") & ((F.col("kind") != "live") | (F.col("verdict") == "live")))
+    masked = (judged(held, "owner", "repo", copied_owners, copied_repos).filter(F.col("verdict") != "copied")
               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")))
     empty = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 

@@ -1,7 +1,8 @@
 """Operators 5 and 10 against brute force."""
 
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 from pyspark.sql import functions as F
@@ -57,6 +58,44 @@ def test_ownership_parts_copied_from_live(spark):
     assert masked[3]["text"] == rows[3][1] and masked[22]["text"] is None
 
 
+def test_verdicts_of_every_candidate_against_brute_force(spark):
+    rnd = random.Random(5)
+    letters = "abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ"
+    values = ["".join(rnd.choice(letters + "56789") for _ in range(26)) + "7q" for _ in range(12)]
+    values += ["".join(rnd.choice("0123456789abcdef") for _ in range(32)) for _ in range(6)] + ["your" + "".join(rnd.choice(letters) for _ in range(20)) + "9"]
+    held = defaultdict(set)
+    rows = []
+    for i in range(160):
+        v = rnd.choice(values[:1] if i % 3 == 0 else values[:14] if i < 60 else values)     # one value on a third of all rows
+        owners = 1 + values.index(v) % 4
+        source, lang = f"s{rnd.randrange(owners)}", rnd.choice(["en", "de", "fr", None][: 1 + values.index(v) % 3])
+        rows.append((i, f"say {v} and" + (f" password: {v}" if i % 7 == 0 else ""), lang, source))
+        held[v].add((source, lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def expect(i, text, *_):
+        out = []
+        for k, s, e, v in (base := secret_scan.base_spans(text)) + secret_scan.random_spans(text, base, 3.3):
+            n_owners, n_repos = len({o for o, _ in held[v]}), len(held[v])
+            plausible = not secret_scan.PLACEHOLDER.search(v) and secret_scan.entropy(v) >= 2.5
+            verdict = ("copied" if n_owners >= 3 or n_owners == 2 and n_repos >= 4 else
+                       "live" if n_owners == 1 and plausible else "unclear")
+            if k != "live" or plausible and verdict != "copied":
+                out.append((s, e, k if k != "live" else verdict, verdict, n_owners, n_repos))
+        return sorted(out)
+
+    want = {r[0]: expect(*r) for r in rows}
+    got = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"], s["verdict"], s["n_owners"], s["n_repos"]) for s in r["spans"])
+           for r in secret_scan.scan(secret_scan.with_identity(df)).collect()}
+    assert got == want
+    kinds = Counter(s[2] for spans in want.values() for s in spans)
+    assert kinds["unclear"] and kinds["live"] and kinds["assign"] and kinds["hex"]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, text, *_ in rows:
+        hidden = [s for s in want[i] if s[3] != "copied"]
+        assert ("[SECRET]" in masked[i]) == bool(hidden) and (hidden or masked[i] == text)
+
+
 def test_redact_masks_overlapping_spans_once(spark, docs):
     hexes = "0641917ea4e9feb9cda83477b57ac2654884f485"
     df = spark.createDataFrame([(1, f'é token = "{hexes}" and {hexes} x', "en", "a", 0)],

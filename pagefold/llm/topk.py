@@ -87,9 +87,15 @@ def tiles(rows: DataFrame, size: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id",
-          vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024, fan_in: int = 16) -> DataFrame:
+          vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024, fan_in: int = 16,
+          lane_shards: int = 16) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query row's ``k`` best other rows.
 
+    Each shard of vectors is shuffled once, to its lane of about
+    ``lane_shards`` shards; the blocks of queries, the smaller side, go to
+    every lane. Nothing is broadcast: a lane's shards are what a task holds
+    while blocks of queries pass by.
+
     ``is_query`` is a condition on the id column. Components are taken as
     floor(scale * x); the score is their inner product; ties go to the
     smaller id. Null vectors and vectors with null or non-finite parts take
@@ -110,8 +116,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         F.col("tile").alias("block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"),
         F.col("matrix").alias("q_matrix")), "query-blocks")
     # every shard meets every block of queries: the stated query set against all rows, as whole tiles
-    pairs = (packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .join(queries, "block"))
+    lanes = -(-shards // lane_shards)
+    # merged, never broadcast: the blocks stream past the lane's shards, whose number is bounded
+    pairs = (queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(lanes, "lane")
+             .hint("merge").join(packed.withColumn("lane", F.col("tile") % lanes).repartition(lanes, "lane"), "lane"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

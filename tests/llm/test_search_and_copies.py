@@ -32,7 +32,8 @@ def top_rows(spark, rows, **options):
     return Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 3, "block_rows": 2, "fan_in": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 3, "block_rows": 2, "fan_in": 2},
+                                   {"shard_rows": 2, "block_rows": 1, "fan_in": 3, "lane_shards": 3}])
 def test_op2_awkward_vectors(spark, sizes):
     rnd = random.Random(0)
     rows = [(i, [round(rnd.uniform(-1, 1), 1) for _ in range(4)]) for i in range(0, 120, 5)]
@@ -46,6 +47,14 @@ def test_op2_scores_beyond_exact_floats(spark):
     assert top_rows(spark, rows) == brute_top(rows, 5)
 
 
+def test_op2_broadcasts_no_tiles(spark):
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(*[F.lit(0.5), F.col("id") / 400]).alias("embedding"))
+    found = topk.top_k(df, F.col("vec_id") % 2 == 0, shard_rows=16, block_rows=8, lane_shards=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
+    assert found.count() == 200 * 5
+
+
 def test_op2_empty_table_and_no_queries(spark):
     assert not top_rows(spark, [])
     assert not top_rows(spark, [(1, [1.0])])

@@ -143,15 +143,34 @@ def log_table(model: DataFrame) -> np.ndarray:
     return table
 
 
+def language_bounds(seen: DataFrame, low: float, high: float, prior: int) -> tuple[DataFrame, list[float]]:
+    """``language``, ``q``: the ``low`` and ``high`` quantile of each language of ``seen`` (``language``, ``perplexity``),
+    and those of a language that is not there.
+
+    A language's own perplexities count with ``prior`` more, spread evenly
+    over the distribution of all of them: with no text of its own a language
+    has the bounds of all, and with every text it goes a little further to
+    its own. A bound is always a perplexity of ``seen``. Nulls do not count;
+    without any perplexity everything is within bounds.
+    """
+    levels = [(i + 0.5) / prior for i in range(prior)]
+    whole = seen.agg(F.percentile_approx("perplexity", [*levels, low, high], 10_000).alias("q")).first()["q"]
+    pooled = [float(x) for x in whole[prior:]] if whole else [0.0, float("inf")]
+    spread = F.array(*[F.lit(float(x)) for x in whole[:prior]]) if whole else F.array().cast("array<double>")
+    shared = seen.select("language").distinct().select("language", F.explode(spread).alias("perplexity"))
+    bounds = (seen.select("language", "perplexity").unionByName(shared).filter("perplexity is not null")
+              .groupBy("language").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q")))
+    return bounds, pooled
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", low: float = 0.0025, high: float = 0.9975,
-             least: int = 200) -> DataFrame:
+             prior: int = 200) -> DataFrame:
     """``docs`` with ``perplexity``, the bounds of its language and ``kept``.
 
     ``trusted_ids`` names the trusted documents by ``doc_id``. A document is
     kept if its perplexity is between the ``low`` and the ``high`` quantile of
     trusted texts of its language, each scored by a model that has not seen
-    it; a language with fewer than ``least`` trusted texts, too few for
-    such quantiles, takes those of all.
+    it, as ``language_bounds`` takes them.
     Null, empty and blank texts have no perplexity and are not kept; equal
     rows keep a row each; without any trusted text everything with a
     perplexity is kept; an empty table gives no rows. ``docs`` must not have
@@ -162,13 +181,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", lo
     ids = trusted_ids.select("doc_id").filter("doc_id is not null").distinct()
     measured = word_model.perplexities(docs, docs.join(ids, "doc_id", "left_semi")).withColumnRenamed("row", "content")
     scored = docs.withColumn("content", word_model.row_key()).join(measured, "content", "left").drop("content")
-    seen = scored.select("doc_id", F.col(language).alias("language"), "perplexity").join(ids, "doc_id", "left_semi")
-    cut = F.percentile_approx("perplexity", [low, high], 10_000)
-    bounds = store(seen.groupBy("language").agg(cut.alias("q"), F.count("perplexity").alias("n"))
-                   .filter(F.col("n") >= least).select("language", "q"), "language-bounds")
-    overall = seen.agg(cut.alias("q")).first()["q"] or [0.0, float("inf")]
-    bound = lambda i: F.coalesce(F.col("q")[i], F.lit(float(overall[i])))
+    seen = store(scored.select("doc_id", F.col(language).alias("language"), "perplexity").join(ids, "doc_id", "left_semi")
+                 .select("language", F.col("perplexity").cast("double").alias("perplexity")), "trusted-perplexities")
+    quantiles, pooled = language_bounds(seen, low, high, prior)
     # a stored row a language: Spark sees its size and broadcasts it if it is small
+    bounds = store(quantiles, "language-bounds")
+    bound = lambda i: F.coalesce(F.col("q")[i], F.lit(pooled[i]))
     return (scored.join(bounds, scored[language].eqNullSafe(bounds["language"]), "left")
             .select(*scored.columns, bound(0).alias("lowest"), bound(1).alias("highest"))
             .withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("lowest"), F.col("highest")), F.lit(False))))

@@ -120,3 +120,22 @@ def test_bounds_have_no_slack(spark):
     got = rows.collect()
     seen = {r["perplexity"] for r in got}
     assert all(r["lowest"] in seen and r["highest"] in seen for r in got)
+
+
+def test_bounds_go_from_those_of_all_to_a_language_s_own(spark):
+    rnd = random.Random(3)
+    large = [("en", rnd.uniform(100, 200)) for _ in range(5000)]
+    def bounds(n):
+        own = [("xx", 1000.0 + i / n) for i in range(n)] + [("none", None), (None, 150.0)]
+        df = spark.createDataFrame(large + own, "language string, perplexity double")
+        found, pooled = kneser_ney.language_bounds(df, 0.0025, 0.9975, 200)
+        return {r["language"]: r["q"] for r in found.collect()}, pooled, {p for _, p in large + own}
+    lows = []
+    for n in (1, 50, 2000):
+        got, pooled, seen = bounds(n)
+        assert got["none"] == pooled and set(got) == {"en", "xx", "none", None}
+        assert all(q in seen for qs in got.values() for q in qs)
+        lows.append(got["xx"][0])
+    assert 100 <= lows[0] <= lows[1] <= lows[2] and lows[0] < 105
+    nothing, pooled = kneser_ney.language_bounds(spark.createDataFrame([("a", None)], "language string, perplexity double"), 0.1, 0.9, 5)
+    assert nothing.count() == 0 and pooled == [0.0, float("inf")]

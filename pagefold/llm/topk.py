@@ -91,8 +91,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
           lane_shards: int = 16) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query row's ``k`` best other rows.
 
-    Each shard of vectors is shuffled once, to its lane of about
-    ``lane_shards`` shards; the blocks of queries, the smaller side, go to
+    Each shard of vectors is shuffled once, to its lane of at most
+    about ``lane_shards`` shards (fewer where cores would idle); the blocks of queries, the smaller side, go to
     every lane. Nothing is broadcast: a lane's shards are what a task holds
     while blocks of queries pass by.
 
@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         F.col("tile").alias("block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"),
         F.col("matrix").alias("q_matrix")), "query-blocks")
     # every shard meets every block of queries: the stated query set against all rows, as whole tiles
-    lanes = -(-shards // lane_shards)
+    lanes = max(-(-shards // lane_shards), min(shards, spark.sparkContext.defaultParallelism))
     # merged, never broadcast: the blocks stream past the lane's shards, whose number is bounded
     pairs = (queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(lanes, "lane")
              .hint("merge").join(packed.withColumn("lane", F.col("tile") % lanes).repartition(lanes, "lane"), "lane"))

@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 ABOUT_PAGE_OFFSET = 1_000_000_000
 GALLERY_PAGE_OFFSET = 2_000_000_000
 GALLERY_ITEMS_PER_PAGE = 40
+# A supplier is a few stored bytes, its two pages some hundred elements.
+SUPPLIERS_A_TASK = 1000
 
 _HOME = """
 concat(
@@ -87,7 +89,7 @@ concat(
 
 
 def company_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
+    s = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), SUPPLIERS_A_TASK)
     n = table(spark, sf_dir, "nation")
     base = (s.join(n, s.s_nationkey == n.n_nationkey)     # AQE broadcasts the small side by measured size
             .selectExpr("s_suppkey AS k", "s_name AS name", "n_name",

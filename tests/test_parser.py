@@ -182,3 +182,16 @@ def test_operators_read_deferred_texts(spark):
     for f in (hybrid_about_links, split_about_links, hybrid_media, split_media, link_list, sections):
         got, want = f(el), f(whole)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 9
+
+
+def test_company_site_is_parsed_by_as_many_tasks_as_its_suppliers_ask_for(spark, tmp_path):
+    from pagefold.sources.standin import SUPPLIERS_A_TASK, company_site
+
+    n = 3 * SUPPLIERS_A_TASK
+    spark.range(n).selectExpr("id s_suppkey", "'n' s_name", "0 s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "FRANCE")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    from pyspark.sql import functions as F
+
+    site = company_site(spark, str(tmp_path))
+    tasks = site.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == n + n - n // 3 and max(r["count"] for r in tasks) <= SUPPLIERS_A_TASK + 10

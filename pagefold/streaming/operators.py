@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,16 +67,21 @@ def throttle_stream(events: DataFrame, key="user_id", ts: str = "ts", rpm: float
     df = events.select(_key(key).alias("user_id"), "event_id", _seconds(ts))
 
     def fn(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        # a key has few rows a batch: what one frame costs decides, so there are no more frames than are needed
+        rows = [*frames]
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        t, ids = rows["t"].to_numpy(), rows["event_id"].to_numpy()
+        order = np.lexsort((ids, t))
         st = tuple(state.get) if state.exists else None
         out = []
-        for r in rows.itertuples(index=False):
-            st, allowed, tokens, retry = tb.step(st, r.t)
-            out.append({"user_id": k[0], "event_id": r.event_id, "allowed": allowed, "tokens": tokens,
-                        "retry_after": retry})
+        for x in t[order].tolist():
+            st, *res = tb.step(st, x)
+            out.append(res)
         if st is not None:
             state.update(st)
-        yield pd.DataFrame(out)
+        allowed, tokens, retry = zip(*out)
+        yield pd.DataFrame({"user_id": [k[0]] * len(out), "event_id": ids[order], "allowed": allowed, "tokens": tokens,
+                            "retry_after": retry})
     return df.groupBy("user_id").applyInPandasWithState(
         fn, _throttle_out(df), "tokens double, last_update double", "append", GroupStateTimeout.NoTimeout)
 
@@ -139,35 +145,43 @@ TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class AlarmRuns(StatefulProcessor):
-    """Holds an alarm's windows until the watermark has passed their end, then counts breaches in window order."""
+    """Holds an alarm's windows until the watermark has passed their end, then counts breaches in window order.
+
+    The windows that wait are one list, in the order they came; of those of one index the last counts. Only the
+    earliest end has a timer: it reads the list once and takes all that is final.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", "w_idx long", "metric string, start_us long, end_ms long, value double, breach boolean, n int")
+        self.waiting = handle.getListState(
+            "waiting", "w_idx long, metric string, start_us long, end_ms long, value double, breach boolean, n int")
         self.last = handle.getValueState("last", "w_idx long, run int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                self.waiting.updateValue((int(r.w_idx),), (r.metric, int(r.start_us), int(r.end_ms), float(r.value),
-                                                           bool(r.breach), int(r.n)))
-                self.handle.registerTimer(int(r.end_ms))
+        came = [(int(r.w_idx), r.metric, int(r.start_us), int(r.end_ms), float(r.value), bool(r.breach), int(r.n))
+                for frame in rows for r in frame.itertuples(index=False)]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(min(w[3] for w in came))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the first timer takes every window that is final; those of the others then find nothing left
         passed = timerValues.getCurrentWatermarkInMs()
-        final = sorted((k[0], v) for k, v in self.waiting.iterator() if v[2] <= passed)
+        waiting = {w[0]: w for w in self.waiting.get()}
+        final = sorted(i for i, w in waiting.items() if w[3] <= passed)
         last, run = self.last.get() if self.last.exists() else (None, 0)
         out = []
-        for w, (metric, start_us, _, value, breach, n) in final:
-            run = (run + 1 if last == w - 1 else 1) if breach else 0
-            last = w
+        for i in final:
+            _, metric, start_us, _, value, breach, n = waiting.pop(i)
+            run = (run + 1 if last == i - 1 else 1) if breach else 0
+            last = i
             out.append((key[0], metric, start_us, value, breach, run, run >= n))
-            self.waiting.removeKey((w,))
         if out:
             self.last.update((last, run))
+            self.waiting.clear()
+            if waiting:
+                self.waiting.put(list(waiting.values()))
+                self.handle.registerTimer(min(w[3] for w in waiting.values()))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ALARM_ROWS.split(", ")]) if out else pd.DataFrame()
 
     def close(self) -> None:

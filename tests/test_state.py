@@ -37,3 +37,58 @@ def test_throttle_batch_equals_stream(spark):
     a = sorted(map(tuple, q["z1_throttle_batch"](spark, sf).collect()))
     b = sorted(map(tuple, q["z1_throttle_stream"](spark, sf).collect()))
     assert a == b and len(a) > 0
+
+
+class Held:
+    """List and value state of one key in memory, with the timers asked for."""
+
+    def __init__(self):
+        self.items, self.value, self.timers, self.reads = [], None, [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            exists = staticmethod(lambda: outer.value is not None)
+            get = staticmethod(lambda: outer.value)
+            update = staticmethod(lambda v: setattr(outer, "value", v))
+        return Value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendList(self, items):
+        self.items += items
+
+    def get(self):
+        self.reads += 1
+        return iter(self.items)
+
+    def put(self, items):
+        self.items = list(items)
+
+    def clear(self):
+        self.items = []
+
+
+def test_alarm_windows_are_read_once_a_batch_not_once_a_timer():
+    import pandas as pd
+
+    from pagefold.streaming.operators import AlarmRuns
+
+    held, runs = Held(), AlarmRuns()
+    runs.init(held)
+    rows = pd.DataFrame({"w_idx": range(300), "metric": "m", "start_us": 0, "end_ms": [60_000 * (i + 1) for i in range(300)],
+                         "value": 1.0, "breach": True, "n": 3})
+    list(runs.handleInputRows(("a",), iter([rows[::-1], rows[5:6].assign(breach=False)]), None))
+    assert held.timers == [60_000]
+
+    class Watermark:
+        getCurrentWatermarkInMs = staticmethod(lambda: 60_000 * 200)
+    out = [tuple(r) for f in runs.handleExpiredTimer(("a",), Watermark, None) for r in f.itertuples(index=False)]
+    assert held.reads == 1 and len(out) == 200 and len(held.items) == 100
+    assert [r[5] for r in out] == [1, 2, 3, 4, 5, 0, *range(1, 195)] and out[2][6] and not out[1][6]    # the later row of index 5 counts
+    assert held.timers == [60_000, 60_000 * 201] and held.value == (199, 194)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_places, utc_instant
 
 from ..operators.metrics import metrics_from_log, rule_windows
-from ..session import materialize_elements, table
+from ..session import materialize, materialize_elements, table
 from ..sources.html import parse_pages
 from ..sources.logs import parse_log_lines, service_log_lines
 from ..sources.standin import company_site
@@ -16,7 +16,7 @@ from ..streaming.operators import (
     TIMER_STORE, alarm_stream, incremental, request_spans_stream, throttle_batch, throttle_stream, ttl_cache_batch,
     ttl_cache_stream, windowed_metrics_stream,
 )
-from ..streaming.runner import _dir, drain, land
+from ..streaming.runner import _dir, arrivals, drain, land
 from .intelligent import intelligent
 from .queries_company import SITE_SQL, _B
 from .queries_metrics import METRICS_SQL, OPEN_AFTER, OPEN_SPANS_SQL, _favg, _fsum
@@ -70,8 +70,7 @@ def z1_throttle_stream(spark, sf_dir):
     """The same token bucket as a stream with per-user state, over
     events landed as four time-ordered files (four micro-batches)."""
     path = land(_events(spark, sf_dir), "events", 4, order_by="ts")
-    src = spark.readStream.schema("event_id long, ts timestamp, user_id long").option(
-        "maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, "event_id long, ts timestamp, user_id long")
     return _round_throttle(drain(throttle_stream(src, rpm=RPM, burst=BURST), "z1"))
 
 
@@ -101,8 +100,7 @@ def z4_ttl_cache_batch(spark, sf_dir):
 def z4_ttl_cache_stream(spark, sf_dir):
     """The TTL cache as streaming state with event-time expiry."""
     path = land(_events(spark, sf_dir), "events", 4, order_by="ts")
-    src = spark.readStream.schema("event_id long, ts timestamp, user_id long").option(
-        "maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, "event_id long, ts timestamp, user_id long")
     return drain(ttl_cache_stream(src, "user_id", "ts", TTL), "z4")
 
 
@@ -110,7 +108,7 @@ def _log_stream(spark, sf_dir):
     lines = service_log_lines(spark, sf_dir)
     ordered = lines.withColumn("ts", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")))
     path = land(ordered, "log", 4, order_by="ts")
-    src = spark.readStream.schema("value string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, "value string, ts timestamp")
     return parse_log_lines(src.select("value"))
 
 
@@ -138,11 +136,12 @@ def z2_windowed_metrics_append(spark, sf_dir):
     last windows go out; its own stay behind."""
     lines = service_log_lines(spark, sf_dir).withColumn("ts", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")))
     path = land(_with_later_request(spark, lines), "log", 4, order_by="ts")
-    src = spark.readStream.schema("value string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, "value string, ts timestamp")
     w = drain(windowed_metrics_stream(parse_log_lines(src.select("value"))), "z2-append")
     return w.select(F.unix_seconds("window_start").alias("window_epoch"), "metric", "samples", "total", "average")
 
 
+PAGES_A_FILE = 1000           # pages are parsed by file, and a page is much work for its bytes
 WINDOWS = "metric string, period_s int, window_start timestamp, total double, average double"
 
 
@@ -152,13 +151,13 @@ def z3_alarm_stream(spark, sf_dir):
     arrive out of order and up to two hours late (four micro-batches); event-
     time timers give the batch twin's alarms. A window a day later lets the
     last ones go out."""
-    wins = rule_windows(metrics_from_log(parse_log_lines(service_log_lines(spark, sf_dir))))
+    wins = materialize(rule_windows(metrics_from_log(parse_log_lines(service_log_lines(spark, sf_dir)))), "windows")
     late = F.pmod(F.xxhash64("metric", "period_s", "window_start"), F.lit(7200))
     wins = wins.withColumn("arrives", F.timestamp_seconds(F.unix_seconds("window_start") + late))
     newest = wins.orderBy(F.desc("window_start")).limit(1).withColumns(
         {c: F.expr(f"{c} + INTERVAL 1 DAY") for c in ("window_start", "arrives")})
     path = land(wins.unionByName(newest), "windows", 4, order_by="arrives")
-    src = spark.readStream.schema(WINDOWS).option("maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, WINDOWS)
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, TIMER_STORE)
@@ -203,7 +202,7 @@ def z5_open_spans_stream(spark, sf_dir):
     watermark evicts them."""
     lines = service_log_lines(spark, sf_dir).withColumn("ts", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")))
     path = land(_with_later_request(spark, lines), "log", 4, order_by="ts")
-    src = spark.readStream.schema("value string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    src = arrivals(spark, path, "value string, ts timestamp")
     s = drain(request_spans_stream(parse_log_lines(src.select("value")), max_duration=OPEN_AFTER), "z5-open")
     return s.filter(F.col("request_id") != LATER).select(
         "request_id", round_places("duration_s", 6).alias("duration_s"), "success")
@@ -223,14 +222,13 @@ def z6_incremental_intelligent(spark, sf_dir):
     lookups; results are appended per batch."""
     site = company_site(spark, sf_dir)
     corpus = materialize_elements(parse_pages(site), "site-elements")
-    path = land(site, "pages", 4, order_by="page_id")
-    src = spark.readStream.schema("page_id long, url string, html string").option(
-        "maxFilesPerTrigger", 1).parquet(path)
+    path = land(site, "pages", 4, order_by="page_id", file_rows=PAGES_A_FILE)
+    src = arrivals(spark, path, "page_id long, url string, html string")
     sink = _dir(site, "sink", "z6")
     chk = _dir(site, "chk", "z6")
 
     def plan(batch):
-        env = intelligent(parse_pages(batch), corpus=corpus)
+        env = intelligent(materialize_elements(parse_pages(batch), "batch-elements"), corpus=corpus)
         return env.select(
             "page_id", "best_about_url", "company_info.founded", "company_info.employees",
             "company_info.confidence", "approach_used")

@@ -1,8 +1,9 @@
 """Run a Structured Streaming query to completion over landed files.
 
-``land`` writes input rows as files (in event-time order, several files so
-the stream sees several micro-batches) under the shared checkpoint
-folder; ``drain`` runs a stream with ``Trigger.AvailableNow`` into a
+``land`` writes input rows as slices of files (in event-time order, several
+slices so the stream sees several micro-batches) under the shared checkpoint
+folder; ``arrivals`` reads them as a stream, a slice a micro-batch;
+``drain`` runs a stream with ``Trigger.AvailableNow`` into a
 ``foreachBatch`` sink that overwrites ``batch=<id>`` (so a retried batch
 never duplicates rows) and returns what was written — the latest row per
 key for update-mode streams.
@@ -15,7 +16,7 @@ import uuid
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -25,30 +26,52 @@ def _dir(df: DataFrame, kind: str, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(df.sparkSession), kind, f"{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of a landed file, if every slice has as many.
+FILE_ROWS = 100_000
+
+
 def land(df: DataFrame, name: str, n_files: int = 4, order_by: str | None = None,
-         fmt: str = "parquet") -> str:
-    """Write ``df`` as ``n_files`` files range-split on ``order_by``. The
-    slices are written one after another, so file modification times (the
-    file source's arrival order) follow event time, as files arriving from
-    a live feed would. Returns the folder."""
+         fmt: str = "parquet", file_rows: int = FILE_ROWS) -> str:
+    """Write ``df`` as ``n_files`` slices cut at quantiles of ``order_by``
+    (nulls first). The slices are written one after another, so file
+    modification times (the file source's arrival order) follow event time,
+    as files arriving from a live feed would. Every slice has the same number
+    of files: one, or as many of ``file_rows`` as the smallest slice fills, so
+    large slices are written and read by many tasks. Rows are dealt round
+    robin, which leaves none of the files empty while a slice has more rows
+    than ``file_rows`` a file and is read by fewer tasks than that. Returns
+    the folder."""
     path = _dir(df, "landing", name)
     if not order_by:
         df.repartition(n_files).write.format(fmt).save(path)
         return path
-    ranged = df.repartitionByRange(n_files, order_by).withColumn("_slice", F.spark_partition_id())
-    ranged = materialize_slices(ranged)
+    whole = materialize_slices(df)
+    key = F.unix_micros(order_by) if whole.schema[order_by].dataType.typeName() == "timestamp" else F.col(order_by)
+    at = [i / n_files for i in range(1, n_files)]
+    cuts = whole.agg(F.percentile_approx(key, at, 10_000).alias("q")).first()["q"] if at else None
+    behind = [F.when(key > c, 1).otherwise(0) for c in cuts or []]
+    sliced = whole.withColumn("_slice", sum(behind, F.lit(0)))
+    sizes = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}     # a row a slice
+    files = max(1, min(sizes.get(i, 0) for i in range(n_files)) // file_rows)
     for i in range(n_files):
-        part = ranged.filter(F.col("_slice") == i).drop("_slice").coalesce(1).sortWithinPartitions(order_by)
-        part.write.mode("append").format(fmt).save(path)
+        part = sliced.filter(F.col("_slice") == i).drop("_slice")
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.sortWithinPartitions(order_by).write.mode("append").format(fmt).save(path)
     return path
 
 
 def materialize_slices(df: DataFrame) -> DataFrame:
-    """Compute the range split once (the sequential writes re-read it)."""
+    """Compute the rows once (the sequential writes re-read them)."""
     from ..session import materialize
     return materialize(df, "slices")
 
 
+def arrivals(spark: SparkSession, path: str, schema: str, n_files: int = 4) -> DataFrame:
+    """The slices that ``land`` wrote as Parquet, as a stream with a slice a micro-batch."""
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // n_files)).parquet(path)
+
+
 def drain(stream: DataFrame, name: str, output_mode: str = "append",
           keys: Sequence[str] | None = None) -> DataFrame:
     spark = stream.sparkSession

@@ -92,3 +92,24 @@ def test_alarm_windows_are_read_once_a_batch_not_once_a_timer():
     assert held.reads == 1 and len(out) == 200 and len(held.items) == 100
     assert [r[5] for r in out] == [1, 2, 3, 4, 5, 0, *range(1, 195)] and out[2][6] and not out[1][6]    # the later row of index 5 counts
     assert held.timers == [60_000, 60_000 * 201] and held.value == (199, 194)
+
+
+def test_landed_slices_are_of_many_files_and_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from pagefold.streaming.runner import arrivals, land
+
+    df = spark.range(8000).select("id", F.when(F.col("id") > 9, F.timestamp_seconds("id")).alias("ts"))
+    path = land(df.repartition(5, "id"), "many", 4, order_by="ts", file_rows=200)
+    assert len(spark.read.parquet(path).inputFiles()) >= 4 * 5
+    seen = []
+
+    def batch(rows, i):
+        seen.append(rows.agg(F.count("*"), F.min("ts"), F.max("ts")).first())
+    from pagefold.session import ensure_checkpoint_dir
+    (arrivals(spark, path, "id long, ts timestamp").writeStream.foreachBatch(batch).trigger(availableNow=True)
+     .option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/many-{spark.sparkContext.startTime}").start().awaitTermination())
+    assert sum(n for n, *_ in seen) == 8000 and len(seen) == 4
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+    few = land(df.limit(10), "few", 4, order_by="id")
+    assert spark.read.parquet(few).count() == 10 and len(spark.read.parquet(few).inputFiles()) == 4

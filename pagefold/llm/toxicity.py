@@ -135,28 +135,34 @@ def hits(text: str, lexicon: Lexicon, memo: dict[str, tuple[float, int]]) -> tup
     in the window, and rises with words of address.
     """
     lowered = text.lower()
-    found = [(m.start(), m.group()) for m in _WORD.finditer(lowered)]
-    words = [w for _, w in found]
+    words = _WORD.findall(lowered)
+    known = list(map(memo.get, words))
+    if None in known:
+        for i, hit in enumerate(known):
+            if hit is None:
+                w = words[i]
+                hit = known[i] = memo.get(w) or lexicon.match(w)
+                if len(memo) < 300_000:
+                    memo[w] = hit
+    spots = [i for i, hit in enumerate(known) if hit[0] > 0]
+    starts = [m.start() for m in _WORD.finditer(lowered)] if spots else []
     out = []
-    for i, w in enumerate(words):
-        hit = memo.get(w)
-        if hit is None:
-            hit = lexicon.match(w)
-            if len(memo) < 300_000:
-                memo[w] = hit
-        if hit[0] > 0:
-            near = words[max(0, i - WINDOW):i + WINDOW + 1]
-            lo, hi = found[max(0, i - WINDOW)][0], found[min(len(found) - 1, i + WINDOW)][0]
-            at = found[i][0]
-            quoted = not _QUOTES.isdisjoint(lowered[lo:at]) and not _QUOTES.isdisjoint(lowered[at:hi + 1])
-            factor = (0.3 if quoted else 1.0) * (0.6 if not REPORT.isdisjoint(near) else 1.0)
-            out.append((i, hit[0], hit[1], min(1.0, factor * (1.3 if not ADDRESS.isdisjoint(near) else 1.0))))
+    for i in spots:
+        near = words[max(0, i - WINDOW):i + WINDOW + 1]
+        lo, at, hi = starts[max(0, i - WINDOW)], starts[i], starts[min(len(words) - 1, i + WINDOW)]
+        quoted = not _QUOTES.isdisjoint(lowered[lo:at]) and not _QUOTES.isdisjoint(lowered[at:hi + 1])
+        factor = (0.3 if quoted else 1.0) * (0.6 if not REPORT.isdisjoint(near) else 1.0)
+        out.append((i, *known[i], min(1.0, factor * (1.3 if not ADDRESS.isdisjoint(near) else 1.0))))
     return words, out
 
 
 def features(text: str, lexicon: Lexicon, memo: dict[str, tuple[float, int]]) -> list[float]:
     """Features of a whole text: sums, heaviest hit and share of hits, as found and by context."""
-    words, found = hits(text, lexicon, memo)
+    return measures(*hits(text, lexicon, memo))
+
+
+def measures(words: list[str], found: list[tuple[int, float, int, float]]) -> list[float]:
+    """The features of a text with these words and hits."""
     plain = [w for _, w, e, _ in found if not e]
     weighed = [w * f for _, w, _, f in found]
     n = len(words)
@@ -262,11 +268,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
         for b in slices(batches):
             scores, counts, spans = [], [], []
             for text in b["text"].to_pylist():
-                x = features(text or "", lexicon, memo)
+                words, at = hits(text or "", lexicon, memo)
+                x = measures(words, at)
                 scores.append(float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, beta))))))))
-                found, at = hits(text or "", lexicon, memo) if x[-1] else ([], [])
                 counts.append(len(at))
-                spans.append([found[i] for i, *_ in at])
+                spans.append([words[i] for i, *_ in at])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores, pa.float64()), pa.array(counts, pa.int64()),
                                               pa.array(spans, pa.list_(pa.string()))], schema.names)
 

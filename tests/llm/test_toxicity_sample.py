@@ -44,3 +44,22 @@ def test_long_texts_teach_too(spark):
     assert "zarkon" in words
     words, _, _ = toxicity.learn(long.select("doc_id", "text"), long.select("doc_id", "toxic"), sample_chars=1)
     assert not words
+
+
+def test_a_text_is_read_once_and_its_places_only_where_it_has_hits(monkeypatch):
+    class Words:
+        reads = places = 0
+
+        def findall(self, text):
+            Words.reads += 1
+            return ["x"] * 3 if "x" in text else ["idiot", "you"]
+
+        def finditer(self, text):
+            Words.places += 1
+            import re
+            return re.finditer(r"\w+", text)
+
+    monkeypatch.setattr(toxicity, "_WORD", Words())
+    lexicon = toxicity.Lexicon({"idiot": 1.0}, {})
+    assert toxicity.hits("x x x", lexicon, {}) == (["x"] * 3, []) and (Words.reads, Words.places) == (1, 0)
+    assert toxicity.hits("idiot you", lexicon, {}) == (["idiot", "you"], [(0, 1.0, 0, 1.0)]) and Words.places == 1

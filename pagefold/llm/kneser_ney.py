@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,9 @@ ORDER = 4
 #: 0 blank, 1-26 letters without accents, 27 other letters, 28 digits, 29 full stop, 30 comma, 31 other marks, 32 symbols.
 ALPHABET = 33
 
+#: Quantiles of all trusted perplexities that a language's bounds are taken from.
+BOUND_LEVELS = 1000
+
 COUNT_SCHEMA = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -147,20 +150,29 @@ def language_bounds(seen: DataFrame, low: float, high: float, prior: int) -> tup
     """``language``, ``q``: the ``low`` and ``high`` quantile of each language of ``seen`` (``language``, ``perplexity``),
     and those of a language that is not there.
 
-    A language's own perplexities count with ``prior`` more, spread evenly
-    over the distribution of all of them: with no text of its own a language
-    has the bounds of all, and with every text it goes a little further to
-    its own. A bound is always a perplexity of ``seen``. Nulls do not count;
-    without any perplexity everything is within bounds.
+    A language's bound lies between its own quantile and that of all, in
+    logarithms, and goes to its own as it has more perplexities: with
+    ``prior`` of them it is half way. With none it has the bounds of all. A
+    bound is the nearest perplexity of ``seen`` among quantiles of all and the
+    language's own. Nulls do not count; without any perplexity everything is
+    within bounds.
     """
-    levels = [(i + 0.5) / prior for i in range(prior)]
+    levels = [(i + 0.5) / BOUND_LEVELS for i in range(BOUND_LEVELS)]
     whole = seen.agg(F.percentile_approx("perplexity", [*levels, low, high], 10_000).alias("q")).first()["q"]
-    pooled = [float(x) for x in whole[prior:]] if whole else [0.0, float("inf")]
-    spread = F.array(*[F.lit(float(x)) for x in whole[:prior]]) if whole else F.array().cast("array<double>")
-    shared = seen.select("language").distinct().select("language", F.explode(spread).alias("perplexity"))
-    bounds = (seen.select("language", "perplexity").unionByName(shared).filter("perplexity is not null")
-              .groupBy("language").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q")))
-    return bounds, pooled
+    own = seen.groupBy("language").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("own"),
+                                       F.count("perplexity").alias("n"))
+    if not whole:
+        return own.select("language", F.col("own").alias("q")).filter(F.lit(False)), [0.0, float("inf")]
+    pooled = [float(x) for x in whole[BOUND_LEVELS:]]
+    share = F.col("n") / (F.col("n") + prior)
+
+    def mixed(i: int) -> Column:
+        aim = share * F.log(F.col("own")[i]) + (1 - share) * F.log(F.lit(pooled[i]))
+        near = F.transform(F.concat(F.array(*[F.lit(float(x)) for x in sorted(set(whole))]), "own"),
+                           lambda x: F.struct(F.abs(F.log(x) - aim).alias("far"), x.alias("x")))
+        return F.coalesce(F.array_min(F.when(F.col("own").isNotNull(), near))["x"], F.lit(pooled[i]))
+
+    return own.select("language", F.array(mixed(0), mixed(1)).alias("q")), pooled
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, language: str = "lang", low: float = 0.0025, high: float = 0.9975,

@@ -139,3 +139,12 @@ def test_bounds_go_from_those_of_all_to_a_language_s_own(spark):
     assert 100 <= lows[0] <= lows[1] <= lows[2] and lows[0] < 105
     nothing, pooled = kneser_ney.language_bounds(spark.createDataFrame([("a", None)], "language string, perplexity double"), 0.1, 0.9, 5)
     assert nothing.count() == 0 and pooled == [0.0, float("inf")]
+
+
+def test_a_language_with_many_texts_is_not_held_by_the_extremes_of_others(spark):
+    rnd = random.Random(5)
+    rows = [("en", rnd.uniform(100, 200)) for _ in range(4000)] + [("xx", rnd.choice([2.0, 9000.0])) for _ in range(400)]
+    found, pooled = kneser_ney.language_bounds(spark.createDataFrame(rows, "language string, perplexity double"), 0.0025, 0.9975, 200)
+    got = {r["language"]: r["q"] for r in found.collect()}
+    assert pooled == [2.0, 9000.0] and got["xx"] == pooled
+    assert 90 <= got["en"][0] <= 101 and 199 <= got["en"][1] <= 210

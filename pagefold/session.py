@@ -80,7 +80,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """``df`` dealt out to tasks of about ``rows`` rows each. For inputs whose rows become much larger than they are
     stored, so that splits by bytes would give a whole table to one task."""
-    return df.repartition(-(-max(1, df.count()) // rows))
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import json
 import os
 import re
@@ -69,6 +71,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
+def uncollected(call: Callable) -> Callable:
+    """``call`` with the collector of cycles paused. For calls that make many objects that stay and no cycles: the
+    collector would walk through them again and again and free none."""
+    @functools.wraps(call)
+    def paused(*args, **kwargs):
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return call(*args, **kwargs)
+        finally:
+            if running:
+                gc.enable()
+    return paused
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,6 +109,10 @@ def byte_alphabet() -> dict[str, int]:
 
 #: Chunks whose characters are assigned alike in every Unicode version, with no blank at either end.
 _PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f](?:[\n -~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?")
+#: Several plain chunks without spaces inside, joined by spaces.
+_PLAIN_ROW = re.compile("[!-~\xa1-\xac\xae-\u024f]+(?:(?: |\n+)[!-~\xa1-\xac\xae-\u024f]+)*")
+#: Chunks that are looked at together.
+_ROW_CHUNKS = 32
 
 
 class ChunkEncoder:
@@ -114,7 +135,8 @@ class ChunkEncoder:
         size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         self.path, self.dtype = path, "<u2" if size <= 1 << 16 else "<u4"
         self.cache_items, self.longest = cache_items, longest
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {}
+        self.no_cut: set[str] = set()       # those that the memo marks by None
         self.library = None
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.fast = None
@@ -149,12 +171,28 @@ class ChunkEncoder:
     def _plain(self, chunk: str) -> bool:
         return self.fast is not None and _PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
 
+    def _parted(self, new: list[str]) -> tuple[list[str], list[str]]:
+        """Plain chunks, and all others. Most rows of chunks are plain as a whole; only in the rest is each looked at."""
+        plain: list[str] = []
+        other: list[str] = []
+        for i in range(0, len(new), _ROW_CHUNKS):
+            row = new[i:i + _ROW_CHUNKS]
+            line = " ".join(row)
+            if self.fast is not None and _PLAIN_ROW.fullmatch(line) is not None and not any(s in line for s in self.special):
+                plain += row
+            else:
+                for x in row:
+                    (plain if self._plain(x) else other).append(x)
+        return plain, other
+
     def _joined(self, new: list[str]) -> list[bytes]:
         """Ids of plain chunks, each with a blank in front, encoded in one call."""
         import numpy as np
 
-        ids = np.array(self.fast.encode_ordinary("".join([" " + x for x in new])), dtype=self.dtype)
-        ends = np.cumsum([1 + len(x.encode()) for x in new])
+        line = "\0".join(new)       # no plain chunk has this character, and it is as long as a blank
+        ids = np.array(self.fast.encode_ordinary(" " + line.replace("\0", " ")), dtype=self.dtype)
+        at = np.frombuffer(line.encode(), dtype=np.uint8)
+        ends = np.append(np.flatnonzero(at == 0), len(at)) + 1
         reached = np.cumsum(self.width[ids])
         cuts = [0, *(np.searchsorted(reached, ends) + 1).tolist()]
         raw, w = ids.tobytes(), ids.itemsize
@@ -167,6 +205,7 @@ class ChunkEncoder:
             return self._library([text])[0]
         return np.array(self.fast.encode_ordinary(text), dtype=self.dtype).tobytes()
 
+    @uncollected
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian ids (``self.dtype``) of each text.
 
@@ -178,7 +217,7 @@ class ChunkEncoder:
         anew by a pattern that looks at both sides.
         """
         if len(self.memo) > self.cache_items:
-            self.memo = {}
+            self.memo, self.no_cut = {}, set()
         parts = [t.split(" ") for t in batch]
         heads = [p.pop(0) for p in parts]
         self._learn(set().union(*parts) if parts else set())
@@ -203,19 +242,23 @@ class ChunkEncoder:
         In the memo, ``None`` marks a chunk that is no chunk of a right cut.
         """
         memo, apart = self.memo, {}
-        new = [x for x in wanted if memo.get(x) is None]
-        plain = [x for x in new if self._plain(x)]
-        other = list(set(new).difference(plain)) if len(plain) < len(new) else []
-        for names, done in ((plain, self._joined(plain) if plain else []),
-                            (other, self._library([" " + x for x in other]) if other else [])):
-            for x, ids in zip(names, done):
-                if not x or x[0].isspace() or x[-1].isspace():
-                    memo[x] = None
-                    apart[x] = ids
-                elif len(x) <= self.longest:
-                    memo[x] = ids
-                else:
-                    apart[x] = ids
+        plain, other = self._parted([*wanted.difference(memo), *wanted.intersection(self.no_cut)])
+        if plain:
+            # a plain chunk has no blank at its ends
+            short = [x for x in plain if len(x) <= self.longest]
+            long = [x for x in plain if len(x) > self.longest] if len(short) < len(plain) else []
+            done = self._joined(short + long)
+            memo.update(zip(short, done))
+            apart.update(zip(long, done[len(short):]))
+        for x, ids in zip(other, self._library([" " + x for x in other]) if other else []):
+            if not x or x[0].isspace() or x[-1].isspace():
+                memo[x] = None
+                self.no_cut.add(x)
+                apart[x] = ids
+            elif len(x) <= self.longest:
+                memo[x] = ids
+            else:
+                apart[x] = ids
         return apart
 
 

@@ -159,3 +159,33 @@ def test_op9_awkward_rows(spark, docs, rows, library, no_docs):
 def test_op9_keeps_ids_if_asked(spark, docs):
     row = packing.pack(docs.filter("doc_id = 4"), BYTE, width=64, keep_ids=True).first()
     assert zlib.crc32(row["ids"]) == row["ids_crc32"]
+
+
+def test_rows_of_plain_chunks_are_looked_at_together(library):
+    texts = [" ".join(f"word{i}x{j}\nnext{j}" for j in range(200)) for i in range(20)]
+    texts += ["字 " + texts[0], "<|endoftext|> here", "a\n b", "a \nb", "c\n\nd e  f", "\n g"]
+    coder, looked = ChunkEncoder(BYTE), []
+    plain = coder._plain
+    coder._plain = lambda x: looked.append(x) or plain(x)
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == ids_of(library, BYTE, texts)
+    assert len(looked) < 400        # of 4000 distinct chunks
+
+
+def test_encoding_does_not_wake_the_collector(library):
+    import gc
+
+    texts = [" ".join(f"{chr(97 + i)}{chr(97 + j % 26)}w{i * 500 + j}" for j in range(500)) for i in range(20)]
+    codec, coder, woken = bpe_trie.WordCodec(WORD), ChunkEncoder(BYTE), []
+    watch = lambda phase, info: woken.append(info["generation"])
+    for encode in (codec.encode, coder.encode):
+        gc.collect()
+        gc.callbacks.append(watch)
+        try:
+            encode(texts)
+        finally:
+            gc.callbacks.remove(watch)
+        assert len(woken) < 5 and gc.isenabled()
+        woken.clear()
+    with pytest.raises(TypeError):
+        codec.encode([None])
+    assert gc.isenabled()

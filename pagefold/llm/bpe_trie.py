@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import slices, texts, uncollected
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -275,6 +275,7 @@ class WordCodec:
             return [*(self._words(run[:at]) if at else ()), self.special[s], *(self._words(rest) if rest else ())]
         return [w for w, _ in self.split(self.normal(run))]
 
+    @uncollected
     def encode(self, batch: list[str]) -> list[list[int]]:
         runs = [_runs(t) for t in batch]
         if len(self.memo) > self.cache_items:

@@ -18,13 +18,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts, uncollected
+from .common import byte_alphabet, slices, texts, uncollected
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -42,6 +42,13 @@ WORD_ROWS = 1024
 #: Separators of this range are blanks to Python but not to the tokenizer's pattern.
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \t\n\x0b\x0c\r]+")
+#: Runs that normalization leaves as they are but for lower case, and their pieces by the file's pattern; a blank parts runs.
+_PLAIN = re.compile("[!-~\xc0-\u012f\u0131-\u017f]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^ 0-9a-z\xdf-\xf6\xf8-\u017f]+| ")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = {b: c for c, b in byte_alphabet().items()}
+#: What stands in the byte alphabet for each letter of plain runs beyond ASCII.
+_BYTES = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 
 
 def _runs(text: str) -> list[str]:
@@ -175,6 +182,7 @@ class TrieEncoder:
     def __init__(self, merges: Merges, most_nodes: int = 600_000):
         self.merges, self.endings, self.most_nodes = merges, Endings(merges), most_nodes
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(merges.vocab.values()))]
         self._clear()
 
     def _clear(self) -> None:
@@ -188,12 +196,12 @@ class TrieEncoder:
             ok = self.pairs[left, right] = self.merges.stable(left, right)
         return ok
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each word. Words are non-empty strings of the byte alphabet."""
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word, little-endian in 32 bits. Words are non-empty strings of the byte alphabet."""
         if self.nodes > self.most_nodes:
             self._clear()
-        out: dict[str, list[int]] = {}
-        step, end, last = self.endings.step, self.endings.end, self._last
+        out: dict[str, bytes] = {}
+        follow, step, end, last, four = self.endings.next, self.endings.step, self.endings.end, self._last, self.four
         before, path = "", [self.root]
         for word in sorted(words):
             shared = 0
@@ -206,18 +214,24 @@ class TrieEncoder:
             for symbol in before[shared:]:
                 child = node[CHILDREN].get(symbol)
                 if child is None:
-                    state = step(node[STATE], symbol)
+                    state = follow[node[STATE]].get(symbol)
+                    if state is None:
+                        state = step(node[STATE], symbol)
                     child = node[CHILDREN][symbol] = [{}, *last(path, state), state]
                     self.nodes += 1
                 path.append(child)
                 node = child
-            token, back = last(path, step(node[STATE], word[-1] + end))
-            ids = [token]
-            while back:
-                node = path[back]
-                ids.append(node[TOKEN])
-                back = node[BACK]
-            out[word] = ids[::-1]
+            state = follow[node[STATE]].get(word[-1] + end)
+            token, back = last(path, step(node[STATE], word[-1] + end) if state is None else state)
+            if back:
+                ids = [four[token]]
+                while back:
+                    node = path[back]
+                    ids.append(four[node[TOKEN]])
+                    back = node[BACK]
+                out[word] = b"".join(ids[::-1])
+            else:
+                out[word] = four[token]
         return out
 
     def _last(self, path: list[list], state: int) -> tuple[int, int]:
@@ -258,8 +272,15 @@ class WordCodec:
         self.token = [tok.id_to_token(i) or "" for i in range(size)]
         self.number = [str(i) for i in range(size)]
         self.decoder = tok.decoder
+        normal = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        #: whether ``_PIECES`` cuts plain runs as the file's own normalizer and pattern do
+        self.known = (normal == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+                      and parts[0]["pattern"] == {"Regex": _PATTERN} and parts[0]["invert"] and not parts[1]["add_prefix_space"]
+                      and all(len(_PIECES.findall(s.lower())) > 1 for s in self.special))
         self.cache_items = cache_items
-        self.memo: dict[str, list[int]] = {}
+        #: ids of each run, little-endian in 32 bits
+        self.memo: dict[str, bytes] = {}
 
     def _words(self, run: str) -> list:
         """Pieces of a run of non-blank characters: byte-alphabet words, and ids of special tokens."""
@@ -275,26 +296,47 @@ class WordCodec:
             return [*(self._words(run[:at]) if at else ()), self.special[s], *(self._words(rest) if rest else ())]
         return [w for w, _ in self.split(self.normal(run))]
 
+    def _plain(self, new: set[str]) -> list[str]:
+        """The runs of ``new`` that ``_PIECES`` cuts."""
+        return [r for r in new if _PLAIN.fullmatch(r) and not any(s in r for s in self.special)] if self.known else []
+
+    def _learn_plain(self, runs: list[str]) -> None:
+        """Puts the ids of plain runs and of their pieces, which are runs of one piece, into the memo."""
+        memo = self.memo
+        found = _PIECES.findall(" ".join(runs).lower())
+        words = {w: w if w.isascii() else w.translate(_BYTES) for w in set(found).difference(memo, " ")}
+        coded = self.trie.encode(list(words.values()))
+        memo.update((w, coded[x]) for w, x in words.items())
+        found.append(" ")
+        first = 0
+        for r in runs:
+            cut = found.index(" ", first)
+            if cut == first + 1:
+                memo[r] = memo[found[first]]
+            else:
+                memo[r] = b"".join(map(memo.__getitem__, found[first:cut]))
+            first = cut + 1
+
     @uncollected
     def encode(self, batch: list[str]) -> list[list[int]]:
         runs = [_runs(t) for t in batch]
         if len(self.memo) > self.cache_items:
             self.memo = {}
-        new = set().union(*runs) - self.memo.keys() if runs else ()
-        pieces = {r: self._words(r) for r in new}
+        new = set().union(*runs).difference(self.memo)
+        plain = self._plain(new)
+        if plain:
+            self._learn_plain(plain)
+        pieces = {r: self._words(r) for r in new.difference(plain)}
         coded = self.trie.encode(list({w for p in pieces.values() for w in p if isinstance(w, str)}))
         for r, p in pieces.items():
-            if len(p) == 1 and isinstance(p[0], str):
-                self.memo[r] = coded[p[0]]
-            else:
-                self.memo[r] = [i for w in p for i in (coded[w] if isinstance(w, str) else (w,))]
+            self.memo[r] = b"".join([coded[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in p])
         ids_of = self.memo.__getitem__
-        return [list(chain.from_iterable(map(ids_of, rs))) for rs in runs]
+        return [np.frombuffer(b"".join(map(ids_of, rs)), dtype="<i4").tolist() for rs in runs]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``, special tokens included; a file without a decoder joins tokens by blanks."""
-        tokens = [self.token[i] for i in ids]
-        return " ".join(tokens) if self.decoder is None else self.decoder.decode(tokens)
+        tokens = map(self.token.__getitem__, ids)
+        return " ".join(tokens) if self.decoder is None else self.decoder.decode(list(tokens))
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -332,7 +374,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
             n, a, d = [], [], []
             for ids in codec.encode(b["text"].to_pylist()):
                 n.append(len(ids))
-                a.append(hashlib.sha256(" ".join([codec.number[i] for i in ids]).encode()).hexdigest())
+                a.append(hashlib.sha256(" ".join(map(codec.number.__getitem__, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],

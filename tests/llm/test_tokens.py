@@ -189,3 +189,16 @@ def test_encoding_does_not_wake_the_collector(library):
     with pytest.raises(TypeError):
         codec.encode([None])
     assert gc.isenabled()
+
+
+def test_plain_runs_are_cut_together(library):
+    """The file's pattern is not called for runs of plain letters, digits and marks, and no id changes."""
+    rnd = random.Random(11)
+    letters = "abcdeSTRMLVXYZ'''0123.,!?-#$&|<>()\xc0\xc9\xd7\xdf\xe9\xf7\xfcĀıĲŉŸſ"
+    texts = ["".join(rnd.choice(letters + "  ") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+    codec = bpe_trie.WordCodec(WORD)
+    looked, split = [], codec.split
+    codec.split = lambda x: looked.append(x) or split(x)
+    assert codec.encode(texts) == ids_of(library, WORD, texts) and not looked
+    odd = ["x<|endoftext|>'S A<|STARTOFTEXT|>b", "İx é ΣΣ \xb2 中", "<| endoftext |>", "it's IT'S 's''s 'sx"]
+    assert codec.encode(odd) == ids_of(library, WORD, odd) and looked

@@ -40,6 +40,8 @@ HELD_WORDS, HELD_CHUNKS = 6_000_000, 800_000
 #: Counts of a slice of pair sums, the most that it grows to where there are many sources, and sources of one block of its matrix.
 SLICE_COUNTS, SLICE_MOST = 50_000, 1_000_000
 SOURCE_BLOCK = 32
+#: Bits of a cell below the number of its group or task.
+CELL_BITS = 32
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,7 +51,7 @@ class _Counts:
 
     def __init__(self):
         self.chunks: dict[str, int] = {}
-        self.groups: dict[tuple[str, str], int] = {}
+        self.groups: dict[tuple[str, int], int] = {}
         self.codes: list[np.ndarray] = []
         self.doc_words: list[np.ndarray] = []
         self.doc_group: list[int] = []
@@ -57,7 +59,7 @@ class _Counts:
 
     def add(self, batch: pa.RecordBatch) -> None:
         self.doc_group += [self.groups.setdefault(g, len(self.groups))
-                           for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
+                           for g in zip(batch.column("lang").to_pylist(), batch.column("grp").to_pylist())]
         found = pc.ascii_split_whitespace(batch.column("text"))
         self.doc_words.append(pc.list_value_length(found).to_numpy(zero_copy_only=False))
         distinct = found.flatten().dictionary_encode()
@@ -78,6 +80,7 @@ class _Counts:
         empty = self.chunks.get("")
         key, times = np.unique(key, return_counts=True)
         pair, doc = key // len(doc_group), by_group[key % len(doc_group)]
+        del key
         if empty is not None:       # what stands before a leading blank
             words = pair % len(self.chunks) != empty
             pair, doc, times = pair[words], doc[words], times[words]
@@ -88,25 +91,40 @@ class _Counts:
         source_starts = np.flatnonzero(new | np.concatenate([[True], group[1:] != group[:-1]])[:len(pair)])
         n = np.add.reduceat(times, source_starts) if len(pair) else times
         rare = n_docs < limit
-        names = pa.array([source for _, source in self.groups], pa.string())
-        by_source = pa.StructArray.from_arrays([names.take(pa.array(group[source_starts])), pa.array(n, pa.int64())], names=["source", "n"])
+        # a cell for each source, then one for each document of a rare chunk
         offsets = np.searchsorted(source_starts, np.append(starts, len(pair)))
-        rows = pa.array(doc[np.repeat(rare, n_docs)] + first_row, pa.int32())
         row_offsets = np.concatenate([[0], np.cumsum(np.where(rare, n_docs, 0))])
+        cell_offsets = offsets + row_offsets
+        cells = np.empty(cell_offsets[-1], dtype=np.int64)
+        number = np.array([grp for _, grp in self.groups], dtype=np.int64)
+        cells[np.repeat(row_offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])] = number[group[source_starts]] << CELL_BITS | n
+        cells[np.repeat(offsets[1:], np.diff(row_offsets)) + np.arange(row_offsets[-1])] = -1 - (
+            np.int64(task) << CELL_BITS | doc[np.repeat(rare, n_docs)] + first_row)
         lang, chunk = pair[starts] // len(self.chunks), pair[starts] % len(self.chunks)
         return pa.RecordBatch.from_arrays(
             [pa.array(list(langs), pa.string()).take(pa.array(lang)), pa.array(list(self.chunks), pa.string()).take(pa.array(chunk)),
-             pa.array(n_docs, pa.int64()), pa.array(np.full(len(starts), task), pa.int32()),
-             pa.ListArray.from_arrays(pa.array(row_offsets, pa.int32()), rows),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), by_source)],
-            names=["lang", "chunk", "n_docs", "task", "rows", "by_source"])
+             pa.array(n_docs, pa.int64()), pa.ListArray.from_arrays(pa.array(cell_offsets, pa.int32()), pa.array(cells))],
+            names=["lang", "chunk", "n_docs", "cells"])
 
 
-def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
-    """``lang, chunk, n_docs, task, rows, by_source``: sums of each task.
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """``lang, source, grp``: a number from 0 for each group of ``docs``, stored."""
+    groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
+    found = store(groups.withColumn("at", F.monotonically_increasing_id()), "groups")
+    # the upper bits are the partition: a row each comes to the driver, the groups before it
+    part = F.shiftright("at", 33)
+    sizes = sorted(found.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [F.lit(x) for x, n in zip([0, *np.cumsum([r["n"] for r in sizes]).tolist()], sizes) for x in (n["part"], x)]
+    first = F.create_map(*before)[part] if before else F.lit(0)
+    return store(found.select("lang", "source", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("grp")), "numbered-groups")
 
-    ``by_source`` has the occurrences by source; ``task`` and ``rows`` name the documents of a chunk that is in
-    fewer than ``limit`` of them (else ``rows`` is empty).
+
+def chunk_counts(docs: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
+    """``lang, chunk, n_docs, cells``: sums of each task.
+
+    ``cells`` are whole numbers, each one word in a shuffle. From 0 on, one is a group's number (``grp`` of
+    ``groups``) above ``CELL_BITS`` bits with the chunk's occurrences in it; a negative one names a document of a
+    chunk that is in fewer than ``limit`` of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +138,8 @@ def chunk_counts(docs: DataFrame, limit: int) -> DataFrame:
             yield held.summed(task, row, limit)
 
     read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return read.mapInArrow(run, "lang string, chunk string, n_docs long, task int, rows array<int>, "
-                                "by_source array<struct<source:string,n:long>>")
+    return (read.join(groups, ["lang", "source"]).select("lang", "grp", "text")
+            .mapInArrow(run, "lang string, chunk string, n_docs long, cells array<long>"))
 
 
 def chunk_terms(parts: DataFrame) -> DataFrame:
@@ -146,24 +164,21 @@ def term_bounds(terms: DataFrame, limit: int) -> DataFrame:
 
 
 def term_cells(parts: DataFrame, terms: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
-    """One pass over the counted chunks: ``lang, term, source, n`` (occurrences) and, with ``source`` null, a row
-    ``lang, term, task, row`` for each document of a term that the bounds leave open."""
+    """One pass over the counted chunks: ``lang, term, cell, n``, where ``cell`` is a group's number and ``n`` its
+    occurrences or, below 0, a document of a term that the bounds leave open."""
     is_open = F.col("least") < limit
     wanted = terms.join(bounds.select("lang", "term", is_open.alias("open")), ["lang", "term"]).select("lang", "chunk", "term", "times", "open")
-    cell = "struct<source:string,task:int,row:int,n:long>"
-    counted = F.transform("by_source", lambda s: F.struct(
-        s["source"].alias("source"), F.lit(None).cast("int").alias("task"), F.lit(None).cast("int").alias("row"),
-        (s["n"] * F.col("times")).alias("n")))
-    named = F.transform("rows", lambda r: F.struct(
-        F.lit(None).cast("string").alias("source"), F.col("task").alias("task"), r.alias("row"), F.lit(0).cast("long").alias("n")))
-    return (parts.join(wanted, ["lang", "chunk"])
-            .select("lang", "term", F.inline(F.concat(counted, F.when(F.col("open"), named).otherwise(F.array().cast(f"array<{cell}>")))))
-            .groupBy("lang", "term", "source", "task", "row").agg(F.sum("n").alias("n")))
+    counted, occurrences = F.col("cell") >= 0, F.col("cell").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    return (parts.select("lang", "chunk", "cells").join(wanted, ["lang", "chunk"])
+            .select("lang", "term", "times", "open", F.explode("cells").alias("cell")).filter(counted | F.col("open"))
+            .select("lang", "term", F.when(counted, F.shiftright("cell", CELL_BITS)).otherwise(F.col("cell")).alias("cell"),
+                    F.when(counted, occurrences * F.col("times")).otherwise(0).alias("n"))
+            .groupBy("lang", "term", "cell").agg(F.sum("n").alias("n")))
 
 
 def kept_terms(bounds: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
     """``lang, term`` of the terms in at least ``limit`` documents of a language."""
-    exact = cells.filter("source IS NULL").groupBy("lang", "term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= limit)
+    exact = cells.filter("cell < 0").groupBy("lang", "term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= limit)
     return bounds.filter(F.col("least") >= limit).select("lang", "term").unionByName(exact.select("lang", "term"))
 
 
@@ -213,14 +228,16 @@ def pair_sums(frame: pd.DataFrame) -> pd.DataFrame:
 def audit(docs: DataFrame, limit: int = 30, ranks: int = 50, slice_counts: int = SLICE_COUNTS) -> DataFrame:
     """``lang, source, part, item, value, rank``: other sources by distance, and the terms that a source uses most beyond its language."""
     path = scratch_path(docs.sparkSession, "chunk-counts")      # the largest table: packed tighter than by default
-    chunk_counts(docs, limit).write.option("compression", "zstd").parquet(path)
+    numbered = numbered_groups(docs)
+    chunk_counts(docs, numbered, limit).write.option("compression", "zstd").parquet(path)
     parts = docs.sparkSession.read.parquet(path)
     terms = store(chunk_terms(parts), "chunk-terms")
     bounds = store(term_bounds(terms, limit), "term-bounds")
     cells = store(term_cells(parts, terms, bounds, limit), "term-cells")
     kept = store(kept_terms(bounds, cells, limit), "kept-terms")
-    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    counts = store(cells.filter("source IS NOT NULL").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "term-counts")
+    groups = numbered.select("lang", "source")
+    named = cells.filter("cell >= 0").join(kept, ["lang", "term"]).join(numbered.select(F.col("grp").alias("cell"), "source"), "cell")
+    counts = store(named.select("lang", "source", "term", "n"), "term-counts")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     filled = counts.groupBy("lang").agg(F.count("*").alias("filled"))

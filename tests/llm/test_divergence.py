@@ -82,3 +82,19 @@ def test_shares_are_exact_beyond_64_bits(spark):
     assert all(r["p"] == 1 + 10 ** 9 * (r["a"] + 5) // (r["b"] + 5 * r["c"]) for r in df.collect())
     frame = pd.DataFrame({"lang": "x", "source": ["a", "b", "a"], "term": [None, None, "t"], "p": [1, 2, 10 ** 9], "none": [1, 2, 1]})
     assert divergence.pair_sums(frame)["value"].tolist() == [10 ** 9 - 2] * 2
+
+
+def test_cells_are_plain_numbers(spark):
+    """A group and its occurrences, or a document of a rare chunk, is one word in a shuffle; groups are not spelled out."""
+    rows = [("en", "a", "x x y"), ("en", "b", "x"), ("de", "a", "x"), ("de", None, None)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    groups = divergence.numbered_groups(df)
+    number = {(r["lang"], r["source"]): r["grp"] for r in groups.collect()}
+    assert sorted(number.values()) == [0, 1, 2, 3] and ("de", "") in number
+    parts = divergence.chunk_counts(df, groups, limit=2)
+    assert dict(parts.dtypes)["cells"] == "array<bigint>"
+    got = {(r["lang"], r["chunk"]): r["cells"] for r in parts.collect()}
+    counted = {k: {(c >> 32, c & 0xFFFFFFFF) for c in v if c >= 0} for k, v in got.items()}
+    assert counted == {("en", "x"): {(number["en", "a"], 2), (number["en", "b"], 1)}, ("en", "y"): {(number["en", "a"], 1)},
+                       ("de", "x"): {(number["de", "a"], 1)}}
+    assert {k: sum(c < 0 for c in v) for k, v in got.items()} == {("en", "x"): 0, ("en", "y"): 1, ("de", "x"): 1}

@@ -9,6 +9,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of jobs that begin in here are removed when their job has ended, not at some collection in the
+    driver, and two tables in buckets of one of the columns that join them are joined where they lie."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+              "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def add_to_buckets(df: DataFrame, table: str, by: str, *order: str) -> DataFrame:
+    """Adds ``df`` to a table of the warehouse in buckets of ``by``, sorted in each, and returns the whole table.
+
+    Joins and groupings by ``by`` do not move it. Its files go when the table is dropped.
+    """
+    spark = df.sparkSession
+    n = shuffle_partitions(spark)
+    with lean(spark):
+        # sorted whole numbers are written as packed differences, and words as places in a dictionary
+        (df.repartition(n, by).write.mode("append").bucketBy(n, by).sortBy(*(order or (by,)))
+         .option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.dictionary.page.size", 4 << 20)
+         .saveAsTable(table))
+    return spark.table(table)
+
+
+def drop_tables(spark: SparkSession, *names: str) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, ``text`` (null read as empty) and the columns in ``keep``; other columns are dropped."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

@@ -24,16 +24,20 @@ three-token runs, which exact copies share always and near copies mostly.
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, store
+from .common import add_to_buckets, drop_tables, lean, shuffle_partitions, slices, store
 from .kneser_ney import CLASSES, ORDER, discounts, grams, log_table
 from .kneser_ney import train as train_spelling
 from .words import word_hashes
@@ -50,13 +54,16 @@ SALT = 0x2545F4914F6CDD1D
 END_BITS = -10.0
 #: Fixed point of log2 probabilities: sums of whole numbers do not depend on their order.
 POINT = 1 << 20
-#: Tokens that a task of the counting pass holds before it sends their n-grams.
+#: Tokens that a task holds before it sends their n-grams.
 HELD_TOKENS = 1_000_000
+#: Turns that texts are scored in. All are scored; a turn's n-grams are removed before the next one.
+TURNS = 6
 
 COUNTS = T.StructType([T.StructField("model", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in "abc"],
                        T.StructField("bits", T.FloatType()), T.StructField("n", T.LongType())])
-ROWS = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()),
-                     T.StructField("bits", T.LongType())])
+PLACES = T.StructType([T.StructField("group", T.LongType()), T.StructField("key", T.LongType()), T.StructField("at", T.BinaryType()),
+                       T.StructField("bits", T.LongType())])
+GAINS = T.StructType([T.StructField(x, T.LongType()) for x in ("group", "doc", "s", "row", "n")])
 
 
 def tokens(text: str) -> list[str]:
@@ -144,9 +151,13 @@ def trigram_counts(trusted: DataFrame, table: np.ndarray) -> DataFrame:
     """``model``, ``a``, ``b``, ``c``, ``bits`` (spelling of ``c``) and ``n`` over all whole trusted texts.
 
     A text counts for the model that scores the other half. Each task sends
-    an n-gram once for every ``HELD_TOKENS`` tokens.
+    an n-gram once for every ``HELD_TOKENS`` tokens, by ``b``: rows are in
+    buckets of their middle word, so all that has it in the middle, at the
+    end of a context or at the front of a pair is counted without another
+    shuffle. ``bits`` is set in one of the rows that a task sends for ``c``.
     """
-    shared = trusted.sparkSession.sparkContext.broadcast(table)
+    spark = trusted.sparkSession
+    shared = spark.sparkContext.broadcast(table)
 
     def sent(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for model in (0, 1):
@@ -155,10 +166,16 @@ def trigram_counts(trusted: DataFrame, table: np.ndarray) -> DataFrame:
                 a, b, c = (np.concatenate([s[i:len(s) - 2 + i] for s, _ in mine]) for i in range(3))
                 bits = np.concatenate([x for _, x in mine])
                 _, at, n = np.unique(_turned(a, 42) ^ _turned(b, 21) ^ c, return_index=True, return_counts=True)
+                # in order of their words, equal ones side by side
+                order = np.lexsort((c[at], a[at], b[at]))
+                at, n = at[order], n[order]
+                spare = np.ones(len(at), dtype=bool)
+                spare[np.unique(c[at], return_index=True)[1]] = False
                 for i in range(0, len(at), 50_000):
                     k = at[i:i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), model, np.int32)), pa.array(a[k]), pa.array(b[k]),
-                                                      pa.array(c[k]), pa.array(bits[k]), pa.array(n[i:i + 50_000])], COUNTS.names)
+                                                      pa.array(c[k]), pa.array(bits[k], mask=spare[i:i + 50_000]),
+                                                      pa.array(n[i:i + 50_000])], COUNTS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Vocabulary(shared.value), [], 0
@@ -174,7 +191,7 @@ def trigram_counts(trusted: DataFrame, table: np.ndarray) -> DataFrame:
                         held, size = [], 0
         yield from sent(held)
 
-    return (trusted.select("text").mapInArrow(run, COUNTS)
+    return (trusted.select("text").mapInArrow(run, COUNTS).repartition(shuffle_partitions(spark), "b")
             .groupBy("model", "a", "b", "c").agg(F.sum("n").alias("n"), F.min("bits").alias("bits")))
 
 
@@ -187,50 +204,95 @@ def _key(*names: str) -> Column:
     return out.alias("key")
 
 
-def train(trusted: DataFrame, table: np.ndarray) -> tuple[DataFrame, list[float]]:
-    """``key`` and ``weight`` (fixed-point log2) of every n-gram, and log2 of the share of the spelling in each model."""
-    top = store(trigram_counts(trusted, table), "word-trigrams")
-    pairs = store(top.groupBy("model", "b", "c").agg(F.count("*").alias("n"), F.min("bits").alias("bits")), "word-pairs")
-    single = store(pairs.groupBy("model", "c").agg(F.count("*").alias("n"), F.min("bits").alias("bits")), "words")
-    by = lambda parts: F.coalesce(*[F.when(F.col("model") == m, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1])
-                                           .otherwise(d[2])) for m, d in enumerate(parts)])
-    # six digits, so that sums of discounts are whole numbers
-    taken = [by([[round(d, 6) for d in discounts(t.filter(F.col("model") == m))] for m in (0, 1)]) for t in (single, pairs, top)]
-
-    def contexts(t: DataFrame, cut: Column, *names: str) -> DataFrame:
-        return t.groupBy("model", *names).agg(F.sum("n").alias("total"), (F.sum(F.round(cut * 1e6).cast("long")) / 1e6 / F.sum("n")).alias("bow"))
-
-    root = {r["model"]: r for r in contexts(single, taken[0]).collect()}
-    at = lambda f: F.coalesce(*[F.when(F.col("model") == m, f(r)) for m, r in root.items()], F.lit(1.0))
-    spelled = at(lambda r: F.lit(float(r["bow"]))) * F.pow(F.lit(2.0), F.col("bits").cast("double"))
-    p1 = single.withColumns({"own": (F.col("n") - taken[0]) / at(lambda r: F.lit(float(r["total"])))}).select(
-        "model", "c", (F.col("own") + spelled).alias("low"), F.log2((F.col("own") + spelled) / spelled).alias("up"))
-    after_one = store(contexts(pairs, taken[1], "b"), "word-contexts")
-    p2 = store(pairs.join(after_one, ["model", "b"]).join(p1.select("model", "c", "low"), ["model", "c"])
-               .withColumn("back", F.col("bow") * F.col("low"))
-               .withColumn("p", (F.col("n") - taken[1]) / F.col("total") + F.col("back"))
-               .select("model", "b", "c", "p", F.log2(F.col("p") / F.col("back")).alias("up")), "pair-weights")
-    after_two = store(contexts(top, taken[2], "a", "b"), "pair-contexts")
-    p3 = (top.join(after_two, ["model", "a", "b"]).join(p2.select("model", "b", "c", F.col("p").alias("low")), ["model", "b", "c"])
-          .withColumn("back", F.col("bow") * F.col("low"))
-          .select(_key("a", "b", "c"), F.log2(((F.col("n") - taken[2]) / F.col("total") + F.col("back")) / F.col("back")).alias("w")))
-    parts = (p3.unionByName(p2.select(_key("b", "c"), F.col("up").alias("w")))
-             .unionByName(p1.select(_key("c"), F.col("up").alias("w")))
-             .unionByName(after_one.select(_key("b"), F.log2("bow").alias("w")))
-             .unionByName(after_two.select(_key("a", "b"), F.log2("bow").alias("w"))))
-    weights = parts.groupBy("key").agg(F.sum(F.round(F.col("w") * POINT).cast("long")).alias("weight"))
-    return weights, [float(np.log2(root[m]["bow"])) if m in root else 0.0 for m in (0, 1)]
+def add_weights(top: DataFrame, out: str) -> float:
+    """Adds ``key`` and ``weight`` (fixed-point log2) of every n-gram of one model to the table ``out``, in buckets of
+    ``key``, and returns log2 of the share of the spelling.
+
+    ``top`` has the counts of that model in buckets of ``b``, and nothing
+    but the steps by ``c`` and ``key`` moves them. A table that was read for
+    the last time is dropped.
+    """
+    spark = top.sparkSession
+    names = [f"llm_{x}_{uuid.uuid4().hex}" for x in ("pairs", "words", "contexts", "chances")]
+    try:
+        pairs = add_to_buckets(top.groupBy("model", "b", "c").agg(F.count("*").alias("n"), F.min("bits").alias("bits")), names[0], "b", "b", "c")
+        single = add_to_buckets(pairs.groupBy("model", "c").agg(F.count("*").alias("n"), F.min("bits").alias("bits")), names[1], "c")
+        # six digits, so that sums of discounts are whole numbers
+        rules = [[round(d, 6) for d in discounts(t)] for t in (single, pairs, top)]
+        taken = [F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]) for d in rules]
+
+        fixed = lambda w: F.round(w * POINT).cast("long")
+
+        def contexts(t: DataFrame, cut: Column, *by: str) -> DataFrame:
+            return t.groupBy("model", *by).agg(F.sum("n").alias("total"), (F.sum(F.round(cut * 1e6).cast("long")) / 1e6 / F.sum("n")).alias("bow"))
+
+        root = contexts(single, taken[0]).first()
+        share, total = (float(root["bow"]), float(root["total"])) if root else (1.0, 1.0)
+        spelled = F.lit(share) * F.pow(F.lit(2.0), F.col("bits").cast("double"))
+        p1 = single.withColumn("own", (F.col("n") - taken[0]) / F.lit(total)).select(
+            "model", "c", (F.col("own") + spelled).alias("low"), fixed(F.log2((F.col("own") + spelled) / spelled)).alias("up"))
+        after_one = add_to_buckets(contexts(pairs, taken[1], "b"), names[2], "b")
+        p2 = add_to_buckets(
+            pairs.join(after_one, ["model", "b"]).join(p1.select("model", "c", "low"), ["model", "c"])
+            .withColumn("back", F.col("bow") * F.col("low"))
+            .withColumn("p", (F.col("n") - taken[1]) / F.col("total") + F.col("back"))
+            .select("model", "b", "c", "p", fixed(F.log2(F.col("p") / F.col("back"))).alias("up")), names[3], "b", "b", "c")
+        drop_tables(spark, names[0])
+        after_two = contexts(top, taken[2], "a", "b")
+        p3 = (top.join(after_two, ["model", "a", "b"]).join(p2.select("model", "b", "c", F.col("p").alias("low")), ["model", "b", "c"])
+              .withColumn("back", F.col("bow") * F.col("low"))
+              .select(_key("a", "b", "c"), fixed(F.log2(((F.col("n") - taken[2]) / F.col("total") + F.col("back")) / F.col("back"))).alias("weight")))
+        add_to_buckets(p3, out, "key")
+        # the key of a pair stands for it as an n-gram and as a context
+        lower = (p2.select(_key("b", "c"), F.col("up").alias("w"))
+                 .unionByName(p1.select(_key("c"), F.col("up").alias("w")))
+                 .unionByName(after_one.select(_key("b"), fixed(F.log2("bow")).alias("w")))
+                 .unionByName(after_two.select(_key("a", "b"), fixed(F.log2("bow")).alias("w"))))
+        add_to_buckets(lower.repartition(shuffle_partitions(spark), "key").groupBy("key").agg(F.sum("w").alias("weight")), out, "key")
+        return float(np.log2(share)) if root else 0.0
+    finally:
+        drop_tables(spark, *names)
 
 
 def document_counts(docs: DataFrame, table: np.ndarray, share: list[float]) -> DataFrame:
-    """``row``, ``key`` and ``n`` of the distinct n-grams of every document; a row a document has its spelling in
-    ``bits`` (else null) and its number of tokens in ``n``."""
+    """The distinct n-grams of groups of documents, and where they are.
+
+    Each task numbers the documents of a group of up to ``HELD_TOKENS``
+    tokens, and sends for each n-gram of the group ``key`` and, in ``at``, the
+    numbers of its documents and how often each has it (pairs of 32-bit
+    numbers). A row a document has its ``row`` in ``key``, its spelling in
+    ``bits`` (else null), its number in ``at`` and its number of tokens.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    def binary(pairs: np.ndarray, ends: np.ndarray) -> pa.Array:
+        cuts = np.concatenate([[0], 8 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(pairs))])
+
+    def sent(group: int, held: list[tuple[np.ndarray, np.ndarray]], heads: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        if not heads:
+            return
+        row, size, spelled = (np.array(x, np.int64) for x in zip(*heads))
+        whose = np.arange(len(heads), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(row), group)), pa.array(row), binary(np.column_stack([whose, size.astype(np.int32)]), whose + 1),
+             pa.array(spelled)], PLACES.names)
+        keys = np.concatenate([k for k, _ in held])
+        pairs = np.column_stack([np.repeat(whose, [len(k) for k, _ in held]), np.concatenate([n for _, n in held]).astype(np.int32)])
+        order = np.argsort(keys, kind="stable")
+        keys, pairs = keys[order], pairs[order]
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+        for i in range(0, len(ends), 50_000):
+            part = ends[i:i + 50_000]
+            first = ends[i - 1] if i else 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), group)), pa.array(keys[part - 1]), binary(pairs[first:part[-1]], part - first),
+                 pa.nulls(len(part), pa.int64())], PLACES.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(shared.value)
+        words, held, heads, size = Vocabulary(shared.value), [], [], 0
+        group = TaskContext.get().partitionId() << 32
         for b, found in _batches(batches, words):
-            rows, keys, counts, spelled = [], [], [], []
             for row, t in zip(b["row"].to_pylist(), found):
                 if not t:
                     continue
@@ -239,15 +301,43 @@ def document_counts(docs: DataFrame, table: np.ndarray, share: list[float]) -> D
                 f = _half(triples)
                 key, n = np.unique(np.concatenate([s[1:], _turned(s[:-1], 21) ^ s[1:], triples]), return_counts=True)
                 total = sum(map(words.bits.__getitem__, t)) + END_BITS + (len(t) + 1) * share[f]
-                rows.append(np.full(len(key) + 1, row, np.int64))
-                keys += [key ^ np.int64(SALT if f else 0), np.array([row], np.int64)]
-                counts += [n, np.array([len(t) + 1])]
-                spelled += [None] * len(key) + [round(total * POINT)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys)),
-                                                  pa.array(np.concatenate(counts)), pa.array(spelled, pa.int64())], ROWS.names)
+                held.append((key ^ np.int64(SALT if f else 0), n))
+                heads.append((row, len(t) + 1, round(total * POINT)))
+                size += len(t)
+                if size >= HELD_TOKENS:
+                    yield from sent(group, held, heads)
+                    held, heads, size, group = [], [], 0, group + 1
+        yield from sent(group, held, heads)
+
+    return docs.select("row", "text").mapInArrow(run, PLACES)
+
 
-    return docs.select("row", "text").mapInArrow(run, ROWS)
+def gains(found: DataFrame) -> DataFrame:
+    """``group``, ``doc`` and the sum ``s`` of what the n-grams of a batch add; a row a document has its ``row`` and
+    number of tokens ``n``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b["at"].combine_chunks() if isinstance(b["at"], pa.ChunkedArray) else b["at"]
+            size = pc.binary_length(at).to_numpy(zero_copy_only=False) // 8
+            pairs = np.frombuffer(b"".join(at.to_pylist()), dtype=np.int32).reshape(-1, 2)
+            group, key = (np.repeat(b[x].to_numpy(), size) for x in ("group", "key"))
+            head = np.repeat(b["bits"].is_valid().to_numpy(zero_copy_only=False), size)
+            bits, weight = (np.repeat(pc.fill_null(b[x], 0).to_numpy(zero_copy_only=False), size) for x in ("bits", "weight"))
+            doc, n = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+            value = np.where(head, bits, weight * n)
+            order = np.lexsort((doc, group))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (group[order][1:] != group[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            sums = lambda x: np.add.reduceat(x[order], first)
+            mine = sums(head.astype(np.int64)) > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[order][first]), pa.array(doc[order][first]), pa.array(sums(value)),
+                 pa.array(sums(np.where(head, key, 0)), mask=~mine), pa.array(sums(np.where(head, n, 0)), mask=~mine)], GAINS.names)
+
+    return found.mapInArrow(run, GAINS)
 
 
 def row_key() -> Column:
@@ -256,11 +346,30 @@ def row_key() -> Column:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``row`` (``row_key``) and ``perplexity`` by token of every whole text with tokens, stored."""
+    """``row`` (``row_key``) and ``perplexity`` by token of every whole text with tokens, stored.
+
+    All texts are scored, in ``TURNS`` turns, so that the n-grams of only a
+    part of them are on disk at a time.
+    """
+    spark = docs.sparkSession
     table = log_table(train_spelling(trusted))
-    weights, share = train(trusted, table)
-    rows = document_counts(docs.select(row_key().alias("row"), "text"), table, share)
-    gained = (rows.join(weights, "key", "left").filter("weight is not null or bits is not null")
-              .groupBy("row").agg(F.sum(F.when(F.col("bits").isNull(), F.col("weight") * F.col("n")).otherwise(F.col("bits"))).alias("s"),
-                                  F.sum(F.when(F.col("bits").isNotNull(), F.col("n"))).alias("n")))
-    return store(gained.select("row", F.pow(F.lit(2.0), -F.col("s") / POINT / F.col("n")).alias("perplexity")), "perplexities")
+    (counts, name), done = [f"llm_{x}_{uuid.uuid4().hex}" for x in ("trigrams", "weights")], []
+    try:
+        top = add_to_buckets(trigram_counts(trusted, table), counts, "b", "model", "b", "a", "c")
+        share = [add_weights(top.filter(F.col("model") == m), name) for m in (0, 1)]
+        drop_tables(spark, counts)
+        weights = spark.table(name)
+        keyed = docs.select(row_key().alias("row"), "text")
+        for turn in range(TURNS):
+            rows = document_counts(keyed.filter(F.pmod("row", F.lit(TURNS)) == turn), table, share)
+            # keys of the model are distinct, so its share of a bucket is small and never one of hot keys
+            found = rows.join(weights.hint("shuffle_hash"), "key", "left").filter("weight is not null or bits is not null")
+            # no two batches hold the same row of a document; equal documents have equal means
+            gained = (gains(found.select("group", "key", "at", "bits", "weight")).groupBy("group", "doc")
+                      .agg(*[F.sum(x).alias(x) for x in ("s", "row", "n")])
+                      .groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+            with lean(spark):
+                done.append(store(gained.select("row", F.pow(F.lit(2.0), -F.col("s") / POINT / F.col("n")).alias("perplexity")), "perplexities"))
+    finally:
+        drop_tables(spark, counts, name)
+    return functools.reduce(DataFrame.unionByName, done)

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -148,3 +149,39 @@ def test_a_language_with_many_texts_is_not_held_by_the_extremes_of_others(spark)
     got = {r["language"]: r["q"] for r in found.collect()}
     assert pooled == [2.0, 9000.0] and got["xx"] == pooled
     assert 90 <= got["en"][0] <= 101 and 199 <= got["en"][1] <= 210
+
+
+def test_a_group_of_documents_sends_an_ngram_once(spark):
+    text = "one two three four five"
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(20)], "row long, text string").coalesce(1)
+    table = np.full(kneser_ney.ALPHABET ** kneser_ney.ORDER, -5.0, dtype=np.float32)
+    found = word_model.document_counts(docs, table, [0.0, 0.0]).collect()
+    heads = [r for r in found if r["bits"] is not None]
+    assert sorted(r["key"] for r in heads) == list(range(20))
+    sent = Counter((r["group"], r["key"]) for r in found if r["bits"] is None)
+    assert max(sent.values()) == 1
+    # each document has its three n-grams of every token but those of the first mark, wherever they are noted
+    noted = sum(n for r in found if r["bits"] is None for n in np.frombuffer(r["at"], np.int32)[1::2].tolist())
+    assert noted == sum((len(word_model.tokens(f"{text} {i}")) + 2) + (len(word_model.tokens(f"{text} {i}")) + 2)
+                        + (len(word_model.tokens(f"{text} {i}")) + 1) for i in range(20))
+
+
+def test_groups_of_any_size_give_the_same_perplexities(spark, given, monkeypatch):
+    docs = spark.createDataFrame([(i, g["text"]) for i, g in enumerate(given[:30])], "doc_id long, text string")
+    found = []
+    for held, turns in ((1_000_000, 1), (50, 3)):
+        monkeypatch.setattr(word_model, "HELD_TOKENS", held)
+        monkeypatch.setattr(word_model, "TURNS", turns)
+        got = word_model.perplexities(docs, docs.filter("doc_id < 20")).collect()
+        found.append({r["row"]: r["perplexity"] for r in got})
+    assert found[0] == found[1] and len(found[0]) >= 25
+
+
+def test_perplexities_keep_no_counts_and_no_model(spark, given):
+    docs = spark.createDataFrame([(i, g["text"]) for i, g in enumerate(given[:20])], "doc_id long, text string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    assert word_model.perplexities(docs, docs).count() > 10
+    left = {p.name for p in folder.iterdir()} - before
+    assert not any(x.startswith(("llm-word", "llm-pair")) for x in left)
+    assert not any(t.name.startswith(("llm_trigrams", "llm_weights", "llm_pairs")) for t in spark.catalog.listTables())

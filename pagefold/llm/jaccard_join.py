@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from .common import scratch_path, set_aside, shuffle_partitions, slices, store, texts
 from .components import contract
-from .words import BLANK_WORDS, batch_word_hashes, gram_hashes, mix
+from .words import BLANK_WORDS, batch_gram_hashes, gram_hashes, mix
 
 #: Counters of the frequency sketch, and of one stored piece of it.
 SKETCH_BITS = 22
 CHUNK = 1 << 14
+#: Texts whose shingles are computed in one go, so that their hashes stay in a processor's own memory.
+SET_TEXTS = 32
 #: Most shared prefix shingles that a document may ask for.
 MOST_MATCHES = 4
 
@@ -63,11 +65,16 @@ LINK_SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b",
 def shingle_sets(contents: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: runs of ``k`` words, or all words as one if there are fewer."""
     out = []
-    for words in batch_word_hashes([t.encode("utf-8", "surrogatepass").translate(BLANK_WORDS) for t in contents]):
-        if 0 < len(words) < k:
-            out.append(mix(gram_hashes(words, len(words)) + np.uint64(len(words))))
-        else:
-            out.append(np.unique(gram_hashes(words, k)))
+    for i in range(0, len(contents), SET_TEXTS):
+        found = [t.encode("utf-8", "surrogatepass").translate(BLANK_WORDS) for t in contents[i:i + SET_TEXTS]]
+        for words, grams in batch_gram_hashes(found, k):
+            if 0 < len(words) < k:
+                out.append(mix(gram_hashes(words, len(words)) + np.uint64(len(words))))
+                continue
+            grams = np.sort(grams)
+            new = np.ones(len(grams), dtype=bool)
+            new[1:] = grams[1:] != grams[:-1]
+            out.append(grams[new])
     return out
 
 

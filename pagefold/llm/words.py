@@ -38,17 +38,25 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of a translated text, in order."""
+    return _words(text)[0]
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ``word_hashes`` of a text, and where each word begins."""
     b = np.frombuffer(text, dtype=np.uint8)
     word = b != 32
     if not word.any():
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
     ends = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
     size = ends - starts
-    letters = b[word].astype(np.uint64)
     first = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    total = np.add.reduceat((letters + np.uint64(1)) * _powers(int(size.max()))[place], first)
+    return run_hashes(b[word], first, size, np.arange(int(size.sum())) - np.repeat(first, size)), starts
+
+
+def run_hashes(letters: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words whose bytes stand one after the other: where each begins, its size, and each byte's place in its word."""
+    total = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], first)
     return mix(total + size.astype(np.uint64) * np.uint64(_STEP[4]))
 
 
@@ -65,5 +73,18 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def batch_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """Word hashes of each of several translated texts, computed in one go."""
-    counts = [len(t.split()) for t in texts]
-    return np.split(word_hashes(b" ".join(texts)), np.cumsum(counts)[:-1]) if texts else []
+    if not texts:
+        return []
+    hashes, starts = _words(b" ".join(texts))
+    return np.split(hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])[:-1]))
+
+
+def batch_gram_hashes(texts: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of each of several translated texts and the hashes of all its runs of ``k`` words, computed in one go."""
+    words = batch_word_hashes(texts)
+    if not words:
+        return []
+    size = np.array([len(w) for w in words])
+    first = np.cumsum(size) - size
+    grams = gram_hashes(np.concatenate(words), k)
+    return [(w, grams[a:a + max(n - k + 1, 0)]) for w, a, n in zip(words, first.tolist(), size.tolist())]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagefold.llm import jaccard_join, queries, topk
+from pagefold.llm import jaccard_join, queries, topk, words
 from pagefold.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -147,3 +147,14 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[301] == 300
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_op3_shingles_of_many_texts_are_hashed_together(monkeypatch):
+    texts = [f"a{i} b c d e f g{i % 3} h" * (i % 5) for i in range(64)] + ["", " \n", "one two", "é è  x\x85y z w v"]
+    alone = [jaccard_join.shingle_sets([t], 5)[0].tolist() for t in texts]
+    calls, hashed = [], words.gram_hashes
+    for module in (words, jaccard_join):
+        monkeypatch.setattr(module, "gram_hashes", lambda w, k: calls.append(k) or hashed(w, k))
+    assert [s.tolist() for s in jaccard_join.shingle_sets(texts, 5)] == alone
+    assert calls.count(5) <= -(-len(texts) // jaccard_join.SET_TEXTS)
+    assert [len(s) for s in alone] == [len(jaccard_join.word_shingles(t, 5)) for t in texts]

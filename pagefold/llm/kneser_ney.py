@@ -70,14 +70,43 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def batch_grams(texts: list[str]) -> np.ndarray:
+    """The n-grams of the ``symbols`` of all texts, computed in one go."""
+    size = np.array([len(t) + ORDER for t in texts], dtype=np.int64)
+    if not len(size):
+        return np.zeros(0, dtype=np.int32)
+    ends = " " * (ORDER - 1)
+    points = np.frombuffer("".join([f"{ends}{t} " for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    found = np.where(points < 1 << 16, CLASSES[np.minimum(points, 0xFFFF)], 32).astype(np.int32)
+    first = np.cumsum(size) - size
+    keep = found != 0
+    keep[1:] |= found[:-1] != 0
+    for j in range(ORDER - 1):
+        keep[first + j] = True
+    whose = np.cumsum(np.add.reduceat(keep, first, dtype=np.int64))
+    found = found[keep]
+    n = len(found) - ORDER + 1
+    out = found[:n].copy()
+    for j in range(1, ORDER):
+        out = out * ALPHABET + found[j:j + n]
+    # none that begins in one text and ends in the next
+    own = np.ones(n, dtype=bool)
+    for j in range(1, ORDER):
+        own[whose[:-1] - j] = False
+    return out[own]
+
+
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """``gram`` and ``n`` over all whole trusted texts; each task sends the n-grams it saw once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALPHABET ** ORDER, dtype=np.int64)
+        total, held = np.zeros(ALPHABET ** ORDER, dtype=np.int64), []
         for b in slices(batches, 64):
-            found = [grams(symbols(t)) for t in b["text"].to_pylist()]
-            seen, times = np.unique(np.concatenate(found), return_counts=True) if found else ((), ())
-            total[np.asarray(seen, dtype=np.int64)] += np.asarray(times, dtype=np.int64)
+            held.append(batch_grams(b["text"].to_pylist()))
+            if sum(map(len, held)) > len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         seen = np.flatnonzero(total)
         for i in range(0, len(seen), 50_000):
             part = seen[i:i + 50_000]
@@ -98,7 +127,12 @@ def order_counts(counts: DataFrame) -> dict[int, DataFrame]:
 def discounts(table: DataFrame) -> list[float]:
     """The discounts of n-grams counted once, twice, and three times or more, by Chen and Goodman's estimate."""
     row = table.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)]).first()
-    c = [max(1, row[f"c{i}"]) for i in (1, 2, 3, 4)]
+    return estimate([row[f"c{i}"] for i in (1, 2, 3, 4)])
+
+
+def estimate(counts: list[int]) -> list[float]:
+    """The discounts by how many n-grams were counted once, twice, three and four times."""
+    c = [max(1, x) for x in counts]
     y = c[0] / (c[0] + 2 * c[1])
     return [min(max(i + 1 - (i + 2) * y * c[i + 1] / c[i], 0.05), i + 0.95) for i in range(3)]
 

@@ -185,3 +185,48 @@ def test_perplexities_keep_no_counts_and_no_model(spark, given):
     left = {p.name for p in folder.iterdir()} - before
     assert not any(x.startswith(("llm-word", "llm-pair")) for x in left)
     assert not any(t.name.startswith(("llm_trigrams", "llm_weights", "llm_pairs")) for t in spark.catalog.listTables())
+
+
+def test_many_texts_are_read_as_each_token_alone():
+    table = np.random.default_rng(0).normal(-3, 1, kneser_ney.ALPHABET ** kneser_ney.ORDER).astype(np.float32)
+    rnd = random.Random(2)
+    stock = "aA bB\n_É1ß.,Σσİ中กⒶẞŉ\xa0\x85￿\ud800\U0001F469"
+    texts = ["".join(rnd.choice(stock[:14] if i % 2 else stock) for _ in range(rnd.randint(0, 30))) for i in range(600)]
+    texts += [None, "", " ", "\n", " \n\t", "A", "AB Ab", "x" * 400]
+    words = word_model.Vocabulary(table)
+    for text, got in zip(texts, word_model.Reader(table).read(texts), strict=True):
+        found = word_model.tokens(text or "")
+        if not found:
+            assert got is None
+            continue
+        words.learn(set(found))
+        assert got[0].tolist() == word_model._sequence(found, words).tolist(), text
+        assert got[1] == pytest.approx([*(words.bits[w] for w in found), word_model.END_BITS], abs=1e-3)
+    own = [t or "" for t in texts]
+    assert kneser_ney.batch_grams(own).tolist() == [g for t in own for g in kneser_ney.grams(kneser_ney.symbols(t)).tolist()]
+
+
+def test_what_is_sent_grows_with_shards_and_not_with_ngrams(spark):
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rnd.randrange(900)} of" for _ in range(300))) for i in range(40)],
+                                 "row long, text string").coalesce(1)
+    table = np.full(kneser_ney.ALPHABET ** kneser_ney.ORDER, -5.0, dtype=np.float32)
+    names = word_model.shard_names(spark)
+    assert word_model.document_blocks(docs, table, [0.0, 0.0], names).count() <= 2 * len(names) + 1
+    blocks = word_model.trigram_blocks(docs, table, names).collect()
+    assert len(blocks) <= 4 * len(names)
+    # half of all trigrams are around one word, and no shard has much more than its share
+    sizes = Counter()
+    for r in blocks:
+        if r["kind"] == "tri":
+            sizes[r["shard"]] += len(word_model.unpack(r["data"])[3])
+    assert len(sizes) == len(names) and max(sizes.values()) < 2 * sum(sizes.values()) / len(names)
+
+
+def test_packed_columns_come_back():
+    rnd = np.random.default_rng(1)
+    keys, n = np.sort(rnd.integers(-2**63, 2**63 - 1, 500)), rnd.integers(0, 9, 500).astype(np.int32)
+    for part in (slice(0, 500), slice(0, 1), slice(0, 0)):
+        got = word_model.unpack(word_model.pack(("d", keys[part]), ("p", n[part]), ("r", keys[part]), ("p", keys[part] / 7)))
+        for x, y in zip(got, (keys[part], n[part], keys[part], keys[part] / 7), strict=True):
+            assert x.dtype == y.dtype and x.tolist() == y.tolist()

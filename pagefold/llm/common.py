@@ -55,21 +55,6 @@ def lean(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def add_to_buckets(df: DataFrame, table: str, by: str, *order: str) -> DataFrame:
-    """Adds ``df`` to a table of the warehouse in buckets of ``by``, sorted in each, and returns the whole table.
-
-    Joins and groupings by ``by`` do not move it. Its files go when the table is dropped.
-    """
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    with lean(spark):
-        # sorted whole numbers are written as packed differences, and words as places in a dictionary
-        (df.repartition(n, by).write.mode("append").bucketBy(n, by).sortBy(*(order or (by,)))
-         .option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.dictionary.page.size", 4 << 20)
-         .saveAsTable(table))
-    return spark.table(table)
-
-
 def drop_tables(spark: SparkSession, *names: str) -> None:
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
